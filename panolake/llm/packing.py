@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from panolake.llm.common import partitions, table, text_of
-from panolake.llm.units import units_of
+from panolake.llm.units import slices, units_of
 
 CAPACITY, GAP, SENTENCE, WORD = 4096, 512, 8.0, 64.0
 #: Ids of one run of the dynamic programme; the stream starts anew after it, at the end of a document.
@@ -109,7 +109,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY)
             held = 0
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], [c.split()[0] for c in PIECES.split(", ")])
 
-        for batch in batches:
+        for batch in slices(batches):
             ids, n = units.encode(batch.column("text"))
             ends = np.cumsum(n)
             ids = np.insert(ids, ends, end_id)

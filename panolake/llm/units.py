@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ SPACED = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Units for which cutting, lower-casing and normal forms are beyond doubt: ASCII and the letters of Latin-1.
 _PLAIN = re.compile("[ -~\n\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 #: Units that a worker remembers; beyond it the memory starts anew, which costs time only.
-REMEMBERED = 600_000
+REMEMBERED = 350_000
 
 
 def split_units(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -77,7 +78,7 @@ class Units:
         if self.glued:
             first = np.zeros(len(flat), bool)
             first[(np.cumsum(per_text) - per_text)[per_text > 0]] = True
-            flat = _glue(flat, first)
+            flat = glue(flat, first)
         coded = flat.dictionary_encode()
         of = self._known(coded.dictionary.to_pylist())
         index = of[coded.indices.to_numpy()]
@@ -129,7 +130,7 @@ class Units:
         return got
 
 
-def _glue(flat: pa.Array, first: np.ndarray) -> pa.Array:
+def glue(flat: pa.Array, first: np.ndarray) -> pa.Array:
     """Each unit with its leading space, but for the first of each text."""
     spaced = pc.binary_join_element_wise(pa.scalar("", pa.large_string()), flat, pa.scalar(" ", pa.large_string()))
     return pc.if_else(pa.array(first), flat, spaced)
@@ -143,3 +144,10 @@ def units_of(path: str, glued: bool) -> Units:
     if (path, glued) not in _open:
         _open[path, glued] = Units(path, glued)
     return _open[path, glued]
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 3000) -> Iterator[pa.RecordBatch]:
+    """Batches in smaller parts, to bound what a worker holds at once."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
