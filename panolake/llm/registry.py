@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from panolake.llm.bpe import op3_bpe
 from panolake.llm.packing import op9_packing
+from panolake.llm.simhash import op4_simhash
 from panolake.llm.token_store import op5_token_store
 
 QUERIES = {
     "op3_bpe": op3_bpe,
+    "op4_simhash": op4_simhash,
     "op5_token_store": op5_token_store,
     "op9_packing": op9_packing,
 }
