@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 from panolake.llm.bpe import op3_bpe
+from panolake.llm.lines import OP8_SQL, op8_line_dedup
 from panolake.llm.packing import op9_packing
 from panolake.llm.simhash import op4_simhash
 from panolake.llm.token_store import op5_token_store
+from panolake.llm.toxicity import op2_toxicity
 
 QUERIES = {
+    "op2_toxicity": op2_toxicity,
     "op3_bpe": op3_bpe,
     "op4_simhash": op4_simhash,
     "op5_token_store": op5_token_store,
+    "op8_line_dedup": op8_line_dedup,
     "op9_packing": op9_packing,
 }
 
 #: DuckDB SQL where SQL can express a query.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op8_line_dedup": OP8_SQL}
