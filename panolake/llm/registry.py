@@ -6,6 +6,7 @@ from panolake.llm.bpe import op3_bpe
 from panolake.llm.lines import OP8_SQL, op8_line_dedup
 from panolake.llm.packing import op9_packing
 from panolake.llm.simhash import op4_simhash
+from panolake.llm.substring import op7_substring_dedup
 from panolake.llm.token_store import op5_token_store
 from panolake.llm.toxicity import op2_toxicity
 
@@ -14,6 +15,7 @@ QUERIES = {
     "op3_bpe": op3_bpe,
     "op4_simhash": op4_simhash,
     "op5_token_store": op5_token_store,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_line_dedup": op8_line_dedup,
     "op9_packing": op9_packing,
 }

@@ -81,7 +81,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, held_in: Column, most: int
     return rows.select("folded", "toxic", *family).dropDuplicates(["m0", "m1", "m2"]).select("folded", F.col("toxic").cast("int").alias("toxic"))
 
 
-def learn(docs: DataFrame, labels: DataFrame, held_in: Column, purity: float = 0.93, share: float = 0.01) -> Lexicon:
+def learn(docs: DataFrame, labels: DataFrame, held_in: Column, purity: float = 0.75, share: float = 0.01) -> Lexicon:
     """Terms in at least ``share`` of the toxic rows of which ``purity`` of the rows with them are toxic."""
     rows = written(training_rows(docs, labels, held_in), "toxicity-rows")
     totals = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
