@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from panolake.llm.bpe import op3_bpe
+from panolake.llm.fingerprints import op10_fingerprints
 from panolake.llm.lines import OP8_SQL, op8_line_dedup
 from panolake.llm.packing import op9_packing
 from panolake.llm.simhash import op4_simhash
@@ -18,6 +19,7 @@ QUERIES = {
     "op7_substring_dedup": op7_substring_dedup,
     "op8_line_dedup": op8_line_dedup,
     "op9_packing": op9_packing,
+    "op10_fingerprints": op10_fingerprints,
 }
 
 #: DuckDB SQL where SQL can express a query.
