@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from panolake.llm.ann import op1_nearest
 from panolake.llm.bpe import op3_bpe
 from panolake.llm.fingerprints import op10_fingerprints
 from panolake.llm.lines import OP8_SQL, op8_line_dedup
@@ -12,6 +13,7 @@ from panolake.llm.token_store import op5_token_store
 from panolake.llm.toxicity import op2_toxicity
 
 QUERIES = {
+    "op1_nearest": op1_nearest,
     "op2_toxicity": op2_toxicity,
     "op3_bpe": op3_bpe,
     "op4_simhash": op4_simhash,
