@@ -2,16 +2,16 @@
 
 A word here is a unit: what stands between two single spaces that have no other white space beside them,
 with its leading space; pieces of the split pattern never reach across. ``fold_words`` is one Spark
-expression: a piece becomes an array of single bytes (as characters U+0000 to U+00FF), and an ``aggregate``
-merges the leftmost pair of the least rank until no pair has one. Ranks are a literal: an array of small
-maps, one per hash bucket, so that a look-up is one step.
+expression: a piece becomes an array of single bytes, each as its id, and an ``aggregate`` merges the
+leftmost pair of the least rank until no pair has one. The ranks are a literal: of every two tokens whose
+bytes together are a token, its rank, in an array of small maps, one per hash bucket, so that a look-up is one step.
 
 Words are counted over the whole corpus; the ``KEPT`` most frequent are folded once and go to all tasks
 (a bound that does not grow). All other words are folded by the same expression in the task of their
 document, once per document. Decoding concatenates the bytes that ids stand for.
 
 Defined results: null and empty texts have no ids; repeated rows give repeated rows; pieces of over
-``LONGEST`` bytes, for which a fold's copying grows too much, are merged with a heap in an Arrow function.
+``LONGEST`` bytes, for which a fold's copying grows too much, are merged with a heap in the task.
 """
 
 from __future__ import annotations
@@ -23,14 +23,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panolake.llm.common import table, text_of, written
-from panolake.llm.units import glue, split_units, spread
+from panolake.llm.units import glue, slices, split_units, spread
 
-KEPT, LONGEST, BUCKETS = 400_000, 1000, 1 << 14
+KEPT, LONGEST, BUCKETS, TIMES = 300_000, 1000, 1 << 15, 31
+NO_PAIR = (1 << 20) - 1
 #: Fixed value: white space as Unicode has it, for a Java character class.
 SPACE = r"\t-\r \x85\xa0  -     　"
 _CAREFUL = r"\t-\r\x1c-\x1f \x85\xa0  -     　"
@@ -53,47 +54,54 @@ class Ranks:
         self.ranks, self.pattern = ranks, pattern
         buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
         for token, rank in ranks.items():
-            shown = token.decode("latin-1")
-            buckets[xxhash.xxh64_intdigest(shown.encode(), 42) % BUCKETS][shown] = rank
-        self.literal = F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>")
+            for cut in range(1, len(token)):
+                left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
+                if left is not None and right is not None:
+                    buckets[(left * TIMES + right) % BUCKETS][str(left << 20 | right)] = rank
+        self.pairs = F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>").cast("array<map<bigint,int>>")
+        self.single = F.from_json(F.lit(json.dumps([ranks[bytes([b])] for b in range(256)])), "array<bigint>")
 
     @staticmethod
-    def fold_piece(piece: Column, buckets: Column) -> Column:
-        """Ids of one piece: bytes, then the leftmost least-ranked pair merged, again and again."""
+    def fold_piece(piece: Column, literals: Column) -> Column:
+        """Ids of one piece: bytes, then the leftmost pair of the least rank merged, again and again.
 
-        def rank(shown: Column) -> Column:
-            return F.get(buckets, F.xxhash64(shown).bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))[shown]
+        Each part is one number: rank of its pair with the next part, where it begins, its id.
+        The least number is then the leftmost pair of the least rank.
+        """
+        none, low, own = F.lit(NO_PAIR << 36), F.lit((1 << 36) - 1), F.lit((1 << 20) - 1)
 
-        letters = F.split(F.decode(F.encode(piece, "utf-8"), "iso-8859-1"), "")
-        part = lambda s, token, pair: F.struct(s.alias("s"), token.alias("id"), pair.alias("pair"))
-        start = F.transform(letters, lambda x, i: part(x, rank(x), rank(F.concat(x, F.get(letters, i + 1)))))
-
-        def merged(parts: Column, at: Column) -> Column:
-            """``at``: 1-based place of the pair's left part."""
-            left, right = F.element_at(parts, at), F.element_at(parts, at + 1)
-            one = F.concat(left["s"], right["s"])
-            after = F.get(parts, at + 1)["s"]
-            before = F.get(parts, at - 2)
-            head = F.when(at > 1, F.concat(F.slice(parts, 1, F.greatest(at - 2, F.lit(0))), F.array(part(before["s"], before["id"], rank(F.concat(before["s"], one)))))).otherwise(F.slice(parts, 1, 0))
-            return F.concat(head, F.array(part(one, left["pair"], rank(F.concat(one, after)))), F.slice(parts, at + 2, F.size(parts)))
+        def pair(left: Column, right: Column) -> Column:
+            """The rank of two ids together, where the number has it."""
+            bucket = F.pmod(left * F.lit(TIMES) + right, F.lit(BUCKETS)).cast("int")
+            return F.coalesce(F.shiftleft(F.get(literals["pairs"], bucket)[F.shiftleft(left, 20).bitwiseOR(right)].cast("long"), 36), none)
 
         def step(parts: Column, _: Column) -> Column:
-            pairs = F.transform(parts, lambda p: p["pair"])
-            least = F.array_min(pairs)
-            at = F.array_position(pairs, least).cast("int")
-            return F.when(least.isNull(), parts).otherwise(F.get(F.transform(F.array(at), lambda k: merged(parts, k)), 0))
+            def merged(at: Column, least: Column) -> Column:
+                token, before = F.shiftright(least, 36), F.get(parts, at - 2)
+                one = pair(token, F.get(parts, at + 1).bitwiseAND(own)).bitwiseOR(least.bitwiseAND(F.lit(((1 << 16) - 1) << 20))).bitwiseOR(token)
+                both = F.when(at > 1, F.array(pair(before.bitwiseAND(own), token).bitwiseOR(before.bitwiseAND(low)), one)).otherwise(F.array(one))
+                return F.concat(F.slice(parts, 1, F.greatest(at - 2, F.lit(0))), both, F.slice(parts, at + 2, F.size(parts)))
+
+            def chosen(least: Column) -> Column:
+                place = F.array(F.array_position(parts, least).cast("int"))
+                return F.when(least >= none, parts).otherwise(F.get(F.transform(place, lambda at: merged(at, least)), 0))
 
-        return F.aggregate(F.sequence(F.lit(1), F.size(letters)), start, step, lambda parts: F.transform(parts, lambda p: p["id"]))
+            return F.get(F.transform(F.array(F.array_min(parts)), chosen), 0)
+
+        letters = F.split(F.decode(F.encode(piece, "utf-8"), "iso-8859-1"), "")
+        ids = F.transform(letters, lambda x: F.get(literals["single"], F.ascii(x)))
+        start = F.get(F.transform(F.array(ids), lambda ids: F.transform(ids, lambda x, i: pair(x, F.get(ids, i + 1)).bitwiseOR(F.shiftleft(i.cast("long"), 20)).bitwiseOR(x))), 0)
+        return F.aggregate(F.slice(letters, 2, F.size(letters)), start, step, lambda parts: F.transform(parts, lambda x: x.bitwiseAND(own).cast("int")))
 
     def fold_words(self, words: Column, longest: int = LONGEST) -> Column:
         """Ids of each word of an array; null for words of over ``longest`` bytes. The literal stands in the plan once."""
 
-        def fold(word: Column, buckets: Column) -> Column:
+        def fold(word: Column, literals: Column) -> Column:
             pieces = F.regexp_extract_all(word, F.lit(java_pattern(self.pattern)), F.lit(0))
-            return F.flatten(F.transform(pieces, lambda p: self.fold_piece(p, buckets)))
+            return F.flatten(F.transform(pieces, lambda p: self.fold_piece(p, literals)))
 
-        every = lambda buckets: F.transform(words, lambda w: F.when(F.octet_length(w) <= longest, fold(w, buckets)))
-        return F.get(F.transform(F.array(self.literal), every), 0)
+        every = lambda literals: F.transform(words, lambda w: F.when(F.octet_length(w) <= longest, fold(w, literals)))
+        return F.get(F.transform(F.array(F.struct(self.pairs.alias("pairs"), self.single.alias("single"))), every), 0)
 
     def by_heap(self, word: str) -> list[int]:
         """The same merges for very long pieces: pairs in a heap by rank and place."""
@@ -122,64 +130,70 @@ class Ranks:
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """word, n: all units of all texts."""
-    units = F.split("text", f"(?<=[^{_CAREFUL}])(?= [^{_CAREFUL}])", -1)
-    return docs.select(F.explode(units).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    """word, n: all units of all texts, counted first within each part of a batch."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in slices(batches, 10_000):
+            coded, _ = coded_words(rows.column("text"))
+            n = np.bincount(coded.indices.to_numpy(), minlength=len(coded.dictionary))
+            yield pa.RecordBatch.from_arrays([coded.dictionary.cast(pa.string()), pa.array(n)], ["word", "n"])
+
+    return docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def coded_words(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """All units of the texts with their leading spaces, dictionary-encoded, and how many each text has."""
+    units, per_text = split_units(texts)
+    first = np.zeros(len(units), bool)
+    begins = np.cumsum(per_text) - per_text
+    first[begins[per_text > 0]] = True
+    return glue(units, first).dictionary_encode(), per_text
 
 
 def encode(docs: DataFrame, ranks: Ranks, kept: int = KEPT) -> DataFrame:
     """doc_id, ids (little-endian unsigned 32-bit) of every whole text."""
     spark, docs = docs.sparkSession, text_of(docs)
     frequent = word_counts(docs).where((F.octet_length("word") <= LONGEST) & (F.col("word") != "")).orderBy(F.desc("n"), "word").limit(kept).select("word")
-    folded = written(frequent, "frequent-words").repartition(spark.sparkContext.defaultParallelism).select("word", F.get(ranks.fold_words(F.array("word")), 0).alias("ids")).toPandas()
-    lengths = folded["ids"].map(len).to_numpy(np.int64) if len(folded) else np.zeros(0, np.int64)
-    flat = np.concatenate([np.array(x, np.uint32) for x in folded["ids"]]) if len(folded) else np.zeros(0, np.uint32)
-    held = spark.sparkContext.broadcast((pa.array(folded["word"].tolist(), pa.large_string()), flat, lengths))
+    folded = written(frequent, "frequent-words").repartition(spark.sparkContext.defaultParallelism)
+    folded = folded.select("word", F.get(ranks.fold_words(F.array("word")), 0).alias("ids")).toArrow()
+    words, ids = folded["word"].combine_chunks().cast(pa.large_string()), folded["ids"].combine_chunks()
+    flat, lengths = ids.flatten().to_numpy().astype(np.uint32), pc.list_value_length(ids).to_numpy().astype(np.int64)
+    held = spark.sparkContext.broadcast((words, flat, lengths))
+    del folded, words, ids, flat, lengths
     ranks_held = spark.sparkContext.broadcast((ranks.ranks, ranks.pattern))
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = {w: i for i, w in enumerate(held.value[0].to_pylist())}
-        for batch in batches:
-            for k in range(0, batch.num_rows, 2000):
-                rows = batch.slice(k, 2000)
-                units, per_text = split_units(rows.column("text"))
-                first = np.zeros(len(units), bool)
-                begins = np.cumsum(per_text) - per_text
-                first[begins[per_text > 0]] = True
-                coded = glue(units, first).dictionary_encode()
-                words = coded.dictionary.to_pylist()
-                of = np.array([place.get(w, -1) for w in words], np.int64)
-                of[[i for i, w in enumerate(words) if not w]] = -2
-                index = coded.indices.to_numpy()
-                codes = of[index]
-                doc = np.repeat(np.arange(len(per_text)), per_text)
-                unknown = np.flatnonzero(codes == -1)
-                pair, inverse = np.unique(doc[unknown] * len(words) + index[unknown], return_inverse=True)
-                per_doc = np.bincount(pair // max(1, len(words)), minlength=len(per_text))
-                starts = np.cumsum(per_doc) - per_doc
-                codes[unknown] = -3 - (inverse - starts[doc[unknown]])
-                edges = (np.concatenate([[0], np.cumsum(per_text)]) * 4).astype(np.int32)
-                held_codes = pa.BinaryArray.from_buffers(pa.binary(), len(per_text), [None, pa.py_buffer(edges), pa.py_buffer(codes.astype("<i4"))])
-                rare = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per_doc)]).astype(np.int32)), coded.dictionary.take(pa.array(pair % max(1, len(words)))).cast(pa.string()))
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), held_codes, rare], ["doc_id", "codes", "rare"])
-
-    def by_heap(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        table_of = Ranks.__new__(Ranks)
-        table_of.ranks, table_of.pattern = ranks_held.value
-        for words in batches:
-            yield pa.array([x and [table_of.by_heap(w) for w in x] for x in words.to_pylist()], pa.list_(pa.list_(pa.int32())))
+        known = held.value[0]
+        for rows in slices(batches, 2500):
+            coded, per_text = coded_words(rows.column("text"))
+            words = coded.dictionary
+            of = np.where(pc.equal(words, "").to_numpy(zero_copy_only=False), -2, pc.index_in(words, value_set=known).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64))
+            index = coded.indices.to_numpy()
+            codes = of[index]
+            doc = np.repeat(np.arange(len(per_text)), per_text)
+            unknown = np.flatnonzero(codes == -1)
+            pair, inverse = np.unique(doc[unknown] * len(words) + index[unknown], return_inverse=True)
+            per_doc = np.bincount(pair // max(1, len(words)), minlength=len(per_text))
+            starts = np.cumsum(per_doc) - per_doc
+            codes[unknown] = -3 - (inverse - starts[doc[unknown]])
+            edges = (np.concatenate([[0], np.cumsum(per_text)]) * 4).astype(np.int32)
+            held_codes = pa.BinaryArray.from_buffers(pa.binary(), len(per_text), [None, pa.py_buffer(edges), pa.py_buffer(codes.astype("<i4"))])
+            rare = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per_doc)]).astype(np.int32)), coded.dictionary.take(pa.array(pair % max(1, len(words)))).cast(pa.string()))
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), held_codes, rare], ["doc_id", "codes", "rare"])
 
     def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        long_words = Ranks.__new__(Ranks)
+        long_words.ranks, long_words.pattern = ranks_held.value
         _, known, known_lengths = held.value
         known_starts = np.cumsum(known_lengths) - known_lengths
         for batch in batches:
             codes = np.frombuffer(b"".join(batch.column("codes").to_pylist()), "<i4").astype(np.int64)
             per_doc = np.array([len(x) // 4 for x in batch.column("codes").to_pylist()], np.int64)
-            short, long = batch.column("folded"), batch.column("heaped")
+            short, long = batch.column("folded"), batch.column("long")
             n_rare = np.diff(short.offsets.to_numpy())
             words = short.flatten()
             if words.null_count:
-                given = iter([w for x in long.to_pylist() for w in x or []])
+                given = iter([long_words.by_heap(w) for x in long.to_pylist() for w in x or []])
                 words = pa.array([next(given) if w is None else w for w in words.to_pylist()], pa.list_(pa.int32()))
             own = words.flatten().to_numpy(zero_copy_only=False).astype(np.uint32)
             own_lengths = np.diff(words.offsets.to_numpy()).astype(np.int64)
@@ -195,11 +209,10 @@ def encode(docs: DataFrame, ranks: Ranks, kept: int = KEPT) -> DataFrame:
             held_ids = pa.BinaryArray.from_buffers(pa.binary(), len(per_doc), [None, pa.py_buffer((edges * 4).astype(np.int32)), pa.py_buffer(ids)])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), held_ids], ["doc_id", "ids"])
 
-    heaped = F.arrow_udf(by_heap, "array<array<int>>")
     rare = docs.mapInArrow(look_up, "doc_id long, codes binary, rare array<string>")
     too_long = F.filter("rare", lambda w: F.octet_length(w) > LONGEST)
     rare = rare.select("doc_id", "codes", ranks.fold_words(F.col("rare")).alias("folded"), F.when(F.size(too_long) > 0, too_long).alias("long"))
-    return rare.withColumn("heaped", heaped("long")).drop("long").mapInArrow(put_together, "doc_id long, ids binary")
+    return rare.mapInArrow(put_together, "doc_id long, ids binary")
 
 
 def decode(encoded: DataFrame, ranks: Ranks) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from panolake.llm.ann import op1_nearest
 from panolake.llm.bpe import op3_bpe
 from panolake.llm.fingerprints import op10_fingerprints
+from panolake.llm.license_scan import op6_license_scan
 from panolake.llm.lines import OP8_SQL, op8_line_dedup
 from panolake.llm.packing import op9_packing
 from panolake.llm.simhash import op4_simhash
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_bpe": op3_bpe,
     "op4_simhash": op4_simhash,
     "op5_token_store": op5_token_store,
+    "op6_license_scan": op6_license_scan,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_line_dedup": op8_line_dedup,
     "op9_packing": op9_packing,

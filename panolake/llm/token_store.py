@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panolake.llm.common import partitions, shared_dir, table, text_of, written
-from panolake.llm.units import units_of
+from panolake.llm.units import slices, units_of
 
 #: Ids between two bit-offset checkpoints, and the ids after which a block is closed.
 EVERY, BLOCK_IDS = 512, 1 << 17
@@ -89,29 +89,37 @@ def limited_code(counts: dict[int, int], max_bits: int = 18) -> Code:
     return Code(lengths, max_bits)
 
 
-def token_rows(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """doc_id, ids (little-endian unsigned 32-bit, the end id last) of every whole text."""
+def id_type(path: str) -> str:
+    """Unsigned 16 bits where all ids of a tokenizer file fit, else 32."""
+    from tokenizers import Tokenizer
+
+    return "<u2" if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else "<u4"
+
+
+def token_rows(docs: DataFrame, path: str, end_id: int, kind: str) -> DataFrame:
+    """doc_id, ids (little-endian of type ``kind``, the end id last) of every whole text."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units = units_of(path, True)
-        for batch in batches:
-            ids, n = units.encode(batch.column("text"))
+        width = np.dtype(kind).itemsize
+        for rows in slices(batches):
+            ids, n = units.encode(rows.column("text"))
             ends = np.cumsum(n)
-            ids = np.insert(ids, ends, end_id).astype("<u4")
-            edges = np.concatenate([[0], ends + np.arange(1, len(ends) + 1)]) * 4
-            held = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(ids)])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), held.cast(pa.binary())], ["doc_id", "ids"])
+            ids = np.insert(ids, ends, end_id).astype(kind)
+            edges = np.concatenate([[0], ends + np.arange(1, len(ends) + 1)]) * width
+            held = pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(ids)])
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), held], ["doc_id", "ids"])
 
     return text_of(docs).mapInArrow(encode, "doc_id long, ids binary")
 
 
-def id_counts(tokens: DataFrame) -> dict[int, int]:
+def id_counts(tokens: DataFrame, kind: str) -> dict[int, int]:
     """How often each id occurs in the whole table; at most as many entries as the vocabulary."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            got = np.bincount(_flat(batch.column("ids")))
+            got = np.bincount(_flat(batch.column("ids"), kind)[0])
             if len(got) > len(total):
                 got, total = total, got
             total[: len(got)] += got
@@ -122,11 +130,10 @@ def id_counts(tokens: DataFrame) -> dict[int, int]:
     return {r["id"]: r["n"] for r in rows.collect()}
 
 
-def _flat(column: pa.Array) -> np.ndarray:
-    column = column.cast(pa.large_binary())
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-    data = column.buffers()[2]
-    return np.frombuffer(data, "<u4")[offsets[0] // 4 : offsets[-1] // 4] if data is not None else np.zeros(0, np.uint32)
+def _flat(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of a column of ids, and how many each row has."""
+    rows = column.to_pylist()
+    return np.frombuffer(b"".join(rows), kind), np.array([len(x) for x in rows], np.int64) // np.dtype(kind).itemsize
 
 
 def pack_bits(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[bytes, np.ndarray]:
@@ -143,7 +150,7 @@ def pack_bits(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[
     return out.astype(">u4").tobytes(), begins
 
 
-def encode_blocks(tokens: DataFrame, code: Code) -> DataFrame:
+def encode_blocks(tokens: DataFrame, code: Code, kind: str) -> DataFrame:
     """Blocks of whole documents in ascending doc_id; ``first`` counts the shard's ids before the block."""
     spark = tokens.sparkSession
     held = spark.sparkContext.broadcast((code.lengths, code.codes()))
@@ -165,8 +172,8 @@ def encode_blocks(tokens: DataFrame, code: Code) -> DataFrame:
             return pa.RecordBatch.from_pylist([row], schema=schema)
 
         for batch in batches:
-            n = _sizes(batch.column("ids"))
-            flat, edges = _flat(batch.column("ids")), np.concatenate([[0], np.cumsum(n)])
+            flat, n = _flat(batch.column("ids"), kind)
+            edges = np.concatenate([[0], np.cumsum(n)])
             for i, doc in enumerate(batch.column("doc_id").to_pylist()):
                 docs.append(doc)
                 sizes.append(int(n[i]))
@@ -181,17 +188,13 @@ def encode_blocks(tokens: DataFrame, code: Code) -> DataFrame:
     return ranged.mapInArrow(encode, BLOCKS)
 
 
-def _sizes(column: pa.Array) -> np.ndarray:
-    column = column.cast(pa.large_binary())
-    return np.diff(np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]) // 4
-
-
 def write_ids(docs: DataFrame, tokenizer: str, end_id: int, to: str | None = None, max_bits: int = 18) -> tuple[str, Code]:
     """Writes the store to the folder ``to`` (the shared one if None); returns where, and the code."""
-    tokens = written(token_rows(docs, tokenizer, end_id), "token-ids")
-    code = limited_code(id_counts(tokens), max_bits)
+    kind = id_type(tokenizer)
+    tokens = written(token_rows(docs, tokenizer, end_id, kind), "token-ids")
+    code = limited_code(id_counts(tokens, kind), max_bits)
     to = to or f"{shared_dir(docs.sparkSession)}/tables/token-store-{uuid.uuid4().hex}"
-    encode_blocks(tokens, code).write.option("compression", "none").parquet(f"{to}/blocks")
+    encode_blocks(tokens, code, kind).write.option("compression", "none").parquet(f"{to}/blocks")
     spark = docs.sparkSession
     spark.createDataFrame([(code.max_bits, bytearray(code.lengths.tobytes()))], "max_bits int, lengths binary").coalesce(1).write.parquet(f"{to}/code")
     return to, code
@@ -221,7 +224,7 @@ def unpack_bits(blocks: list[tuple[np.ndarray, np.ndarray, int]], ids_of: np.nda
     return found
 
 
-def read_ids(spark: SparkSession, at: str, rows_at_once: int = 32) -> DataFrame:
+def read_ids(spark: SparkSession, at: str, rows_at_once: int = 8) -> DataFrame:
     """doc_id, start (ids of all documents before it), ids: decoded from the store's blocks."""
     stored = spark.read.schema("max_bits int, lengths binary").parquet(f"{at}/code").first()
     code = Code(np.frombuffer(bytes(stored["lengths"]), np.uint8), stored["max_bits"])

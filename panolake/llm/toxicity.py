@@ -51,13 +51,6 @@ class Lexicon:
         found.make_automaton()
         return found
 
-    def score(self, weight: np.ndarray, words: np.ndarray) -> np.ndarray:
-        if not self.terms:
-            return np.zeros(len(weight))
-        a, b, c = self.curve
-        features = _features(weight, words)
-        return 1 / (1 + np.exp(-np.clip(a + b * features[:, 0] + c * features[:, 1], -30, 30)))
-
 
 def _features(weight: np.ndarray, words: np.ndarray) -> np.ndarray:
     return np.stack([np.log1p(weight), np.log1p(100 * weight / np.maximum(words, 1))], 1)
@@ -100,8 +93,8 @@ def learn(docs: DataFrame, labels: DataFrame, held_in: Column, purity: float = 0
         if len(lexicon) < MOST_TERMS and not any(r["term"].startswith(x) or x.startswith(r["term"]) for x in lexicon):
             lexicon[r["term"]] = float(np.log((r["t"] + 0.5) / (toxic + 1)) - np.log((r["c"] + 0.5) / (clean + 1)))
     bare = Lexicon(lexicon, (0.0, 0.0, 0.0))
-    seen = rows.mapInArrow(_weigher(bare, ["toxic"]), "toxic int, weight double, words long").toArrow()
-    weight, n, y = (seen[c].to_numpy() for c in ("weight", "words", "toxic"))
+    seen = rows.mapInArrow(_weigher(bare, ["toxic"]), "toxic int, __weight double, __words long").toArrow()
+    weight, n, y = (seen[c].to_numpy() for c in ("__weight", "__words", "toxic"))
     x = np.column_stack([np.ones(len(weight)), _features(weight, n)])
     beta = np.zeros(3)
     for _ in range(30):
@@ -112,25 +105,28 @@ def learn(docs: DataFrame, labels: DataFrame, held_in: Column, purity: float = 0
     return Lexicon(lexicon, tuple(float(b) for b in beta))
 
 
-def _weigher(lexicon: Lexicon, kept: list[str], exceptions: tuple[str, ...] = EXCEPTIONS):
+def _weigher(lexicon: Lexicon, kept: list[str], exceptions: tuple[str, ...] = EXCEPTIONS, column: str = "folded"):
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = lexicon.automaton(exceptions)
         for batch in batches:
-            texts = [t.as_py() for t in batch.column("folded")]
+            texts = [t.as_py() for t in batch.column(column)]
             weight = pa.array([matched(automaton, t) if lexicon.terms else 0.0 for t in texts], pa.float64())
             words = pa.array([max(0, t.count(" ") - 1) for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), weight, words], [*kept, "weight", "words"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), weight, words], [*kept, "__weight", "__words"])
 
     return weigh
 
 
 def score(docs: DataFrame, lexicon: Lexicon, exceptions: tuple[str, ...] = EXCEPTIONS) -> DataFrame:
     """doc_id, score (0 to 1) of every whole text; other columns of ``docs`` are ignored."""
-    weighed = text_of(docs).select("doc_id", folded(F.col("text")).alias("folded")).mapInArrow(_weigher(lexicon, ["doc_id"], exceptions), "doc_id long, weight double, words long")
+    weighed = text_of(docs).select("doc_id", folded(F.col("text")).alias("folded")).mapInArrow(_weigher(lexicon, ["doc_id"], exceptions), "doc_id long, __weight double, __words long")
+    return weighed.select("doc_id", (_curve(lexicon) if lexicon.terms else F.lit(0.0)).alias("score"))
+
+
+def _curve(lexicon: Lexicon) -> Column:
     a, b, c = lexicon.curve
-    z = F.lit(a) + F.lit(b) * F.log1p("weight") + F.lit(c) * F.log1p(100 * F.col("weight") / F.greatest("words", F.lit(1)))
-    curve = 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))
-    return weighed.select("doc_id", (curve if lexicon.terms else F.lit(0.0)).alias("score"))
+    z = F.lit(a) + F.lit(b) * F.log1p("__weight") + F.lit(c) * F.log1p(100 * F.col("__weight") / F.greatest("__words", F.lit(1)))
+    return 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))
 
 
 def remainder() -> Column:
@@ -142,3 +138,13 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = score(docs, learn(docs, table(spark, sf_dir, "labels"), remainder() != 0))
     return scored.select("doc_id", F.coalesce(remainder() == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def kept(docs: DataFrame, lexicon: Lexicon, below: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, unchanged, that score under ``below``; no shuffle."""
+    if not lexicon.terms:
+        return docs
+    held = docs.withColumn("__folded", folded(F.coalesce("text", F.lit(""))))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    weighed = held.mapInArrow(_weigher(lexicon, docs.columns, column="__folded"), f"{schema}, __weight double, __words long")
+    return weighed.where(_curve(lexicon) < below).select(*docs.columns)

@@ -28,7 +28,7 @@ SPACED = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Units for which cutting, lower-casing and normal forms are beyond doubt: ASCII and the letters of Latin-1.
 _PLAIN = re.compile("[ -~\n\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 #: Units that a worker remembers; beyond it the memory starts anew, which costs time only.
-REMEMBERED = 350_000
+REMEMBERED = 500_000
 
 
 def split_units(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
