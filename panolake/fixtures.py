@@ -39,4 +39,8 @@ def with_views(sql: str) -> str:
     """``sql`` for DuckDB, with the views it names before it."""
     names = [n for n in VIEWS if n in sql]
     names = [*dict.fromkeys([*(d for n in names for d in _NEEDS.get(n, ())), *names])]
-    return f"WITH {', '.join(f'{n} AS ({VIEWS[n]})' for n in names)}, {sql[5:]}" if sql.startswith("WITH ") else f"WITH {', '.join(f'{n} AS ({VIEWS[n]})' for n in names)} {sql}"
+    views = ", ".join(f"{n} AS ({VIEWS[n]})" for n in names)
+    for head in ("WITH RECURSIVE ", "WITH "):
+        if sql.startswith(head):
+            return f"{head}{views}, {sql[len(head):]}"
+    return f"WITH {views} {sql}"
