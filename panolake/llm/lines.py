@@ -44,8 +44,8 @@ def row_key() -> Column:
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
-def dedup_lines(docs: DataFrame, each: int = EACH) -> DataFrame:
-    """``docs`` with repeated chunks cut from ``text``, and n_lines, n_removed."""
+def dedup_lines(docs: DataFrame, each: int = EACH, counts: bool = True) -> DataFrame:
+    """``docs`` with repeated chunks cut from ``text``, and n_lines, n_removed unless ``counts`` is False."""
     key = [F.xxhash64("chunk").alias("h1"), F.xxhash64("chunk", F.lit(1)).alias("h2")]
     many = chunks(docs, each).where("n >= 2")
     repeated = many.select(*key, "chunk", "doc_id").groupBy("h1", "h2", "chunk").agg(F.count("*").alias("times"), F.min("doc_id").alias("first"))
@@ -65,7 +65,8 @@ def dedup_lines(docs: DataFrame, each: int = EACH) -> DataFrame:
     inside = lambda i: F.array_contains("__gone", F.size(F.filter("__ends", lambda e: e <= i)))
     joined = joined.withColumn("__kept", F.when(F.col("__gone").isNull(), F.col("__lines")).otherwise(F.filter("__lines", lambda line, i: ~inside(i))))
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join("__kept", "\n"))
-    return joined.select(*[(text if c == "text" else F.col(c)).alias(c) for c in docs.columns], F.size("__lines").alias("n_lines"), (F.size("__lines") - F.size("__kept")).alias("n_removed"))
+    counted = [F.size("__lines").alias("n_lines"), (F.size("__lines") - F.size("__kept")).alias("n_removed")] if counts else []
+    return joined.select(*[(text if c == "text" else F.col(f"`{c}`")).alias(c) for c in docs.columns], *counted)
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

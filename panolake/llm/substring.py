@@ -123,17 +123,17 @@ def shared_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return later.groupBy("doc_id", "row_key").agg(F.collect_set("at").alias("at"))
 
 
-def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs`` with marked words cut from ``text`` (and the white space after them), and n_words, n_removed."""
+def dedup_substrings(docs: DataFrame, window: int = WINDOW, counts: bool = True) -> DataFrame:
+    """``docs`` with marked words cut from ``text``, and n_words, n_removed unless ``counts`` is False."""
     marked = written(shared_windows(docs.select("doc_id", "text"), window), "marked-windows")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, gone, texts = [], [], []
+            sizes, gone, texts = [], [], []
             for text, at in zip(batch.column("__text").to_pylist(), batch.column("__at").to_pylist(), strict=True):
                 raw = (text or "").encode()
                 words = raw.split()
-                counts.append(len(words))
+                sizes.append(len(words))
                 if not at:
                     gone.append(0)
                     texts.append(text)
@@ -146,15 +146,16 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 texts.append(_without(raw, words, out))
             rest = [batch.column(c) for c in batch.schema.names if c not in ("__text", "__at")]
             names = [c for c in batch.schema.names if c not in ("__text", "__at")]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(texts, pa.string()), pa.array(counts, pa.int32()), pa.array(gone, pa.int32())], [*names, "__text", "n_words", "n_removed"])
+            yield pa.RecordBatch.from_arrays([*rest, pa.array(texts, pa.string()), pa.array(sizes, pa.int32()), pa.array(gone, pa.int32())], [*names, "__text", "__words", "__removed"])
 
     others = [c for c in docs.columns if c != "text"]
     right = marked.select(F.col("doc_id").alias("__doc"), F.col("row_key").alias("__key"), F.col("at").alias("__at"))
     joined = docs.withColumn("__row", row_key()).join(right, (F.col("doc_id") == F.col("__doc")) & (F.col("__row") == F.col("__key")), "left")
-    joined = joined.select(*others, F.col("text").alias("__text"), "__at")
+    joined = joined.select(*[F.col(f"`{c}`") for c in others], F.col("text").alias("__text"), "__at")
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text"]
-    done = joined.mapInArrow(cut, ", ".join([*kinds, "__text string, n_words int, n_removed int"]))
-    return done.select(*[F.col("__text").alias("text") if c == "text" else F.col(c) for c in docs.columns], "n_words", "n_removed")
+    done = joined.mapInArrow(cut, ", ".join([*kinds, "__text string, __words int, __removed int"]))
+    counted = [F.col("__words").alias("n_words"), F.col("__removed").alias("n_removed")] if counts else []
+    return done.select(*[F.col("__text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], *counted)
 
 
 def _without(raw: bytes, words: list[bytes], out: np.ndarray) -> str:
