@@ -1,16 +1,15 @@
 """Byte-level BPE by ranks, folded by Spark over distinct words.
 
-A word here is a unit: what stands between two single spaces that have no other white space beside them,
-with its leading space; pieces of the split pattern never reach across. ``fold_words`` is one Spark
-expression: a piece becomes an array of single bytes, each as its id, and an ``aggregate`` merges the
-leftmost pair of the least rank until no pair has one. The ranks are a literal: of every two tokens whose
-bytes together are a token, its rank, in an array of small maps, one per hash bucket, so that a look-up is one step.
+A word here is a piece of the split pattern. ``fold_words`` is one Spark expression: a word becomes an array
+of single bytes, each as its id, and an ``aggregate`` merges the leftmost pair of the least rank until no
+pair has one. The ranks are a literal: of every two tokens whose bytes together are a token, its rank, in
+an array of small maps, one per hash bucket, so that a look-up is one step.
 
 Words are counted over the whole corpus; the ``KEPT`` most frequent are folded once and go to all tasks
 (a bound that does not grow). All other words are folded by the same expression in the task of their
 document, once per document. Decoding concatenates the bytes that ids stand for.
 
-Defined results: null and empty texts have no ids; repeated rows give repeated rows; pieces of over
+Defined results: null and empty texts have no ids; repeated rows give repeated rows; words of over
 ``LONGEST`` bytes, for which a fold's copying grows too much, are merged with a heap in the task.
 """
 
@@ -24,21 +23,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panolake.llm.common import table, text_of, written
 from panolake.llm.units import glue, slices, split_units, spread
 
-KEPT, LONGEST, BUCKETS, TIMES = 300_000, 1000, 1 << 15, 31
+KEPT, LONGEST, BUCKETS, TIMES = 800_000, 1000, 1 << 15, 31
 NO_PAIR = (1 << 20) - 1
-#: Fixed value: white space as Unicode has it, for a Java character class.
+#: Fixed value: white space as Unicode has it, for a character class.
 SPACE = r"\t-\r \x85\xa0  -     　"
-_CAREFUL = r"\t-\r\x1c-\x1f \x85\xa0  -     　"
 
 
-def java_pattern(pattern: str) -> str:
-    """The split pattern with white space spelled out, as Java's own is ASCII only."""
+def spelled_out(pattern: str) -> str:
+    """The split pattern with white space spelled out, as engines differ on it."""
     return pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"(?!\S)", f"(?![^{SPACE}])").replace(r"\s+", f"[{SPACE}]+")
 
 
@@ -95,95 +94,103 @@ class Ranks:
 
     def fold_words(self, words: Column, longest: int = LONGEST) -> Column:
         """Ids of each word of an array; null for words of over ``longest`` bytes. The literal stands in the plan once."""
-
-        def fold(word: Column, literals: Column) -> Column:
-            pieces = F.regexp_extract_all(word, F.lit(java_pattern(self.pattern)), F.lit(0))
-            return F.flatten(F.transform(pieces, lambda p: self.fold_piece(p, literals)))
-
-        every = lambda literals: F.transform(words, lambda w: F.when(F.octet_length(w) <= longest, fold(w, literals)))
+        every = lambda literals: F.transform(words, lambda w: F.when(F.octet_length(w) <= longest, self.fold_piece(w, literals)))
         return F.get(F.transform(F.array(F.struct(self.pairs.alias("pairs"), self.single.alias("single"))), every), 0)
 
     def by_heap(self, word: str) -> list[int]:
-        """The same merges for very long pieces: pairs in a heap by rank and place."""
-        import regex
-
-        out: list[int] = []
-        for piece in regex.findall(self.pattern, word):
-            raw = piece.encode()
-            tokens = [raw[i : i + 1] for i in range(len(raw))]
-            after, before, gone = list(range(1, len(raw) + 1)), list(range(-1, len(raw) - 1)), [False] * len(raw)
-            heap = [(r, i, tokens[i] + tokens[i + 1]) for i in range(len(raw) - 1) if (r := self.ranks.get(tokens[i] + tokens[i + 1])) is not None]
-            heapq.heapify(heap)
-            while heap:
-                _, i, pair = heapq.heappop(heap)
-                j = after[i]
-                if gone[i] or j >= len(raw) or tokens[i] + tokens[j] != pair:
-                    continue
-                tokens[i], gone[j], after[i] = pair, True, after[j]
-                if after[j] < len(raw):
-                    before[after[j]] = i
-                for a in (before[i], i):
-                    if a >= 0 and after[a] < len(raw) and (r := self.ranks.get(tokens[a] + tokens[after[a]])) is not None:
-                        heapq.heappush(heap, (r, a, tokens[a] + tokens[after[a]]))
-            out += [self.ranks[t] for t, dead in zip(tokens, gone, strict=True) if not dead]
-        return out
-
-
-def word_counts(docs: DataFrame) -> DataFrame:
-    """word, n: all units of all texts, counted first within each part of a batch."""
+        """The same merges for very long words: pairs in a heap by rank and place."""
+        raw = word.encode()
+        tokens = [raw[i : i + 1] for i in range(len(raw))]
+        after, before, gone = list(range(1, len(raw) + 1)), list(range(-1, len(raw) - 1)), [False] * len(raw)
+        heap = [(r, i, tokens[i] + tokens[i + 1]) for i in range(len(raw) - 1) if (r := self.ranks.get(tokens[i] + tokens[i + 1])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, i, pair = heapq.heappop(heap)
+            j = after[i]
+            if gone[i] or j >= len(raw) or tokens[i] + tokens[j] != pair:
+                continue
+            tokens[i], gone[j], after[i] = pair, True, after[j]
+            if after[j] < len(raw):
+                before[after[j]] = i
+            for a in (before[i], i):
+                if a >= 0 and after[a] < len(raw) and (r := self.ranks.get(tokens[a] + tokens[after[a]])) is not None:
+                    heapq.heappush(heap, (r, a, tokens[a] + tokens[after[a]]))
+        return [self.ranks[t] for t, dead in zip(tokens, gone, strict=True) if not dead]
+
+
+def word_counts(docs: DataFrame, pattern: str) -> DataFrame:
+    """word, n: all words of all texts, counted first within each part of a batch."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in slices(batches, 10_000):
-            coded, _ = coded_words(rows.column("text"))
-            n = np.bincount(coded.indices.to_numpy(), minlength=len(coded.dictionary))
-            yield pa.RecordBatch.from_arrays([coded.dictionary.cast(pa.string()), pa.array(n)], ["word", "n"])
+        for rows in slices(batches, 5000):
+            words, at, _ = coded_words(rows.column("text"), pattern)
+            yield pa.RecordBatch.from_arrays([words.cast(pa.string()), pa.array(np.bincount(at, minlength=len(words)))], ["word", "n"])
 
     return docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def coded_words(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
-    """All units of the texts with their leading spaces, dictionary-encoded, and how many each text has."""
+def coded_words(texts: pa.Array, pattern: str) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words of the texts, which of them stand where, and how many each text has.
+
+    Texts are cut between inner single spaces first, where no word reaches across; only distinct parts meet
+    the pattern.
+    """
     units, per_text = split_units(texts)
     first = np.zeros(len(units), bool)
-    begins = np.cumsum(per_text) - per_text
-    first[begins[per_text > 0]] = True
-    return glue(units, first).dictionary_encode(), per_text
+    first[(np.cumsum(per_text) - per_text)[per_text > 0]] = True
+    coded = glue(units, first).dictionary_encode()
+    cut = regex.compile(spelled_out(pattern)).findall
+    words: list[str] = []
+    sizes = np.ones(len(coded.dictionary), np.int64)
+    for i, unit in enumerate(coded.dictionary.to_pylist()):
+        if (unit[1:] if unit[:1] == " " else unit).isalpha():
+            words.append(unit)
+        else:
+            found = cut(unit)
+            sizes[i] = len(found)
+            words += found
+    distinct = pa.array(words, pa.large_string()).dictionary_encode()
+    starts, index = np.cumsum(sizes) - sizes, coded.indices.to_numpy()
+    counts = sizes[index]
+    at = distinct.indices.to_numpy()[spread(starts[index], counts)]
+    ends = np.concatenate([[0], np.cumsum(counts)])[np.concatenate([[0], np.cumsum(per_text)])]
+    return distinct.dictionary, at, np.diff(ends)
 
 
 def encode(docs: DataFrame, ranks: Ranks, kept: int = KEPT) -> DataFrame:
     """doc_id, ids (little-endian unsigned 32-bit) of every whole text."""
     spark, docs = docs.sparkSession, text_of(docs)
-    frequent = word_counts(docs).where((F.octet_length("word") <= LONGEST) & (F.col("word") != "")).orderBy(F.desc("n"), "word").limit(kept).select("word")
+    frequent = word_counts(docs, ranks.pattern).where(F.octet_length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(kept).select("word")
     folded = written(frequent, "frequent-words").repartition(spark.sparkContext.defaultParallelism)
     folded = folded.select("word", F.get(ranks.fold_words(F.array("word")), 0).alias("ids")).toArrow()
     words, ids = folded["word"].combine_chunks().cast(pa.large_string()), folded["ids"].combine_chunks()
     flat, lengths = ids.flatten().to_numpy().astype(np.uint32), pc.list_value_length(ids).to_numpy().astype(np.int64)
     held = spark.sparkContext.broadcast((words, flat, lengths))
     del folded, words, ids, flat, lengths
-    ranks_held = spark.sparkContext.broadcast((ranks.ranks, ranks.pattern))
+    ranks_held = spark.sparkContext.broadcast(ranks.ranks)
+
+    pattern = ranks.pattern
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = held.value[0]
-        for rows in slices(batches, 2500):
-            coded, per_text = coded_words(rows.column("text"))
-            words = coded.dictionary
-            of = np.where(pc.equal(words, "").to_numpy(zero_copy_only=False), -2, pc.index_in(words, value_set=known).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64))
-            index = coded.indices.to_numpy()
+        for rows in slices(batches, 5000):
+            words, index, per_text = coded_words(rows.column("text"), pattern)
+            of = pc.index_in(words, value_set=known).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
             codes = of[index]
             doc = np.repeat(np.arange(len(per_text)), per_text)
             unknown = np.flatnonzero(codes == -1)
             pair, inverse = np.unique(doc[unknown] * len(words) + index[unknown], return_inverse=True)
             per_doc = np.bincount(pair // max(1, len(words)), minlength=len(per_text))
             starts = np.cumsum(per_doc) - per_doc
-            codes[unknown] = -3 - (inverse - starts[doc[unknown]])
+            codes[unknown] = -1 - (inverse - starts[doc[unknown]])
             edges = (np.concatenate([[0], np.cumsum(per_text)]) * 4).astype(np.int32)
             held_codes = pa.BinaryArray.from_buffers(pa.binary(), len(per_text), [None, pa.py_buffer(edges), pa.py_buffer(codes.astype("<i4"))])
-            rare = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per_doc)]).astype(np.int32)), coded.dictionary.take(pa.array(pair % max(1, len(words)))).cast(pa.string()))
+            rare = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per_doc)]).astype(np.int32)), words.take(pa.array(pair % max(1, len(words)))).cast(pa.string()))
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), held_codes, rare], ["doc_id", "codes", "rare"])
 
     def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         long_words = Ranks.__new__(Ranks)
-        long_words.ranks, long_words.pattern = ranks_held.value
+        long_words.ranks = ranks_held.value
         _, known, known_lengths = held.value
         known_starts = np.cumsum(known_lengths) - known_lengths
         for batch in batches:
@@ -198,10 +205,10 @@ def encode(docs: DataFrame, ranks: Ranks, kept: int = KEPT) -> DataFrame:
             own = words.flatten().to_numpy(zero_copy_only=False).astype(np.uint32)
             own_lengths = np.diff(words.offsets.to_numpy()).astype(np.int64)
             all_ids = np.concatenate([known, own])
-            all_lengths = np.concatenate([known_lengths, own_lengths, [0]])
-            all_starts = np.concatenate([known_starts, len(known) + np.cumsum(own_lengths) - own_lengths, [0]])
+            all_lengths = np.concatenate([known_lengths, own_lengths])
+            all_starts = np.concatenate([known_starts, len(known) + np.cumsum(own_lengths) - own_lengths])
             base = np.repeat(len(known_lengths) + np.cumsum(n_rare) - n_rare, per_doc)
-            at = np.where(codes >= 0, codes, np.where(codes == -2, len(all_lengths) - 1, base - 3 - codes))
+            at = np.where(codes >= 0, codes, base - 1 - codes)
             counts = all_lengths[at]
             ids = all_ids[spread(all_starts[at], counts)].astype("<u4")
             ends = np.concatenate([[0], np.cumsum(counts)])
