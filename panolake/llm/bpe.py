@@ -157,11 +157,24 @@ def coded_words(texts: pa.Array, pattern: str) -> tuple[pa.Array, np.ndarray, np
     return distinct.dictionary, at, np.diff(ends)
 
 
+def frequent_words(counts: DataFrame, most: int) -> DataFrame:
+    """word: at most ``most`` words, those above a count that a histogram in eighths of powers of two gives."""
+    step = F.floor(F.log2("n") * 8).cast("int")
+    sizes = sorted(((r["step"], r["count"]) for r in counts.groupBy(step.alias("step")).count().collect()), reverse=True)
+    least, total = (sizes[0][0] + 1 if sizes else 0), 0
+    for at, size in sizes:
+        total += size
+        if total > most:
+            break
+        least = at
+    return counts.where(step >= least).select("word")
+
+
 def encode(docs: DataFrame, ranks: Ranks, kept: int = KEPT) -> DataFrame:
     """doc_id, ids (little-endian unsigned 32-bit) of every whole text."""
     spark, docs = docs.sparkSession, text_of(docs)
-    frequent = word_counts(docs, ranks.pattern).where(F.octet_length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(kept).select("word")
-    folded = written(frequent, "frequent-words").repartition(spark.sparkContext.defaultParallelism)
+    counts = written(word_counts(docs, ranks.pattern).where(F.octet_length("word") <= LONGEST), "word-counts")
+    folded = frequent_words(counts, kept).repartition(spark.sparkContext.defaultParallelism)
     folded = folded.select("word", F.get(ranks.fold_words(F.array("word")), 0).alias("ids")).toArrow()
     words, ids = folded["word"].combine_chunks().cast(pa.large_string()), folded["ids"].combine_chunks()
     flat, lengths = ids.flatten().to_numpy().astype(np.uint32), pc.list_value_length(ids).to_numpy().astype(np.int64)

@@ -5,7 +5,7 @@ boundaries depend on nearby lines alone and survive shifts. Chunks of at least t
 than once are compared by their bytes (they are grouped by their text itself); all but the first, by
 doc_id and place, are removed.
 
-Defined results: null text is empty, one empty line; rows that share doc_id and text keep and lose the
+Defined results: null text is empty, one empty line; a null doc_id comes after all others; rows that share doc_id and text keep and lose the
 same lines; a chunk that repeats inside one document keeps its first place; extra columns stay as they are.
 """
 

@@ -7,7 +7,8 @@ fingerprints are verified there. Within a key only edges that join something new
 ball of near copies gives links in proportion to its size; the classes are what all links would give.
 
 Defined results: null and empty texts (no words) have fingerprint zero and link like any other; rows that
-share a fingerprint are one class; repeated rows stay; an empty table gives none.
+share a fingerprint are one class; repeated rows stay; rows with a null doc_id link like others but name no
+class unless all of it is null; an empty table gives none.
 """
 
 from __future__ import annotations
