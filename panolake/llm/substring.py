@@ -1,4 +1,4 @@
-"""Substring dedup: repeated windows of words found by recompression, verified word by word.
+"""Substring dedup: repeated windows of words found by recompression, verified by hashes of all their words.
 
 Every window of ``window`` words has a key, the longest recompression symbol that its own words decide
 (see ``recompression``); equal windows have equal keys. Keys that two documents share leave candidate
