@@ -48,3 +48,29 @@ def best_trials(log: DataFrame) -> DataFrame:
     p, r = F.col("precision"), F.col("recall")
     f1 = F.when(p + r == 0, 0.0).otherwise(2 * p * r / (p + r))
     return log.withColumn("f1", f1).groupBy("trial").agg(F.max("precision").alias("precision"), F.max("f1").alias("f1"), F.max("map50").alias("map50"))
+
+
+def capped(rows: DataFrame, group: str, most: int, *order) -> DataFrame:
+    """At most ``most`` rows of each group, in a given order: a review sample."""
+    return rows.withColumn("k", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("k") <= most).drop("k")
+
+
+def key_differences(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Keys that only one side has; empty where both agree."""
+    only = lambda a, b, side: a.select(key).distinct().join(b.select(key).distinct(), key, "left_anti").withColumn("side", F.lit(side))
+    return only(left, right, "left").unionByName(only(right, left, "right"))
+
+
+def looked_up(rows: DataFrame, images: DataFrame, name: str) -> DataFrame:
+    """Rows with the image of their name; a name that no or several images bear raises an error."""
+    unique = images.groupBy(name).agg(F.count("*").alias("found"), F.min("image_id").alias("image_id"))
+    message = F.concat(F.lit("no single image is named "), F.col(name))
+    joined = rows.join(unique, name, "left")
+    return joined.withColumn("image_id", F.when(F.coalesce("found", F.lit(0)) == 1, F.col("image_id")).otherwise(F.raise_error(message))).drop("found")
+
+
+def filled(rows: DataFrame, group: str, value: str) -> DataFrame:
+    """Nulls and zeros take the group's median of the other values."""
+    known = F.when(F.col(value) != 0, F.col(value))
+    medians = rows.groupBy(group).agg(F.percentile(known, 0.5).alias("median"))
+    return rows.join(medians, group).withColumn(value, F.coalesce(known, "median")).drop("median")

@@ -512,3 +512,41 @@ def seg_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
     clipped = geometry.clip_ring(geometry.ring(_flat()), F.col("min_x"), F.col("min_y"), 512)
     rows = rows.select("label_id", "min_x", "min_y", clipped.alias("ring"))
     return rows.select("label_id", "min_x", "min_y", F.size("ring").alias("corners"), geometry.area(F.col("ring")).alias("area"), geometry.on_border(F.col("ring"), 512).alias("borderline"))
+
+
+@query("SELECT dataset, det_id FROM (SELECT dataset, det_id, row_number() OVER (PARTITION BY dataset ORDER BY md5(concat('42|', det_id)), det_id) AS k FROM fx_dets) WHERE k <= 50")
+def review_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return control.capped(view(spark, sf_dir, "fx_dets").select("dataset", "det_id"), "dataset", 50, tiling.order_key("det_id"), "det_id")
+
+
+@query("SELECT DISTINCT image_id, 'left' AS side FROM fx_dets WHERE image_id NOT IN (SELECT image_id FROM fx_labels) UNION ALL SELECT DISTINCT image_id, 'right' FROM fx_labels WHERE image_id NOT IN (SELECT image_id FROM fx_dets)")
+def key_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return control.key_differences(view(spark, sf_dir, "fx_dets"), view(spark, sf_dir, "fx_labels"), "image_id")
+
+
+@query("SELECT concat('pano_', i.image_id, '.jpg') AS file_name, i.image_id, CAST(i.image_id % 3 AS BIGINT) AS n FROM fx_images i")
+def tile_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    images = view(spark, sf_dir, "fx_images")
+    return control.looked_up(images.select("file_name", (F.col("image_id") % 3).alias("n")), images, "file_name").select("file_name", "image_id", "n")
+
+
+@query("WITH m AS (SELECT image_id, median(CAST(CASE WHEN h % 4 <> 0 THEN h END AS DOUBLE)) AS med FROM fx_labels GROUP BY image_id) SELECT label_id, CASE WHEN h % 4 <> 0 THEN CAST(h AS DOUBLE) ELSE med END AS z FROM fx_labels JOIN m USING (image_id)")
+def elevation_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = view(spark, sf_dir, "fx_labels").select("label_id", "image_id", F.when(F.col("h") % 4 != 0, F.col("h").cast("double")).otherwise(0.0).alias("z"))
+    return control.filled(rows, "image_id", "z").select("label_id", "z")
+
+
+@query("""WITH near AS (SELECT o.k AS object_id, f.frame_id, o.x - f.x AS vx, o.y - f.y AS vy, o.z - f.z AS vz FROM fx_objects o JOIN fx_frames f ON sqrt((o.x - f.x) * (o.x - f.x) + (o.y - f.y) * (o.y - f.y)) < 20),
+c AS (SELECT *, i * pi() / 4 AS a FROM near, range(8) r(i)), p AS (SELECT object_id, frame_id, 4000 + 8000 / (2 * pi()) * atan2(vx + 0.35 * cos(a), vy + 0.35 * sin(a)) AS u, 2000 + 8000 / (2 * pi()) * atan2(-vz, sqrt((vx + 0.35 * cos(a)) ** 2 + (vy + 0.35 * sin(a)) ** 2)) AS v FROM c)
+SELECT object_id, frame_id, round(min(u), 3) AS x, round(min(v), 3) AS y, round(max(u) - min(u), 3) AS w, round(max(v) - min(v), 3) AS h FROM p GROUP BY object_id, frame_id HAVING max(u) - min(u) < 1000""")
+def projected_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ground truth disks seen from all cameras within 20 m, as boxes in their panoramas."""
+    objects, frames = view(spark, sf_dir, "fx_objects"), view(spark, sf_dir, "fx_frames")
+    near = spatial.distance_pairs(_points(spark, sf_dir, "fx_objects", "k"), _points(spark, sf_dir, "fx_frames", "frame_id"), 20.0)
+    o = objects.select(F.col("k").alias("a"), *[F.col(c).alias(f"o{c}") for c in "xyz"])
+    rows = near.join(o, "a").join(frames.withColumnRenamed("frame_id", "b"), "b")
+    rows = rows.withColumn("corner", F.explode(geometry.point_buffer(F.col("ox"), F.col("oy"), 0.35, 8)))
+    seen = camera.to_camera((F.col("corner.x"), F.col("corner.y"), F.col("oz")), tuple(F.col(c) for c in "xyz"), *(F.lit(0.0),) * 3)
+    u, v = camera.spherical_pixel(seen, 8000, 4000)
+    shape = rows.select(F.col("a").alias("object_id"), F.col("b").alias("frame_id"), u.alias("u"), v.alias("v")).groupBy("object_id", "frame_id").agg(F.min("u").alias("x"), F.min("v").alias("y"), (F.max("u") - F.min("u")).alias("w"), (F.max("v") - F.min("v")).alias("h"))
+    return shape.where("w < 1000").select("object_id", "frame_id", *[F.round(c, 3).alias(c) for c in "xywh"])
