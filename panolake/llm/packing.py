@@ -63,6 +63,10 @@ def best_cuts(places: np.ndarray, penalty: np.ndarray, capacity: int = CAPACITY)
     return places[cuts[::-1]]
 
 
+def ends_sentence(token: str) -> bool:
+    return token.removesuffix("</w>").rstrip("\"')]")[-1:] in (".", "!", "?")
+
+
 def cut_places(ids: np.ndarray, ends: np.ndarray, sentence_end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places to cut a run of documents that end at ``ends``, with the penalty of each."""
     penalty = np.full(len(ids) + 1, np.inf)
@@ -85,7 +89,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY)
         units = units_of(tokenizer, False)
         vocabulary = units.library.get_vocab()
         stops = np.zeros(max(vocabulary.values()) + 1, bool)
-        stops[[i for token, i in vocabulary.items() if token.removesuffix("</w>").rstrip("\"')]") and token.removesuffix("</w>").rstrip("\"')]")[-1] in ".!?"]] = True
+        stops[[i for token, i in vocabulary.items() if ends_sentence(token)]] = True
         sequence = TaskContext.get().partitionId() << 40
         doc_ids: list[int] = []
         sizes: list[np.ndarray] = []
