@@ -3,7 +3,8 @@
 A unit is what stands between two *inner* single spaces, that is spaces with no other white space
 beside them. Both vocabularies split text there and never merge across it, so a text's ids are the
 ids of its units in order. Arrow splits and dictionary-encodes a batch; only units that a worker has
-not met lately go to the library, most of them piece by piece to its model.
+not met lately go to the library, most of them piece by piece to its model. Texts that may hold an added
+token of the file, as its end-of-text marker, go to the library whole.
 """
 
 from __future__ import annotations
@@ -57,7 +58,9 @@ class Units:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        added = self.library.get_added_tokens_decoder().values()
+        #: Added tokens that are matched in normalised text are looked for in any case of letters.
+        self.added = [(t.content, t.normalized) for t in added if t.content]
         self.glued = glued
         self.pattern = regex.compile(GLUED if glued else SPACED)
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -72,6 +75,32 @@ class Units:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and the number of ids of each text."""
+        marked = self._marked(texts)
+        if not len(marked):
+            return self._by_units(texts)
+        mask = np.zeros(len(texts), bool)
+        mask[marked] = True
+        ids, counts = self._by_units(pc.if_else(pa.array(mask), pa.scalar("", texts.type), texts))
+        whole = self.library.encode_batch_fast([texts[i].as_py() for i in marked.tolist()], add_special_tokens=False)
+        own = [np.array(e.ids, np.uint32) for e in whole]
+        # The emptied texts have no ids of their own, so theirs go in where they stand.
+        places = (np.cumsum(counts) - counts)[marked]
+        parts, at = [], 0
+        for place, more in zip(places.tolist(), own, strict=True):
+            parts += [ids[at:place], more]
+            at = place
+        counts[marked] = [len(x) for x in own]
+        return np.concatenate([*parts, ids[at:]]), counts
+
+    def _marked(self, texts: pa.Array) -> np.ndarray:
+        """Places of the texts that may hold an added token."""
+        found = np.zeros(len(texts), bool)
+        for content, normalized in self.added:
+            found |= pc.match_substring(texts, content, ignore_case=normalized).to_numpy(zero_copy_only=False)
+        return np.flatnonzero(found)
+
+    def _by_units(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As ``encode``, for texts without added tokens."""
         flat, per_text = split_units(texts)
         if not len(flat):
             return np.zeros(0, np.uint32), np.zeros(len(per_text), np.int64)
