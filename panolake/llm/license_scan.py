@@ -3,8 +3,8 @@
 Words that occur once in both a stretch of text and a template anchor it; the longest increasing
 subsequence of the anchors is kept, and the gaps between them are aligned in the same way, with common
 words at their ends first. Coverage is the share of the template's words that find a partner. A text is
-cut into stretches around the template's least common words, so that several notices in one text are
-each found and the rest of a long text costs one pass.
+cut into stretches around the template's least common words, and these into windows where copies stand close,
+so that several notices in one text are each found and the rest of a long text costs one pass.
 
 Defined results: null and empty texts give no rows; repeated rows give repeated rows; a notice of under
 ``least`` coverage is not reported; two templates that cover one place are both reported.
@@ -90,6 +90,16 @@ def align(text: list[str], template: list[str]) -> list[tuple[int, int]]:
     return sorted(found)
 
 
+def apart(hits: set[tuple[int, int, int]], size: int) -> list[tuple[int, int, int]]:
+    """Of (first, last, matched) the densest that do not overlap; stretches and windows may find one notice twice."""
+    taken: list[tuple[int, int, int]] = []
+    for h in sorted(hits, key=lambda h: (-h[2] / max(size, h[1] - h[0] + 1), h)):
+        k = bisect_left(taken, h)
+        if (not k or taken[k - 1][1] < h[0]) and (k == len(taken) or h[1] < taken[k][0]):
+            taken.insert(k, h)
+    return taken
+
+
 class Templates:
     """Templates as words, with the words that tell whether and where a text may hold one."""
 
@@ -108,13 +118,56 @@ class Templates:
             if sum(n for w, n in self.counts[name].items() if w in present) < need:
                 continue
             counts = counts or Counter(w for w in words if w in present)
-            for a, b in self._stretches(words, counts, name):
-                pairs = align(words[a:b], template)
-                if len(pairs) >= need:
-                    yield name, len(pairs) / len(template), a + pairs[0][0], a + pairs[-1][0], len(pairs)
-
-    def _stretches(self, words: list[str], counts: Counter[str], name: str) -> list[tuple[int, int]]:
-        """Stretches around the words that are least common in the text, so many that a notice holds one of them."""
+            stretches, chosen = self._stretches(words, counts, name)
+            hits = {h for a, b in stretches for h in self._copies(words, a, b, name, chosen)}
+            for first, last, n in apart(hits, len(template)):
+                yield name, n / len(template), first, last, n
+
+    def _copies(self, words: list[str], a: int, b: int, name: str, chosen: set[str]) -> list[tuple[int, int, int]]:
+        """(first, last, matched) of every copy in a stretch.
+
+        Words of several copies occur more than once in the whole of it and anchor nothing. So windows are
+        laid where a chosen word would have its place in the template, the densest of those that cover it are
+        taken while they do not overlap, and what is left is searched again. One copy alone may instead be
+        that of the whole stretch, if denser.
+        """
+        template, found, todo = self.words[name], [], [(a, b)]
+        need, size = self.least * len(template), len(template)
+        slack, every = int(size / self.least) - size + 1, max(1, size // 8)
+        places: dict[str, list[int]] = {}
+        for j, w in enumerate(template):
+            if w in chosen:
+                places.setdefault(w, []).append(j)
+
+        def hit(lo: int, hi: int) -> tuple[int, int, int] | None:
+            pairs = align(words[lo:hi], template) if hi - lo >= need else []
+            return (lo + pairs[0][0], lo + pairs[-1][0], len(pairs)) if len(pairs) >= need else None
+
+        while todo:
+            lo, hi = todo.pop()
+            if hi - lo < need:
+                continue
+            votes: dict[int, Counter[int]] = {}
+            for i in range(lo, hi):
+                for j in places.get(words[i], ()):
+                    votes.setdefault((i - j) // every, Counter())[i - j] += 1
+            starts = [c.most_common(1)[0][0] for c in votes.values()]
+            windows = {(max(lo, s - more), min(hi, s + size + more)) for s in starts for more in (0, slack)}
+            hits = {h for w in windows if (h := hit(*w))}
+            taken = apart(hits, size)
+            found += taken
+            if taken:
+                edges = [lo - 1, *(x for h in taken for x in h[:2]), hi]
+                todo += [(x + 1, y) for x, y in zip(edges[::2], edges[1::2], strict=True)]
+            elif h := hit(lo, hi):
+                found.append(h)
+                todo += [(lo, h[0]), (h[1] + 1, hi)]
+        if len(found) < 2 and (h := hit(a, b)):
+            return apart({h, *found}, size)
+        return sorted(found)
+
+    def _stretches(self, words: list[str], counts: Counter[str], name: str) -> tuple[list[tuple[int, int]], set[str]]:
+        """Stretches around the chosen words that are least common in the text, so many that a notice holds one of them."""
         template, own = self.words[name], self.counts[name]
         spare, chosen = len(template) - self.least * len(template), set()
         for w in sorted(own, key=lambda w: (counts.get(w, 0), w)):
@@ -129,7 +182,7 @@ class Templates:
                 out[-1][1:] = [min(len(words), i + reach), i]
             else:
                 out.append([max(0, i - reach), min(len(words), i + reach), i])
-        return [(a, b) for a, b, _ in out]
+        return [(a, b) for a, b, _ in out], chosen
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = LEAST) -> DataFrame:
