@@ -97,14 +97,16 @@ def confusion(tags: DataFrame, classes: list[str]) -> DataFrame:
     return tags.select(true.alias("true_class"), predicted.alias("predicted")).groupBy("true_class").pivot("predicted", [*classes, "background"]).count().na.fill(0)
 
 
-def greedy_one_to_one(pairs: DataFrame, keep, most_rounds: int = 100) -> DataFrame:
+def greedy_one_to_one(pairs: DataFrame, keep) -> DataFrame:
     """(a, b, dist): pairs taken by ascending distance while both ends are free.
 
     Rounds take every pair that is the least of both its ends; the order (dist, a, b) is total, so the
-    result is that of the one-by-one walk. ``keep`` cuts lineage between rounds.
+    result is that of the one-by-one walk. A round settles the least pair left at least, and rounds go on
+    until none is left: as many as the longest chain of pairs that wait for each other. Pairs of a null end
+    match nothing. ``keep`` cuts lineage between rounds.
     """
-    left, taken = keep(pairs.select("a", "b", "dist")), None
-    for _ in range(most_rounds):
+    left, taken = keep(pairs.where("a is not null and b is not null").select("a", "b", "dist")), None
+    while True:
         order = ["dist", "a", "b"]
         ranked = left.withColumn("ka", F.row_number().over(Window.partitionBy("a").orderBy(*order))).withColumn("kb", F.row_number().over(Window.partitionBy("b").orderBy(*order)))
         now = keep(ranked.where("ka = 1 and kb = 1").select("a", "b", "dist"))

@@ -59,14 +59,15 @@ def clusters(points: DataFrame, eps: float, keep: Callable[[DataFrame], DataFram
     return connected_components(pairs, keep).select(F.col("node").alias("id"), F.col("root").alias("cluster"))
 
 
-def peel(members: DataFrame, keep: Callable[[DataFrame], DataFrame], most_rounds: int = 100) -> DataFrame:
+def peel(members: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(id, ray, cluster) down to the clusters that win their rays: the largest first, ties to the lower number.
 
     A round keeps every cluster that beats all clusters it shares a ray with and drops the intersections
-    of other clusters on its rays, which equals peeling the largest off again and again.
+    of other clusters on its rays, which equals peeling the largest off again and again. The largest of all
+    wins in each round, so rounds go on until none is left. Rows of a null cluster are in none.
     """
-    left, won = keep(members), None
-    for _ in range(most_rounds):
+    left, won = keep(members.where("cluster is not null")), None
+    while True:
         sizes = left.groupBy("cluster").agg(F.count_distinct("id").alias("n"))
         on_ray = left.join(sizes, "cluster").withColumn("k", F.dense_rank().over(Window.partitionBy("ray").orderBy(F.desc("n"), "cluster")))
         winners = keep(on_ray.groupBy("cluster").agg(F.max("k").alias("worst")).where("worst = 1").select("cluster"))
