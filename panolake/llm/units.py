@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 import regex
 
 #: All characters that some engine takes for white space; only used to be careful beside a space.
-_WS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0  -     　"
+_WS = r"\t\n\x0b\x0c\r\x1c-\x1f \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _BESIDE = re.compile(f" (?:(?=[{_WS}])|(?<=[{_WS}] ))")
 _INNER = re.compile(f"(?<=[^{_WS}]) (?=[^{_WS}])")
 #: How the two vocabularies cut text before their merges.
@@ -28,8 +28,10 @@ GLUED = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 SPACED = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Units for which cutting, lower-casing and normal forms are beyond doubt: ASCII and the letters of Latin-1.
 _PLAIN = re.compile("[ -~\n\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
-#: Units that a worker remembers; beyond it the memory starts anew, which costs time only.
+#: Units that a worker remembers; beyond it those that came only once go, which costs time only.
 REMEMBERED = 500_000
+#: Bytes of text that a worker takes at once, but for one text that is longer.
+SLICE_BYTES = 4 << 20
 
 
 def split_units(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -72,6 +74,7 @@ class Units:
         self.ids = np.zeros(0, np.uint32)
         self.starts = np.zeros(0, np.int64)
         self.lengths = np.zeros(0, np.int64)
+        self.again = np.zeros(0, bool)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and the number of ids of each text."""
@@ -119,20 +122,31 @@ class Units:
 
     def _known(self, units: list[str]) -> np.ndarray:
         if len(self.known) + len(units) > REMEMBERED and self.known:
-            self.known.clear()
-            self.ids, self.starts, self.lengths = self.ids[:0], self.starts[:0], self.lengths[:0]
-        found = list(map(self.known.get, units))
-        new = [u for u, i in zip(units, found, strict=True) if i is None]
-        if new:
-            ids, lengths = self._by_library(new)
+            self._forget()
+        found = np.array([-1 if i is None else i for i in map(self.known.get, units)], np.int64)
+        new = np.flatnonzero(found < 0)
+        self.again[found[found >= 0]] = True
+        if len(new):
+            fresh = units if len(new) == len(units) else [units[i] for i in new.tolist()]
+            ids, lengths = self._by_library(fresh)
             base, n = len(self.ids), len(self.known)
             self.starts = np.concatenate([self.starts, base + np.cumsum(lengths) - lengths])
             self.lengths = np.concatenate([self.lengths, lengths])
             self.ids = np.concatenate([self.ids, ids])
-            self.known.update(zip(new, range(n, n + len(new)), strict=True))
-            fresh = iter(range(n, n + len(new)))
-            found = [next(fresh) if i is None else i for i in found]
-        return np.array(found, np.int64)
+            self.again = np.concatenate([self.again, np.zeros(len(fresh), bool)])
+            self.known.update(zip(fresh, range(n, n + len(fresh)), strict=True))
+            found[new] = np.arange(n, n + len(fresh))
+        return found
+
+    def _forget(self) -> None:
+        """Only units that were met again stay, or none if those alone are too many."""
+        stay = np.flatnonzero(self.again)
+        if len(stay) > REMEMBERED // 2:
+            stay = stay[:0]
+        names = list(self.known)
+        self.known = {names[i]: k for k, i in enumerate(stay.tolist())}
+        self.ids, self.lengths = self.ids[spread(self.starts[stay], self.lengths[stay])], self.lengths[stay]
+        self.starts, self.again = np.cumsum(self.lengths) - self.lengths, np.zeros(len(stay), bool)
 
     def _by_library(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Plain units go piece by piece to the library's model, all others through its whole pipeline."""
@@ -175,8 +189,12 @@ def units_of(path: str, glued: bool) -> Units:
     return _open[path, glued]
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 3000) -> Iterator[pa.RecordBatch]:
-    """Batches in smaller parts, to bound what a worker holds at once."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 3000, most: int = SLICE_BYTES, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """Batches in parts of so many rows and bytes of ``column`` at most; a longer text is a part of its own."""
     for batch in batches:
-        for k in range(0, batch.num_rows, rows):
-            yield batch.slice(k, rows)
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        k, base = 0, 0
+        while k < batch.num_rows:
+            stop = min(k + rows, max(k + 1, int(np.searchsorted(ends, base + most, side="right"))))
+            yield batch.slice(k, stop - k)
+            k, base = stop, int(ends[stop - 1])
