@@ -2,12 +2,13 @@
 
 Every window of ``window`` words has a key, the longest recompression symbol that its own words decide
 (see ``recompression``); equal windows have equal keys. Keys that two documents share leave candidate
-windows; those are grouped by 128 bits of their words' hashes, and each window that also starts in a document
-with a smaller doc_id marks its words. Marked words go; all windows are judged on the input.
+windows; those are grouped by 128 bits, two hashes of their words that share nothing (each word has 128 bits of
+its own, half for each), and each window that also starts in a document with a smaller doc_id marks its words. Marked words go; all windows are judged on the input.
 
 Defined results: null and empty texts have no words; texts shorter than a window lose nothing; rows that
 share a doc_id never remove from each other, as no doc_id is smaller; rows with a null doc_id stay whole
-and remove from no other; an empty table gives none.
+and remove from no other; an empty table gives none. Extra columns stay as they are, whatever their names; with
+counts, columns of the input named n_words or n_removed give way to the counts.
 """
 
 from __future__ import annotations
@@ -21,13 +22,15 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panolake.llm.common import table, written
 from panolake.llm.recompression import mixed, window_keys
+from panolake.llm.units import slices
 
 WINDOW = 50
-#: Documents that a task parses at once.
-ROWS = 2000
+#: Documents, and bytes of their texts, that a task parses at once; a longer text is taken alone.
+ROWS, BYTES = 2000, 3 << 19
 
 
 def row_key():
@@ -35,51 +38,40 @@ def row_key():
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
-def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word of the texts, and how many words each text has."""
+def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two independent hashes of every word of the texts, and how many words each text has."""
     lists = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
     flat = lists.flatten()
     n = np.diff(lists.offsets.to_numpy())
     coded = flat.dictionary_encode()
     words = coded.dictionary.to_pylist()
-    hashes = np.array([xxhash.xxh64_intdigest(w.encode()) for w in words] or [0], np.uint64)
+    digests = b"".join([xxhash.xxh3_128_digest(w.encode()) for w in words]) or bytes(16)
+    halves = np.frombuffer(digests, ">u8").astype(np.uint64).reshape(-1, 2)
     index = coded.indices.to_numpy(zero_copy_only=False)
     if "" in words:
         full = index != words.index("")
         doc = np.repeat(np.arange(len(n)), n)
         n = np.bincount(doc[full], minlength=len(n))
         index = index[full]
-    return hashes[index], n
-
-
-def window_hashes(names: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit hashes of the words of every window, by doubling."""
-    out = []
-    for seed in (np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0xD6E8FEB86659FD93)):
-        level, size = mixed(names ^ seed), 1
-        total: np.ndarray | None = None
-        at, rest = 0, window
-        while rest:
-            if rest & 1:
-                part = level[at:]
-                total = part if total is None else mixed(total[: len(part)] * seed + part)[: len(part)]
-                at += size
-            rest >>= 1
-            if rest:
-                level = mixed(level[: max(0, len(level) - size)] * seed + level[size:])
-                size *= 2
-        out.append(total)
-    n = max(0, len(names) - window + 1)
-    return out[0][:n], out[1][:n]
-
-
-def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
-    """Batches in parts, with the words' hashes, the document of each word and the number of words of each."""
-    for batch in batches:
-        for k in range(0, batch.num_rows, ROWS):
-            rows = batch.slice(k, ROWS)
-            names, n = words_of(rows.column("text"))
-            yield rows, names, np.repeat(np.arange(len(n), dtype=np.int32), n), n
+    return halves[index, 0], halves[index, 1], n
+
+
+def window_hashes(names: np.ndarray, window: int) -> np.ndarray:
+    """A 64-bit hash of the words of every window, by doubling."""
+    factor = np.uint64(0x8CB92BA72F3D8DD7)
+    level, size = mixed(names ^ factor), 1
+    total: np.ndarray | None = None
+    at, rest = 0, window
+    while rest:
+        if rest & 1:
+            part = level[at:]
+            total = part if total is None else mixed(total[: len(part)] * factor + part)[: len(part)]
+            at += size
+        rest >>= 1
+        if rest:
+            level = mixed(level[: max(0, len(level) - size)] * factor + level[size:])
+            size *= 2
+    return total[: max(0, len(names) - window + 1)]
 
 
 def shared_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -87,7 +79,9 @@ def shared_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     docs = docs.where("doc_id is not null").select("doc_id", row_key().alias("row_key"), F.coalesce("text", F.lit("")).alias("text"))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, names, doc, _ in _documents(batches):
+        for rows in slices(batches, ROWS, BYTES):
+            names, _, n = words_of(rows.column("text"))
+            doc = np.repeat(np.arange(len(n), dtype=np.int32), n)
             found = window_keys(names, doc, window)
             new = found != 0
             new[1:] &= (found[1:] != found[:-1]) | (doc[1:] != doc[:-1])
@@ -96,7 +90,9 @@ def shared_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             yield pa.RecordBatch.from_arrays([rows.column("doc_id").take(at), rows.column("row_key").take(at), pa.array(pair[:, 1].copy().view(np.int64))], ["doc_id", "row_key", "key"])
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, names, doc, n in _documents(batches):
+        for rows in slices(batches, ROWS, BYTES):
+            names, others, n = words_of(rows.column("text"))
+            doc = np.repeat(np.arange(len(n), dtype=np.int32), n)
             if not len(names):
                 continue
             found = window_keys(names, doc, window)
@@ -105,7 +101,7 @@ def shared_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             wanted = lists.flatten().to_numpy().view(np.uint64)
             hit = (found != 0) & np.isin(mixed(found + doc.astype(np.uint64)), mixed(wanted + owner.astype(np.uint64)))
             at = np.flatnonzero(hit)
-            first, second = window_hashes(names, window)
+            first, second = window_hashes(names, window), window_hashes(others, window)
             begins = np.cumsum(n) - n
             d = pa.array(doc[at])
             columns = [rows.column("doc_id").take(d), rows.column("row_key").take(d), pa.array((at - begins[doc[at]]).astype(np.int32)), pa.array(first[at].view(np.int64)), pa.array(second[at].view(np.int64))]
@@ -128,9 +124,9 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, counts: bool = True)
     marked = written(shared_windows(docs.select("doc_id", "text"), window), "marked-windows")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, ROWS, 4 * BYTES):
             sizes, gone, texts = [], [], []
-            for text, at in zip(batch.column("__text").to_pylist(), batch.column("__at").to_pylist(), strict=True):
+            for text, at in zip(batch.column("text").to_pylist(), batch.column("at").to_pylist(), strict=True):
                 raw = (text or "").encode()
                 words = raw.split()
                 sizes.append(len(words))
@@ -144,18 +140,15 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, counts: bool = True)
                 out = np.cumsum(edge)[: len(words)] > 0
                 gone.append(int(out.sum()))
                 texts.append(_without(raw, words, out))
-            rest = [batch.column(c) for c in batch.schema.names if c not in ("__text", "__at")]
-            names = [c for c in batch.schema.names if c not in ("__text", "__at")]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(texts, pa.string()), pa.array(sizes, pa.int32()), pa.array(gone, pa.int32())], [*names, "__text", "__words", "__removed"])
-
-    others = [c for c in docs.columns if c != "text"]
-    right = marked.select(F.col("doc_id").alias("__doc"), F.col("row_key").alias("__key"), F.col("at").alias("__at"))
-    joined = docs.withColumn("__row", row_key()).join(right, (F.col("doc_id") == F.col("__doc")) & (F.col("__row") == F.col("__key")), "left")
-    joined = joined.select(*[F.col(f"`{c}`") for c in others], F.col("text").alias("__text"), "__at")
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text"]
-    done = joined.mapInArrow(cut, ", ".join([*kinds, "__text string, __words int, __removed int"]))
-    counted = [F.col("__words").alias("n_words"), F.col("__removed").alias("n_removed")] if counts else []
-    return done.select(*[F.col("__text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], *counted)
+            columns = [batch.column("rest"), pa.array(texts, pa.string()), pa.array(sizes, pa.int32()), pa.array(gone, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, ["rest", "text", "n_words", "n_removed"])
+
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    held = docs.select(F.struct(*others).alias("rest"), "text", "doc_id", row_key().alias("row_key"))
+    joined = held.join(marked, ["doc_id", "row_key"], "left").select("rest", "text", "at")
+    done = joined.mapInArrow(cut, T.StructType([joined.schema["rest"], T.StructField("text", T.StringType()), T.StructField("n_words", T.IntegerType()), T.StructField("n_removed", T.IntegerType())]))
+    counted = ["n_words", "n_removed"] if counts else []
+    return done.select(*[F.col("text") if c == "text" else F.col(f"rest.`{c}`") for c in docs.columns if c not in counted], *counted)
 
 
 def _without(raw: bytes, words: list[bytes], out: np.ndarray) -> str:

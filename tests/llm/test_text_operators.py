@@ -188,7 +188,7 @@ def test_substring(docs, nothing, texts):
             if i is not None and first[tuple(words[p : p + 50])] < i:
                 gone[p : p + 50] = [True] * 50
         cut[i, t] = ([w for w, g in zip(words, gone, strict=True) if not g], sum(gone))
-    done = substring.dedup_substrings(docs.drop("n_removed"))
+    done = substring.dedup_substrings(docs)
     got = pairs((r["doc_id"], WORD.findall(r["text"] or ""), r["n_removed"]) for r in done.collect())
     assert got == pairs((i, *cut[i, t]) for i, t in texts)
     assert substring.dedup_substrings(docs, counts=False).columns == docs.columns
