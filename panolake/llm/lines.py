@@ -2,11 +2,13 @@
 
 A rolling hash over two neighbouring lines' hashes ends a chunk where it is divisible by ``EACH``, so
 boundaries depend on nearby lines alone and survive shifts. Chunks of at least two lines that occur more
-than once are compared by their bytes (they are grouped by their text itself); all but the first, by
-doc_id and place, are removed.
+than once are compared by their bytes (they are grouped and joined by their text itself); all but the first,
+by doc_id, row and place, are removed. Work and memory grow with a text's lines, not their square.
 
-Defined results: null text is empty, one empty line; a null doc_id comes after all others; rows that share doc_id and text keep and lose the
-same lines; a chunk that repeats inside one document keeps its first place; extra columns stay as they are.
+Defined results: null text is empty, one empty line; a null doc_id comes after all others; rows that share
+doc_id and text keep and lose the same lines, of rows that share doc_id alone one keeps a repeated chunk; a
+chunk that repeats inside one document keeps its first place. Extra columns stay as they are, whatever their
+names; with counts, columns of the input named n_lines or n_removed give way to the counts.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panolake.llm.common import table, written
+from panolake.llm.common import let, scratch, table
 
 EACH = 3
 
@@ -23,20 +25,32 @@ def line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line.cast("binary")), 1, 7), 16, 10).cast("long")
 
 
-def chunk_ends(lines: Column, each: int = EACH) -> Column:
-    """1-based numbers of the lines that end a chunk, the last among them."""
-    hashes = F.transform(lines, line_hash)
-    cut = lambda hs: F.filter(F.sequence(F.lit(1), F.size(hs)), lambda i: (i == F.size(hs)) | ((i > 1) & ((F.element_at(hs, i) + 31 * F.get(hs, i - 2)) % each == 0)))
-    return F.get(F.transform(F.array(hashes), cut), 0)
+def lines_in(text: Column) -> Column:
+    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"))) + 1
+
+
+def chunks_of(text: Column, each: int = EACH) -> Column:
+    """The chunks of a text in order, each the text of its lines.
+
+    Lines are marked as the first of a chunk or a later one and joined again; no line holds a line end, so the
+    marks after line ends alone tell where to split.
+    """
+    starts = lambda hs, i: (i == 0) | ((i > 1) & ((F.get(hs, i - 1) + 31 * F.get(hs, i - 2)) % each == 0))
+    marked = lambda ls: let(F.transform(ls, line_hash), lambda hs: F.transform(ls, lambda line, i: F.concat(F.when(starts(hs, i), "#").otherwise("|"), line)))
+    joined = F.array_join(let(F.split(text, "\n", -1), marked), "\n")
+    return F.transform(F.split(F.substring(joined, 2, (1 << 31) - 1), "\n#", -1), lambda c: F.replace(c, F.lit("\n|"), F.lit("\n")))
+
+
+def whole(text: str = "text") -> Column:
+    return F.coalesce(text, F.lit(""))
 
 
 def chunks(docs: DataFrame, each: int = EACH) -> DataFrame:
-    """doc_id, row_key, pos, chunk (text), n (lines): one row per chunk."""
-    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    cut = docs.select("doc_id", row_key().alias("row_key"), lines.alias("lines")).select("*", chunk_ends(F.col("lines"), each).alias("ends"))
-    rows = cut.select("doc_id", "row_key", "lines", F.posexplode(F.arrays_zip("ends", F.concat(F.array(F.lit(0)), F.slice("ends", 1, F.size("ends") - 1)).alias("before"))).alias("pos", "at"))
-    start, n = F.col("at.before") + 1, F.col("at.ends") - F.col("at.before")
-    return rows.select("doc_id", "row_key", "pos", F.array_join(F.slice("lines", start, n), "\n").alias("chunk"), n.alias("n"))
+    """doc_id, row_key, pos, n (lines), chunk (text): one row per chunk."""
+    # The text must not stand in the rows that posexplode makes, so all that needs it comes before.
+    own = docs.select("doc_id", row_key().alias("row_key"), chunks_of(whole(), each).alias("own"))
+    rows = own.select("doc_id", "row_key", F.posexplode("own").alias("pos", "chunk"))
+    return rows.select("doc_id", "row_key", "pos", lines_in(F.col("chunk")).alias("n"), "chunk")
 
 
 def row_key() -> Column:
@@ -46,27 +60,23 @@ def row_key() -> Column:
 
 def dedup_lines(docs: DataFrame, each: int = EACH, counts: bool = True) -> DataFrame:
     """``docs`` with repeated chunks cut from ``text``, and n_lines, n_removed unless ``counts`` is False."""
-    key = [F.xxhash64("chunk").alias("h1"), F.xxhash64("chunk", F.lit(1)).alias("h2")]
-    many = chunks(docs, each).where("n >= 2")
-    repeated = many.select(*key, "chunk", "doc_id").groupBy("h1", "h2", "chunk").agg(F.count("*").alias("times"), F.min("doc_id").alias("first"))
-    repeated = written(repeated.where("times > 1").select("h1", "h2", "first"), "line-chunks")
-    places = written(many.select(*key, "doc_id", "row_key", "pos"), "line-places")
-    found = places.join(repeated, ["h1", "h2"]).select("doc_id", "row_key", "pos", "h1", "h2", "first")
-    found = written(found, "line-found")
-    # Of the first document of a chunk only later places go.
-    own = found.where("doc_id <=> first").groupBy("doc_id", "row_key", "h1", "h2").agg(F.array_sort(F.collect_set("pos")).alias("at")).where("size(at) > 1")
-    own = own.select("doc_id", "row_key", F.explode(F.slice("at", 2, F.size("at") - 1)).alias("pos"))
-    gone = found.where("not (doc_id <=> first)").select("doc_id", "row_key", "pos").union(own)
-    gone = gone.groupBy("doc_id", "row_key").agg(F.collect_set("pos").alias("gone"))
-    held = docs.withColumn("__key", row_key())
-    joined = held.join(gone.select(F.col("doc_id").alias("__doc"), F.col("row_key").alias("__key2"), F.col("gone").alias("__gone")), F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__key") == F.col("__key2")), "left")
-    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    joined = joined.withColumn("__lines", lines).withColumn("__ends", F.when(F.col("__gone").isNotNull(), chunk_ends(F.col("__lines"), each)))
-    inside = lambda i: F.array_contains("__gone", F.size(F.filter("__ends", lambda e: e <= i)))
-    joined = joined.withColumn("__kept", F.when(F.col("__gone").isNull(), F.col("__lines")).otherwise(F.filter("__lines", lambda line, i: ~inside(i))))
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join("__kept", "\n"))
-    counted = [F.size("__lines").alias("n_lines"), (F.size("__lines") - F.size("__kept")).alias("n_removed")] if counts else []
-    return joined.select(*[(text if c == "text" else F.col(f"`{c}`")).alias(c) for c in docs.columns], *counted)
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("doc_id"), F.col("row_key").alias("row_key"), F.col("pos").alias("pos"))
+    many = chunks(docs.select("doc_id", "text"), each).where("n >= 2").select(F.xxhash64("chunk").alias("h"), "chunk", place.alias("place"))
+    with scratch(docs.sparkSession) as keep:
+        repeated = many.groupBy("h", "chunk").agg(F.count("*").alias("times"), F.min("place").alias("first")).where("times > 1")
+        repeated = keep(repeated.select("h", "chunk", "first"), "line-chunks")
+        found = keep(many.join(repeated, ["h", "chunk"]).where("place <> first").select("place.doc_id", "place.row_key", "place.pos"), "line-places")
+        gone = keep.result(found.groupBy("doc_id", "row_key").agg(F.collect_set("pos").alias("gone")), "lines-gone")
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    held = docs.select(F.struct(*others).alias("rest"), "text", F.col("doc_id").alias("id"), row_key().alias("row_key"))
+    held = held.join(gone.withColumnRenamed("doc_id", "other"), F.col("id").eqNullSafe(F.col("other")) & (held["row_key"] == gone["row_key"]), "left")
+    left = lambda cs: F.transform(F.array_except(F.sequence(F.lit(0), F.size(cs) - 1), F.col("gone")), lambda pos: F.get(cs, pos))
+    kept = F.when(F.col("gone").isNotNull(), let(chunks_of(whole(), each), left))
+    held = held.select("rest", "text", lines_in(whole()).alias("n_lines"), kept.alias("kept")).select("*", F.array_join("kept", "\n").alias("left"))
+    text = F.when(F.col("kept").isNull(), F.col("text")).otherwise(F.col("left"))
+    removed = F.when(F.col("kept").isNull(), 0).when(F.size("kept") == 0, F.col("n_lines")).otherwise(F.col("n_lines") - lines_in(F.col("left")))
+    counted = {"n_lines": F.col("n_lines"), "n_removed": removed} if counts else {}
+    return held.select(*[(text if c == "text" else F.col(f"rest.`{c}`")).alias(c) for c in docs.columns if c not in counted], *[x.alias(c) for c, x in counted.items()])
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

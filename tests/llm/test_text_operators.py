@@ -217,13 +217,40 @@ def test_lines(docs, nothing, texts):
             if len(c) >= 2:
                 seen.add(key)
         want[i] = "\n".join(kept)
-    done = lines.dedup_lines(docs.drop("n_removed").where("doc_id is not null"))
+    done = lines.dedup_lines(docs.where("doc_id is not null"))
     assert {r["doc_id"]: r["text"] or "" for r in done.collect()} == want
     assert done.where("n_removed > 0").count() >= 5
     assert lines.dedup_lines(docs, counts=False).columns == docs.columns
     assert lines.dedup_lines(nothing, counts=False).count() == 0
 
 
+def test_many_lines(spark):
+    """Work grows with a text's lines; names like the operators' own stay whole."""
+    r = random.Random(8)
+    text = "\n".join(str(r.getrandbits(40)) for _ in range(100_000))
+    docs = spark.createDataFrame([(1, text, "a", "b", 5), (2, text, "c", "d", 6)], "doc_id long, text string, __key string, gone string, n_lines int")
+    one, two = sorted(lines.dedup_lines(docs).collect(), key=lambda x: x["doc_id"])
+    assert one["text"] == text and one["n_removed"] == 0 and (one["__key"], one["gone"], one["n_lines"]) == ("a", "b", 100_000)
+    assert 0 < len(two["text"]) < 0.2 * len(text) and two["n_removed"] == 100_000 - two["text"].count("\n") - 1
+    assert lines.dedup_lines(docs, counts=False).columns == docs.columns
+
+
+def test_one_id_keeps_one(spark):
+    chunk = "\n".join(f"line {i}" for i in range(40))
+    docs = spark.createDataFrame([(1, "a\n" + chunk), (1, "b\n" + chunk), (None, "c\n" + chunk), (None, chunk)], "doc_id long, text string")
+    done = lines.dedup_lines(docs).collect()
+    assert sum("line 20\n" in x["text"] for x in done) == 1 and next(x for x in done if "line 20\n" in x["text"])["doc_id"] == 1
+
+
+def test_clashing_names(spark):
+    words = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, words, "p", 1, "q"), (2, words, "r", 2, "s")], "doc_id long, text string, __text string, n_removed int, rest string")
+    got = sorted(substring.dedup_substrings(docs).collect(), key=lambda x: x["doc_id"])
+    assert [(x["__text"], x["n_removed"], x["rest"]) for x in got] == [("p", 0, "q"), ("r", 60, "s")]
+    got = sorted(substring.dedup_substrings(docs, counts=False).collect(), key=lambda x: x["doc_id"])
+    assert [(x["__text"], x["n_removed"], x["rest"]) for x in got] == [("p", 1, "q"), ("r", 2, "s")]
+
+
 def test_winnowing(docs, nothing, texts):
     rows = fingerprints.with_next(docs.select("doc_id", "text")).collect()
     order = sorted(((i if i is not None else -(1 << 63), t or "") for i, t in texts))
