@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panolake.llm.common import table, written
+from panolake.llm.common import scratch, table
 from panolake.llm.recompression import mixed, window_keys
 from panolake.llm.units import slices
 
@@ -107,21 +107,22 @@ def shared_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             columns = [rows.column("doc_id").take(d), rows.column("row_key").take(d), pa.array((at - begins[doc[at]]).astype(np.int32)), pa.array(first[at].view(np.int64)), pa.array(second[at].view(np.int64))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row_key", "at", "h1", "h2"])
 
-    named = written(docs.mapInArrow(keys, "doc_id long, row_key long, key long"), "window-keys")
-    shared = named.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    shared = written(shared.select("key"), "shared-keys")
-    by_doc = written(named.join(shared, "key").groupBy("doc_id", "row_key").agg(F.collect_list("key").alias("keys")), "keys-by-document")
-    windows = docs.join(by_doc, ["doc_id", "row_key"]).select("doc_id", "row_key", "text", "keys")
-    windows = written(windows.mapInArrow(candidates, "doc_id long, row_key long, at int, h1 long, h2 long"), "windows")
-    first = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    first = written(first.select("h1", "h2", "low"), "window-firsts")
-    later = written(windows.join(first, ["h1", "h2"]).where("doc_id > low").select("doc_id", "row_key", "at"), "later-windows")
-    return later.groupBy("doc_id", "row_key").agg(F.collect_set("at").alias("at"))
+    with scratch(docs.sparkSession) as keep:
+        named = keep(docs.mapInArrow(keys, "doc_id long, row_key long, key long"), "window-keys")
+        shared = named.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
+        shared = keep(shared.select("key"), "shared-keys")
+        by_doc = keep(named.join(shared, "key").groupBy("doc_id", "row_key").agg(F.collect_list("key").alias("keys")), "keys-by-document")
+        windows = docs.join(by_doc, ["doc_id", "row_key"]).select("doc_id", "row_key", "text", "keys")
+        windows = keep(windows.mapInArrow(candidates, "doc_id long, row_key long, at int, h1 long, h2 long"), "windows")
+        first = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
+        first = keep(first.select("h1", "h2", "low"), "window-firsts")
+        later = keep(windows.join(first, ["h1", "h2"]).where("doc_id > low").select("doc_id", "row_key", "at"), "later-windows")
+        return keep.result(later.groupBy("doc_id", "row_key").agg(F.collect_set("at").alias("at")), "marked-windows")
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, counts: bool = True) -> DataFrame:
     """``docs`` with marked words cut from ``text``, and n_words, n_removed unless ``counts`` is False."""
-    marked = written(shared_windows(docs.select("doc_id", "text"), window), "marked-windows")
+    marked = shared_windows(docs.select("doc_id", "text"), window)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, ROWS, 4 * BYTES):
