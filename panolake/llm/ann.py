@@ -1,7 +1,9 @@
 """Approximate nearest neighbours over shifted space-filling curves.
 
-Each of ``ORDERS`` orders projects the vectors on ``AXES`` random orthogonal axes, shifts the grid by an
-own offset and sorts the cells along a Hilbert curve. Spark range-partitions each order by its key; a query
+Each of ``ORDERS`` orders projects the vectors on ``AXES`` random orthogonal axes, lays a grid over the middle
+of each axis (all but ``TAIL`` of the rows on either side, which go to its outermost cells, so that a few long
+vectors don't squeeze all others into one), shifted by an own offset, and sorts the cells along a Hilbert curve;
+rows of one cell follow in an order of their own each time. Spark range-partitions each order by its key; a query
 visits its own range and the ranges within ``side`` of all rows before and after it, scores whole ranges
 in double precision on the original vectors, and the orders' finds are merged and ranked again.
 
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 from panolake.llm.common import partitions, table, written
 
-ORDERS, AXES, BITS, SIDE, RANGE_ROWS = 6, 4, 8, 0.16, 2048
+ORDERS, AXES, BITS, SIDE, RANGE_ROWS, TAIL = 6, 4, 8, 0.16, 2048, 0.01
 
 
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -55,12 +57,33 @@ def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
-def curve_keys(vectors: np.ndarray, order: int, low: float, high: float) -> np.ndarray:
+def projected(vectors: np.ndarray, order: int) -> np.ndarray:
     random = np.random.default_rng(order)
-    axes = np.linalg.qr(random.normal(size=(vectors.shape[1], min(AXES, vectors.shape[1]))))[0]
-    shift = random.uniform(0, 1, axes.shape[1])
+    return vectors @ np.linalg.qr(random.normal(size=(vectors.shape[1], min(AXES, vectors.shape[1]))))[0]
+
+
+def curve_keys(at: np.ndarray, order: int, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Keys of rows projected for an order, between the bounds of each axis."""
+    shift = np.random.default_rng(order + (1 << 20)).uniform(0, 1, at.shape[1])
     scale = (1 << BITS) - 2
-    return hilbert(np.clip((vectors @ axes - low) / (high - low) * scale + shift, 0, (1 << BITS) - 1), BITS)
+    return hilbert(np.clip((at - low) / np.where(high > low, high - low, 1.0) * scale + shift, 0, (1 << BITS) - 1), BITS)
+
+
+def bounds(groups: DataFrame, orders: int, axes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of every axis of every order the quantiles TAIL and 1 - TAIL over all rows."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                vectors = np.array(batch.column("vector").to_pylist())
+                at = np.concatenate([projected(vectors, o) for o in range(orders)], 1)
+                yield pa.RecordBatch.from_arrays([pa.array(c.copy()) for c in at.T], [f"p{i}" for i in range(at.shape[1])])
+
+    names = [f"p{i}" for i in range(orders * axes)]
+    seen = groups.select("vector").mapInArrow(each, ", ".join(f"{n} double" for n in names))
+    found = seen.select(*[F.percentile_approx(n, [TAIL, 1 - TAIL], 1000) for n in names]).first()
+    both = np.array([x or [0.0, 0.0] for x in found]).reshape(orders, axes, 2)
+    return both[:, :, 0], both[:, :, 1]
 
 
 def usable(column: Column) -> Column:
@@ -90,20 +113,19 @@ def search(rows: DataFrame, is_query: Column, keep: int = 20, side: float = SIDE
     n = groups.count()
     n_ranges = max(1, math.ceil(n / range_rows))
     reach = math.ceil(side * n_ranges)
-    spread = groups.select(F.min(F.array_min("vector")), F.max(F.array_max("vector"))).first()
-    bound = max(abs(spread[0] or 0), abs(spread[1] or 0)) * 2 or 1.0
+    low, high = bounds(groups, orders, min(AXES, sizes["d"] if sizes else 1))
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 vectors = np.array(batch.column("vector").to_pylist())
-                keys = pa.array([[int(k) for k in r] for r in np.stack([curve_keys(vectors, o, -bound, bound) for o in range(orders)], 1)], pa.list_(pa.int64()))
+                keys = pa.array([[int(k) for k in r] for r in np.stack([curve_keys(projected(vectors, o), o, low[o], high[o]) for o in range(orders)], 1)], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([batch.column("gid"), batch.column("vector"), batch.column("asked"), keys], ["gid", "vector", "asked", "keys"])
 
     marked = groups.join(asked.withColumn("asked", F.lit(True)), "gid", "left").select("gid", "vector", F.coalesce("asked", F.lit(False)).alias("asked"))
     marked = marked.mapInArrow(keyed, "gid long, vector array<double>, asked boolean, keys array<long>")
     ordered = marked.select("gid", "vector", "asked", F.posexplode("keys").alias("ord", "key"))
-    ranged = ordered.repartitionByRange(n_ranges * orders, "ord", "key", "gid").withColumn("part", F.spark_partition_id())
+    ranged = ordered.repartitionByRange(n_ranges * orders, "ord", "key", F.xxhash64("gid", "ord")).withColumn("part", F.spark_partition_id())
     ranged = written(ranged.select("ord", "part", "gid", "vector", "asked"), "curve-ranges")
     visits = ranged.where("asked").select("gid", "vector", F.explode(F.sequence(F.greatest(F.lit(0), F.col("part") - reach), F.least(F.lit(n_ranges * orders - 1), F.col("part") + reach))).alias("part"))
     both = ranged.select("part", F.lit(0).alias("kind"), "gid", "vector").union(visits.select("part", F.lit(1).alias("kind"), "gid", "vector"))
@@ -163,14 +185,22 @@ def search(rows: DataFrame, is_query: Column, keep: int = 20, side: float = SIDE
 
 
 def _best(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, block: np.ndarray, keep: int) -> pa.RecordBatch:
+    """The ``keep`` best of a block for each query by exact score, ties to smaller ids.
+
+    All rows whose rough score may tie with the last or beat it are scored again, however many.
+    """
     rough = vectors @ block.T
-    if rough.shape[1] > keep + 4:
-        chosen = np.argpartition(-rough, keep + 4, axis=1)[:, : keep + 4]
-    else:
-        chosen = np.tile(np.arange(rough.shape[1]), (len(queries), 1))
-    scores = (vectors[:, None, :] * block[chosen]).sum(-1)
-    found = ids[chosen]
-    return pa.RecordBatch.from_arrays([pa.array(queries), pa.array(list(found), pa.list_(pa.int64())), pa.array(list(scores), pa.list_(pa.float64()))], ["query", "gids", "scores"])
+    last = np.partition(rough, -keep, axis=1)[:, -keep] if rough.shape[1] > keep else np.full(len(queries), -np.inf)
+    margin = 1e-9 * np.linalg.norm(vectors, axis=1) * np.linalg.norm(block, axis=1).max()
+    rows, at = np.nonzero(rough >= (last - margin)[:, None])
+    scores = (vectors[rows] * block[at]).sum(-1)
+    order = np.lexsort((ids[at], -scores, rows))
+    n = np.bincount(rows, minlength=len(queries))
+    place = np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n)
+    order = order[place < keep]
+    edges = pa.array(np.concatenate([[0], np.cumsum(np.minimum(n, keep))]).astype(np.int32))
+    found, scores = (pa.ListArray.from_arrays(edges, pa.array(x)) for x in (ids[at[order]], scores[order]))
+    return pa.RecordBatch.from_arrays([pa.array(queries), found, scores], ["query", "gids", "scores"])
 
 
 def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
