@@ -321,3 +321,39 @@ def test_toxicity(spark, nothing):
     assert spared == 2.0
     empty = toxicity.learn(nothing, labels.limit(0), toxicity.remainder() != 0)
     assert not empty.terms and [x["score"] for x in toxicity.score(docs.limit(2), empty).collect()] == [0.0, 0.0]
+
+
+@pytest.mark.parametrize("word", ["idiot", "ID\u200bIOT", "\u0131diot", "\uff49\uff44\uff49\uff4f\uff54", "id\u00edot", "\u00efdiot", "i.d.i.o.t", "!d!0t", "1d10t", "i-d-i-o-t", "i d i o t", "\u0456diot", "idi\u03bft", "\U0001d422\U0001d41d\U0001d422\U0001d428\U0001d42d"])
+def test_disguises(word):
+    import pyarrow as pa
+
+    automaton = toxicity.Lexicon({" idiot ": 2.0}, (0.0, 1.0, 1.0)).automaton()
+    texts = [f"You {word}!", f"({word})", word, f"not an {word}", "an idiotic plan", "U.S.A. 101 caf\u00e9 a b c"]
+    assert [toxicity.matched(automaton, t) for t in toxicity.fold(pa.array(texts)).to_pylist()] == [2.0, 2.0, 2.0, 0.0, 0.0, 0.0]
+
+
+def test_toxicity_formula(spark):
+    """Scores against the formula worked out text by text; learned exceptions; the same lexicon each time."""
+    r = random.Random(9)
+    rows = []
+    for i in range(500):
+        words = sentence(r, r.randint(20, 60)).split()
+        if i % 5 == 0:
+            words[3:3] = ["rotter"] * r.randint(1, 3)
+        elif i % 5 == 1:
+            words[3:3] = ["garden", "rotter"]
+        rows.append((i, " ".join(words), int(i % 5 == 0)))
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(3)
+    lexicon = toxicity.learn(table, table, toxicity.remainder() != 0, purity=0.4)
+    assert lexicon == toxicity.learn(table.orderBy(F.desc("doc_id")), table, toxicity.remainder() != 0, purity=0.4)
+    assert "garden rotter" in lexicon.harmless and any(t.strip() in "rotter" for t in lexicon.terms)
+    a, b, c = lexicon.curve
+    got = {x["doc_id"]: x["score"] for x in toxicity.score(table, lexicon).collect()}
+    for i, t, _ in rows:
+        plain = f" {' '.join(re.findall('[a-zé]+', t.lower()))} "
+        spared = plain
+        for phrase in sorted({*lexicon.harmless, *toxicity.EXCEPTIONS}, key=len):
+            spared = spared.replace(f" {phrase} ", " # ")
+        weight = sum(w * len(re.findall(f"(?={re.escape(term)})", spared)) for term, w in lexicon.terms.items())
+        z = a + b * np.log1p(weight) + c * np.log1p(100 * weight / max(1, plain.count(" ") - 1))
+        assert abs(got[i] - 1 / (1 + np.exp(-z))) < 1e-9, (i, weight)
