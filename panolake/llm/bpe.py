@@ -5,12 +5,15 @@ of single bytes, each as its id, and an ``aggregate`` merges the leftmost pair o
 pair has one. The ranks are a literal: of every two tokens whose bytes together are a token, its rank, in
 an array of small maps, one per hash bucket, so that a look-up is one step.
 
-Words are counted over the whole corpus; the ``KEPT`` most frequent are folded once and go to all tasks
-(a bound that does not grow). All other words are folded by the same expression in the task of their
-document, once per document. Decoding concatenates the bytes that ids stand for.
+Texts are cut once, in groups of ``GROUP_BYTES``, into distinct words and codes that say which stands where. From
+the groups words are counted over the whole corpus; the ``KEPT`` most frequent of at most ``SHORT`` bytes are
+folded once and go to all tasks (a bound in rows and bytes that does not grow). Each other distinct word of a
+group is folded once, by the same expression, in the row of its group. Decoding concatenates the bytes that
+ids stand for.
 
 Defined results: null and empty texts have no ids; repeated rows give repeated rows; words of over
-``LONGEST`` bytes, for which a fold's copying grows too much, are merged with a heap in the task.
+``LONGEST`` bytes, for which a fold's copying grows too much, are merged with a heap in the task. A text
+longer than a group is a group of its own.
 """
 
 from __future__ import annotations
@@ -27,13 +30,15 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panolake.llm.common import table, text_of, written
+from panolake.llm.common import scratch, table, text_of, written
 from panolake.llm.units import glue, slices, split_units, spread
 
-KEPT, LONGEST, BUCKETS, TIMES = 800_000, 1000, 1 << 15, 31
+KEPT, SHORT, LONGEST, BUCKETS, TIMES = 800_000, 32, 1000, 1 << 15, 31
+#: Bytes of text cut at once, and of texts whose words are folded together.
+SLICE_BYTES, GROUP_BYTES = 2 << 20, 4 << 20
 NO_PAIR = (1 << 20) - 1
 #: Fixed value: white space as Unicode has it, for a character class.
-SPACE = r"\t-\r \x85\xa0  -     　"
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def spelled_out(pattern: str) -> str:
@@ -97,36 +102,26 @@ class Ranks:
         every = lambda literals: F.transform(words, lambda w: F.when(F.octet_length(w) <= longest, self.fold_piece(w, literals)))
         return F.get(F.transform(F.array(F.struct(self.pairs.alias("pairs"), self.single.alias("single"))), every), 0)
 
-    def by_heap(self, word: str) -> list[int]:
-        """The same merges for very long words: pairs in a heap by rank and place."""
-        raw = word.encode()
-        tokens = [raw[i : i + 1] for i in range(len(raw))]
-        after, before, gone = list(range(1, len(raw) + 1)), list(range(-1, len(raw) - 1)), [False] * len(raw)
-        heap = [(r, i, tokens[i] + tokens[i + 1]) for i in range(len(raw) - 1) if (r := self.ranks.get(tokens[i] + tokens[i + 1])) is not None]
-        heapq.heapify(heap)
-        while heap:
-            _, i, pair = heapq.heappop(heap)
-            j = after[i]
-            if gone[i] or j >= len(raw) or tokens[i] + tokens[j] != pair:
-                continue
-            tokens[i], gone[j], after[i] = pair, True, after[j]
-            if after[j] < len(raw):
-                before[after[j]] = i
-            for a in (before[i], i):
-                if a >= 0 and after[a] < len(raw) and (r := self.ranks.get(tokens[a] + tokens[after[a]])) is not None:
-                    heapq.heappush(heap, (r, a, tokens[a] + tokens[after[a]]))
-        return [self.ranks[t] for t, dead in zip(tokens, gone, strict=True) if not dead]
-
-
-def word_counts(docs: DataFrame, pattern: str) -> DataFrame:
-    """word, n: all words of all texts, counted first within each part of a batch."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in slices(batches, 5000):
-            words, at, _ = coded_words(rows.column("text"), pattern)
-            yield pa.RecordBatch.from_arrays([words.cast(pa.string()), pa.array(np.bincount(at, minlength=len(words)))], ["word", "n"])
-
-    return docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+def merged_by_heap(word: str, ranks: dict[bytes, int]) -> list[int]:
+    """The same merges for very long words: pairs in a heap by rank and place."""
+    raw = word.encode()
+    tokens = [raw[i : i + 1] for i in range(len(raw))]
+    after, before, gone = list(range(1, len(raw) + 1)), list(range(-1, len(raw) - 1)), [False] * len(raw)
+    heap = [(r, i, tokens[i] + tokens[i + 1]) for i in range(len(raw) - 1) if (r := ranks.get(tokens[i] + tokens[i + 1])) is not None]
+    heapq.heapify(heap)
+    while heap:
+        _, i, pair = heapq.heappop(heap)
+        j = after[i]
+        if gone[i] or j >= len(raw) or tokens[i] + tokens[j] != pair:
+            continue
+        tokens[i], gone[j], after[i] = pair, True, after[j]
+        if after[j] < len(raw):
+            before[after[j]] = i
+        for a in (before[i], i):
+            if a >= 0 and after[a] < len(raw) and (r := ranks.get(tokens[a] + tokens[after[a]])) is not None:
+                heapq.heappush(heap, (r, a, tokens[a] + tokens[after[a]]))
+    return [ranks[t] for t, dead in zip(tokens, gone, strict=True) if not dead]
 
 
 def coded_words(texts: pa.Array, pattern: str) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -170,69 +165,122 @@ def frequent_words(counts: DataFrame, most: int) -> DataFrame:
     return counts.where(step >= least).select("word")
 
 
-def encode(docs: DataFrame, ranks: Ranks, kept: int = KEPT) -> DataFrame:
-    """doc_id, ids (little-endian unsigned 32-bit) of every whole text."""
-    spark, docs = docs.sparkSession, text_of(docs)
-    counts = written(word_counts(docs, ranks.pattern).where(F.octet_length("word") <= LONGEST), "word-counts")
-    folded = frequent_words(counts, kept).repartition(spark.sparkContext.defaultParallelism)
-    folded = folded.select("word", F.get(ranks.fold_words(F.array("word")), 0).alias("ids")).toArrow()
-    words, ids = folded["word"].combine_chunks().cast(pa.large_string()), folded["ids"].combine_chunks()
-    flat, lengths = ids.flatten().to_numpy().astype(np.uint32), pc.list_value_length(ids).to_numpy().astype(np.int64)
-    held = spark.sparkContext.broadcast((words, flat, lengths))
-    del folded, words, ids, flat, lengths
-    ranks_held = spark.sparkContext.broadcast(ranks.ranks)
-
-    pattern = ranks.pattern
+GROUPS = "doc_ids array<long>, lengths array<int>, codes binary, words array<string>, counts array<int>"
+PARTS = "doc_ids array<long>, lengths array<int>, codes binary, of binary, words array<string>, long array<string>"
+
+
+def grouped(docs: DataFrame, pattern: str) -> DataFrame:
+    """Texts in groups: doc_ids, how many words each text has, the words' codes, the distinct words and their counts."""
+    kinds = [pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int32())]
+    schema = pa.schema([(c.split()[0], kind) for c, kind in zip(GROUPS.split(", "), kinds, strict=True)])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc_ids: list[int | None] = []
+        lengths, codes = [], []
+        own: dict[str, int] = {}
+        size = 0
+
+        def group() -> pa.RecordBatch:
+            flat = np.concatenate(codes)
+            counts = np.bincount(flat, minlength=len(own))
+            order = np.argsort(-counts, kind="stable")  # small codes are common, which packs well
+            place = np.empty(len(order), np.int32)
+            place[order] = np.arange(len(order))
+            words = pa.array(own, pa.string()).take(pa.array(order))
+            row = [[doc_ids[:]], [np.concatenate(lengths)], [place[flat].tobytes()], None, [counts[order]]]
+            columns = [pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words) if x is None else pa.array(x, f.type) for x, f in zip(row, schema, strict=True)]
+            doc_ids.clear(), lengths.clear(), codes.clear(), own.clear()
+            return pa.RecordBatch.from_arrays(columns, schema=schema)
+
+        for rows in slices(batches, 5000, SLICE_BYTES):
+            more = pc.sum(pc.binary_length(rows.column("text"))).as_py()
+            if doc_ids and size + more > GROUP_BYTES:
+                yield group()
+                size = 0
+            words, index, per_text = coded_words(rows.column("text"), pattern)
+            of = np.array([own.setdefault(w, len(own)) for w in words.to_pylist()], np.int32)
+            codes.append(of[index])
+            lengths.append(per_text.astype(np.int32))
+            doc_ids += rows.column("doc_id").to_pylist()
+            size += more
+        if doc_ids:
+            yield group()
+
+    return docs.mapInArrow(cut, GROUPS)
+
+
+def word_counts(groups: DataFrame) -> DataFrame:
+    """word, n: all words of all texts."""
+    one = groups.select(F.explode(F.arrays_zip("words", "counts")).alias("w"))
+    return one.groupBy(F.col("w.words").alias("word")).agg(F.sum("w.counts").alias("n"))
+
+
+def told_apart(groups: DataFrame, known: pa.Array) -> DataFrame:
+    """The groups with ``of`` (for each word its place in ``known``, or counting down from -1 one in ``words``).
+
+    Words of over ``LONGEST`` bytes are null in ``words`` and stand, in order, in ``long``.
+    """
+    held = groups.sparkSession.sparkContext.broadcast(known)
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = held.value[0]
-        for rows in slices(batches, 5000):
-            words, index, per_text = coded_words(rows.column("text"), pattern)
-            of = pc.index_in(words, value_set=known).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-            codes = of[index]
-            doc = np.repeat(np.arange(len(per_text)), per_text)
-            unknown = np.flatnonzero(codes == -1)
-            pair, inverse = np.unique(doc[unknown] * len(words) + index[unknown], return_inverse=True)
-            per_doc = np.bincount(pair // max(1, len(words)), minlength=len(per_text))
-            starts = np.cumsum(per_doc) - per_doc
-            codes[unknown] = -1 - (inverse - starts[doc[unknown]])
-            edges = (np.concatenate([[0], np.cumsum(per_text)]) * 4).astype(np.int32)
-            held_codes = pa.BinaryArray.from_buffers(pa.binary(), len(per_text), [None, pa.py_buffer(edges), pa.py_buffer(codes.astype("<i4"))])
-            rare = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per_doc)]).astype(np.int32)), words.take(pa.array(pair % max(1, len(words)))).cast(pa.string()))
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), held_codes, rare], ["doc_id", "codes", "rare"])
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1)
+                words = row.column("words").flatten()
+                of = pc.index_in(words, value_set=held.value).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int32)
+                new = np.flatnonzero(of < 0)
+                of[new] = -1 - np.arange(len(new), dtype=np.int32)
+                words = words.take(pa.array(new))
+                too_long = pc.greater(pc.binary_length(words), LONGEST)
+                short, long = (pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (pc.if_else(too_long, pa.scalar(None, pa.string()), words), words.filter(too_long)))
+                yield pa.RecordBatch.from_arrays([*(row.column(c) for c in ("doc_ids", "lengths", "codes")), pa.array([of.tobytes()], pa.binary()), short, long], [c.split()[0] for c in PARTS.split(", ")])
+
+    return groups.select("doc_ids", "lengths", "codes", "words").mapInArrow(look_up, PARTS)
+
+
+def encode(docs: DataFrame, ranks: Ranks, kept: int = KEPT) -> DataFrame:
+    """doc_id, ids (little-endian unsigned 32-bit) of every whole text."""
+    spark = docs.sparkSession
+    groups = written(grouped(text_of(docs), ranks.pattern), "bpe-groups")
+    with scratch(spark) as keep:
+        counts = keep(word_counts(groups).where(F.octet_length("word") <= SHORT), "word-counts")
+        folded = frequent_words(counts, kept).repartition(spark.sparkContext.defaultParallelism)
+        folded = folded.select("word", F.get(ranks.fold_words(F.array("word")), 0).alias("ids")).toArrow()  # at most `kept` words of SHORT bytes
+    known, ids = folded["word"].combine_chunks().cast(pa.string()), folded["ids"].combine_chunks()
+    held = spark.sparkContext.broadcast((ids.flatten().to_numpy().astype(np.uint32), pc.list_value_length(ids).to_numpy().astype(np.int64)))
+    by_rank = spark.sparkContext.broadcast(ranks.ranks)
+    del folded, ids
 
     def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        long_words = Ranks.__new__(Ranks)
-        long_words.ranks = ranks_held.value
-        _, known, known_lengths = held.value
-        known_starts = np.cumsum(known_lengths) - known_lengths
+        known_ids, known_lengths = held.value
         for batch in batches:
-            codes = np.frombuffer(b"".join(batch.column("codes").to_pylist()), "<i4").astype(np.int64)
-            per_doc = np.array([len(x) // 4 for x in batch.column("codes").to_pylist()], np.int64)
-            short, long = batch.column("folded"), batch.column("long")
-            n_rare = np.diff(short.offsets.to_numpy())
-            words = short.flatten()
-            if words.null_count:
-                given = iter([long_words.by_heap(w) for x in long.to_pylist() for w in x or []])
-                words = pa.array([next(given) if w is None else w for w in words.to_pylist()], pa.list_(pa.int32()))
-            own = words.flatten().to_numpy(zero_copy_only=False).astype(np.uint32)
-            own_lengths = np.diff(words.offsets.to_numpy()).astype(np.int64)
-            all_ids = np.concatenate([known, own])
-            all_lengths = np.concatenate([known_lengths, own_lengths])
-            all_starts = np.concatenate([known_starts, len(known) + np.cumsum(own_lengths) - own_lengths])
-            base = np.repeat(len(known_lengths) + np.cumsum(n_rare) - n_rare, per_doc)
-            at = np.where(codes >= 0, codes, base - 1 - codes)
-            counts = all_lengths[at]
-            ids = all_ids[spread(all_starts[at], counts)].astype("<u4")
-            ends = np.concatenate([[0], np.cumsum(counts)])
-            edges = ends[np.concatenate([[0], np.cumsum(per_doc)])]
-            held_ids = pa.BinaryArray.from_buffers(pa.binary(), len(per_doc), [None, pa.py_buffer((edges * 4).astype(np.int32)), pa.py_buffer(ids)])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), held_ids], ["doc_id", "ids"])
-
-    rare = docs.mapInArrow(look_up, "doc_id long, codes binary, rare array<string>")
-    too_long = F.filter("rare", lambda w: F.octet_length(w) > LONGEST)
-    rare = rare.select("doc_id", "codes", ranks.fold_words(F.col("rare")).alias("folded"), F.when(F.size(too_long) > 0, too_long).alias("long"))
-    return rare.mapInArrow(put_together, "doc_id long, ids binary")
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1)
+                words = row.column("folded").flatten()
+                if long := row.column("long")[0].as_py():
+                    given = iter([merged_by_heap(w, by_rank.value) for w in long])
+                    words = pa.array([next(given) if w is None else w for w in words.to_pylist()], pa.list_(pa.int32()))
+                own, own_lengths = words.flatten().to_numpy(zero_copy_only=False).astype(np.uint32), np.diff(words.offsets.to_numpy()).astype(np.int64)
+                # Own words stand last first, so that code -1 is the last place of all.
+                lengths = np.concatenate([known_lengths, own_lengths[::-1]])
+                starts = np.cumsum(known_lengths) - known_lengths
+                starts = np.concatenate([starts, (len(known_ids) + np.cumsum(own_lengths) - own_lengths)[::-1]])
+                flat = np.concatenate([known_ids, own])
+                of, codes = (np.frombuffer(row.column(c)[0].as_buffer(), "<i4") for c in ("of", "codes"))
+                per_text = row.column("lengths").flatten().to_numpy()
+                doc_ids = row.column("doc_ids").flatten()
+                edges = np.concatenate([[0], np.cumsum(per_text)])
+                for a in range(0, len(per_text), 500):
+                    part = of[codes[edges[a] : edges[min(a + 500, len(per_text))]]]
+                    counts = lengths[part]
+                    ends = np.concatenate([[0], np.cumsum(counts)])[edges[a : a + 501] - edges[a]]
+                    found = flat[spread(starts[part], counts)].astype("<u4", copy=False)
+                    held_ids = pa.BinaryArray.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * 4).astype(np.int32)), pa.py_buffer(found)])
+                    yield pa.RecordBatch.from_arrays([doc_ids.slice(a, 500), held_ids], ["doc_id", "ids"])
+
+    groups = told_apart(groups, known)
+    groups = groups.select("doc_ids", "lengths", "codes", "of", ranks.fold_words(F.col("words")).alias("folded"), "long")
+    return groups.mapInArrow(put_together, "doc_id long, ids binary")
 
 
 def decode(encoded: DataFrame, ranks: Ranks) -> DataFrame:
