@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from panolake.llm.ann import op1_nearest
 from panolake.llm.bpe import op3_bpe
-from panolake.llm.fingerprints import op10_fingerprints
+from panolake.llm.fingerprints import OP10_SQL, op10_fingerprints
 from panolake.llm.license_scan import op6_license_scan
 from panolake.llm.lines import OP8_SQL, op8_line_dedup
 from panolake.llm.packing import op9_packing
@@ -27,4 +27,4 @@ QUERIES = {
 }
 
 #: DuckDB SQL where SQL can express a query.
-ORACLE: dict[str, str] = {"op8_line_dedup": OP8_SQL}
+ORACLE: dict[str, str] = {"op8_line_dedup": OP8_SQL, "op10_fingerprints": OP10_SQL}

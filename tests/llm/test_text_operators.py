@@ -251,23 +251,76 @@ def test_clashing_names(spark):
     assert [(x["__text"], x["n_removed"], x["rest"]) for x in got] == [("p", 1, "q"), ("r", 2, "s")]
 
 
+def brute_winnow(text: str) -> list[int]:
+    hs = [int(hashlib.md5(w.encode()).hexdigest()[:7], 16) for w in WORD.findall(text)]
+    prime, base = (1 << 31) - 1, 1_000_003
+    grams = []
+    for i in range(max(len(hs) - 3, min(len(hs), 1))):
+        h = [*hs[i : i + 4], 0, 0, 0][:4]
+        grams.append(sum(x * pow(base, 3 - k, prime) for k, x in enumerate(h)) % prime)
+    kept = []
+    for j in range(max(len(grams) - 7, min(len(grams), 1))):
+        window = grams[j : j + 8]
+        at = max(i for i, g in enumerate(window) if g == min(window)) + j
+        if (grams[at], at) not in kept[-1:]:
+            kept.append((grams[at], at))
+    return [g << 32 | (1 << 32) - 1 - at for g, at in kept]
+
+
+def order_of(row: tuple[int | None, str]) -> tuple:
+    i, t = row
+    h = xxhash.xxh64_intdigest(t.encode(), 42)
+    return (-(1 << 63) if i is None else i, h - (1 << 64) if h >> 63 else h, t)
+
+
+def check_next(rows, texts):
+    order = sorted([(i, t or "") for i, t in texts], key=order_of)
+    after = [(a[0], a[1], b[1]) for a, b in zip(order, [*order[1:], order[0]], strict=True)]
+    assert sorted(((r["doc_id"], r["text"], r["next_text"]) for r in rows), key=str) == sorted(after, key=str)
+
+
 def test_winnowing(docs, nothing, texts):
     rows = fingerprints.with_next(docs.select("doc_id", "text")).collect()
-    order = sorted(((i if i is not None else -(1 << 63), t or "") for i, t in texts))
-    after = [(a[1], b[1]) for a, b in zip(order, [*order[1:], order[0]], strict=True)]
-    assert sorted((r["text"], r["next_text"]) for r in rows) == sorted(after)
+    check_next(rows, texts)
     for r in rows:
-        n = len(WORD.findall(r["text"]))
-        places = [(1 << 32) - 1 - (x & ((1 << 32) - 1)) for x in r["fp"]]
-        assert places == sorted(places) and (len(places) > 0) == (n > 0)
-        if n >= 11:
-            assert places[0] < 8 and places[-1] >= n - 11 and max(np.diff(places), default=0) <= 8
-    same = {}
-    for r in rows:
-        assert same.setdefault(r["text"], r["fp"]) == r["fp"]
+        assert r["fp"] == brute_winnow(r["text"]) and r["next_fp"] == brute_winnow(r["next_text"])
+    ties = "a b c d " * 10
+    own = docs.limit(1).select(fingerprints.winnow(F.lit(ties)).alias("fp"), fingerprints.positions(fingerprints.winnow(F.lit(ties))).alias("at")).first()
+    assert own["fp"] == brute_winnow(ties) and own["at"][0] in range(4, 8)  # of equal grams the rightmost of the window
     assert fingerprints.with_next(nothing.select("doc_id", "text")).count() == 0
 
 
+def test_hot_ids_are_split(spark):
+    r = random.Random(6)
+    texts = [(None, sentence(r, 5)) for _ in range(200)] + [(7, sentence(r, 5)) for _ in range(200)] + [(i, sentence(r, 5)) for i in range(200)] + [(7, "same")] * 3
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
+    check_next(fingerprints.with_next(docs).collect(), texts)
+    sizes = [x["count"] for x in fingerprints.ranged(docs, 8).groupBy("part").count().collect()]
+    assert max(sizes) < 200 and sum(sizes) == len(texts)
+    one = spark.createDataFrame([(5, "alone here")], "doc_id long, text string")
+    check_next(fingerprints.with_next(one).collect(), [(5, "alone here")])
+
+
+def test_edited_texts(spark, tmp_path):
+    """The query itself: edited text and both likenesses, by brute force."""
+    r = random.Random(7)
+    texts = [(i, sentence(r, r.randint(0, 40)) if i % 7 else (None if i % 2 else "")) for i in range(40)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
+
+    def like(a, b):
+        a, b = ({x >> 32 for x in brute_winnow(t)} for t in (a, b))
+        return 2 * len(a & b) / (len(a) + len(b)) if a or b else 1.0
+
+    plain = [t or "" for _, t in texts]
+    for x in fingerprints.op10_fingerprints(spark, str(tmp_path)).collect():
+        text, after = plain[x["doc_id"]], plain[(x["doc_id"] + 1) % 40]
+        edited = text[: len(text) - len(text) // 2] + after[: len(text) // 2]
+        assert x["n_chars"] == len(text) and x["edited_sha256"] == digest(edited)
+        assert x["fingerprint"] == digest(",".join(map(str, brute_winnow(text)))) and x["edited_fingerprint"] == digest(",".join(map(str, brute_winnow(edited))))
+        assert abs(x["near_edited"] - like(text, edited)) < 1e-12 and abs(x["near_next"] - like(text, after)) < 1e-12
+
+
 def test_licenses(docs, nothing):
     got = license_scan.scan(docs).collect()
     assert [(r["doc_id"], r["license"], r["coverage"]) for r in got] == [(67, "Apache-2.0", 1.0)]
