@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Each view's columns and source; ``//`` is integer division, spelled ``div`` in Spark SQL.
 VIEWS = {
-    "fx_labels": "SELECT p_partkey AS label_id, p_partkey // 20 AS image_id, 1 AS label_class, (p_partkey * 7919) % 7400 AS x, 736 + (p_partkey * 104729) % 2400 AS y, 40 + p_partkey % 60 AS w, 30 + p_partkey % 50 AS h, CASE (p_partkey // 20) % 3 WHEN 0 THEN 'trn' WHEN 1 THEN 'val' ELSE 'tst' END AS dataset FROM part",
-    "fx_dets": "SELECT det_id, image_id, 0 AS det_class, (b * 7919) % 7400 + 3 * j AS x, 736 + (b * 104729) % 2400 + 2 * j AS y, 40 + b % 60 AS w, 30 + b % 50 AS h, CAST(5 + (det_id * 37) % 95 AS DOUBLE) / 100 AS score, CASE image_id % 3 WHEN 0 THEN 'trn' WHEN 1 THEN 'val' ELSE 'tst' END AS dataset FROM (SELECT event_id AS det_id, event_id // 4 AS b, event_id % 4 AS j, (event_id // 4) // 20 AS image_id FROM events) e WHERE b % 10 <> 7",
+    "fx_labels": "SELECT p_partkey AS label_id, p_partkey // 20 AS image_id, 1 + p_partkey % 2 AS label_class, (p_partkey * 7919) % 7400 AS x, 736 + (p_partkey * 104729) % 2400 AS y, 40 + p_partkey % 60 AS w, 30 + p_partkey % 50 AS h, CASE (p_partkey // 20) % 3 WHEN 0 THEN 'trn' WHEN 1 THEN 'val' ELSE 'tst' END AS dataset FROM part",
+    "fx_dets": "SELECT det_id, image_id, CASE WHEN b % 11 = 3 THEN 1 - b % 2 ELSE b % 2 END AS det_class, (b * 7919) % 7400 + 3 * j AS x, 736 + (b * 104729) % 2400 + 2 * j AS y, 40 + b % 60 AS w, 30 + b % 50 AS h, CAST(5 + (det_id * 37) % 95 AS DOUBLE) / 100 AS score, CASE image_id % 3 WHEN 0 THEN 'trn' WHEN 1 THEN 'val' ELSE 'tst' END AS dataset FROM (SELECT event_id AS det_id, event_id // 4 AS b, event_id % 4 AS j, (event_id // 4) // 20 AS image_id FROM events) e WHERE b % 10 <> 7",
     "fx_images": "SELECT o_orderkey AS image_id, concat('pano_', o_orderkey, '.jpg') AS file_name, CASE o_orderkey % 2 WHEN 0 THEN 'NE' ELSE 'SZH' END AS aoi, 8000 AS width, 4000 AS height FROM orders",
     "fx_frames": "SELECT c_custkey AS frame_id, CAST(5 * c_custkey AS DOUBLE) AS x, CAST(0 AS DOUBLE) AS y, CAST(3 AS DOUBLE) AS z, c_custkey AS t FROM customer",
     "fx_objects": "SELECT c_custkey // 5 AS k, CAST(25 * (c_custkey // 5) + 12 AS DOUBLE) AS x, CAST(4 AS DOUBLE) AS y, CAST(0 AS DOUBLE) AS z FROM customer WHERE c_custkey % 5 = 0",

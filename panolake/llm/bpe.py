@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from panolake.llm.common import scratch, table, text_of, written
 from panolake.llm.units import glue, slices, split_units, spread
 
-KEPT, SHORT, LONGEST, BUCKETS, TIMES = 800_000, 32, 1000, 1 << 15, 31
+KEPT, SHORT, LONGEST, BUCKETS, TIMES = 400_000, 32, 1000, 1 << 15, 31
 #: Bytes of text cut at once, and of texts whose words are folded together.
 SLICE_BYTES, GROUP_BYTES = 2 << 20, 4 << 20
 NO_PAIR = (1 << 20) - 1

@@ -20,6 +20,14 @@ def heat_map(points: DataFrame, size: float = 100.0) -> DataFrame:
     return cells.groupBy(F.concat((F.col("ix") * size).cast("long"), F.lit(", "), (F.col("iy") * size).cast("long")).alias("id"), "tag").agg(F.count("*").alias("n"))
 
 
+def heat_grid(points: DataFrame, size: float, minx: float, miny: float, columns: int, rows: int) -> DataFrame:
+    """Every cell (ix, iy) of a grid with its FN and FP points, 0 where there are none."""
+    spark = points.sparkSession
+    cells = spark.range(columns).select(F.col("id").alias("ix"), F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).cast("long").alias("iy"))
+    counts = grid_cells(points.where(F.col("tag").isin("FN", "FP")), size, minx, miny).groupBy("ix", "iy").agg(*[F.count_if(F.col("tag") == t).alias(t) for t in ("FN", "FP")])
+    return cells.join(counts, ["ix", "iy"], "left").na.fill(0, ["FN", "FP"])
+
+
 def seen_often(objects: DataFrame, frames: DataFrame, within: float = 15.0, least: int = 3) -> DataFrame:
     """(id, n): objects with at least ``least`` trajectory points within a distance."""
     return distance_pairs(objects, frames, within, closed=True).groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
@@ -50,6 +58,11 @@ def best_trials(log: DataFrame) -> DataFrame:
     return log.withColumn("f1", f1).groupBy("trial").agg(F.max("precision").alias("precision"), F.max("f1").alias("f1"), F.max("map50").alias("map50"))
 
 
+def best_trial(trials: DataFrame) -> DataFrame:
+    """The trial of the best F1, the lower number on ties."""
+    return trials.orderBy(F.desc("f1"), "trial").limit(1)
+
+
 def capped(rows: DataFrame, group: str, most: int, *order) -> DataFrame:
     """At most ``most`` rows of each group, in a given order: a review sample."""
     return rows.withColumn("k", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("k") <= most).drop("k")

@@ -31,14 +31,16 @@ def best_detection(chosen: DataFrame, *more_keys: str) -> DataFrame:
 
 
 def tagged(dets: DataFrame, labels: DataFrame, least_iou: float = 0.25) -> DataFrame:
-    """dataset, tag (TP, FP, FN), label_id, det_id, score, iou: every detection and every label once."""
+    """dataset, tag (TP, FP, FN), label_id, det_id, score, iou, label_class, det_class: every detection and every label once.
+
+    Classes count from 1 in labels and from 0 in detections; a match of two classes is a false and a missing one.
+    """
     matched = best_detection(best_label(candidate_pairs(dets, labels), least_iou))
     right_class = F.col("label_class") == F.col("det_class") + 1
-    matched = matched.where(right_class).select("dataset", "det_id", "label_id", half_even(F.col("iou"), 3).alias("iou"))
-    of_dets = dets.join(matched, ["dataset", "det_id"], "left").select("dataset", F.when(F.col("label_id").isNull(), "FP").otherwise("TP").alias("tag"), "label_id", "det_id", "score", "iou")
+    matched = matched.where(right_class).select("dataset", "det_id", "label_id", half_even(F.col("iou"), 3).alias("iou"), "label_class")
+    of_dets = dets.join(matched, ["dataset", "det_id"], "left").select("dataset", F.when(F.col("label_id").isNull(), "FP").otherwise("TP").alias("tag"), "label_id", "det_id", "score", "iou", "label_class", "det_class")
     missed = labels.join(matched, ["dataset", "label_id"], "left_anti")
-    null = lambda kind: F.lit(None).cast(kind)
-    return of_dets.unionByName(missed.select("dataset", F.lit("FN").alias("tag"), "label_id", null("long").alias("det_id"), null("double").alias("score"), null("double").alias("iou")))
+    return of_dets.unionByName(missed.select("dataset", F.lit("FN").alias("tag"), "label_id", "label_class"), allowMissingColumns=True)
 
 
 def ratios(tp: Column, fp: Column, fn: Column) -> list[Column]:
@@ -91,9 +93,10 @@ def best_threshold(sweep: DataFrame) -> DataFrame:
 
 
 def confusion(tags: DataFrame, classes: list[str]) -> DataFrame:
-    """Rows of true classes, columns of predicted ones, ``background`` for missing and false ones."""
-    true = F.when(F.col("tag") == "FP", "background").otherwise(F.lit(classes[0]))
-    predicted = F.when(F.col("tag") == "FN", "background").otherwise(F.lit(classes[0]))
+    """Rows of true classes, columns of predicted ones, ``background`` for missing and false ones; ``classes`` in order of their numbers."""
+    names = F.array(*map(F.lit, classes))
+    true = F.when(F.col("tag") == "FP", "background").otherwise(F.get(names, (F.col("label_class") - 1).cast("int")))
+    predicted = F.when(F.col("tag") == "FN", "background").otherwise(F.get(names, F.col("det_class").cast("int")))
     return tags.select(true.alias("true_class"), predicted.alias("predicted")).groupBy("true_class").pivot("predicted", [*classes, "background"]).count().na.fill(0)
 
 

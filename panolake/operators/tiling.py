@@ -56,20 +56,48 @@ def order_key(*columns: str, seed: int = 42) -> Column:
     return F.md5(F.concat_ws("|", F.lit(seed), *[F.col(c).cast("string") for c in columns]))
 
 
+def first_rows(rows: DataFrame, keys: list[str], counts: DataFrame, cuts: list[str], key: str, after: Column | None = None) -> DataFrame:
+    """``rows`` with ``below``: for each of ``cuts``, columns of numbers in ``counts`` (one row per ``keys``), whether
+    a row is among so many first rows of its keys, in the fixed order of ``key``; those with ``after`` true come last.
+
+    A histogram of the order's first four digits tells for all rows but those of the buckets that hold a
+    cut; only these are ranked, so that no group of rows is sorted as a whole.
+    """
+    order = order_key(key)
+    bucket = F.conv(F.substring(order, 1, 4), 16, 10).cast("int") + F.when(after, 1 << 16).otherwise(0) if after is not None else F.conv(F.substring(order, 1, 4), 16, 10).cast("int")
+    rows = rows.withColumn("bucket", bucket)
+    running = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    histogram = rows.groupBy(*keys, "bucket").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(running), F.lit(0)))
+    held = histogram.join(counts, keys)
+    places = [F.max(F.when(F.col("before") < F.col(c), F.struct("bucket", "before"))).alias(f"at_{c}") for c in cuts]
+    cut = held.groupBy(*keys).agg(*places, *[F.first(c).alias(c) for c in cuts])
+    marked = rows.join(F.broadcast(cut), keys)
+    inside = F.coalesce(F.array_contains(F.array(*[F.col(f"at_{c}.bucket") for c in cuts]), F.col("bucket")), F.lit(False))
+    ranked = marked.where(inside).withColumn("k", F.row_number().over(Window.partitionBy(*keys, "bucket").orderBy(order, key)))
+    every = ranked.unionByName(marked.where(~inside).withColumn("k", F.lit(0)))
+    below = [F.coalesce((F.col("bucket") < F.col(f"at_{c}.bucket")) | ((F.col("bucket") == F.col(f"at_{c}.bucket")) & (F.col(f"at_{c}.before") + F.col("k") <= F.col(c))), F.lit(False)) for c in cuts]
+    return every.withColumn("below", F.array(*below)).drop("bucket", "k", *cuts, *[f"at_{c}" for c in cuts])
+
+
 def sample_negatives(empty: DataFrame, positives: DataFrame, keys: list[str], share: float, low: Column) -> DataFrame:
     """Per key as many empty tiles as needed for ``share``, low ones first, in the fixed order."""
     need = positives.groupBy(*keys).agg(negatives_needed(F.count("*"), share).alias("need"))
-    rank = Window.partitionBy(*keys).orderBy(F.desc(low), order_key("tile"), "tile")
-    return empty.join(need, keys).withColumn("k", F.row_number().over(rank)).where("k <= need").drop("k", "need")
+    return first_rows(empty, keys, need, ["need"], "tile", ~low).where(F.get("below", 0)).drop("below")
 
 
 def split(images: DataFrame, key: str, group: str, train: float = 0.7) -> DataFrame:
     """trn, val, tst per group: 70 % of the rows, then halves of the rest, in the fixed order."""
-    rank = F.row_number().over(Window.partitionBy(group).orderBy(order_key(key), key))
-    n = F.count("*").over(Window.partitionBy(group))
-    trn = F.rint(n * train)
-    val = trn + F.rint((n - trn) * 0.5)
-    return images.withColumn("dataset", F.when(rank <= trn, "trn").when(rank <= val, "val").otherwise("tst"))
+    n = images.groupBy(group).agg(F.count("*").alias("n")).withColumn("trn", F.rint(F.col("n") * train))
+    n = n.select(group, "trn", (F.col("trn") + F.rint((F.col("n") - F.col("trn")) * 0.5)).alias("val"))
+    rows = first_rows(images, [group], n, ["trn", "val"], key)
+    return rows.withColumn("dataset", F.when(F.get("below", 0), "trn").when(F.get("below", 1), "val").otherwise("tst")).drop("below")
+
+
+def split_modes(images: DataFrame, valid: DataFrame, key: str, group: str, test_only: bool = False) -> DataFrame:
+    """``dataset`` of every image: that of the split of the validated ones (all ``tst`` with ``test_only``), ``oth`` for the rest."""
+    known = images.join(valid.select(key).distinct(), key, "left_semi")
+    placed = known.withColumn("dataset", F.lit("tst")) if test_only else split(known, key, group)
+    return images.join(placed.select(key, group, "dataset"), [key, group], "left").na.fill("oth", ["dataset"])
 
 
 def shifted_ids(images: DataFrame, group: str, key: str) -> DataFrame:
@@ -78,3 +106,24 @@ def shifted_ids(images: DataFrame, group: str, key: str) -> DataFrame:
     before = Window.orderBy(group).rowsBetween(Window.unboundedPreceding, -1)  # one row per group
     offset = most.select(group, F.coalesce(F.sum("next").over(before), F.lit(0)).alias("offset"))
     return images.join(F.broadcast(offset), group).withColumn("new_id", F.col(key) + F.col("offset"))
+
+
+def clip_chain(images: DataFrame, boxes: DataFrame, valid: DataFrame, width: int = 8000, height: int = 4000, size: int = 512, overlap_x: int = 44, overlap_y: int = 8, padding: int = 736) -> DataFrame:
+    """Every annotation (image_id, ann_id, x, y, w, h) and what becomes of it, tile by tile.
+
+    A validated annotation of the same image and id takes the place of the original; one without is rejected.
+    ``outcome`` is ``outside`` the image or ``padding`` (one row without a tile), ``border`` (all corners near
+    the same pair of tile edges), ``rejected`` or ``kept``. Boxes are cut to their tile.
+    """
+    sides = ["x", "y", "w", "h"]
+    own = valid.select("image_id", "ann_id", *[F.col(c).alias(f"valid_{c}") for c in sides])
+    rows = boxes.join(images.select("image_id"), "image_id", "left_semi").join(own, ["image_id", "ann_id"], "left").withColumn("known", F.col("valid_x").isNotNull())
+    rows = rows.select("image_id", "ann_id", "known", *[F.coalesce(f"valid_{c}", c).alias(c) for c in sides])
+    outside = (F.col("x") + F.col("w") <= 0) | (F.col("x") >= width) | (F.col("y") + F.col("h") <= 0) | (F.col("y") >= height)
+    rows = rows.withColumn("early", F.when(outside, "outside").when(F.col("y") > height - padding, "padding"))
+    tiled = tiles_of_boxes(rows.where("early is null"), size, overlap_x, overlap_y, padding, width, height)
+    near = lambda low, length: F.forall(F.array(low, low + length), lambda v: (v <= 0.02 * size) | (v >= 0.98 * size))
+    border = near(F.col("tile_x"), F.col("tile_w")) | near(F.col("tile_y"), F.col("tile_h"))
+    tiled = tiled.withColumn("outcome", F.when(border, "border").when(~F.col("known"), "rejected").otherwise("kept"))
+    columns = ["image_id", "ann_id", "outcome", "min_x", "min_y", "tile_x", "tile_y", "tile_w", "tile_h"]
+    return tiled.select(*columns).unionByName(rows.where("early is not null").select("image_id", "ann_id", F.col("early").alias("outcome")), allowMissingColumns=True)

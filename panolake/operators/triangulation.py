@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panolake.functions.camera import radius_of_area
 from panolake.operators.components import connected_components
 from panolake.operators.spatial import distance_pairs
 
@@ -16,12 +18,13 @@ def _col(side: str, name: str) -> Column:
     return F.col(f"{side}.{name}")
 
 
-def ray_pairs(rays: DataFrame, frames_apart: int = 8, radius: float = 20.0, gap: float = 0.2, height: tuple[float, float] | None = (-3.8, -2.0)) -> DataFrame:
+def ray_pairs(rays: DataFrame, frames_apart: int = 8, radius: float = 20.0, gap: float = 0.2, height: tuple[float, float] | None = (-3.8, -2.0), radii_apart: float | None = None) -> DataFrame:
     """(ray_a, ray_b, frame_a, frame_b, x, y, z, dist, length): closest approaches of rays of nearby frames.
 
     Rays meet in blocks of ``frames_apart`` frames: an equality join on the block and the next one, never
     a nested loop. Nearly parallel rays, points behind a camera or beyond ``radius``, gaps above ``gap`` and
-    heights outside the window below the lower camera are rejected.
+    heights outside the window below the lower camera are rejected; with ``radii_apart`` also pairs whose disks,
+    worked out from the mask ``area`` of either ray, differ by more in radius.
     """
     block = F.floor(F.col("frame_id") / frames_apart)
     a = rays.withColumn("block", F.explode(F.array(block, block + 1))).alias("a")
@@ -36,6 +39,9 @@ def ray_pairs(rays: DataFrame, frames_apart: int = 8, radius: float = 20.0, gap:
     below = 1 - F.col("cos") * F.col("cos")
     met = met.withColumn("t1", (F.col("cos") * e - d) / below).withColumn("t2", (e - F.col("cos") * d) / below)
     met = met.where(F.col("t1").between(0, radius) & F.col("t2").between(0, radius))
+    if radii_apart is not None:
+        one, two = (radius_of_area(_col(s, "area"), tuple(d), F.col(t), 8000, 4000) for s, d, t in (("a", d1, "t1"), ("b", d2, "t2")))
+        met = met.where(F.abs(one - two) <= radii_apart)
     ends = [(p + F.col("t1") * u, q + F.col("t2") * v) for p, u, q, v in zip(o1, d1, o2, d2, strict=True)]
     far = F.sqrt(sum(((p - q) * (p - q) for p, q in ends[1:]), (ends[0][0] - ends[0][1]) * (ends[0][0] - ends[0][1])))
     out = met.select(
@@ -94,12 +100,13 @@ def good(found: DataFrame, length: float = 15.0, gap: float = 0.2, least: int =
 
 
 def frame_order(frames: DataFrame, radius: float = 10.0, group: str = "trajectory") -> DataFrame:
-    """(trajectory, frame_id, place): frames by time; each anchor draws in unused frames within ``radius``,
-    sorted along the way from the anchor before it. One trajectory's frames, one row each, are a group."""
+    """(trajectory, frame_id, place): frames by time; each anchor and the unused frames within ``radius`` of it
+    follow sorted along the way from the anchor before it, so that some may stand before it; the first anchor
+    stands alone. Each place depends on those before: one drive's frames, a row each, are a group."""
 
     def walk(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["t", "frame_id"]).drop_duplicates("frame_id").reset_index(drop=True)
-        xyz = rows[["x", "y", "z"]].to_numpy()
+        xyz = rows[["x", "y", "z"]].to_numpy(float)
         cells: dict[tuple[int, int], list[int]] = {}
         for i, (x, y, _) in enumerate(xyz):
             cells.setdefault((int(x // radius), int(y // radius)), []).append(i)
@@ -107,20 +114,38 @@ def frame_order(frames: DataFrame, radius: float = 10.0, group: str = "trajector
         for i in range(len(rows)):
             if used[i]:
                 continue
-            used[i] = True
-            order.append(i)
+            near = [i]
             if last >= 0:
                 way = xyz[i] - xyz[last]
                 size = float((way @ way) ** 0.5)
-                way = way / size if size >= 1e-6 else [1.0, 0.0, 0.0]
+                way = way / size if size >= 1e-6 else np.array([1.0, 0.0, 0.0])
                 cx, cy = int(xyz[i][0] // radius), int(xyz[i][1] // radius)
                 near = [j for a in (-1, 0, 1) for b in (-1, 0, 1) for j in cells.get((cx + a, cy + b), ()) if not used[j] and ((xyz[j] - xyz[i]) ** 2).sum() <= radius * radius]
-                for j in sorted(near, key=lambda j: (float((xyz[j] - xyz[i]) @ way), j)):
-                    used[j] = True
-                    order.append(j)
+                near.sort(key=lambda j: (float(xyz[j] @ way), j))
+            for j in near:
+                used[j] = True
+            order += near
             last = i
         out = rows.loc[order, [group, "frame_id"]]
         return out.assign(place=range(len(out)))
 
     kind = frames.schema[group].dataType.simpleString()
     return frames.groupBy(group).applyInPandas(walk, f"{group} {kind}, frame_id long, place long")
+
+
+def merged_candidates(found: DataFrame, members: DataFrame, intersections: DataFrame, within: float, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Candidates (cluster, x, y, last_seen, missing) whose centres chain up within a distance, as one each.
+
+    The set union of their intersections (``members``: cluster, id) gives centre, means and number anew; the
+    last frame seen is the greatest, the number of missed frames the least.
+    """
+    roots = clusters(found.select(F.col("cluster").alias("id"), "x", "y"), within, keep).select(F.col("id").alias("cluster"), F.col("cluster").alias("root"))
+    roots = keep(roots)
+    own = members.join(roots, "cluster").select("root", "id").distinct().join(intersections, "id")
+    points = own.groupBy("root").agg(*[F.percentile(c, 0.5).alias(c) for c in "xyz"], F.count("*").alias("n"), F.avg("length").alias("mean_length"), F.avg("dist").alias("mean_dist"))
+    seen = found.join(roots, "cluster").groupBy("root").agg(F.max("last_seen").alias("last_seen"), F.min("missing").alias("missing"), F.count("*").alias("merged"))
+    return points.join(seen, "root").withColumnRenamed("root", "cluster")
+
+
+#: Thresholds in use for the two kinds of panoramas: gap of rays, size of clusters, distance of an update, frames missed, length of a ray.
+PARAMETERS = {"spherical": (0.5, 1.0, 1.0, 5, 20.0), "cubemap": (0.2, 0.5, 1.0, 20, 20.0)}

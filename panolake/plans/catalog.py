@@ -28,9 +28,11 @@ def query(sql: str | None = None):
 
 
 def keeper(spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
-    """Cuts lineage by a table in the folder that the session names for checkpoints, or by checkpoint() without one."""
+    """Cuts lineage by a table in the folder that the session names for checkpoints, or by checkpoint() into the folder set on its context."""
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if where is None and spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         import tempfile
 
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
@@ -54,9 +56,9 @@ PAIRS = """pairs AS (SELECT d.det_id, l.label_id, d.dataset, d.image_id, d.score
   FROM fx_dets d JOIN fx_labels l ON d.image_id = l.image_id AND d.x <= l.x + l.w AND l.x <= d.x + d.w AND d.y <= l.y + l.h AND l.y <= d.y + d.h),
 scored AS (SELECT *, CAST(shared AS DOUBLE) / (sides - shared) AS iou FROM pairs),
 chosen AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY det_id ORDER BY iou DESC, label_id) AS k FROM scored) WHERE k = 1 AND iou >= 0.25)"""
-TAGS = PAIRS + """, matched AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id, label_id ORDER BY iou DESC, det_id) AS kk FROM chosen) WHERE kk = 1),
-tags AS (SELECT d.dataset, CASE WHEN m.label_id IS NULL THEN 'FP' ELSE 'TP' END AS tag, m.label_id, d.det_id, d.score, round_even(m.iou * 1000, 0) / 1000 AS iou, d.x, d.y FROM fx_dets d LEFT JOIN matched m ON d.det_id = m.det_id
-  UNION ALL SELECT l.dataset, 'FN', l.label_id, NULL, NULL, NULL, l.x, l.y FROM fx_labels l WHERE l.label_id NOT IN (SELECT label_id FROM matched))"""
+TAGS = PAIRS + """, matched AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id, label_id ORDER BY iou DESC, det_id) AS kk FROM chosen) WHERE kk = 1 AND label_class = det_class + 1),
+tags AS (SELECT d.dataset, CASE WHEN m.label_id IS NULL THEN 'FP' ELSE 'TP' END AS tag, m.label_id, d.det_id, d.score, round_even(m.iou * 1000, 0) / 1000 AS iou, d.x, d.y, m.label_class, d.det_class FROM fx_dets d LEFT JOIN matched m ON d.det_id = m.det_id
+  UNION ALL SELECT l.dataset, 'FN', l.label_id, NULL, NULL, NULL, l.x, l.y, l.label_class, NULL FROM fx_labels l WHERE l.label_id NOT IN (SELECT label_id FROM matched))"""
 RATIOS = """CASE WHEN tp + fp = 0 THEN 0.0::DOUBLE ELSE tp::DOUBLE / (tp + fp) END AS "precision", CASE WHEN tp + fn = 0 THEN 0.0::DOUBLE ELSE tp::DOUBLE / (tp + fn) END AS recall, CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0::DOUBLE ELSE (2 * tp)::DOUBLE / (2 * tp + fp + fn) END AS f1"""
 COUNTS = "count(*) FILTER (tag = 'TP') AS tp, count(*) FILTER (tag = 'FP') AS fp, count(*) FILTER (tag = 'FN') AS fn"
 
@@ -72,7 +74,7 @@ def match_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {TAGS} SELECT dataset, tag, label_id, det_id, score, iou FROM tags")
 def match_tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tags_of(spark, sf_dir)
+    return tags_of(spark, sf_dir).drop("label_class", "det_class")
 
 
 @query(f'WITH {TAGS}, c AS (SELECT dataset, {COUNTS} FROM tags GROUP BY dataset) SELECT dataset, tp AS "TP", fp AS "FP", fn AS "FN", {RATIOS} FROM c')
@@ -106,9 +108,10 @@ def metric_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return averaged.select(*[r6(F.col(c), c) for c in averaged.columns])
 
 
-@query(f"""WITH {TAGS} SELECT CASE WHEN tag = 'FP' THEN 'background' ELSE 'object' END AS true_class, count(*) FILTER (tag <> 'FN') AS object, count(*) FILTER (tag = 'FN') AS background FROM tags GROUP BY 1""")
+@query(f"""WITH {TAGS}, c AS (SELECT CASE WHEN tag = 'FP' THEN 'background' WHEN label_class = 1 THEN 'cover' ELSE 'grid' END AS true_class, CASE WHEN tag = 'FN' THEN 'background' WHEN det_class = 0 THEN 'cover' ELSE 'grid' END AS predicted FROM tags)
+SELECT true_class, count(*) FILTER (predicted = 'cover') AS cover, count(*) FILTER (predicted = 'grid') AS "grid", count(*) FILTER (predicted = 'background') AS background FROM c GROUP BY true_class""")
 def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.confusion(tags_of(spark, sf_dir), ["object"])
+    return matching.confusion(tags_of(spark, sf_dir), ["cover", "grid"])
 
 
 @query("SELECT image_id, concat('pano_', image_id, '_', 512, '_', 736, '.jpg') AS tile, concat('pano_', image_id) AS image, 512 AS x, 736 AS y FROM fx_images")
@@ -181,9 +184,9 @@ def tile_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("label_id", F.col("min_x").cast("long").alias("min_x"), F.col("min_y").cast("long").alias("min_y"), "tile_x", "tile_y", "tile_w", "tile_h")
 
 
-@query(f"WITH {TILED}, c AS ({CLIPPED}) SELECT label_id, min_x, min_y, CAST(least(tile_x + CAST(round_even(tile_w * 1.1::DOUBLE, 0) AS BIGINT), 512) AS BIGINT) AS black_x, CAST(least(tile_y + CAST(round_even(tile_h * 1.1::DOUBLE, 0) AS BIGINT), 512) AS BIGINT) AS black_y FROM c WHERE label_id % 5 = 0")
+@query(f"WITH {TILED}, c AS ({CLIPPED}) SELECT label_id, min_x, min_y, CAST(least(tile_x + CAST(round_even(tile_w * 1.1::DOUBLE, 0) AS BIGINT), 512) AS BIGINT) AS black_x, CAST(least(tile_y + CAST(round_even(tile_h * 1.1::DOUBLE, 0) AS BIGINT), 512) AS BIGINT) AS black_y FROM c")
 def rejected_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = tile_annotations(spark, sf_dir).where("label_id % 5 = 0")
+    rows = tile_annotations(spark, sf_dir)
     return rows.select("label_id", "min_x", "min_y", tiling.blackened(F.col("tile_x"), F.col("tile_w")).cast("long").alias("black_x"), tiling.blackened(F.col("tile_y"), F.col("tile_h")).cast("long").alias("black_y"))
 
 
@@ -462,9 +465,10 @@ def dbscan_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return triangulation.clusters(_points(spark, sf_dir, "fx_points", "vec_id"), 0.004, keeper(spark))
 
 
-@query()
+@query("WITH o AS (SELECT frame_id // 500 AS trajectory, frame_id, frame_id % 500 AS k FROM fx_frames) SELECT trajectory, frame_id, CAST(CASE k WHEN 1 THEN 0 WHEN 2 THEN 1 WHEN 0 THEN 2 ELSE k END AS BIGINT) AS place FROM o")
 def frame_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frames = view(spark, sf_dir, "fx_frames").withColumn("trajectory", F.floor(F.col("frame_id") / 500))
+    """Drives of 500 frames in which neighbours come in swapped order of time: the anchor before is passed, so one frame stands behind."""
+    frames = view(spark, sf_dir, "fx_frames").withColumn("trajectory", F.floor(F.col("frame_id") / 500)).withColumn("t", F.col("frame_id").bitwiseXOR(F.lit(1)))
     return triangulation.frame_order(frames)
 
 
