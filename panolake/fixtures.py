@@ -40,6 +40,8 @@ def with_views(sql: str) -> str:
     names = [n for n in VIEWS if n in sql]
     names = [*dict.fromkeys([*(d for n in names for d in _NEEDS.get(n, ())), *names])]
     views = ", ".join(f"{n} AS ({VIEWS[n]})" for n in names)
+    if not names:
+        return sql
     for head in ("WITH RECURSIVE ", "WITH "):
         if sql.startswith(head):
             return f"{head}{views}, {sql[len(head):]}"

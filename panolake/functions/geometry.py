@@ -140,3 +140,88 @@ def parse_frame_name(name: Column) -> Column:
     parts = F.split(F.regexp_replace(name, r"\.\w+$", ""), "-")
     some = F.size(parts) >= 4
     return F.struct(F.when(some, F.concat(F.get(parts, 0), F.lit("-"), F.get(parts, 3))).alias("frame"), F.when(some, F.get(parts, 1)).alias("model"), F.when(some, F.get(parts, 2)).alias("face"))
+
+
+def rings(parts: Column) -> Column:
+    """The rings of a segmentation: parts of under five numbers are left out."""
+    return F.transform(F.filter(parts, lambda part: F.size(part) >= 5), ring)
+
+
+def flat(vertices: Column) -> Column:
+    """A ring as a flat list of coordinates."""
+    return F.flatten(F.transform(vertices, lambda v: F.array(v["x"], v["y"])))
+
+
+def segmentation(parts: Column) -> Column:
+    """Rings as a segmentation: all in one list, one after another."""
+    return F.array(F.flatten(F.transform(parts, flat)))
+
+
+def parts_area(parts: Column) -> Column:
+    """Area of rings that do not overlap."""
+    return F.aggregate(F.transform(parts, area), F.lit(0.0), lambda a, x: a + x)
+
+
+def inside(x: Column, y: Column, vertices: Column) -> Column:
+    """A point lies in a ring or on its edge."""
+    n = F.size(vertices)
+    sides = F.transform(vertices, lambda v, i: F.struct(v["x"].alias("ax"), v["y"].alias("ay"), F.get(vertices, F.pmod(i + 1, n))["x"].alias("bx"), F.get(vertices, F.pmod(i + 1, n))["y"].alias("by")))
+    cross = lambda s: (s["bx"] - s["ax"]) * (y - s["ay"]) - (s["by"] - s["ay"]) * (x - s["ax"])
+    between = lambda s: (x >= F.least(s["ax"], s["bx"])) & (x <= F.greatest(s["ax"], s["bx"])) & (y >= F.least(s["ay"], s["by"])) & (y <= F.greatest(s["ay"], s["by"]))
+    crossed = lambda s: ((s["ay"] > y) != (s["by"] > y)) & (F.when(s["by"] > s["ay"], cross(s)).otherwise(-cross(s)) > 0)
+    return F.exists(sides, lambda s: (cross(s) == 0) & between(s)) | (F.size(F.filter(sides, crossed)) % 2 == 1)
+
+
+def _meet(p: Column, q: Column) -> Column:
+    """Two sides (a to b) share a point."""
+    turn = lambda a, b, c: F.signum((b["x"] - a["x"]) * (c["y"] - a["y"]) - (b["y"] - a["y"]) * (c["x"] - a["x"]))
+    on = lambda a, b, c: (c["x"] >= F.least(a["x"], b["x"])) & (c["x"] <= F.greatest(a["x"], b["x"])) & (c["y"] >= F.least(a["y"], b["y"])) & (c["y"] <= F.greatest(a["y"], b["y"]))
+    a, b, c, d = p["a"], p["b"], q["a"], q["b"]
+    one, two, three, four = turn(a, b, c), turn(a, b, d), turn(c, d, a), turn(c, d, b)
+    proper = (one != two) & (three != four)
+    return proper | ((one == 0) & on(a, b, c)) | ((two == 0) & on(a, b, d)) | ((three == 0) & on(c, d, a)) | ((four == 0) & on(c, d, b))
+
+
+def rings_intersect(one: Column, other: Column) -> Column:
+    """Two rings, as closed areas, share a point."""
+    sides = lambda r: F.transform(r, lambda v, i: F.struct(v.alias("a"), F.get(r, F.pmod(i + 1, F.size(r))).alias("b")))
+    touch = F.exists(sides(one), lambda p: F.exists(sides(other), lambda q: _meet(p, q)))
+    first = lambda r: (F.get(r, 0)["x"], F.get(r, 0)["y"])
+    return touch | inside(*first(one), other) | inside(*first(other), one)
+
+
+def with_suffix(name: Column, suffix: str) -> Column:
+    """The name, ending in the suffix once."""
+    return F.when(F.endswith(name, F.lit(suffix)), name).otherwise(F.concat(name, F.lit(suffix)))
+
+
+def list_literal(text: Column) -> Column:
+    """The strings of a list written as ['a', 'b']; null where it is none."""
+    return F.from_json(F.replace(text, F.lit("'"), F.lit('"')), "array<string>")
+
+
+def shown_name(name: Column, dataset: Column) -> Column:
+    """Name of an image's picture with its dataset before it; tif becomes png."""
+    return F.concat(dataset, F.lit("_"), F.replace(name, F.lit(".tif"), F.lit(".png")))
+
+
+def truncated(box: Column) -> Column:
+    """A box of whole numbers, cut toward zero."""
+    return F.transform(box, lambda v: v.cast("int"))
+
+
+def well_known_binary(vertices: Column) -> Column:
+    """A ring as the well-known binary of a polygon, big-endian; the first vertex closes it."""
+    closed = F.when(F.get(vertices, 0) == F.element_at(vertices, -1), vertices).otherwise(F.concat(vertices, F.slice(vertices, 1, 1)))
+    head = F.concat(F.lit("000000000300000001"), F.lpad(F.hex(F.size(closed)), 8, "0"))
+    return F.unhex(F.concat(head, F.array_join(F.transform(flat(closed), double_hex), "")))
+
+
+def double_hex(value: Column) -> Column:
+    """The sixteen hex digits of a double, from its sign, exponent and fraction."""
+    v = F.abs(value.cast("double"))
+    power = F.floor(F.log2(F.when(v == 0, 1.0).otherwise(v)))
+    power = power + F.when(v >= F.pow(F.lit(2.0), power + 1), 1).when(v < F.pow(F.lit(2.0), power), -1).otherwise(0)
+    fraction = ((v / F.pow(F.lit(2.0), power) - 1) * 2.0**52).cast("long")
+    bits = F.when(v == 0, F.lit(0).cast("long")).otherwise(F.shiftleft((power + 1023).cast("long"), 52).bitwiseOR(fraction))
+    return F.lpad(F.hex(bits.bitwiseOR(F.when(value < 0, F.lit(-(1 << 63))).otherwise(F.lit(0).cast("long")))), 16, "0")

@@ -23,7 +23,7 @@ def heat_map(points: DataFrame, size: float = 100.0) -> DataFrame:
 def heat_grid(points: DataFrame, size: float, minx: float, miny: float, columns: int, rows: int) -> DataFrame:
     """Every cell (ix, iy) of a grid with its FN and FP points, 0 where there are none."""
     spark = points.sparkSession
-    cells = spark.range(columns).select(F.col("id").alias("ix"), F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).cast("long").alias("iy"))
+    cells = spark.range(columns).select(F.col("id").alias("ix"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(rows - 1).cast("long"))).alias("iy"))
     counts = grid_cells(points.where(F.col("tag").isin("FN", "FP")), size, minx, miny).groupBy("ix", "iy").agg(*[F.count_if(F.col("tag") == t).alias(t) for t in ("FN", "FP")])
     return cells.join(counts, ["ix", "iy"], "left").na.fill(0, ["FN", "FP"])
 

@@ -36,7 +36,7 @@ def ray_pairs(rays: DataFrame, frames_apart: int = 8, radius: float = 20.0, gap:
     met = met.withColumn("cos", sum((p * q for p, q in zip(d1[1:], d2[1:], strict=True)), d1[0] * d2[0])).where(F.abs(1 - F.col("cos") * F.col("cos")) >= 1e-6)
     w = [p - q for p, q in zip(o1, o2, strict=True)]
     d, e = (sum((x * y for x, y in zip(v[1:], w[1:], strict=True)), v[0] * w[0]) for v in (d1, d2))
-    below = 1 - F.col("cos") * F.col("cos")
+    below = F.nullif(1 - F.col("cos") * F.col("cos"), F.lit(0.0))
     met = met.withColumn("t1", (F.col("cos") * e - d) / below).withColumn("t2", (e - F.col("cos") * d) / below)
     met = met.where(F.col("t1").between(0, radius) & F.col("t2").between(0, radius))
     if radii_apart is not None:

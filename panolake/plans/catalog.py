@@ -510,14 +510,6 @@ def wrap_around(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("label_id", F.array_min("u").cast("long").alias("left_u"), F.array_max("u").cast("long").alias("right_u"))
 
 
-@query()
-def seg_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = tiling.tiles_of_boxes(view(spark, sf_dir, "fx_labels"))
-    clipped = geometry.clip_ring(geometry.ring(_flat()), F.col("min_x"), F.col("min_y"), 512)
-    rows = rows.select("label_id", "min_x", "min_y", clipped.alias("ring"))
-    return rows.select("label_id", "min_x", "min_y", F.size("ring").alias("corners"), geometry.area(F.col("ring")).alias("area"), geometry.on_border(F.col("ring"), 512).alias("borderline"))
-
-
 @query("SELECT dataset, det_id FROM (SELECT dataset, det_id, row_number() OVER (PARTITION BY dataset ORDER BY md5(concat('42|', det_id)), det_id) AS k FROM fx_dets) WHERE k <= 50")
 def review_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return control.capped(view(spark, sf_dir, "fx_dets").select("dataset", "det_id"), "dataset", 50, tiling.order_key("det_id"), "det_id")
