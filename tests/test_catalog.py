@@ -1,4 +1,4 @@
-"""Every query of the catalog against its SQL in DuckDB."""
+"""Every query of both catalogs against its SQL in DuckDB."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ import math
 
 import duckdb
 import pytest
+from panolake.plans import chains  # noqa: F401  adds its queries
 from panolake.plans.catalog import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -26,6 +27,8 @@ def plain(value):
         return None
     if isinstance(value, (bool, str, datetime.date)):
         return value
+    if isinstance(value, (list, tuple)):
+        return tuple(map(plain, value))
     return float(value)
 
 
