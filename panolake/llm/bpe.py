@@ -238,8 +238,38 @@ def told_apart(groups: DataFrame, known: pa.Array) -> DataFrame:
     return groups.select("doc_ids", "lengths", "codes", "words").mapInArrow(look_up, PARTS)
 
 
-def encode(docs: DataFrame, ranks: Ranks, kept: int = KEPT) -> DataFrame:
-    """doc_id, ids (little-endian unsigned 32-bit) of every whole text."""
+DECODED = "doc_id long, ids binary, bytes binary"
+
+
+class Decoder:
+    """Adds to Arrow batches of ids the bytes that they stand for: the binary pieces of the ids, one after another."""
+
+    def __init__(self, spark: SparkSession, ranks: Ranks):
+        tokens = [b""] * (max(ranks.ranks.values()) + 1)
+        for token, rank in ranks.ranks.items():
+            tokens[rank] = token
+        self.held = spark.sparkContext.broadcast((np.frombuffer(b"".join(tokens), np.uint8), np.array(list(map(len, tokens)), np.int64)))
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        data, lengths = self.held.value
+        starts = np.cumsum(lengths) - lengths
+        for rows in slices(batches, 500, SLICE_BYTES, "ids"):
+            ids = [np.frombuffer(x.as_buffer(), "<u4") for x in rows.column("ids")]
+            flat = np.concatenate(ids)
+            counts = lengths[flat]
+            ends = np.concatenate([[0], np.cumsum(counts)])
+            edges = ends[np.concatenate([[0], np.cumsum(list(map(len, ids)))])]
+            held_bytes = pa.BinaryArray.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(data[spread(starts[flat], counts)])])
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("ids"), held_bytes], ["doc_id", "ids", "bytes"])
+
+
+def decode(encoded: DataFrame, ranks: Ranks) -> DataFrame:
+    """doc_id, ids, bytes of every row of ids."""
+    return encoded.select("doc_id", "ids").mapInArrow(Decoder(encoded.sparkSession, ranks), DECODED)
+
+
+def encode(docs: DataFrame, ranks: Ranks, kept: int = KEPT, then: Decoder | None = None) -> DataFrame:
+    """doc_id, ids (little-endian unsigned 32-bit) of every whole text; ``then`` decodes them in the same tasks."""
     spark = docs.sparkSession
     groups = written(grouped(text_of(docs), ranks.pattern), "bpe-groups")
     with scratch(spark) as keep:
@@ -280,31 +310,9 @@ def encode(docs: DataFrame, ranks: Ranks, kept: int = KEPT) -> DataFrame:
 
     groups = told_apart(groups, known)
     groups = groups.select("doc_ids", "lengths", "codes", "of", ranks.fold_words(F.col("words")).alias("folded"), "long")
-    return groups.mapInArrow(put_together, "doc_id long, ids binary")
-
-
-def decode(encoded: DataFrame, ranks: Ranks) -> DataFrame:
-    """doc_id, ids, bytes: the binary pieces of the ids, one after another."""
-    tokens = [b""] * (max(ranks.ranks.values()) + 1)
-    for token, rank in ranks.ranks.items():
-        tokens[rank] = token
-    held = encoded.sparkSession.sparkContext.broadcast((np.frombuffer(b"".join(tokens), np.uint8), np.array(list(map(len, tokens)), np.int64)))
-
-    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data, lengths = held.value
-        starts = np.cumsum(lengths) - lengths
-        for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
-                rows = batch.slice(k, 1000)
-                ids = [np.frombuffer(x, "<u4") for x in rows.column("ids").to_pylist()]
-                flat = np.concatenate(ids)
-                counts = lengths[flat]
-                ends = np.concatenate([[0], np.cumsum(counts)])
-                edges = ends[np.concatenate([[0], np.cumsum(list(map(len, ids)))])]
-                held_bytes = pa.BinaryArray.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(data[spread(starts[flat], counts)])])
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("ids"), held_bytes], ["doc_id", "ids", "bytes"])
-
-    return encoded.mapInArrow(pieces, "doc_id long, ids binary, bytes binary")
+    if then is None:
+        return groups.mapInArrow(put_together, "doc_id long, ids binary")
+    return groups.mapInArrow(lambda batches: then(put_together(batches)), DECODED)
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -312,5 +320,5 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks = Ranks(read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN)
-    both = decode(encode(table(spark, sf_dir, "documents"), ranks), ranks)
+    both = encode(table(spark, sf_dir, "documents"), ranks, then=Decoder(spark, ranks))
     return both.select("doc_id", F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))

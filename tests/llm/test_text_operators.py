@@ -50,13 +50,15 @@ def pairs(rows):
     return sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, str(x[1:])))
 
 
-def test_bpe(docs, nothing, texts):
+def test_bpe(spark, docs, nothing, texts):
     import tiktoken
 
     ranks = bpe.Ranks(bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN)
     own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks.ranks, special_tokens={})
     got = [(r["doc_id"], np.frombuffer(r["ids"], "<u4").tolist(), bytes(r["bytes"]).decode()) for r in bpe.decode(bpe.encode(docs, ranks, kept=40), ranks).collect()]
     assert pairs(got) == pairs([(i, own.encode_ordinary(t or ""), t or "") for i, t in texts])
+    at_once = [(r["doc_id"], np.frombuffer(r["ids"], "<u4").tolist(), bytes(r["bytes"]).decode()) for r in bpe.encode(docs, ranks, kept=40, then=bpe.Decoder(spark, ranks)).collect()]
+    assert pairs(at_once) == pairs(got)
     assert bpe.encode(nothing, ranks).count() == 0
 
 
