@@ -9,6 +9,7 @@ token of the file, as its end-of-text marker, go to the library whole.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -51,6 +52,18 @@ def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
 
 
+def cuts_as(file: dict, glued: bool) -> bool:
+    """Whether a tokenizer file cuts texts as units are cut here; any other file gets whole texts."""
+    model, cutter = file["model"], file["pre_tokenizer"] or {}
+    if model.get("type") != "BPE" or model.get("dropout") or model.get("ignore_merges"):
+        return False
+    if glued:
+        return file["normalizer"] is None and (cutter.get("type"), cutter.get("add_prefix_space"), cutter.get("use_regex")) == ("ByteLevel", False, True)
+    steps = [n.get("type") for n in (file["normalizer"] or {}).get("normalizers", [])]
+    patterns = [c.get("pattern") for c in cutter.get("pretokenizers", [])]
+    return steps == ["NFC", "Replace", "Lowercase"] and patterns == [{"Regex": SPACED}, None]
+
+
 class Units:
     """Ids of units from a tokenizer file, remembered between batches of one worker."""
 
@@ -60,6 +73,8 @@ class Units:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        with open(path, "rb") as file:
+            self.by_rule = cuts_as(json.load(file), glued)
         added = self.library.get_added_tokens_decoder().values()
         #: Added tokens that are matched in normalised text are looked for in any case of letters.
         self.added = [(t.content, t.normalized) for t in added if t.content]
@@ -78,6 +93,9 @@ class Units:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and the number of ids of each text."""
+        if not self.by_rule:
+            whole = [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            return np.concatenate([np.zeros(0, np.uint32), *whole]), np.array([len(x) for x in whole], np.int64)
         marked = self._marked(texts)
         if not len(marked):
             return self._by_units(texts)

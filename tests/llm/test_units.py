@@ -25,6 +25,37 @@ def test_added_tokens(name, glued):
     assert library.token_to_id("<|endoftext|>") in want[0]
 
 
+def test_other_rules_get_whole_texts(tmp_path):
+    """A file that cuts in another way is not cut here."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    with open(public_tokenizers.path("byte_bpe_50k.json")) as file:
+        rules = json.load(file)
+    assert Units(public_tokenizers.path("byte_bpe_50k.json"), True).by_rule and Units(public_tokenizers.path("word_bpe_49k.json"), False).by_rule
+    rules["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "own.json").write_text(json.dumps(rules))
+    units, library = Units(str(tmp_path / "own.json"), True), Tokenizer.from_file(str(tmp_path / "own.json"))
+    ids, counts = units.encode(pa.array(TEXTS))
+    assert not units.by_rule and [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [library.encode(t, add_special_tokens=False).ids for t in TEXTS]
+
+
+def test_memory_starts_anew(monkeypatch):
+    """Ids stay right while units are forgotten and met again."""
+    from panolake.llm import units as module
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(module, "REMEMBERED", 40)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own, library = Units(path, True), Tokenizer.from_file(path)
+    for k in range(30):
+        texts = [f"the same words and w{k} x{k * 7} again", f"y{k % 5} the end"]
+        ids, counts = own.encode(pa.array(texts))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(own.known) <= 40
+
+
 def test_store_and_packing(spark):
     from tokenizers import Tokenizer
 
