@@ -357,6 +357,43 @@ def tested_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.extent_grid(extents, 100.0).where(geometry.inside(F.col("cell_x"), F.col("cell_y"), shape)).select("id", "cell_x")
 
 
+@query("SELECT det_id, CAST(image_id AS INTEGER) AS image_id, CAST(w * h AS DOUBLE) AS area, x, y FROM fx_dets WHERE score >= 0.5")
+def first_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detections from a score on, by the first ring of their segmentation alone."""
+    parts = F.array(_flat(), geometry.shift(_flat(), F.lit(500), F.lit(0)))
+    rows = view(spark, sf_dir, "fx_dets").where("score >= 0.5").select("det_id", F.col("image_id").cast("int").alias("image_id"), geometry.ring(F.get(parts, 0)).alias("ring"))
+    return rows.select("det_id", "image_id", geometry.area(F.col("ring")).alias("area"), geometry.bounds(F.col("ring"))["x"].alias("x"), geometry.bounds(F.col("ring"))["y"].alias("y"))
+
+
+@query("SELECT label_id, round(n / 2.0::DOUBLE * r * r * sin(2 * pi() / n), 4) AS area FROM (SELECT label_id, CASE WHEN label_id % 3 = 0 THEN 40 ELSE 64 END AS n, w / 8.0::DOUBLE AS r, w FROM fx_labels) WHERE n > 50 AND n / 2.0::DOUBLE * r * r * sin(2 * pi() / n) > 200")
+def sane_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outlines of over 50 vertices, over 200 square pixels and under 1000 pixels across."""
+    labels = view(spark, sf_dir, "fx_labels")
+    of = lambda n: geometry.point_buffer(F.col("x"), F.col("y"), F.col("w") / 8, n)
+    rows = labels.select("label_id", F.when(F.col("label_id") % 3 == 0, of(40)).otherwise(of(64)).alias("ring"))
+    rows = rows.select("label_id", "ring", geometry.area(F.col("ring")).alias("area"))
+    return rows.where((F.size("ring") > 50) & (F.col("area") > 200) & (geometry.bounds(F.col("ring"))["w"] < 1000)).select("label_id", F.round("area", 4).alias("area"))
+
+
+@query("SELECT label_id, label_id % 3 = 0 AS all_zero, CASE WHEN label_id % 3 = 0 THEN 0 ELSE label_id % 3 END AS first FROM fx_labels")
+def elevation_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outlines without any elevation are reported and left; others take the nearest one where it is missing."""
+    z = F.array(F.lit(0).cast("bigint"), F.col("label_id") % 3, F.lit(0).cast("bigint"))
+    rows = view(spark, sf_dir, "fx_labels").select("label_id", z.alias("z"))
+    return rows.select("label_id", (~F.exists("z", lambda v: v != 0)).alias("all_zero"), F.get(geometry.nearest_nonzero(F.col("z")), 0).alias("first"))
+
+
+@query("""SELECT image_id, 0 || ' ' || string_agg(line, ' ' ORDER BY k) AS line FROM (SELECT image_id, label_id, k, CAST(v AS VARCHAR) AS line FROM (SELECT image_id, label_id, unnest([0, 1, 2, 3, 4, 5, 6, 7]) AS k, unnest([x / 8000.0::DOUBLE, y / 4000.0::DOUBLE, (x + w) / 8000.0::DOUBLE, y / 4000.0::DOUBLE, (x + w) / 8000.0::DOUBLE, (y + h) / 4000.0::DOUBLE, x / 8000.0::DOUBLE, (y + h) / 4000.0::DOUBLE]) AS raw FROM fx_labels), LATERAL (SELECT round(raw, 6) AS v)) GROUP BY image_id, label_id""")
+def yolo_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Label lines of whole shares of the image, written in a folder per image and read back."""
+    from panolake.sources.coco import write_yolo
+
+    labels = view(spark, sf_dir, "fx_labels").select("image_id", F.lit(0).alias("category_id"), F.array(_flat().cast("array<double>")).alias("segmentation"))
+    write_yolo(labels, 8000, 4000, path := folder(spark))
+    rows = spark.read.schema("value string, image_id bigint").text(path)
+    return rows.select("image_id", F.col("value").alias("line"))
+
+
 # Rotations, rigs, rays
 
 
