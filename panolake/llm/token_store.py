@@ -26,7 +26,7 @@ from panolake.llm.units import slices, units_of
 
 #: Ids between two bit-offset checkpoints, and the ids after which a block is closed.
 EVERY, BLOCK_IDS = 512, 1 << 17
-BLOCKS = "shard int, first long, doc_ids array<long>, lengths array<int>, bits array<int>, payload binary"
+BLOCKS = "shard int, first long, doc_ids array<long>, lengths array<int>, bits array<long>, payload binary"
 
 
 @dataclass(frozen=True)
@@ -168,7 +168,7 @@ def encode_blocks(tokens: DataFrame, code: Code, kind: str) -> DataFrame:
             row = {"shard": shard, "first": first, "doc_ids": docs[:], "lengths": sizes[:], "bits": begins[::EVERY].tolist(), "payload": payload}
             first, held_ids = first + held_ids, 0
             docs.clear(), sizes.clear(), parts.clear()
-            schema = pa.schema([("shard", pa.int32()), ("first", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("bits", pa.list_(pa.int32())), ("payload", pa.binary())])
+            schema = pa.schema([("shard", pa.int32()), ("first", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("bits", pa.list_(pa.int64())), ("payload", pa.binary())])
             return pa.RecordBatch.from_pylist([row], schema=schema)
 
         for batch in batches:
