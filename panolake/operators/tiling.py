@@ -12,8 +12,9 @@ def tiles(images: DataFrame, size: int = 512, overlap_x: int = 44, overlap_y: in
     """One row per tile corner of every image: columns from 0, rows from the padding."""
     across = F.sequence(F.lit(0), F.col("width") - overlap_x - 1, F.lit(size - overlap_x))
     down = F.sequence(F.lit(padding), F.col("height") - padding - overlap_y - 1, F.lit(size - overlap_y))
-    rows = images.withColumn("min_x", F.explode(across)).withColumn("min_y", F.explode(down))
-    return rows.withColumn("tile", F.concat(F.regexp_replace("file_name", r"\.\w+$", ""), F.lit("_"), F.col("min_x"), F.lit("_"), F.col("min_y"), F.lit(".jpg")))
+    rows = images.withColumn("base", F.regexp_replace("file_name", r"\.\w+$", ""))  # once an image
+    rows = rows.withColumn("min_x", F.explode(across)).withColumn("min_y", F.explode(down))
+    return rows.withColumn("tile", F.concat("base", F.lit("_"), F.col("min_x"), F.lit("_"), F.col("min_y"), F.lit(".jpg"))).drop("base")
 
 
 def tiles_of_boxes(boxes: DataFrame, size: int = 512, overlap_x: int = 44, overlap_y: int = 8, padding: int = 736, width: int = 8000, height: int = 4000) -> DataFrame:
@@ -56,12 +57,12 @@ def order_key(*columns: str, seed: int = 42) -> Column:
     return F.md5(F.concat_ws("|", F.lit(seed), *[F.col(c).cast("string") for c in columns]))
 
 
-def first_rows(rows: DataFrame, keys: list[str], counts: DataFrame, cuts: list[str], key: str, after: Column | None = None) -> DataFrame:
+def first_rows(rows: DataFrame, keys: list[str], counts: DataFrame, cuts: list[str], key: str, after: Column | None = None, below_only: bool = False) -> DataFrame:
     """``rows`` with ``below``: for each of ``cuts``, columns of numbers in ``counts`` (one row per ``keys``), whether
     a row is among so many first rows of its keys, in the fixed order of ``key``; those with ``after`` true come last.
 
-    A histogram of the order's first four digits tells for all rows but those of the buckets that hold a
-    cut; only these are ranked, so that no group of rows is sorted as a whole.
+    A histogram of the order's first four digits tells in which bucket a cut lies; rows are ranked inside
+    buckets, so that no group of rows is sorted as a whole. With ``below_only`` later buckets go before that.
     """
     order = order_key(key)
     bucket = F.conv(F.substring(order, 1, 4), 16, 10).cast("int") + F.when(after, 1 << 16).otherwise(0) if after is not None else F.conv(F.substring(order, 1, 4), 16, 10).cast("int")
@@ -72,9 +73,9 @@ def first_rows(rows: DataFrame, keys: list[str], counts: DataFrame, cuts: list[s
     places = [F.max(F.when(F.col("before") < F.col(c), F.struct("bucket", "before"))).alias(f"at_{c}") for c in cuts]
     cut = held.groupBy(*keys).agg(*places, *[F.first(c).alias(c) for c in cuts])
     marked = rows.join(F.broadcast(cut), keys)
-    inside = F.coalesce(F.array_contains(F.array(*[F.col(f"at_{c}.bucket") for c in cuts]), F.col("bucket")), F.lit(False))
-    ranked = marked.where(inside).withColumn("k", F.row_number().over(Window.partitionBy(*keys, "bucket").orderBy(order, key)))
-    every = ranked.unionByName(marked.where(~inside).withColumn("k", F.lit(0)))
+    if below_only:
+        marked = marked.where(F.col("bucket") <= F.greatest(*[F.col(f"at_{c}.bucket") for c in cuts], F.lit(-1)))
+    every = marked.withColumn("k", F.row_number().over(Window.partitionBy(*keys, "bucket").orderBy(order, key)))
     below = [F.coalesce((F.col("bucket") < F.col(f"at_{c}.bucket")) | ((F.col("bucket") == F.col(f"at_{c}.bucket")) & (F.col(f"at_{c}.before") + F.col("k") <= F.col(c))), F.lit(False)) for c in cuts]
     return every.withColumn("below", F.array(*below)).drop("bucket", "k", *cuts, *[f"at_{c}" for c in cuts])
 
@@ -82,7 +83,7 @@ def first_rows(rows: DataFrame, keys: list[str], counts: DataFrame, cuts: list[s
 def sample_negatives(empty: DataFrame, positives: DataFrame, keys: list[str], share: float, low: Column) -> DataFrame:
     """Per key as many empty tiles as needed for ``share``, low ones first, in the fixed order."""
     need = positives.groupBy(*keys).agg(negatives_needed(F.count("*"), share).alias("need"))
-    return first_rows(empty, keys, need, ["need"], "tile", ~low).where(F.get("below", 0)).drop("below")
+    return first_rows(empty, keys, need, ["need"], "tile", ~low, below_only=True).where(F.get("below", 0)).drop("below")
 
 
 def split(images: DataFrame, key: str, group: str, train: float = 0.7) -> DataFrame:

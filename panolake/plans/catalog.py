@@ -200,10 +200,14 @@ need AS (SELECT aoi, CAST(ceil(count(*) * 0.33::DOUBLE / (1 - 0.33::DOUBLE)) AS
 ranked AS (SELECT m.aoi, m.tile, m.min_y, n, row_number() OVER (PARTITION BY m.aoi ORDER BY (m.min_y >= 2000) DESC, md5(concat('42|', m.tile)), m.tile) AS k FROM marked m JOIN need ON m.aoi = need.aoi WHERE NOT full_tile)
 SELECT aoi, tile FROM ranked WHERE k <= n""")
 def negative_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grid = tiling.tiles(view(spark, sf_dir, "fx_images"))
-    taken = tiling.tiles_of_boxes(view(spark, sf_dir, "fx_labels")).select("image_id", "min_x", "min_y").distinct()
-    keys = ["image_id", "min_x", "min_y"]
-    chosen = tiling.sample_negatives(grid.join(taken, keys, "left_anti"), grid.join(taken, keys, "left_semi"), ["aoi"], 0.33, F.col("min_y") >= 2000)
+    # Every image becomes 85 tiles, so images of few and small files are dealt out first.
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    images, keys = view(spark, sf_dir, "fx_images").repartition(n), ["image_id", "min_x", "min_y"]
+    taken = keeper(spark)(tiling.tiles_of_boxes(view(spark, sf_dir, "fx_labels")).select(*keys).distinct())
+    side = F.broadcast(taken) if taken.count() <= 500_000 else taken  # the grid is not shuffled for a few tiles
+    empty = tiling.tiles(images).select("aoi", "tile", *keys).join(side, keys, "left_anti")
+    positives = taken.join(images.select("image_id", "aoi"), "image_id")
+    chosen = tiling.sample_negatives(empty, positives, ["aoi"], 0.33, F.col("min_y") >= 2000)
     return chosen.select("aoi", "tile")
 
 
