@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from panolake.llm.alignment import op12_alignment
 from panolake.llm.ann import op1_nearest
 from panolake.llm.bpe import op3_bpe
 from panolake.llm.fingerprints import OP10_SQL, op10_fingerprints
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_packing": op9_packing,
     "op10_fingerprints": op10_fingerprints,
+    "op12_alignment": op12_alignment,
     "op13_sort_means": op13_sort_means,
 }
 
