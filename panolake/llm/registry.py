@@ -9,6 +9,7 @@ from panolake.llm.fingerprints import OP10_SQL, op10_fingerprints
 from panolake.llm.license_scan import op6_license_scan
 from panolake.llm.lines import OP8_SQL, op8_line_dedup
 from panolake.llm.packing import op9_packing
+from panolake.llm.pq_dedup import OP11_SQL, op11_pq_dedup
 from panolake.llm.simhash import op4_simhash
 from panolake.llm.sort_means import OP13_SQL, op13_sort_means
 from panolake.llm.substring import op7_substring_dedup
@@ -26,9 +27,10 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_packing": op9_packing,
     "op10_fingerprints": op10_fingerprints,
+    "op11_pq_dedup": op11_pq_dedup,
     "op12_alignment": op12_alignment,
     "op13_sort_means": op13_sort_means,
 }
 
 #: DuckDB SQL where SQL can express a query.
-ORACLE: dict[str, str] = {"op8_line_dedup": OP8_SQL, "op10_fingerprints": OP10_SQL, "op13_sort_means": OP13_SQL}
+ORACLE: dict[str, str] = {"op8_line_dedup": OP8_SQL, "op10_fingerprints": OP10_SQL, "op11_pq_dedup": OP11_SQL, "op13_sort_means": OP13_SQL}
