@@ -7,19 +7,20 @@ from pyspark.sql import functions as F
 
 
 def distance_pairs(left: DataFrame, right: DataFrame, within: float, closed: bool = False) -> DataFrame:
-    """(a, b, dist): points (id, x, y) of both sides nearer than ``within``.
+    """(a, b, dist): points (id, x, y) of both sides nearer than ``within``; in space where both sides have z.
 
     Left points go to the nine cells around them, right points to their own; the join is on the cell, so
     it shuffles by place and needs no nested loop. Each pair meets in exactly one cell.
     """
+    axes = "xyz" if "z" in left.columns and "z" in right.columns else "xy"
     cell = lambda c: F.floor(F.col(c) / within)
     around = F.explode(F.sequence(F.lit(-1), F.lit(1)))
-    l = left.select(F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), (cell("x")).alias("cx"), cell("y").alias("cy"))  # noqa: E741
-    l = l.withColumn("ex", around).withColumn("ey", around).select("a", "ax", "ay", (F.col("cx") + F.col("ex")).alias("cx"), (F.col("cy") + F.col("ey")).alias("cy"))  # noqa: E741
-    r = right.select(F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), cell("x").alias("cx"), cell("y").alias("cy"))
-    dx, dy = F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")
-    far = F.sqrt(dx * dx + dy * dy)
-    met = l.join(r, ["cx", "cy"]).select("a", "b", far.alias("dist"))
+    own = lambda df, side: df.select(F.col("id").alias(side), *[F.col(c).alias(f"{side}{c}") for c in axes], cell("x").alias("cx"), cell("y").alias("cy"))
+    spread = own(left, "a").withColumn("ex", around).withColumn("ey", around)
+    spread = spread.withColumns({"cx": F.col("cx") + F.col("ex"), "cy": F.col("cy") + F.col("ey")}).drop("ex", "ey")
+    apart = [F.col(f"a{c}") - F.col(f"b{c}") for c in axes]
+    far = F.sqrt(sum((d * d for d in apart[1:]), apart[0] * apart[0]))
+    met = spread.join(own(right, "b"), ["cx", "cy"]).select("a", "b", far.alias("dist"))
     return met.where(F.col("dist") <= within if closed else F.col("dist") < within)
 
 

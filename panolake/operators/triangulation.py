@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -10,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panolake.functions.camera import radius_of_area
+from panolake.operators import drive
 from panolake.operators.components import connected_components
 from panolake.operators.spatial import distance_pairs
 
@@ -18,19 +22,24 @@ def _col(side: str, name: str) -> Column:
     return F.col(f"{side}.{name}")
 
 
-def ray_pairs(rays: DataFrame, frames_apart: int = 8, radius: float = 20.0, gap: float = 0.2, height: tuple[float, float] | None = (-3.8, -2.0), radii_apart: float | None = None) -> DataFrame:
-    """(ray_a, ray_b, frame_a, frame_b, x, y, z, dist, length): closest approaches of rays of nearby frames.
+def ray_pairs(rays: DataFrame, radius: float = 20.0, gap: float = 0.2, height: tuple[float, float] | None = (-3.8, -2.0), radii_apart: float | None = None, group: str | None = None) -> DataFrame:
+    """(ray_a, ray_b, frame_a, frame_b, x, y, z, dist, length): closest approaches of rays of an earlier and a later frame.
 
-    Rays meet in blocks of ``frames_apart`` frames: an equality join on the block and the next one, never
-    a nested loop. Nearly parallel rays, points behind a camera or beyond ``radius``, gaps above ``gap`` and
-    heights outside the window below the lower camera are rejected; with ``radii_apart`` also pairs whose disks,
-    worked out from the mask ``area`` of either ray, differ by more in radius.
+    Rays no longer than ``radius`` meet only where their cameras stand within twice that, so rays meet by cells
+    of that size, whenever a place is passed again: an equality join, never a nested loop. Nearly parallel rays,
+    points behind a camera or beyond ``radius``, gaps above ``gap`` and heights outside the window below the lower
+    camera are rejected; with ``radii_apart`` also pairs whose disks, worked out from the mask ``area`` of either
+    ray, differ by more in radius. With ``group`` only rays that agree in this column meet, and it is put out.
     """
-    block = F.floor(F.col("frame_id") / frames_apart)
-    a = rays.withColumn("block", F.explode(F.array(block, block + 1))).alias("a")
-    b = rays.withColumn("block", block).alias("b")
-    apart = _col("b", "frame_id") - _col("a", "frame_id")
-    met = a.join(b, (_col("a", "block") == _col("b", "block")) & (apart > 0) & (apart <= frames_apart))
+    cells, keys = [F.floor(F.col(c) / (2 * radius)) for c in ("ox", "oy")], [group] if group else []
+    around = F.explode(F.sequence(F.lit(-1), F.lit(1)))
+    a = rays.withColumns({"cx": cells[0], "cy": cells[1]}).withColumn("ex", around).withColumn("ey", around)
+    a = a.withColumns({"cx": F.col("cx") + F.col("ex"), "cy": F.col("cy") + F.col("ey")}).drop("ex", "ey").alias("a")
+    b = rays.withColumns({"cx": cells[0], "cy": cells[1]}).alias("b")
+    same = [_col("a", c) == _col("b", c) for c in ("cx", "cy", *keys)]
+    across, along = (_col("a", c) - _col("b", c) for c in ("ox", "oy"))
+    near = across * across + along * along <= (2 * radius) ** 2
+    met = a.join(b, reduce(and_, [*same, _col("a", "frame_id") < _col("b", "frame_id"), near]))
     d1, d2 = [_col("a", f"d{c}") for c in "xyz"], [_col("b", f"d{c}") for c in "xyz"]
     o1, o2 = [_col("a", f"o{c}") for c in "xyz"], [_col("b", f"o{c}") for c in "xyz"]
     met = met.withColumn("cos", sum((p * q for p, q in zip(d1[1:], d2[1:], strict=True)), d1[0] * d2[0])).where(F.abs(1 - F.col("cos") * F.col("cos")) >= 1e-6)
@@ -45,7 +54,7 @@ def ray_pairs(rays: DataFrame, frames_apart: int = 8, radius: float = 20.0, gap:
     ends = [(p + F.col("t1") * u, q + F.col("t2") * v) for p, u, q, v in zip(o1, d1, o2, d2, strict=True)]
     far = F.sqrt(sum(((p - q) * (p - q) for p, q in ends[1:]), (ends[0][0] - ends[0][1]) * (ends[0][0] - ends[0][1])))
     out = met.select(
-        _col("a", "ray_id").alias("ray_a"), _col("b", "ray_id").alias("ray_b"), _col("a", "frame_id").alias("frame_a"), _col("b", "frame_id").alias("frame_b"),
+        *[_col("a", c).alias(c) for c in keys], _col("a", "ray_id").alias("ray_a"), _col("b", "ray_id").alias("ray_b"), _col("a", "frame_id").alias("frame_a"), _col("b", "frame_id").alias("frame_b"),
         *[((p + q) / 2).alias(c) for (p, q), c in zip(ends, "xyz", strict=True)], far.alias("dist"), F.greatest("t1", "t2").alias("length"), F.least(o1[2], o2[2]).alias("camera_z"),
     ).where(F.col("dist") <= gap)
     if height:
@@ -60,31 +69,36 @@ def best_per_frame(pairs: DataFrame) -> DataFrame:
 
 
 def clusters(points: DataFrame, eps: float, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(id, cluster): components of points (id, x, y) at most ``eps`` apart; every point is in one."""
+    """(id, cluster): components of points (id, x, y, and z if there) at most ``eps`` apart; every point is in one."""
     pairs = distance_pairs(points, points, eps, closed=True).where("a <= b").select("a", "b")
     return connected_components(pairs, keep).select(F.col("node").alias("id"), F.col("root").alias("cluster"))
 
 
-def peel(members: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(id, ray, cluster) down to the clusters that win their rays: the largest first, ties to the lower number.
+def peel(meetings: DataFrame, eps: float, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(id, ray, cluster) of meetings (id, ray_a, ray_b, x, y, z) in the clusters that win their rays: the largest first, ties to the lower number.
 
-    A round keeps every cluster that beats all clusters it shares a ray with and drops the intersections
-    of other clusters on its rays, which equals peeling the largest off again and again. The largest of all
-    wins in each round, so rounds go on until none is left. Rows of a null cluster are in none.
+    A round keeps every cluster that beats all clusters it shares a ray with and drops the meetings of other
+    clusters on its rays; clusters that lose one so fall into clusters anew. Others only shrink meanwhile, so
+    this equals taking the largest again and again. The largest of all wins in each round, so rounds go on until none is left.
     """
-    left, won = keep(members.where("cluster is not null")), None
+    meetings = meetings.select("id", "ray_a", "ray_b", *"xyz")
+    points = meetings.select("id", *"xyz")
+    on_rays = meetings.select("id", F.explode(F.array("ray_a", "ray_b")).alias("ray"))
+    left, won = keep(clusters(points, eps, keep).join(on_rays, "id")), None
     while True:
         sizes = left.groupBy("cluster").agg(F.count_distinct("id").alias("n"))
         on_ray = left.join(sizes, "cluster").withColumn("k", F.dense_rank().over(Window.partitionBy("ray").orderBy(F.desc("n"), "cluster")))
         winners = keep(on_ray.groupBy("cluster").agg(F.max("k").alias("worst")).where("worst = 1").select("cluster"))
         now = keep(left.join(winners, "cluster", "left_semi"))
         won = now if won is None else won.unionByName(now)
-        used = now.select("ray").distinct()
-        hurt = left.join(winners, "cluster", "left_anti").join(used, "ray", "left_semi").select("id").distinct()
-        left = keep(left.join(winners, "cluster", "left_anti").join(hurt, "id", "left_anti"))
-        if left.isEmpty():
-            break
-    return won
+        lost = left.join(winners, "cluster", "left_anti")
+        hurt = keep(lost.join(now.select("ray").distinct(), "ray", "left_semi").select("id", "cluster").distinct())
+        lost = keep(lost.join(hurt.select("id"), "id", "left_anti"))
+        if lost.isEmpty():
+            return won
+        broken = lost.join(hurt.select("cluster").distinct(), "cluster", "left_semi").select("id", "ray")
+        anew = clusters(points.join(broken.select("id").distinct(), "id", "left_semi"), eps, keep)
+        left = keep(lost.join(hurt.select("cluster").distinct(), "cluster", "left_anti").select("id", "cluster", "ray").union(anew.join(broken, "id").select("id", "cluster", "ray")))
 
 
 def candidates(intersections: DataFrame, labels: DataFrame) -> DataFrame:
@@ -134,18 +148,46 @@ def frame_order(frames: DataFrame, radius: float = 10.0, group: str = "trajector
 
 
 def merged_candidates(found: DataFrame, members: DataFrame, intersections: DataFrame, within: float, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Candidates (cluster, x, y, last_seen, missing) whose centres chain up within a distance, as one each.
+    """Candidates (cluster, x, y, z, last_seen, missing, datasets) whose centres chain up within a distance in space, as one each.
 
     The set union of their intersections (``members``: cluster, id) gives centre, means and number anew; the
-    last frame seen is the greatest, the number of missed frames the least.
+    last frame seen is the greatest, the number of missed frames the least, the datasets are all of theirs.
     """
-    roots = clusters(found.select(F.col("cluster").alias("id"), "x", "y"), within, keep).select(F.col("id").alias("cluster"), F.col("cluster").alias("root"))
+    roots = clusters(found.select(F.col("cluster").alias("id"), *"xyz"), within, keep).select(F.col("id").alias("cluster"), F.col("cluster").alias("root"))
     roots = keep(roots)
     own = members.join(roots, "cluster").select("root", "id").distinct().join(intersections, "id")
     points = own.groupBy("root").agg(*[F.percentile(c, 0.5).alias(c) for c in "xyz"], F.count("*").alias("n"), F.avg("length").alias("mean_length"), F.avg("dist").alias("mean_dist"))
-    seen = found.join(roots, "cluster").groupBy("root").agg(F.max("last_seen").alias("last_seen"), F.min("missing").alias("missing"), F.count("*").alias("merged"))
+    every = [F.array_sort(F.array_distinct(F.flatten(F.collect_set("datasets")))).alias("datasets")] if "datasets" in found.columns else []
+    seen = found.join(roots, "cluster").groupBy("root").agg(F.max("last_seen").alias("last_seen"), F.min("missing").alias("missing"), F.count("*").alias("merged"), *every)
     return points.join(seen, "root").withColumnRenamed("root", "cluster")
 
 
+class Triangulated(NamedTuple):
+    """What a run over drives gives."""
+
+    #: cluster, drive, x, y, z, n, mean_length, mean_dist, last_seen, missing, merged, datasets
+    candidates: DataFrame
+    #: drive, id, ray_a, ray_b, frame, x, y, z, dist, length of every meeting that no larger cluster made false
+    intersections: DataFrame
+    #: the columns of the rays, and whether a ray is still active at the end of its drive
+    rays: DataFrame
+
+
+def triangulate(rays: DataFrame, frames: DataFrame, keep: Callable[[DataFrame], DataFrame], limits: drive.Limits = drive.Limits(), **pairing) -> Triangulated:
+    """Candidates of ``rays`` (drive, frame_id, ray_id, ox..dz) over ``frames`` (drive, frame, datasets): pairs by place, the walk of each drive, the last merge."""
+    pairs = ray_pairs(rays, group="drive", **pairing)
+    walk = keep(drive.walked(frames, pairs, limits))
+    key = F.struct("drive", "ray_a", "ray_b").alias("id")
+    false = walk.where("kind = 'false'").select("drive", "ray_a", "ray_b").distinct()
+    every = walk.where("kind = 'intersection'").select("drive", key, "ray_a", "ray_b", "frame", *"xyz", "dist", "length")
+    found = walk.where("kind = 'candidate'").select(F.struct("drive", "candidate").alias("cluster"), *"xyz", "last_seen", "missing", "datasets", "members", "drive")
+    members = found.select("cluster", "drive", F.explode("members").alias("m")).select("cluster", "drive", F.col("m.ray_a").alias("ray_a"), F.col("m.ray_b").alias("ray_b"))
+    members = members.select("cluster", key)
+    merged = keep(merged_candidates(found.drop("members", "drive"), members, every, limits.update, keep).withColumn("drive", F.col("cluster.drive")))
+    idle = walk.where("kind = 'idle'").select("drive", F.col("ray_a").alias("ray_id")).withColumn("idle", F.lit(True))
+    shown = rays.join(idle, ["drive", "ray_id"], "left").withColumn("active", F.col("idle").isNull()).drop("idle")
+    return Triangulated(merged, every.join(false, ["drive", "ray_a", "ray_b"], "left_anti"), shown)
+
+
 #: Thresholds in use for the two kinds of panoramas: gap of rays, size of clusters, distance of an update, frames missed, length of a ray.
 PARAMETERS = {"spherical": (0.5, 1.0, 1.0, 5, 20.0), "cubemap": (0.2, 0.5, 1.0, 20, 20.0)}

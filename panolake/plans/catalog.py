@@ -464,6 +464,40 @@ def best_pair_per_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(triangulation.best_per_frame(triangulation.ray_pairs(view(spark, sf_dir, "fx_rays"))))
 
 
+DRIVE_PAIRS = RAYS.replace("fx_rays a JOIN fx_rays b ON b.frame_id > a.frame_id AND b.frame_id <= a.frame_id + 8", "fx_drive_rays a JOIN fx_drive_rays b ON a.drive = b.drive AND b.frame_id > a.frame_id").replace("SELECT a.ray_id AS ray_a", "SELECT a.drive, a.ray_id AS ray_a").replace("SELECT ray_a, ray_b, frame_a", "SELECT drive, ray_a, ray_b, frame_a")
+
+
+@query(f"{DRIVE_PAIRS} SELECT drive, {SHOWN} FROM good")
+def drive_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rays that meet on drives that come back along the same road: found by place, not by how near their frames are."""
+    pairs = triangulation.ray_pairs(view(spark, sf_dir, "fx_drive_rays"), group="drive")
+    return pairs.select("drive", *_shown(pairs).columns[:4], *[(F.round(c, 6) + 0).alias(c) for c in ("x", "y", "z", "dist", "length")])
+
+
+def _triangulated(spark: SparkSession, sf_dir: str) -> triangulation.Triangulated:
+    frames = view(spark, sf_dir, "fx_drive_frames").select("drive", "frame", F.array("dataset").alias("datasets"))
+    return triangulation.triangulate(view(spark, sf_dir, "fx_drive_rays"), frames, keeper(spark))
+
+
+@query()
+def drive_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of drives with neighbouring objects and revisits; the walk is held against a plain one in the tests."""
+    found = _triangulated(spark, sf_dir).candidates
+    return found.select("drive", *[r6(F.col(c), c) for c in ("x", "y", "z", "mean_length", "mean_dist")], "n", "last_seen", "missing", "merged", F.array_join("datasets", ",").alias("datasets"))
+
+
+@query()
+def drive_intersections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Meetings that the walk kept."""
+    return _triangulated(spark, sf_dir).intersections.select("drive", "ray_a", "ray_b", "frame", *[r6(F.col(c), c) for c in ("x", "y", "z", "dist", "length")])
+
+
+@query()
+def drive_rays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rays, and whether they are still active at the end of their drive."""
+    return _triangulated(spark, sf_dir).rays.select("drive", "ray_id", "frame_id", "active")
+
+
 @query("""WITH RECURSIVE near AS (SELECT a.vec_id AS a, b.vec_id AS b FROM fx_points a JOIN fx_points b ON sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 0.004::DOUBLE), reach AS (SELECT a, a AS b FROM near UNION SELECT r.a, n.b FROM reach r JOIN near n ON r.b = n.a) SELECT a AS id, min(b) AS cluster FROM reach GROUP BY a""")
 def dbscan_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return triangulation.clusters(_points(spark, sf_dir, "fx_points", "vec_id"), 0.004, keeper(spark))
@@ -479,9 +513,7 @@ def frame_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _peeled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     keep = keeper(spark)
     pairs = keep(triangulation.best_per_frame(triangulation.ray_pairs(view(spark, sf_dir, "fx_rays"))).withColumn("id", F.col("ray_a") * (1 << 32) + F.col("ray_b")))
-    grouped = triangulation.clusters(pairs.select("id", "x", "y"), 0.5, keep)
-    members = grouped.join(pairs.select("id", F.explode(F.array("ray_a", "ray_b")).alias("ray")), "id")
-    return pairs, triangulation.peel(members, keep)
+    return pairs, triangulation.peel(pairs, 0.5, keep)
 
 
 @query(f"{RAYS}, c AS (SELECT frame_a // 5 AS object_id, ray_a, ray_b FROM good), s AS (SELECT object_id, count(*) AS n FROM c GROUP BY object_id) SELECT c.ray_a, c.ray_b, n FROM c JOIN s USING (object_id)")
