@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from operator import itemgetter
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -59,13 +59,11 @@ class Plain(Units):
         for token, i in vocab.items():
             self.bytes[i] = bytes(map(byte_of.__getitem__, token))
 
-    def ids_of(self, units: list[str]) -> list[list[int]]:
-        """Ids of whole units (leading space included)."""
-        if not self.by_rule:
-            return [e.ids for e in self.library.encode_batch_fast(units, add_special_tokens=False)]
-        ids, n = self._by_library(units)
-        ends, flat = np.cumsum(n).tolist(), ids.tolist()
-        return [flat[e - k : e] for e, k in zip(ends, n.tolist(), strict=True)]
+    def ids_of(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of whole units (leading space included), and how many each has."""
+        if self.by_rule:
+            return self._by_library(units)
+        return _flat([e.ids for e in self.library.encode_batch_fast(units, add_special_tokens=False)])
 
 
 class Pieces:
@@ -78,21 +76,13 @@ class Pieces:
         names = [self.library.id_to_piece(i) for i in range(self.library.get_piece_size())]
         self.bytes = [bytes([int(p[3:5], 16)]) if self.library.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)]
 
-    def ids_of(self, units: list[str]) -> list[list[int]]:
-        return self.library.encode(units, num_threads=1)
+    def ids_of(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return _flat(self.library.encode(units, num_threads=1))
 
 
-def grouped(a: list[int], b: list[int], a_ends: list[int], b_ends: list[int]) -> tuple[str, list[tuple[int, int]]]:
-    """The groups of one unit as text, and its links: pairs of ids whose tokens end at one byte."""
-    names, links, j, a_from, b_from = [], [], 0, 0, 0
-    for i, end in enumerate(a_ends):
-        while b_ends[j] < end:
-            j += 1
-        if b_ends[j] == end:
-            names.append(f"{','.join(map(str, a[a_from : i + 1]))}|{','.join(map(str, b[b_from : j + 1]))}")
-            links.append((a[i], b[j]))
-            a_from, b_from = i + 1, j + 1
-    return ";".join(names), links
+def _flat(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    n = np.fromiter(map(len, rows), np.int64, len(rows))
+    return np.fromiter(chain.from_iterable(rows), np.int64, int(n.sum())), n
 
 
 class Aligner:
@@ -100,46 +90,81 @@ class Aligner:
 
     def __init__(self, a_path: str, b_path: str):
         self.a, self.b = Plain(a_path), Pieces(b_path)
-        self._empty()
-
-    def _empty(self) -> None:
+        self.a_sizes, self.b_sizes = (np.array([len(x) for x in side.bytes], np.int64) for side in (self.a, self.b))
+        #: How an id is written inside a group, and at the end of its side of a group.
+        self.a_shown = [[f"{i}{c}" for i in range(len(self.a.bytes))] for c in ",|"]
+        self.b_shown = [[f"{i}{c}" for i in range(len(self.b.bytes))] for c in ",;"]
         self.known: dict[str, int] = {}
         self.held = 0
+        #: Each unit's groups as text, ``;`` after each.
         self.names: list[str] = []
         #: Per unit: sound, ids of A and B, groups; and the first link and number of links.
         self.facts = np.zeros((0, 6), np.int64)
         self.links = np.zeros((0, 2), np.int64)
+        self.again = np.zeros(0, bool)
 
     def places(self, units: list[str]) -> np.ndarray:
         """Where each of these distinct units is remembered."""
         size = sum(map(len, units))
         if self.known and (len(self.known) + len(units) > REMEMBERED or self.held + size > REMEMBERED_BYTES):
-            self._empty()
-        new = [u for u in units if u not in self.known]
-        if new:
-            self.held += sum(map(len, new))
-            self._learn(new)
-        return np.array([self.known[u] for u in units], np.int64)
+            self._forget()
+        found = np.fromiter((-1 if i is None else i for i in map(self.known.get, units)), np.int64, len(units))
+        self.again[found[found >= 0]] = True
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            found[new] = np.arange(len(self.facts), len(self.facts) + len(new))
+            self._learn([units[i] for i in new.tolist()])
+        return found
+
+    def _forget(self) -> None:
+        """Only units that were met again stay, or none if those alone are too many or too long."""
+        stay = np.flatnonzero(self.again)
+        units = list(self.known)
+        if len(stay) > REMEMBERED // 2 or sum(len(units[i]) for i in stay.tolist()) > REMEMBERED_BYTES // 2:
+            stay = stay[:0]
+        self.known = {units[i]: k for k, i in enumerate(stay.tolist())}
+        self.held = sum(map(len, self.known))
+        self.names = [self.names[i] for i in stay.tolist()]
+        facts = self.facts[stay]
+        self.links = self.links[spread(facts[:, 4], facts[:, 5])]
+        facts[:, 4] = np.cumsum(facts[:, 5]) - facts[:, 5]
+        self.facts, self.again = facts, np.zeros(len(stay), bool)
 
     def _learn(self, units: list[str]) -> None:
         spaced = [f" {u}" for u in units]
-        facts, links, at = [], [], len(self.links)
-        a_bytes, b_bytes = self.a.bytes, self.b.bytes
-        for whole, a, b in zip(spaced, self.a.ids_of(spaced), self.b.ids_of(units), strict=True):
-            raw = whole.encode()
-            of_a, of_b = [a_bytes[i] for i in a], [b_bytes[i] for i in b]
-            if b"".join(of_a) != raw or b"".join(of_b) != raw:
-                self.names.append("")
-                facts.append((0, 0, 0, 0, at, 0))
-                continue
-            name, own = grouped(a, b, np.cumsum([len(x) for x in of_a]).tolist(), np.cumsum([len(x) for x in of_b]).tolist()) if len(a) > 1 or len(b) > 1 else (f"{a[0]}|{b[0]}", [(a[0], b[0])])
-            self.names.append(name)
-            facts.append((1, len(a), len(b), len(own), at, len(own)))
-            links += own
-            at += len(own)
+        (a, a_n), (b, b_n) = self.a.ids_of(spaced), self.b.ids_of(units)
+        a, b = a.astype(np.int64), b.astype(np.int64)
+        raw = [u.encode() for u in spaced]
+        sound = _sound(raw, a, a_n, self.a, self.a_sizes) & _sound(raw, b, b_n, self.b, self.b_sizes)
+        a, b = a[np.repeat(sound, a_n)], b[np.repeat(sound, b_n)]
+        a_n, b_n = np.where(sound, a_n, 0), np.where(sound, b_n, 0)
+        # Sound units have as many bytes on either side, so their ends agree along the whole list.
+        a_ends, b_ends = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
+        a_last, b_last = np.isin(a_ends, b_ends, assume_unique=True), np.isin(b_ends, a_ends, assume_unique=True)
+        groups = _sums(a_last.astype(np.int64), np.concatenate([[0], np.cumsum(a_n)]))
+        at = len(self.links) + np.cumsum(groups) - groups
         self.known.update(zip(units, range(len(self.facts), len(self.facts) + len(units)), strict=True))
-        self.facts = np.concatenate([self.facts, np.array(facts, np.int64).reshape(-1, 6)])
-        self.links = np.concatenate([self.links, np.array(links, np.int64).reshape(-1, 2)])
+        self.facts = np.concatenate([self.facts, np.stack([sound, a_n, b_n, groups, at, groups], axis=1)])
+        self.links = np.concatenate([self.links, np.stack([a[a_last], b[b_last]], axis=1)])
+        self.again = np.concatenate([self.again, np.zeros(len(units), bool)])
+        self.held += sum(map(len, units))
+        # As text: group by group, its ids of A and then of B.
+        order = np.argsort(np.concatenate([np.cumsum(a_last) - a_last, np.cumsum(b_last) - b_last]), kind="stable")
+        shown = [self.a_shown[last][i] for i, last in zip(a.tolist(), a_last.tolist(), strict=True)]
+        shown += [self.b_shown[last][i] for i, last in zip(b.tolist(), b_last.tolist(), strict=True)]
+        shown = [shown[i] for i in order.tolist()]
+        ends = np.cumsum(a_n + b_n).tolist()
+        self.names += ["".join(shown[lo:hi]) for lo, hi in zip([0, *ends], ends, strict=False)]
+
+
+def _sound(raw: list[bytes], ids: np.ndarray, n: np.ndarray, side: Plain | Pieces, sizes: np.ndarray) -> np.ndarray:
+    """Whether the joined token bytes of each unit are the unit's own."""
+    of = [side.bytes[i] for i in ids.tolist()]
+    edges = np.concatenate([[0], np.cumsum(n)])
+    same = _sums(sizes[ids], edges) == np.fromiter(map(len, raw), np.int64, len(raw))
+    if same.all() and b"".join(of) == b"".join(raw):
+        return same
+    return np.array([b"".join(of[lo:hi]) == r for r, lo, hi in zip(raw, edges[:-1].tolist(), edges[1:].tolist(), strict=True)], bool)
 
 
 def inner_units(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -188,8 +213,7 @@ def _packed(rows: pa.RecordBatch, number: int, aligner: Aligner, a_size: int) ->
     sums = [np.where(sound, _sums(facts[:, k], edges), 0) for k in (1, 2, 3)]
     digests, places, names = [], at.tolist(), aligner.names
     for lo, hi, good in zip(edges[:-1].tolist(), edges[1:].tolist(), sound.tolist(), strict=True):
-        own = itemgetter(*places[lo:hi])(names) if good else ""
-        digests.append(hashlib.sha256((own if isinstance(own, str) else ";".join(own)).encode()).hexdigest() if good else "")
+        digests.append(hashlib.sha256("".join([names[i] for i in places[lo:hi]])[:-1].encode()).hexdigest() if good else "")
     columns = {"doc_ids": rows.column("doc_id").to_pylist(), "n_a": sums[0].tolist(), "n_b": sums[1].tolist(), "n_groups": sums[2].tolist(), "n_links": sums[2].tolist()}
     yield pa.RecordBatch.from_pylist([{"slice": number, "digests": digests} | columns], schema=_PACKED)
 
