@@ -24,6 +24,14 @@ def boxes_overlap(a: dict[str, Column], b: dict[str, Column]) -> Column:
     return (a["x"] <= b["x"] + b["w"]) & (b["x"] <= a["x"] + a["w"]) & (a["y"] <= b["y"] + b["h"]) & (b["y"] <= a["y"] + a["h"])
 
 
+def segmentation_box(parts: Column | str) -> Column:
+    """Struct x, y, w, h around all points of a segmentation; null for none."""
+    axis = lambda k: F.flatten(F.transform(parts, lambda ring: F.filter(ring, lambda _, i: i % 2 == k)))
+    x, y = axis(0), axis(1)
+    box = F.struct(F.array_min(x).alias("x"), F.array_min(y).alias("y"), (F.array_max(x) - F.array_min(x)).alias("w"), (F.array_max(y) - F.array_min(y)).alias("h"))
+    return F.when(F.size(x) > 0, box)
+
+
 def ring(flat: Column) -> Column:
     """Vertices of a flat list of coordinates; rings of under five numbers are empty."""
     pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.floor(F.size(flat) / 2).cast("int") - 1, F.lit(0))), lambda i: F.struct(F.get(flat, 2 * i).alias("x"), F.get(flat, 2 * i + 1).alias("y")))
@@ -185,7 +193,8 @@ def _meet(p: Column, q: Column) -> Column:
 def rings_intersect(one: Column, other: Column) -> Column:
     """Two rings, as closed areas, share a point."""
     sides = lambda r: F.transform(r, lambda v, i: F.struct(v.alias("a"), F.get(r, F.pmod(i + 1, F.size(r))).alias("b")))
-    touch = F.exists(sides(one), lambda p: F.exists(sides(other), lambda q: _meet(p, q)))
+    # The other's sides are bound once, not worked out again for each side of the one.
+    touch = F.get(F.transform(F.array(sides(other)), lambda bound: F.exists(sides(one), lambda p: F.exists(bound, lambda q: _meet(p, q)))), 0)
     first = lambda r: (F.get(r, 0)["x"], F.get(r, 0)["y"])
     return touch | inside(*first(one), other) | inside(*first(other), one)
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panolake.functions.geometry import box_iou, boxes_overlap, half_even
+from panolake.functions import overlay
+from panolake.functions.geometry import box_iou, boxes_overlap, half_even, segmentation_box
+from panolake.operators.spatial import box_pairs
 
 SIDES = ("x", "y", "w", "h")
 
@@ -18,6 +20,21 @@ def candidate_pairs(dets: DataFrame, labels: DataFrame) -> DataFrame:
     return d.join(l, on).select("d.det_id", "l.label_id", "d.dataset", "d.image_id", "d.score", "l.label_class", "d.det_class", box_iou(a, b).alias("iou"))
 
 
+def polygon_pairs(dets: DataFrame, labels: DataFrame, cell: float, *keys: str) -> DataFrame:
+    """As ``candidate_pairs`` for outlines (``segmentation``) that share area, found by place: no image is needed.
+
+    ``keys`` (the image in panoramas, none on the map) must agree beside the dataset; boxes meet by cells of size ``cell``, IoU is that of the outlines.
+    """
+    extra = [k for k in keys if k != "image_id"]
+    image = [F.col("image_id")] if "image_id" in keys else [F.lit(None).cast("long").alias("image_id")]
+    of_dets = dets.select("dataset", *image, *extra, "det_id", "score", "det_class", "segmentation", segmentation_box("segmentation").alias("box"))
+    of_labels = labels.select("dataset", *image, *extra, "label_id", "label_class", "segmentation", segmentation_box("segmentation").alias("box"))
+    pairs = box_pairs(*(df.where("box is not null").select("*", "box.*").drop("box") for df in (of_dets, of_labels)), cell, "dataset", *keys)
+    names = ["l_det_id", "r_label_id", "l_dataset", "l_image_id", "l_score", "r_label_class", "l_det_class"]
+    found = pairs.select(*[F.col(c).alias(c[2:]) for c in names], overlay.iou("l_segmentation", "r_segmentation").alias("iou"))
+    return found.where("iou > 0")
+
+
 def best_label(pairs: DataFrame, least_iou: float = 0.25) -> DataFrame:
     """Each detection commits to its best label, ties to the smaller label_id; then the IoU threshold holds."""
     rank = Window.partitionBy("dataset", "det_id").orderBy(F.desc("iou"), "label_id")
@@ -30,12 +47,13 @@ def best_detection(chosen: DataFrame, *more_keys: str) -> DataFrame:
     return chosen.withColumn("k", F.row_number().over(rank)).where("k = 1").drop("k")
 
 
-def tagged(dets: DataFrame, labels: DataFrame, least_iou: float = 0.25) -> DataFrame:
+def tagged(dets: DataFrame, labels: DataFrame, least_iou: float = 0.25, pairs: DataFrame | None = None) -> DataFrame:
     """dataset, tag (TP, FP, FN), label_id, det_id, score, iou, label_class, det_class: every detection and every label once.
 
     Classes count from 1 in labels and from 0 in detections; a match of two classes is a false and a missing one.
+    ``pairs`` are those of outlines (``polygon_pairs``), else boxes of one image meet.
     """
-    matched = best_detection(best_label(candidate_pairs(dets, labels), least_iou))
+    matched = best_detection(best_label(candidate_pairs(dets, labels) if pairs is None else pairs, least_iou))
     right_class = F.col("label_class") == F.col("det_class") + 1
     matched = matched.where(right_class).select("dataset", "det_id", "label_id", half_even(F.col("iou"), 3).alias("iou"), "label_class")
     of_dets = dets.join(matched, ["dataset", "det_id"], "left").select("dataset", F.when(F.col("label_id").isNull(), "FP").otherwise("TP").alias("tag"), "label_id", "det_id", "score", "iou", "label_class", "det_class")
@@ -70,10 +88,10 @@ def averages(by_class: DataFrame) -> DataFrame:
     return summed.select("macro_p", "macro_r", "weighted_p", "weighted_r", micro_p.alias("micro_p"), micro_r.alias("micro_r"))
 
 
-def threshold_sweep(dets: DataFrame, labels: DataFrame, first: int = 5, last: int = 95, step: int = 5, least_iou: float = 0.25) -> DataFrame:
+def threshold_sweep(dets: DataFrame, labels: DataFrame, first: int = 5, last: int = 95, step: int = 5, least_iou: float = 0.25, pairs: DataFrame | None = None) -> DataFrame:
     """Counts and ratios at each score threshold (hundredths). Pairs are found once; the second stage of
     the match is done again for each threshold, as its winner depends on who is left."""
-    chosen = best_label(candidate_pairs(dets, labels), least_iou)
+    chosen = best_label(candidate_pairs(dets, labels) if pairs is None else pairs, least_iou)
     scores = lambda df: df.withColumn("t", F.explode(F.sequence(F.lit(first), F.least(F.floor(F.col("score") * 100 + 1e-9).cast("int"), F.lit(last)), F.lit(step)))).where("score >= t / 100d")
     enough = F.col("score") >= first / 100
     tp = best_detection(scores(chosen.where(enough)), "t").groupBy("t").agg(F.count("*").alias("TP"))

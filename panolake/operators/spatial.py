@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -32,6 +32,44 @@ def overlap_pairs(boxes: DataFrame) -> DataFrame:
     return l.join(r, on).select("l.dataset", "l.image_id", F.col("l.det_id").alias("a"), F.col("r.det_id").alias("b"))
 
 
+def box_pairs(left: DataFrame, right: DataFrame, cell: float, *keys: str, crowded: int = 10_000, finer: int = 16) -> DataFrame:
+    """Rows of both sides (columns l_* and r_*) whose boxes (x, y, w, h) touch and that agree in ``keys``; no image needed.
+
+    Boxes are dealt to all cells of a grid that they touch; an equality join brings a cell's boxes together, and of
+    the cells that two boxes share the one that holds the upper left corner of their common part gives the pair,
+    so each comes once. Cells with over ``crowded`` boxes (and over a partition's share, so fewer than there are
+    partitions) are dealt again to finer ones. ``cell`` should not be far below the usual size of a box.
+    """
+    cells = [*keys, "cx", "cy"]
+
+    def spans(low: Column, high: Column, size: float) -> Column:
+        return F.sequence(F.floor(low / size), F.floor(high / size))
+
+    def dealt(side: DataFrame, p: str) -> DataFrame:
+        rows = side.select(*keys, *[F.col(c).alias(f"{p}{c}") for c in side.columns])
+        for axis, length, out in (("x", "w", "cx"), ("y", "h", "cy")):
+            rows = rows.withColumn(out, F.explode(spans(F.col(f"{p}{axis}"), F.col(f"{p}{axis}") + F.col(f"{p}{length}"), cell)))
+        return rows
+
+    def split(rows: DataFrame, hot: DataFrame, p: str) -> DataFrame:
+        rows, size = rows.join(hot, cells, "left"), cell / finer
+        for axis, length, own, out in (("x", "w", "cx", "fx"), ("y", "h", "cy", "fy")):
+            low, high = F.col(f"{p}{axis}"), F.col(f"{p}{axis}") + F.col(f"{p}{length}")
+            inner = F.sequence(F.greatest(F.floor(low / size), F.col(own) * finer), F.least(F.floor(high / size), F.col(own) * finer + finer - 1))
+            rows = rows.withColumn(out, F.explode(F.when(F.col("hot"), inner).otherwise(F.array(F.lit(-1).cast("long")))))
+        return rows
+
+    one, other = dealt(left, "l_"), dealt(right, "r_")
+    share = max(crowded, other.count() // int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    hot = F.broadcast(other.groupBy(*cells).count().where(F.col("count") > share).select(*cells, F.lit(True).alias("hot")))
+    met = split(one, hot, "l_").join(split(other, hot, "r_").drop("hot"), [*cells, "fx", "fy"])
+    touch = F.expr("l_x <= r_x + r_w and r_x <= l_x + l_w and l_y <= r_y + r_h and r_y <= l_y + l_h")
+    corner = lambda c, size: F.floor(F.greatest(f"l_{c}", f"r_{c}") / size)
+    once = (corner("x", cell) == F.col("cx")) & (corner("y", cell) == F.col("cy"))
+    finely = F.col("hot").isNull() | ((corner("x", cell / finer) == F.col("fx")) & (corner("y", cell / finer) == F.col("fy")))
+    return met.where(touch & once & finely).drop(*cells, "fx", "fy", "hot")
+
+
 def grid_cells(points: DataFrame, size: float, minx: float = 0.0, miny: float = 0.0) -> DataFrame:
     """Points with the cells that hold them; edges belong to both sides, as a closed intersection has it."""
     places = lambda c, low: F.array_distinct(F.array(F.floor((F.col(c) - low) / size), F.ceil((F.col(c) - low) / size) - 1))

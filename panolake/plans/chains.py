@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panolake.fixtures import view
-from panolake.functions import camera, geometry
+from panolake.functions import camera, geometry, overlay
 from panolake.operators import assessment, control, matching, merging, tiling, triangulation
-from panolake.plans.catalog import ANGLES, FAR, FRAME, MATRIX, PROBLEM, RATIOS, RAYS, SCENE, SENSOR, SWEEP, TAGS, _angles, _flat, _in_frame, _peeled, _problems, _scene, keeper, query, r6, tags_of, threshold_sweep
+from panolake.plans.catalog import ANGLES, FAR, FRAME, MATRIX, PAIRS, PROBLEM, RATIOS, RAYS, SCENE, SENSOR, SWEEP, TAGS, _angles, _flat, _in_frame, _peeled, _problems, _scene, keeper, query, r6, tags_of, threshold_sweep
 from panolake.sources import tables
 
 CATEGORIES = [(1, "cover", "street"), (3, "valve", "street")]
@@ -307,6 +307,88 @@ def seg_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Polygons and names
 
 
+def _tilted(rows: DataFrame) -> DataFrame:
+    """Boxes of all images side by side on one map, as parallelograms of the same area: no image tells them apart any more."""
+    x, y = F.col("x") + 20_000 * (F.col("image_id") % 50), F.col("y") + 20_000 * F.floor(F.col("image_id") / 50)
+    corners = [(x, y), (x + F.col("w"), y), (x + F.col("w"), y + F.col("h")), (x, y + F.col("h"))]
+    flat = F.array(*[c.cast("double") for u, v in corners for c in (2 * u + v, u + v)])
+    return rows.withColumn("segmentation", F.array(flat)).drop("x", "y", "w", "h", "image_id")
+
+
+def _tilted_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dets, labels = _tilted(view(spark, sf_dir, "fx_dets")), _tilted(view(spark, sf_dir, "fx_labels"))
+    pairs = keeper(spark)(matching.polygon_pairs(dets, labels, 400.0))
+    return matching.tagged(dets, labels, pairs=pairs)
+
+
+@query(f"WITH {TAGS} SELECT dataset, tag, label_id, det_id FROM tags")
+def polygon_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tilted outlines matched by their place alone, with the IoU of the outlines."""
+    return _tilted_tags(spark, sf_dir).select("dataset", "tag", "label_id", "det_id")
+
+
+@query(f'WITH {TAGS}, c AS (SELECT dataset, {COUNTS} FROM tags GROUP BY dataset) SELECT dataset, tp AS "TP", fp AS "FP", fn AS "FN", {RATIOS} FROM c')
+def polygon_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.metrics(_tilted_tags(spark, sf_dir), "dataset")
+
+
+@query(f"{SWEEP} SELECT * FROM sweep")
+def polygon_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The threshold sweep over outlines found by their place."""
+    dets, labels = _tilted(view(spark, sf_dir, "fx_dets")), _tilted(view(spark, sf_dir, "fx_labels"))
+    return matching.threshold_sweep(dets, labels, pairs=keeper(spark)(matching.polygon_pairs(dets, labels, 400.0)))
+
+
+@query(f"WITH {PAIRS} SELECT det_id, label_id, round(iou, 4) AS iou FROM scored WHERE shared > 0")
+def polygon_ious(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dets, labels = (_tilted(view(spark, sf_dir, n)) for n in ("fx_dets", "fx_labels"))
+    return matching.polygon_pairs(dets, labels, 400.0).select("det_id", "label_id", F.round("iou", 4).alias("iou"))
+
+
+def _cornered(kind: int) -> DataFrame:
+    x, y, w, h = (F.col(c).cast("double") for c in "xywh")
+    rings = {
+        "bow": F.array(F.array(x, y, x + w, y + h, x + w, y, x, y + h)),
+        "spike": F.array(F.array(x, y, x + w, y, x + w, y + 3 * h, x + w, y, x + w, y + h, x + w, y + h, x, y + h)),
+        "frame": F.array(F.array(x, y, x + w, y, x + w, y + h, x, y + h), F.array(x + 5, y + 5, x + w - 5, y + 5, x + w - 5, y + h - 5, x + 5, y + h - 5)),
+        "pair": F.array(F.array(x, y, x + w, y, x + w, y + h, x, y + h), F.array(x + w / 2, y, x + 1.5 * w, y, x + 1.5 * w, y + h, x + w / 2, y + h)),
+    }
+    return list(rings.values())[kind]
+
+
+@query("""SELECT label_id, CASE k WHEN 0 THEN 2 WHEN 3 THEN 2 ELSE 1 END AS parts, CASE k WHEN 2 THEN 1 ELSE 0 END AS holes,
+round(CASE k WHEN 0 THEN w * h / 2.0::DOUBLE WHEN 1 THEN w * h WHEN 2 THEN w * h - (w - 10) * (h - 10) ELSE w * h END, 2) AS area FROM (SELECT *, label_id % 4 AS k FROM fx_labels)""")
+def repaired_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bow-ties, spikes with repeated vertices, frames and overlapping parts, repaired to parts with holes."""
+    kinds = [F.when(F.col("label_id") % 4 == k, _cornered(k)) for k in range(4)]
+    rows = view(spark, sf_dir, "fx_labels").select("label_id", F.coalesce(*kinds).alias("segmentation"))
+    rows = rows.select("label_id", overlay.repaired("segmentation").alias("parts"), overlay.area("segmentation").alias("area"))
+    holes = F.aggregate(F.transform("parts", lambda p: F.size(p) - 1), F.lit(0), lambda a, n: a + n)
+    return rows.select("label_id", F.size("parts").alias("parts"), holes.alias("holes"), F.round("area", 2).alias("area"))
+
+
+@query("SELECT label_id, round(w * h + 2 * (w + h) * 3 + 64 * 0.5::DOUBLE * sin(pi() / 32) * 9, 2) AS grown, CAST((w - 6) * (h - 6) AS DOUBLE) AS shrunk, CASE WHEN least(w, h) > 80 THEN (w - 80.0::DOUBLE) * (h - 80) ELSE 0.0::DOUBLE END AS gone FROM fx_labels")
+def buffered_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes grown by 3 with round corners, shrunk by 3, and by 40, where small ones vanish."""
+    rows = view(spark, sf_dir, "fx_labels").select("label_id", F.array(F.transform(_flat(), lambda v: v.cast("double"))).alias("s"))
+    sizes = [F.round(overlay.area(overlay.buffered("s", F.lit(by))), 2).alias(c) for c, by in (("grown", 3.0), ("shrunk", -3.0), ("gone", -40.0))]
+    return rows.select("label_id", *sizes)
+
+
+@query("""WITH m AS (SELECT det_id // 4 AS b, min(det_id) AS id, count(*) AS n, max(w) AS w, max(h) AS h, round(median(score), 6) AS score FROM fx_dets GROUP BY 1)
+SELECT id, n AS members, score, 1000.0::DOUBLE * (b % 7) + 3 * (id % 4) AS x, CAST(w + 3 * (n - 1) AS DOUBLE) AS w, CAST(h + 2 * (n - 1) AS DOUBLE) AS h, round(w * h + (n - 1) * (w * h - (w - 3) * (h - 2)) + 2 * (n - 1) * (1 - 8 * sin(pi() / 32)), 1) AS area FROM m""")
+def polygon_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detections of tiles that overlap in steps, merged to one outline: grown by a pixel, united, shrunk by a pixel."""
+    b, j = F.floor(F.col("det_id") / 4), F.col("det_id") % 4
+    x, y = 1000.0 * (b % 7) + 3 * j, 1000.0 * (F.floor(b / 7) % 5) + 2 * j
+    box = F.array(x - 468, y - 504, x - 468 + F.col("w"), y - 504, x - 468 + F.col("w"), y - 504 + F.col("h"), x - 468, y - 504 + F.col("h"))
+    tiles = view(spark, sf_dir, "fx_dets").select("det_id", F.lit("one").alias("dataset"), F.floor(b / 35).alias("image_id"), (F.col("det_class") + 1).alias("category_id"), "score", F.array(box).alias("segmentation"), F.lit(468).alias("min_x"), F.lit(504).alias("min_y"))
+    keep = keeper(spark)
+    moved = keep(merging.outlines_to_panorama(tiles))
+    merged = merging.merged_outlines(moved, merging.outline_groups(moved, keep), keep)
+    return merged.select("id", "members", r6(F.col("score"), "score"), *[F.round(c, 2).alias(c) for c in "xwh"], F.round("area", 1).alias("area"))
+
+
 @query("SELECT label_id, CASE WHEN label_id % 4 = 0 THEN 0 WHEN label_id % 4 = 1 THEN 2 ELSE 1 END AS parts, CASE WHEN label_id % 4 = 0 THEN 0.0::DOUBLE WHEN label_id % 4 = 1 THEN 2.0::DOUBLE * w * h ELSE CAST(w * h AS DOUBLE) END AS area, CASE WHEN label_id % 4 = 0 THEN 0 WHEN label_id % 4 = 1 THEN 16 ELSE 8 END AS numbers FROM fx_labels WHERE label_id % 4 <> 0")
 def polygon_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segmentations of no, one or two whole parts; those of none are dropped, others come back as one list."""
@@ -318,10 +400,13 @@ def polygon_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT l.label_id, d.det_id FROM fx_labels l JOIN fx_dets d ON l.image_id = d.image_id AND d.x <= l.x + l.w AND l.x <= d.x + d.w AND d.y <= l.y + l.h AND l.y <= d.y + d.h")
 def polygon_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels and detections of an image whose outlines touch."""
-    labels = view(spark, sf_dir, "fx_labels").select("image_id", "label_id", geometry.ring(_flat()).alias("one"))
-    dets = view(spark, sf_dir, "fx_dets").select("image_id", "det_id", geometry.ring(_flat()).alias("other"))
-    return labels.join(dets, "image_id").where(geometry.rings_intersect(F.col("one"), F.col("other"))).select("label_id", "det_id")
+    """Labels and detections of an image whose outlines touch: boxes meet in the join, rings are worked out once."""
+    keep = keeper(spark)
+    labels = keep(view(spark, sf_dir, "fx_labels").select("image_id", "label_id", *"xywh", geometry.ring(_flat()).alias("one"))).alias("l")
+    dets = keep(view(spark, sf_dir, "fx_dets").select("image_id", "det_id", *"xywh", geometry.ring(_flat()).alias("other"))).alias("d")
+    near = geometry.boxes_overlap(*({c: F.col(f"{t}.{c}") for c in "xywh"} for t in "ld"))
+    met = labels.join(dets, (F.col("l.image_id") == F.col("d.image_id")) & near)
+    return met.where(geometry.rings_intersect(F.col("one"), F.col("other"))).select("label_id", "det_id")
 
 
 @query("SELECT label_id, round(x + w / 2.0::DOUBLE - w * 0.55::DOUBLE, 6) AS x0, round(y + h / 2.0::DOUBLE + h * 0.55::DOUBLE, 6) AS y1, round(w * 1.1::DOUBLE, 6) AS w FROM fx_labels")
