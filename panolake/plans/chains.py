@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from panolake.fixtures import view
 from panolake.functions import camera, geometry, overlay
-from panolake.operators import assessment, control, matching, merging, tiling, triangulation
+from panolake.operators import areas, assessment, control, matching, merging, tiling, triangulation
 from panolake.plans.catalog import ANGLES, FAR, FRAME, MATRIX, PAIRS, PROBLEM, RATIOS, RAYS, SCENE, SENSOR, SWEEP, TAGS, _angles, _flat, _in_frame, _peeled, _problems, _scene, keeper, query, r6, tags_of, threshold_sweep
 from panolake.sources import tables
 
@@ -345,6 +345,33 @@ def polygon_ious(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.polygon_pairs(dets, labels, 400.0).select("det_id", "label_id", F.round("iou", 4).alias("iou"))
 
 
+AREAS_SQL = "a AS (SELECT k, 200 * (k % 36) AS ax, 736 + 200 * (k // 36) AS ay FROM fx_objects)"
+
+
+def _areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Areas in the form of an L with a square hole."""
+    x, y = 200.0 * (F.col("k") % 36), 736 + 200.0 * F.floor(F.col("k") / 36)
+    place = lambda points: F.array(*[c for u, v in points for c in (x + u, y + v)])
+    outer, hole = place([(0, 0), (150, 0), (150, 75), (75, 75), (75, 150), (0, 150)]), place([(20, 20), (50, 20), (50, 50), (20, 50)])
+    return view(spark, sf_dir, "fx_objects").select("k", F.array(outer, hole).alias("segmentation"))
+
+
+@query(f"""WITH {AREAS_SQL} SELECT DISTINCT label_id FROM fx_labels JOIN a ON x BETWEEN ax AND ax + 150 AND y BETWEEN ay AND ay + 150
+WHERE NOT (x > ax + 75 AND y > ay + 75) AND NOT (x > ax + 20 AND x < ax + 50 AND y > ay + 20 AND y < ay + 50)""")
+def points_in_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points in concave areas with holes."""
+    points = view(spark, sf_dir, "fx_labels").select("label_id", "x", "y")
+    return areas.points_in_areas(points, _areas(spark, sf_dir), 60.0).select("label_id")
+
+
+@query(f"""WITH {AREAS_SQL} SELECT DISTINCT det_id FROM fx_dets JOIN a ON x <= ax + 150 AND x + w >= ax AND y <= ay + 150 AND y + h >= ay
+WHERE (y <= ay + 75 OR x <= ax + 75) AND NOT (x > ax + 20 AND x + w < ax + 50 AND y > ay + 20 AND y + h < ay + 50)""")
+def outlines_in_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outlines that share a point with such areas."""
+    rows = view(spark, sf_dir, "fx_dets").select("det_id", F.array(F.transform(_flat(), lambda v: v.cast("double"))).alias("segmentation"))
+    return areas.outlines_in_areas(rows, _areas(spark, sf_dir), 60.0, "det_id").select("det_id")
+
+
 def _cornered(kind: int) -> DataFrame:
     x, y, w, h = (F.col(c).cast("double") for c in "xywh")
     rings = {
