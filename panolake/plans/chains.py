@@ -11,7 +11,7 @@ from panolake.fixtures import view
 from panolake.functions import camera, geometry, overlay
 from panolake.operators import areas, assessment, control, matching, merging, tiling, triangulation
 from panolake.plans.catalog import ANGLES, FAR, FRAME, MATRIX, PAIRS, PROBLEM, RATIOS, RAYS, SCENE, SENSOR, SWEEP, TAGS, _angles, _flat, _in_frame, _peeled, _problems, _scene, keeper, query, r6, tags_of, threshold_sweep
-from panolake.sources import tables
+from panolake.sources import geopackage, tables
 
 CATEGORIES = [(1, "cover", "street"), (3, "valve", "street")]
 
@@ -372,6 +372,17 @@ def outlines_in_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return areas.outlines_in_areas(rows, _areas(spark, sf_dir), 60.0, "det_id").select("det_id")
 
 
+@query("SELECT label_id, CAST(w * h AS DOUBLE) AS area, dataset FROM fx_labels WHERE x <= 3000 AND x + w >= 2000 AND y + h > 1500")
+def geopackage_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outlines written as GeoPackage parts and read back where their box meets a window, by the index of each part."""
+    geopackage.register(spark)
+    ring = F.array(F.transform(_flat(), lambda v: v.cast("double")))
+    path = f"{folder(spark)}/labels"
+    view(spark, sf_dir, "fx_labels").select("label_id", "dataset", ring.alias("geometry")).write.format("gpkg").mode("append").save(path)
+    rows = geopackage.projected(spark.read.format("gpkg").load(path).where("minx <= 3000 and maxx >= 2000 and maxy > 1500"))
+    return rows.select("label_id", overlay.area("geometry").alias("area"), "dataset")
+
+
 def _cornered(kind: int) -> DataFrame:
     x, y, w, h = (F.col(c).cast("double") for c in "xywh")
     rings = {
