@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panolake.fixtures import view
-from panolake.functions import camera, geometry, overlay
+from panolake.functions import camera, geometry, mapping, overlay
 from panolake.operators import areas, assessment, control, matching, merging, tiling, triangulation
 from panolake.plans.catalog import ANGLES, FAR, FRAME, MATRIX, PAIRS, PROBLEM, RATIOS, RAYS, SCENE, SENSOR, SWEEP, TAGS, _angles, _flat, _in_frame, _peeled, _problems, _scene, keeper, query, r6, tags_of, threshold_sweep
 from panolake.sources import geopackage, tables
@@ -304,6 +305,39 @@ def seg_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("label_id", "min_x", "min_y", F.size("ring").alias("corners"), geometry.area(F.col("ring")).alias("area"), geometry.on_border(F.col("ring"), 512).alias("borderline"))
 
 
+# The map projection
+
+PLACES = "SELECT label_id, CAST(45.9 AS DOUBLE) + (label_id % 190) / 100.0::DOUBLE AS lat, 6 + (label_id % 440) / 100.0::DOUBLE AS lon FROM fx_labels"
+PLANE = f"""sphere AS (SELECT label_id, 2 * (atan(exp({mapping.ALPHA!r}::DOUBLE * (ln(tan(pi() / 4 + radians(lat) / 2)) - {math.sqrt(mapping.BESSEL_E2) / 2!r}::DOUBLE * ln((1 + {math.sqrt(mapping.BESSEL_E2)!r}::DOUBLE * sin(radians(lat))) / (1 - {math.sqrt(mapping.BESSEL_E2)!r}::DOUBLE * sin(radians(lat))))) + {mapping.K!r}::DOUBLE)) - pi() / 4) AS b,
+{mapping.ALPHA!r}::DOUBLE * (radians(lon) - {math.radians(mapping.CENTRE[1])!r}::DOUBLE) AS l FROM places),
+turned AS (SELECT label_id, atan2(sin(l), {math.sin(mapping.B0)!r}::DOUBLE * tan(b) + {math.cos(mapping.B0)!r}::DOUBLE * cos(l)) AS l, asin({math.cos(mapping.B0)!r}::DOUBLE * sin(b) - {math.sin(mapping.B0)!r}::DOUBLE * cos(b) * cos(l)) AS b FROM sphere),
+plane AS (SELECT label_id, {mapping.ORIGIN[0]} + {mapping.RADIUS!r}::DOUBLE * l AS east, {mapping.ORIGIN[1]} + {mapping.RADIUS!r}::DOUBLE / 2 * ln((1 + sin(b)) / (1 - sin(b))) AS north FROM turned)"""
+
+
+@query(f"WITH places AS ({PLACES}), {PLANE} SELECT label_id, round(east, 4) AS east, round(north, 4) AS north FROM plane")
+def map_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of the ellipsoid in the plane of the Swiss projection."""
+    rows = view(spark, sf_dir, "fx_labels").select("label_id", mapping.to_plane(45.9 + F.col("label_id") % 190 / 100, 6 + F.col("label_id") % 440 / 100).alias("p"))
+    return rows.select("label_id", F.round("p.east", 4).alias("east"), F.round("p.north", 4).alias("north"))
+
+
+@query(f"SELECT label_id, round(lat, 8) AS lat, round(lon, 8) AS lon FROM ({PLACES})")
+def map_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same places, to the plane and back."""
+    rows = map_projection(spark, sf_dir).select("label_id", mapping.from_plane(F.col("east"), F.col("north")).alias("g"))
+    return rows.select("label_id", F.round("g.lat", 8).alias("lat"), F.round("g.lon", 8).alias("lon"))
+
+
+@query()
+def convergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Degrees by which grid north turns from the meridian at the cameras of drives, and their heading turned by it; tests hold it against places there and back."""
+    rows = view(spark, sf_dir, "fx_drive_frames").select("frame_id", (2_500_000 + 20 * F.col("x")).alias("east"), (1_200_000 + F.col("y")).alias("north"), F.lit(500.0).alias("up"))
+    rows = rows.withColumn("turn", mapping.meridian_convergence(F.col("east"), F.col("north"), F.col("up")))
+    pose = camera.opk_matrix(F.lit(0.0), F.lit(0.0), F.radians(F.col("frame_id") % 90))
+    kappa = camera.opk_of(mapping.turned_by_convergence(pose, F.col("turn")))[2]
+    return rows.select("frame_id", F.round("turn", 6).alias("turn"), F.round(F.degrees(kappa), 6).alias("heading"))
+
+
 # Polygons and names
 
 
