@@ -17,10 +17,16 @@ def ellipse(points: np.ndarray) -> tuple[float, float, float, float, float] | No
     mean = points.mean(0)
     size = float(np.abs(points - mean).max()) or 1.0
     x, y = ((points - mean) / size).T
-    quadratic, linear = np.stack([x * x, x * y, y * y], 1), np.stack([x, y, np.ones_like(x)], 1)
+    return ellipse_of_moments({(i, j): float((x**i * y**j).sum()) for i in range(5) for j in range(5) if i + j <= 4}, mean, size)
+
+
+def ellipse_of_moments(sums: dict[tuple[int, int], float], mean: np.ndarray, size: float) -> tuple[float, float, float, float, float] | None:
+    """The same from the sums of x^i y^j (up to the fourth degree) of points moved by ``mean`` and divided by ``size``."""
+    terms = [(2, 0), (1, 1), (0, 2), (1, 0), (0, 1), (0, 0)]
+    scatter = np.array([[sums[a + c, b + d] for c, d in terms] for a, b in terms])
     try:
-        to_linear = -np.linalg.solve(linear.T @ linear, linear.T @ quadratic)
-        reduced = quadratic.T @ quadratic + quadratic.T @ linear @ to_linear
+        to_linear = -np.linalg.solve(scatter[3:, 3:], scatter[3:, :3])
+        reduced = scatter[:3, :3] + scatter[:3, 3:] @ to_linear
         values, vectors = np.linalg.eig(np.array([reduced[2] / 2, -reduced[1], reduced[0] / 2]))
     except np.linalg.LinAlgError:
         return None
@@ -33,7 +39,11 @@ def ellipse(points: np.ndarray) -> tuple[float, float, float, float, float] | No
     below = b * b - 4 * a * c
     cx, cy = (2 * c * d - b * e) / below, (2 * a * e - b * d) / below
     rest = a * cx * cx + b * cx * cy + c * cy * cy - f
-    spread, turn = np.linalg.eigh(np.array([[a, b / 2], [b / 2, c]]) / rest)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        shape = np.array([[a, b / 2], [b / 2, c]]) / rest
+    if not np.isfinite(shape).all():
+        return None
+    spread, turn = np.linalg.eigh(shape)
     if (spread <= 0).any():
         return None
     half = 1 / np.sqrt(spread) * size

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from panolake.fixtures import view
 from panolake.functions import camera, geometry, mapping, overlay
-from panolake.operators import areas, assessment, control, matching, merging, tiling, triangulation
+from panolake.operators import areas, assessment, control, fits, matching, merging, rays, tiling, triangulation
+from panolake.operators.spatial import distance_pairs
 from panolake.plans.catalog import ANGLES, FAR, FRAME, MATRIX, PAIRS, PROBLEM, RATIOS, RAYS, SCENE, SENSOR, SWEEP, TAGS, _angles, _flat, _in_frame, _peeled, _problems, _scene, keeper, query, r6, tags_of, threshold_sweep
 from panolake.sources import geopackage, tables
 
@@ -305,6 +306,29 @@ def seg_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("label_id", "min_x", "min_y", F.size("ring").alias("corners"), geometry.area(F.col("ring")).alias("area"), geometry.on_border(F.col("ring"), 512).alias("borderline"))
 
 
+# From masks to rays
+
+
+def _mask(u, v, a: float, b: float, turn: float, points: int = 40):
+    """The outline of an ellipse around a pixel, as a mask."""
+    return F.array(fits.outline(u, v, F.lit(a), F.lit(b), F.lit(turn), points))
+
+
+@query(f"""WITH d AS (SELECT f.frame_id, o.object_id, o.x - f.x AS vx, o.y - f.y AS vy, o.z - f.z AS vz FROM fx_drive_frames f JOIN fx_drive_objects o ON f.drive = o.drive AND sqrt((o.x - f.x) * (o.x - f.x) + (o.y - f.y) * (o.y - f.y)) < 14)
+SELECT frame_id, object_id, {", ".join(f"round(v{c} / sqrt(vx * vx + vy * vy + vz * vz), 5) + 0 AS d{c}" for c in "xyz")} FROM d""")
+def mask_rays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects seen as tilted elliptic masks in turned panoramas, and the rays through the ellipses fitted to them: they point back at the objects."""
+    frames, objects = view(spark, sf_dir, "fx_drive_frames"), view(spark, sf_dir, "fx_drive_objects")
+    near = distance_pairs(objects.select(F.col("object_id").alias("id"), "x", "y"), frames.select(F.col("frame_id").alias("id"), "x", "y"), 14.0)
+    rows = near.select(F.col("a").alias("object_id"), F.col("b").alias("frame_id")).join(frames, "frame_id").join(objects.select("object_id", *[F.col(c).alias(f"p{c}") for c in "xyz"]), "object_id")
+    pose = tuple(F.col(c) for c in "xyz")
+    u, v = camera.spherical_pixel(camera.to_camera(tuple(F.col(f"p{c}") for c in "xyz"), pose, *_turned()), 8000, 4000)
+    pixels = keeper(spark)(rows.select("object_id", "frame_id", *"xyz", u.alias("u"), v.alias("v")))
+    masks = keeper(spark)(pixels.select("object_id", "frame_id", *"xyz", _mask(F.col("u"), F.col("v"), 30.0, 12.0, 0.4).alias("segmentation")))
+    found = rays.rays_of_masks(masks, rays.spherical(pose, _turned(), 8000, 4000))
+    return found.select("frame_id", "object_id", *[(F.round(f"d{c}", 5) + 0).alias(f"d{c}") for c in "xyz"])
+
+
 # The map projection
 
 PLACES = "SELECT label_id, CAST(45.9 AS DOUBLE) + (label_id % 190) / 100.0::DOUBLE AS lat, 6 + (label_id % 440) / 100.0::DOUBLE AS lon FROM fx_labels"
@@ -417,6 +441,46 @@ def geopackage_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("label_id", overlay.area("geometry").alias("area"), "dataset")
 
 
+RIM = "SELECT label_id, i, x + w * cos(i * pi() / 6) AS x, y + h / 2.0::DOUBLE * sin(i * pi() / 6) AS y, 500 + (label_id % 5) * cos(i * pi() / 6) + CASE label_id % 3 WHEN 0 THEN 0.4::DOUBLE WHEN 1 THEN 0.02::DOUBLE ELSE 0.0::DOUBLE END * ((i * 7 + label_id) % 4) + CASE WHEN i = label_id % 12 AND label_id % 2 = 0 THEN 9 ELSE 0 END AS z FROM fx_labels, range(12) r(i)"
+
+
+def _rims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twelve points around each label: tilted, some with noise, some with a point far too high."""
+    i, a = F.col("i"), F.col("i") * (math.pi / 6)
+    rows = view(spark, sf_dir, "fx_labels").select("*", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("i"))
+    noise = F.when(F.col("label_id") % 3 == 0, 0.4).when(F.col("label_id") % 3 == 1, 0.02).otherwise(0.0) * ((i * 7 + F.col("label_id")) % 4)
+    z = 500 + F.col("label_id") % 5 * F.cos(a) + noise + F.when((i == F.col("label_id") % 12) & (F.col("label_id") % 2 == 0), 9).otherwise(0)
+    return rows.select("label_id", "i", (F.col("x") + F.col("w") * F.cos(a)).alias("x"), (F.col("y") + F.col("h") / 2 * F.sin(a)).alias("y"), z.alias("z"))
+
+
+@query(f"""WITH p AS ({RIM}), m AS (SELECT label_id, avg(x) mx, avg(y) my, avg(z) mz, var_pop(x) a, covar_pop(x, y) d, covar_pop(x, z) e, var_pop(y) b, covar_pop(y, z) f, var_pop(z) c FROM p GROUP BY label_id),
+q AS (SELECT *, (a + b + c) / 3 AS q FROM m), s AS (SELECT *, sqrt(((a - q) ** 2 + (b - q) ** 2 + (c - q) ** 2 + 2 * (d * d + e * e + f * f)) / 6) AS s FROM q),
+t AS (SELECT *, q + 2 * s * cos(acos(greatest(-1, least(1, ((a - q) * ((b - q) * (c - q) - f * f) - d * (d * (c - q) - f * e) + e * (d * f - (b - q) * e)) / (2 * s ** 3)))) / 3 + 2 * pi() / 3) AS l FROM s),
+v AS (SELECT *, d * f - e * (b - l) AS nx, e * d - (a - l) * f AS ny, (a - l) * (b - l) - d * d AS nz FROM t), u AS (SELECT *, sqrt(nx * nx + ny * ny + nz * nz) AS n FROM v),
+w AS (SELECT label_id, max(((x - mx) * nx + (y - my) * ny + (z - mz) * nz) / n) - min(((x - mx) * nx + (y - my) * ny + (z - mz) * nz) / n) AS spread FROM p JOIN u USING (label_id) GROUP BY label_id)
+SELECT label_id, spread < 0.15 AS flat, round(spread, 5) AS spread FROM w""")
+def plane_flatness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the rims of objects lie in a plane, by moments and a second pass."""
+    return fits.flatness(_rims(spark, sf_dir), "label_id").select("label_id", "flat", F.round("spread", 5).alias("spread"))
+
+
+@query(f"""WITH p AS ({RIM}), s AS (SELECT *, abs(z - avg(z) OVER w) > 2 * stddev_pop(z) OVER w AS outlier FROM p WINDOW w AS (PARTITION BY label_id)),
+m AS (SELECT label_id, avg(x) mx, avg(y) my, avg(z) mz, var_pop(x) a, covar_pop(x, y) d, covar_pop(x, z) e, var_pop(y) b, covar_pop(y, z) f FROM s WHERE NOT outlier GROUP BY label_id),
+k AS (SELECT *, (e * b - f * d) / (a * b - d * d) AS u, (f * a - e * d) / (a * b - d * d) AS v FROM m)
+SELECT label_id, i, outlier, round(mz + u * (x - mx) + v * (y - my), 5) AS level FROM s JOIN k USING (label_id)""")
+def levelled_rims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heights of rims on the plane fitted to those that are no outliers."""
+    return fits.levelled(_rims(spark, sf_dir), "label_id").select("label_id", F.col("i").cast("long").alias("i"), "outlier", F.round("level", 5).alias("level"))
+
+
+@query("SELECT label_id, CAST(x AS DOUBLE) AS cx, CAST(y AS DOUBLE) AS cy, round(greatest(w, h / 2.0::DOUBLE), 3) AS long, round(least(w, h / 2.0::DOUBLE), 3) AS short, round(65 / 2.0::DOUBLE * sin(2 * pi() / 65) * w * h / 2, 2) AS area FROM fx_labels")
+def fitted_ellipses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ellipses fitted to rims by their moments, and the area of 65 points along them."""
+    found = fits.ellipses(_rims(spark, sf_dir), "label_id")
+    area = overlay.area(F.array(fits.outline(*(F.col(c) for c in ("cx", "cy", "a", "b", "angle")))))
+    return found.select("label_id", F.round("cx", 3).alias("cx"), F.round("cy", 3).alias("cy"), F.round(F.greatest("a", "b"), 3).alias("long"), F.round(F.least("a", "b"), 3).alias("short"), F.round(area, 2).alias("area"))
+
+
 def _cornered(kind: int) -> DataFrame:
     x, y, w, h = (F.col(c).cast("double") for c in "xywh")
     rings = {
@@ -644,6 +708,18 @@ def cubemap_rays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("det_id", *[(F.round(c, 5) + 0).alias(n) for n, c in columns.items()])
 
 
+@query(f"{CUBE}, e AS (SELECT det_id, m0 * cx + m1 * cy + m2 * cz AS ex, m3 * cx + m4 * cy + m5 * cz AS ey, m6 * cx + m7 * cy + m8 * cz AS ez FROM m WHERE det_id % 5 <> 0) SELECT det_id, round(ex / sqrt(ex * ex + ey * ey + ez * ez), 5) + 0 AS dx, round(ey / sqrt(ex * ex + ey * ey + ez * ez), 5) + 0 AS dy, round(ez / sqrt(ex * ex + ey * ey + ez * ez), 5) + 0 AS dz FROM e")
+def cubemap_mask_rays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masks on cube faces; a fifth of them are no ellipses and share too little with one."""
+    rows = view(spark, sf_dir, "fx_dets").select("det_id", (F.col("det_id") % 6).alias("face"), (F.col("x") % 2048).cast("double").alias("u"), (F.col("y") % 2048).cast("double").alias("v"))
+    u, v = F.col("u"), F.col("v")
+    star = F.array(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(19)), lambda i: F.array(u + F.when(i % 2 == 0, 30).otherwise(8) * F.cos(i * (math.pi / 10)), v + F.when(i % 2 == 0, 30).otherwise(8) * F.sin(i * (math.pi / 10))))))
+    masks = keeper(spark)(rows.select("det_id", "face", F.when(F.col("det_id") % 5 == 0, star).otherwise(_mask(u, v, 25.0, 14.0, 1.1)).alias("segmentation")))
+    pose, opk = (F.lit(100.0), F.lit(50.0), F.lit(3.0)), (F.lit(0.1), F.lit(-0.2), F.lit(0.3))
+    found = rays.rays_of_masks(masks, rays.cubemap(pose, opk, F.col("face"), 2048), 0.85)
+    return found.select("det_id", *[(F.round(f"d{c}", 5) + 0).alias(f"d{c}") for c in "xyz"])
+
+
 @query("""WITH r AS (SELECT *, 900 + 40 * (frame_id % 4) AS area FROM fx_rays), p AS (SELECT a.ray_id AS ray_a, b.ray_id AS ray_b, a.ox AS ax, a.oy AS ay, a.oz AS az, b.ox AS bx, b.oy AS by_, b.oz AS bz, a.dx AS adx, a.dy AS ady, a.dz AS adz, b.dx AS bdx, b.dy AS bdy, b.dz AS bdz, a.area AS aa, b.area AS ba,
 a.dx * b.dx + a.dy * b.dy + a.dz * b.dz AS cs, a.dx * (a.ox - b.ox) + a.dy * (a.oy - b.oy) + a.dz * (a.oz - b.oz) AS d, b.dx * (a.ox - b.ox) + b.dy * (a.oy - b.oy) + b.dz * (a.oz - b.oz) AS e FROM r a JOIN r b ON b.frame_id > a.frame_id AND b.frame_id <= a.frame_id + 8),
 t AS (SELECT *, (cs * e - d) / (1 - cs * cs) AS t1, (e - cs * d) / (1 - cs * cs) AS t2 FROM p WHERE abs(1 - cs * cs) >= 1e-6),
@@ -651,8 +727,8 @@ q AS (SELECT *, t1 * sqrt(aa / (8000 * 4000 / (2 * pi() * pi()) * (abs(ady) / sq
  ax + t1 * adx AS px, ay + t1 * ady AS py, az + t1 * adz AS pz, bx + t2 * bdx AS qx, by_ + t2 * bdy AS qy, bz + t2 * bdz AS qz FROM t WHERE t1 BETWEEN 0 AND 20 AND t2 BETWEEN 0 AND 20)
 SELECT ray_a, ray_b, round(greatest(t1, t2), 6) AS length FROM q WHERE abs(r1 - r2) <= 0.02 AND sqrt((px - qx) ** 2 + (py - qy) ** 2 + (pz - qz) ** 2) <= 0.2 AND (pz + qz) / 2 > least(az, bz) - 3.8 AND (pz + qz) / 2 < least(az, bz) - 2.0""")
 def radius_controlled_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rays = view(spark, sf_dir, "fx_rays").withColumn("area", 900 + 40 * (F.col("frame_id") % 4))
-    return triangulation.ray_pairs(rays, radii_apart=0.02).select("ray_a", "ray_b", r6(F.col("length"), "length"))
+    seen = view(spark, sf_dir, "fx_rays").withColumn("area", 900 + 40 * (F.col("frame_id") % 4))
+    return triangulation.ray_pairs(seen, radii_apart=0.02).select("ray_a", "ray_b", r6(F.col("length"), "length"))
 
 
 @query(f"{RAYS}, g AS (SELECT *, frame_a // 10 AS k FROM good) SELECT CAST(round(median(x)) AS BIGINT) AS x, count(*) AS n, round(avg(length), 6) AS mean_length, max(frame_b) AS last_seen, CAST(0 AS BIGINT) AS missing, count(DISTINCT frame_a // 5) AS merged FROM g GROUP BY k")
@@ -687,7 +763,5 @@ def parameter_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT o.k AS id, count(*) AS n, round(min({FAR}), 6) AS least FROM fx_objects o JOIN fx_frames f ON {FAR} <= 15 GROUP BY o.k")
 def nearest_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from panolake.operators.spatial import distance_pairs
-
     objects, frames = (view(spark, sf_dir, n).select(F.col(k).alias("id"), "x", "y") for n, k in (("fx_objects", "k"), ("fx_frames", "frame_id")))
     return distance_pairs(objects, frames, 15.0, closed=True).groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n"), r6(F.min("dist"), "least"))
