@@ -13,7 +13,7 @@ from panolake.functions import camera, geometry, mapping, overlay
 from panolake.operators import areas, assessment, control, fits, matching, merging, rays, tiling, triangulation
 from panolake.operators.spatial import distance_pairs
 from panolake.plans.catalog import ANGLES, FAR, FRAME, MATRIX, PAIRS, PROBLEM, RATIOS, RAYS, SCENE, SENSOR, SWEEP, TAGS, _angles, _flat, _in_frame, _peeled, _problems, _scene, keeper, query, r6, tags_of, threshold_sweep
-from panolake.sources import geopackage, tables
+from panolake.sources import flatgeobuf, geopackage, tables
 
 CATEGORIES = [(1, "cover", "street"), (3, "valve", "street")]
 
@@ -481,6 +481,17 @@ def fitted_ellipses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("label_id", F.round("cx", 3).alias("cx"), F.round("cy", 3).alias("cy"), F.round(F.greatest("a", "b"), 3).alias("long"), F.round(F.least("a", "b"), 3).alias("short"), F.round(area, 2).alias("area"))
 
 
+@query("SELECT det_id, score, CAST(w * h AS DOUBLE) AS area FROM fx_dets WHERE x <= 4000 AND x + w >= 3000 AND y >= 1800")
+def flatgeobuf_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outlines written as FlatGeobuf parts in Hilbert order and read back where their box meets a window, by a walk through each part's tree."""
+    flatgeobuf.register(spark)
+    ring = F.array(F.transform(_flat(), lambda v: v.cast("double")))
+    path = f"{folder(spark)}/dets"
+    view(spark, sf_dir, "fx_dets").select("det_id", "score", ring.alias("geometry")).write.format("fgb").mode("append").save(path)
+    rows = geopackage.projected(spark.read.format("fgb").load(path).where("minx <= 4000 and maxx >= 3000 and miny >= 1800"))
+    return rows.select("det_id", "score", overlay.area("geometry").alias("area"))
+
+
 def _cornered(kind: int) -> DataFrame:
     x, y, w, h = (F.col(c).cast("double") for c in "xywh")
     rings = {
