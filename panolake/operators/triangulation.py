@@ -191,3 +191,15 @@ def triangulate(rays: DataFrame, frames: DataFrame, keep: Callable[[DataFrame],
 
 #: Thresholds in use for the two kinds of panoramas: gap of rays, size of clusters, distance of an update, frames missed, length of a ray.
 PARAMETERS = {"spherical": (0.5, 1.0, 1.0, 5, 20.0), "cubemap": (0.2, 0.5, 1.0, 20, 20.0)}
+
+
+def pairing(model: str) -> dict[str, float]:
+    """What ``ray_pairs`` takes for a kind of panoramas."""
+    gap, _, _, _, radius = PARAMETERS[model]
+    return {"gap": gap, "radius": radius}
+
+
+def limits_of(model: str) -> drive.Limits:
+    """The limits of the walk for a kind of panoramas."""
+    _, cluster, update, missing, _ = PARAMETERS[model]
+    return drive.Limits(cluster, update, missing)

@@ -5,14 +5,14 @@ from __future__ import annotations
 import math
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panolake.fixtures import view
 from panolake.functions import camera, geometry, mapping, overlay
 from panolake.operators import areas, assessment, control, fits, matching, merging, rays, tiling, triangulation
 from panolake.operators.spatial import distance_pairs
-from panolake.plans.catalog import ANGLES, FAR, FRAME, MATRIX, PAIRS, PROBLEM, RATIOS, RAYS, SCENE, SENSOR, SWEEP, TAGS, _angles, _flat, _in_frame, _peeled, _problems, _scene, keeper, query, r6, tags_of, threshold_sweep
+from panolake.plans.catalog import ANGLES, DRIVE_PAIRS, FAR, FRAME, MATRIX, PAIRS, PROBLEM, RATIOS, RAYS, SCENE, SENSOR, SWEEP, TAGS, _angles, _flat, _in_frame, _peeled, _problems, _scene, keeper, query, r6, tags_of, threshold_sweep
 from panolake.sources import flatgeobuf, geopackage, tables
 
 CATEGORIES = [(1, "cover", "street"), (3, "valve", "street")]
@@ -63,7 +63,7 @@ def class_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     tags = assessment.with_class(tags_of(spark, sf_dir))
     by_class = matching.metrics(tags, "dataset", "class").select("dataset", F.col("class").cast("bigint").alias("class"), F.col("TP").alias("tp_k"), F.col("FP").alias("fp_k"), F.col("FN").alias("fn_k"))
     rows = by_class.join(matching.metrics(tags, "dataset").select("dataset", "precision", "recall", "f1"), "dataset")
-    tables.write_csv(rows, path := folder(spark), "dataset", "class")
+    tables.write_csv(rows, path := folder(spark), "dataset", "class", single=True)
     return tables.read_csv(spark, path, "dataset string, class bigint, tp_k bigint, fp_k bigint, fn_k bigint, precision double, recall double, f1 double")
 
 
@@ -72,9 +72,10 @@ def confidence_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assessment.resolved_threshold(threshold_sweep(spark, sf_dir), None, spark)
 
 
-@query(f"WITH {CATEGORY_SQL}, n AS (SELECT name, row_number() OVER (ORDER BY name) - 1 AS place FROM cats) SELECT CAST(place AS INTEGER) AS place, name FROM n UNION ALL SELECT CAST(count(*) AS INTEGER), 'background' FROM n")
+@query("WITH n AS (SELECT name, row_number() OVER (ORDER BY name) - 1 AS place FROM (SELECT DISTINCT action AS name FROM fx_status)) SELECT CAST(place AS INTEGER) AS place, name FROM n UNION ALL SELECT CAST(count(*) AS INTEGER), 'background' FROM n")
 def class_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assessment.class_list(categories(spark).union(categories(spark)))
+    """The classes that a table holds, in order, and the background after them."""
+    return assessment.class_list(view(spark, sf_dir, "fx_status").select(F.col("action").alias("name")))
 
 
 @query(f"WITH {CATEGORY_SQL} SELECT d.det_id, c.name AS category FROM fx_dets d LEFT JOIN cats c ON d.det_class + 1 = c.id")
@@ -82,9 +83,10 @@ def detected_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assessment.categories_of(tags_of(spark, sf_dir), categories(spark))
 
 
-@query(f'WITH {CATEGORY_SQL} SELECT id, name AS "CATEGORY", supercategory AS "SUPERCATEGORY" FROM cats')
+@query('SELECT label_id AS id, dataset AS "CATEGORY", concat(\'group \', label_class) AS "SUPERCATEGORY" FROM fx_labels')
 def category_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.with_category_names(categories(spark).withColumnRenamed("name", "Category"))
+    rows = view(spark, sf_dir, "fx_labels")
+    return tables.with_category_names(rows.select(F.col("label_id").alias("id"), F.col("dataset").alias("Category"), F.concat(F.lit("group "), "label_class").alias("supercategory")))
 
 
 # Scans and sinks
@@ -132,10 +134,10 @@ def detection_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("det_id", "image_id", "score", "det_class", F.get("bbox", 0).cast("bigint").alias("x"), F.get("bbox", 2).cast("bigint").alias("w"))
 
 
-@query("SELECT label_id, w * h AS area, CAST(x AS DOUBLE) AS x, CAST(y + h AS DOUBLE) AS bottom FROM fx_labels WHERE image_id % 2 = 0")
+@query("SELECT label_id, w * h AS area, CAST(x AS DOUBLE) AS x, CAST(y + h AS DOUBLE) AS bottom FROM fx_labels")
 def feature_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels written as vector features, read back, kept where they touch an area of interest."""
-    labels = view(spark, sf_dir, "fx_labels").where("image_id % 2 = 0").select("label_id", (F.col("w") * F.col("h")).alias("area"), _flat().cast("array<double>").alias("outline"))
+    labels = view(spark, sf_dir, "fx_labels").select("label_id", (F.col("w") * F.col("h")).alias("area"), _flat().cast("array<double>").alias("outline"))
     tables.write_features(labels, "outline", path := folder(spark))
     rows = tables.read_features(spark, path, projected=False).select(F.col("properties.label_id").cast("bigint").alias("label_id"), F.col("properties.area").cast("bigint").alias("area"), geometry.bounds(geometry.ring(F.col("geometry"))).alias("b"), geometry.ring(F.col("geometry")).alias("ring"))
     everywhere = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((0.0, 0.0), (8000.0, 0.0), (8000.0, 4000.0), (0.0, 4000.0))])
@@ -767,9 +769,25 @@ def three_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-@query("SELECT * FROM (VALUES ('spherical', 0.5::DOUBLE, 1.0::DOUBLE, 1.0::DOUBLE, 5, 20.0::DOUBLE), ('cubemap', 0.2::DOUBLE, 0.5::DOUBLE, 1.0::DOUBLE, 20, 20.0::DOUBLE)) v(model, gap, cluster, \"update\", missing, radius)")
+@query(f"""{DRIVE_PAIRS.replace('dist <= 0.2', 'dist <= 0.5')}, s AS (SELECT * FROM (VALUES ('spherical', 0.5::DOUBLE), ('cubemap', 0.2::DOUBLE)) v(model, gap)), p AS (SELECT model, ray_b, frame_a, row_number() OVER (PARTITION BY model, drive, ray_b, frame_a ORDER BY dist, ray_a) AS k FROM good JOIN s ON dist <= gap)
+SELECT model, count(*) AS pairs, count(*) FILTER (k = 1) AS best FROM p GROUP BY model""")
 def parameter_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(k, *v) for k, v in triangulation.PARAMETERS.items()], "model string, gap double, cluster double, update double, missing int, radius double")
+    """Rays that meet under the parameters of either kind of panorama, and the best for each ray and earlier frame."""
+    seen, out = view(spark, sf_dir, "fx_drive_rays"), None
+    for model in triangulation.PARAMETERS:
+        pairs = triangulation.ray_pairs(seen, group="drive", **triangulation.pairing(model))
+        one = pairs.select(F.lit(model).alias("model"), F.row_number().over(Window.partitionBy("drive", "ray_b", "frame_a").orderBy("dist", "ray_a")).alias("k"))
+        one = one.groupBy("model").agg(F.count("*").alias("pairs"), F.count_if(F.col("k") == 1).alias("best"))
+        out = one if out is None else out.union(one)
+    return out
+
+
+@query()
+def drive_candidates_cubemap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of the drives under the parameters of cube maps, which let candidates miss more frames."""
+    frames = view(spark, sf_dir, "fx_drive_frames").select("drive", "frame", F.array("dataset").alias("datasets"))
+    found = triangulation.triangulate(view(spark, sf_dir, "fx_drive_rays"), frames, keeper(spark), triangulation.limits_of("cubemap"), **triangulation.pairing("cubemap"))
+    return found.candidates.select("drive", *[r6(F.col(c), c) for c in ("x", "y", "z")], "n", "last_seen", "missing", "merged")
 
 
 @query(f"SELECT o.k AS id, count(*) AS n, round(min({FAR}), 6) AS least FROM fx_objects o JOIN fx_frames f ON {FAR} <= 15 GROUP BY o.k")

@@ -20,10 +20,13 @@ def read_csv(spark: SparkSession, path: str, schema: str, sep: str = ",") -> Dat
     return spark.read.schema(schema).csv(path, header=True, sep=sep)
 
 
-def write_csv(rows: DataFrame, path: str, *order: str, sep: str = ",") -> None:
-    """A report of few rows as one file, in the order of columns if given."""
-    rows = rows.coalesce(1)
-    (rows.sortWithinPartitions(*order) if order else rows).write.mode("overwrite").csv(path, header=True, sep=sep)
+def write_csv(rows: DataFrame, path: str, *order: str, sep: str = ",", single: bool = False) -> None:
+    """Parts written by all tasks, in the order of columns from part to part if given; ``single`` for reports of few rows, as one file."""
+    if order:
+        rows = (rows.coalesce(1) if single else rows.repartitionByRange(*order)).sortWithinPartitions(*order)
+    elif single:
+        rows = rows.coalesce(1)
+    rows.write.mode("overwrite").csv(path, header=True, sep=sep)
 
 
 def write_records(rows: DataFrame, path: str, as_array: bool = False) -> None:
