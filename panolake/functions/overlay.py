@@ -18,7 +18,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark.sql.functions import arrow_udf
-from pyspark.sql.types import ArrayType, DoubleType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType
 
 #: Width of the grid, in pixels or metres.
 GRID = 2.0**-20
@@ -405,6 +405,49 @@ def iou(left: pa.Array, right: pa.Array) -> pa.Array:
     return pa.array(np.where(union > 0, common / np.where(union > 0, union, 1), 0.0))
 
 
+def _partners(r: Rings, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """First side and number of sides of each row."""
+    n = np.bincount(np.repeat(r.row, r.size), minlength=rows)
+    return np.cumsum(n) - n, n
+
+
+def _after(r: Rings) -> np.ndarray:
+    ends, after = np.cumsum(r.size), np.arange(1, len(r.x) + 1)
+    after[ends - 1] = ends - r.size
+    return after
+
+
+def touching(one: Rings, other: Rings, rows: int) -> np.ndarray:
+    """Whether the areas of both sides share a point, row by row: sides that meet, or a ring that lies in the other's area."""
+    out = np.zeros(rows, bool)
+    for a, b, sides in ((one, other, True), (one, other, False), (other, one, False)):
+        start, n = _partners(b, rows)
+        mine = np.arange(len(a.x)) if sides else (np.cumsum(a.size) - a.size)
+        row = np.repeat(a.row, a.size)[mine]
+        to, by = _after(a)[mine], _after(b)
+        odd = np.zeros(len(mine), np.int64)
+        for part in _chunks(n[row]):
+            i, k = np.repeat(np.arange(part.start, part.stop), n[row[part]]), _spread(start[row[part]], n[row[part]])
+            px, py, cx, cy, dx, dy = a.x[mine[i]], a.y[mine[i]], b.x[k], b.y[k], b.x[by[k]], b.y[by[k]]
+            turn = lambda ax, ay, bx, by, x, y: np.sign((bx - ax) * (y - ay) - (by - ay) * (x - ax))
+            if sides:
+                qx, qy = a.x[to[i]], a.y[to[i]]
+                near = (np.minimum(px, qx) <= np.maximum(cx, dx)) & (np.minimum(cx, dx) <= np.maximum(px, qx)) & (np.minimum(py, qy) <= np.maximum(cy, dy)) & (np.minimum(cy, dy) <= np.maximum(py, qy))
+                meet = near & (turn(px, py, qx, qy, cx, cy) * turn(px, py, qx, qy, dx, dy) <= 0) & (turn(cx, cy, dx, dy, px, py) * turn(cx, cy, dx, dy, qx, qy) <= 0)
+                out[row[i[meet]]] = True
+            else:
+                crossed = ((cy > py) != (dy > py)) & (turn(cx, cy, dx, dy, px, py) * np.where(dy > cy, 1, -1) > 0)
+                np.add.at(odd, i[crossed], 1)
+        out[row[odd % 2 == 1]] = True
+    return out
+
+
+@arrow_udf(BooleanType())
+def touch(left: pa.Array, right: pa.Array) -> pa.Array:
+    """Whether two segmentations, as closed areas, share a point; an empty one touches nothing."""
+    return pa.array(touching(rings_of(left), rings_of(right), len(left)))
+
+
 @arrow_udf(DoubleType())
 def area(segmentations: pa.Array) -> pa.Array:
     return pa.array(areas(even_odd(rings_of(segmentations).edges()), len(segmentations)))

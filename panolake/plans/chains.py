@@ -549,13 +549,13 @@ def polygon_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT l.label_id, d.det_id FROM fx_labels l JOIN fx_dets d ON l.image_id = d.image_id AND d.x <= l.x + l.w AND l.x <= d.x + d.w AND d.y <= l.y + l.h AND l.y <= d.y + d.h")
 def polygon_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels and detections of an image whose outlines touch: boxes meet in the join, rings are worked out once."""
-    keep = keeper(spark)
-    labels = keep(view(spark, sf_dir, "fx_labels").select("image_id", "label_id", *"xywh", geometry.ring(_flat()).alias("one"))).alias("l")
-    dets = keep(view(spark, sf_dir, "fx_dets").select("image_id", "det_id", *"xywh", geometry.ring(_flat()).alias("other"))).alias("d")
+    """Labels and detections of an image whose outlines touch: boxes meet in the join, the sides of a batch of pairs are tested together."""
+    outline = F.array(F.transform(_flat(), lambda v: v.cast("double"))).alias("segmentation")
+    labels = view(spark, sf_dir, "fx_labels").select("image_id", "label_id", *"xywh", outline).alias("l")
+    dets = view(spark, sf_dir, "fx_dets").select("image_id", "det_id", *"xywh", outline).alias("d")
     near = geometry.boxes_overlap(*({c: F.col(f"{t}.{c}") for c in "xywh"} for t in "ld"))
     met = labels.join(dets, (F.col("l.image_id") == F.col("d.image_id")) & near)
-    return met.where(geometry.rings_intersect(F.col("one"), F.col("other"))).select("label_id", "det_id")
+    return met.where(overlay.touch("l.segmentation", "d.segmentation")).select("label_id", "det_id")
 
 
 @query("SELECT label_id, round(x + w / 2.0::DOUBLE - w * 0.55::DOUBLE, 6) AS x0, round(y + h / 2.0::DOUBLE + h * 0.55::DOUBLE, 6) AS y1, round(w * 1.1::DOUBLE, 6) AS w FROM fx_labels")

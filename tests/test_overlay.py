@@ -147,6 +147,20 @@ def _distance(points, a, b):
     return np.linalg.norm(points - a - t[:, None] * (b - a), axis=1)
 
 
+def test_areas_that_touch():
+    rng = np.random.default_rng(6)
+    cases = [
+        ([square(0, 0, 2)], [square(2, 2, 2)], True), ([square(0, 0, 2)], [square(2, 0.5, 1)], True), ([square(0, 0, 9)], [square(3, 3, 1)], True),
+        ([square(3, 3, 1)], [square(0, 0, 9)], True), ([square(0, 0, 9), square(2, 2, 5)], [square(3, 3, 1)], False), ([square(0, 0, 2)], [square(2.001, 0, 2)], False),
+        ([square(0, 0, 1), square(8, 8, 1)], [square(8.2, 8.2, 0.1)], True), ([], [square(0, 0, 1)], False), (None, [square(0, 0, 1)], False), ([square(0, 0, 4, 1)], [square(1, -2, 1, 6)], True),
+    ]
+    left, right = ([c[k] for c in cases] for k in (0, 1))
+    assert o.touching(o.rings_of(rows(*left)), o.rings_of(rows(*right)), len(cases)).tolist() == [c[2] for c in cases]
+    left, right = [[star(rng, 12)] for _ in range(200)], [[star(rng, 12, *(rng.random(2) * 24 - 12))] for _ in range(200)]
+    a, b = rows(*left), rows(*right)
+    assert (o.touching(o.rings_of(a), o.rings_of(b), 200) == (common(a, b) > 1e-6)).all()
+
+
 def test_far_from_the_origin():
     a, b = rows([square(2_600_000.25, 1_200_000.5, 3)]), rows([square(2_600_001.25, 1_200_001.5, 3)])
     assert common(a, b) == pytest.approx([4.0]) and union(a, b) == pytest.approx([14.0])
