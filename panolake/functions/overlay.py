@@ -287,7 +287,9 @@ def buffered_rings(r: Rings, by: np.ndarray, quarter: int = 16) -> Rings:
     ax, ay = (np.where(first, c[at] + d[at] * n[before][at], c[at] + d[at] * f(angle + step * k)) for c, n, f in ((r.x, nx, np.cos), (r.y, ny, np.sin)))
     bx, by_ = (np.where(last, c[at] + d[at] * n[at], c[at] + d[at] * f(angle + step * (k + 1))) for c, n, f in ((r.x, nx, np.cos), (r.y, ny, np.sin)))
     group, one = np.concatenate([row, row[at]]), np.concatenate([np.arange(len(r.x)), at])
-    ends_of = (np.concatenate(c) for c in ((r.x + d * nx, ax), (r.y + d * ny, ay), (r.x[after] + d * nx, bx), (r.y[after] + d * ny, by_)))
+    ends_of = [np.concatenate(c) for c in ((r.x + d * nx, ax), (r.y + d * ny, ay), (r.x[after] + d * nx, bx), (r.y[after] + d * ny, by_))]
+    seen = ~_hidden(ends_of, one, r, np.abs(by))
+    group, one, ends_of = group[seen], one[seen], [c[seen] for c in ends_of]
     moved = Edges(group, *(np.rint(c / GRID).astype(np.int64) for c in ends_of))
     moved = moved.take(order := np.argsort(group, kind="stable"))
     pieces, of = _cut(moved)
@@ -295,6 +297,41 @@ def buffered_rings(r: Rings, by: np.ndarray, quarter: int = 16) -> Rings:
     return outlines(_single(pieces.take(clear)))
 
 
+#: Sides before and after a side's own that are looked at first.
+NEAR = (-6, -5, -4, -3, -2, -1, 1, 2, 3, 4, 5, 6)
+
+
+def _hidden(ends_of: list[np.ndarray], one: np.ndarray, r: Rings, least: np.ndarray) -> np.ndarray:
+    """Moved sides that lie wholly in the strips along the sides near their own: what the strips cover of them is put together."""
+    ends, after = np.cumsum(r.size), _after(r)
+    start, size = np.repeat(ends - r.size, r.size)[one], np.repeat(r.size, r.size)[one]
+    wide = least[np.repeat(r.row, r.size)[one]] - 4 * GRID
+    x1, y1, x2, y2 = ends_of
+    from_, to = (np.full((len(one), len(NEAR)), v) for v in (2.0, -1.0))
+    for j, away in enumerate(NEAR):
+        k = start + (one - start + away) % size
+        dx, dy = r.x[after[k]] - r.x[k], r.y[after[k]] - r.y[k]
+        long = np.hypot(dx, dy)
+        ux, uy = dx / long, dy / long
+        low, high = np.zeros(len(one)), np.ones(len(one))
+        for a, b, least_v, most_v in (
+            ((x1 - r.x[k]) * ux + (y1 - r.y[k]) * uy, (x2 - r.x[k]) * ux + (y2 - r.y[k]) * uy, np.zeros(len(one)), long),
+            ((x1 - r.x[k]) * uy - (y1 - r.y[k]) * ux, (x2 - r.x[k]) * uy - (y2 - r.y[k]) * ux, -wide, wide),
+        ):
+            slope = b - a
+            with np.errstate(divide="ignore", invalid="ignore"):
+                t, u = (least_v - a) / slope, (most_v - a) / slope
+            level, within = np.abs(slope) < 1e-12, (a >= least_v) & (a <= most_v)
+            low = np.maximum(low, np.where(level, np.where(within, 0.0, 2.0), np.minimum(t, u)))
+            high = np.minimum(high, np.where(level, np.where(within, 1.0, -1.0), np.maximum(t, u)))
+        some = (low <= high) & (size > 12)
+        from_[some, j], to[some, j] = low[some], high[some]
+    order = np.argsort(from_, axis=1)
+    from_, to = np.take_along_axis(from_, order, 1), np.maximum.accumulate(np.take_along_axis(to, order, 1), axis=1)
+    gap = (from_[:, 1:] > to[:, :-1]) & (to[:, :-1] < 1.0)
+    return (from_[:, 0] <= 0) & (to[:, -1] >= 1.0) & ~gap.any(axis=1)
+
+
 def _clear(e: Edges, one: np.ndarray, r: Rings, row: np.ndarray, least: np.ndarray, fans: tuple[np.ndarray, ...]) -> np.ndarray:
     """Whether the middle of each piece lies in no strip along a side and in no triangle of a corner's arc (corner, both ends of its step)."""
     ends = np.cumsum(r.size)
@@ -318,7 +355,7 @@ def _clear(e: Edges, one: np.ndarray, r: Rings, row: np.ndarray, least: np.ndarr
 
     # Most pieces are too near to a side close to their own.
     start, size = np.repeat(ends - r.size, r.size)[one], np.repeat(r.size, r.size)[one]
-    for away in (-6, -4, -3, -2, -1, 1, 2, 3, 4, 6):
+    for away in NEAR:
         m = np.flatnonzero(out)
         out[m[strips(m, start[m] + (one[m] - start[m] + away) % size[m])]] = False
     for of_row, test in ((row, strips), (row[fans[0]], triangles)):
