@@ -168,22 +168,35 @@ def _borders(pieces: Edges, wanted) -> Edges:
 
 
 def _turns(e: Edges, ups: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """How often the area just right of the middle of each of ``rows`` is gone around: net crossings of the ray to the right."""
-    low, high = np.minimum(e.y1, e.y2), np.maximum(e.y1, e.y2)
-    order = np.lexsort((low, e.group))
-    base = low.min() if len(low) else 0
-    key = e.group[order] * (1 << 44) + 2 * (low[order] - base)
-    middle = e.y1[rows] + e.y2[rows] - 2 * base
-    first = np.searchsorted(e.group[order], e.group[rows])
-    counts = np.searchsorted(key, e.group[rows] * (1 << 44) + middle, side="right") - first
+    """How often the area just right of the middle of each of ``rows`` is gone around: net crossings of the ray to the right.
+
+    A group's height is cut into bands, about one for four edges; a ray is tested against the edges of its band.
+    """
     out = np.zeros(len(rows), np.int64)
-    for part in _chunks(counts):
-        m = np.repeat(np.arange(part.start, part.stop), counts[part])
-        k = order[_spread(first[part], counts[part])]
-        y = (middle[m] + 2 * base) / 2
-        over = (2 * high[k] > middle[m] + 2 * base) & (low[k] != high[k]) & (k != rows[m])
-        m, k, y = m[over], k[over], y[over]
-        x = e.x1[k] + (y - e.y1[k]) * ((e.x2[k] - e.x1[k]) / (e.y2[k] - e.y1[k]))
+    if not len(rows):
+        return out
+    low, high = np.minimum(e.y1, e.y2), np.maximum(e.y1, e.y2)
+    groups, of = np.unique(e.group, return_inverse=True)
+    bottom, top = np.full(len(groups), np.iinfo(np.int64).max), np.full(len(groups), np.iinfo(np.int64).min)
+    np.minimum.at(bottom, of, low)
+    np.maximum.at(top, of, high)
+    bands = np.maximum(np.bincount(of) // 4, 1)
+    tall = (top - bottom) // bands + 1
+    first_band = np.cumsum(bands) - bands
+    own = np.flatnonzero(low != high)
+    b_low, b_high = (low[own] - bottom[of[own]]) // tall[of[own]], (high[own] - bottom[of[own]]) // tall[of[own]]
+    edge, band = np.repeat(own, b_high - b_low + 1), _spread(first_band[of[own]] + b_low, b_high - b_low + 1)
+    order = np.argsort(band, kind="stable")
+    edge, band = edge[order], band[order]
+    twice = e.y1[rows] + e.y2[rows]
+    mine = first_band[of[rows]] + (twice // 2 - bottom[of[rows]]) // tall[of[rows]]
+    first, last = np.searchsorted(band, mine), np.searchsorted(band, mine, side="right")
+    for part in _chunks(last - first):
+        m = np.repeat(np.arange(part.start, part.stop), (last - first)[part])
+        k = edge[_spread(first[part], (last - first)[part])]
+        over = (2 * low[k] <= twice[m]) & (2 * high[k] > twice[m]) & (k != rows[m])
+        m, k = m[over], k[over]
+        x = e.x1[k] + (twice[m] / 2 - e.y1[k]) * ((e.x2[k] - e.x1[k]) / (e.y2[k] - e.y1[k]))
         beyond = x > (e.x1[rows[m]] + e.x2[rows[m]]) / 2
         np.add.at(out, m[beyond], ups[k[beyond]])
     return out
@@ -304,9 +317,12 @@ NEAR = (-6, -5, -4, -3, -2, -1, 1, 2, 3, 4, 5, 6)
 def _hidden(ends_of: list[np.ndarray], one: np.ndarray, r: Rings, least: np.ndarray) -> np.ndarray:
     """Moved sides that lie wholly in the strips along the sides near their own: what the strips cover of them is put together."""
     ends, after = np.cumsum(r.size), _after(r)
+    out, many = np.zeros(len(one), bool), np.repeat(r.size, r.size)[one] > len(NEAR)
+    if not many.any():
+        return out
+    one, (x1, y1, x2, y2) = one[many], (c[many] for c in ends_of)
     start, size = np.repeat(ends - r.size, r.size)[one], np.repeat(r.size, r.size)[one]
     wide = least[np.repeat(r.row, r.size)[one]] - 4 * GRID
-    x1, y1, x2, y2 = ends_of
     from_, to = (np.full((len(one), len(NEAR)), v) for v in (2.0, -1.0))
     for j, away in enumerate(NEAR):
         k = start + (one - start + away) % size
@@ -324,12 +340,13 @@ def _hidden(ends_of: list[np.ndarray], one: np.ndarray, r: Rings, least: np.ndar
             level, within = np.abs(slope) < 1e-12, (a >= least_v) & (a <= most_v)
             low = np.maximum(low, np.where(level, np.where(within, 0.0, 2.0), np.minimum(t, u)))
             high = np.minimum(high, np.where(level, np.where(within, 1.0, -1.0), np.maximum(t, u)))
-        some = (low <= high) & (size > 12)
+        some = low <= high
         from_[some, j], to[some, j] = low[some], high[some]
     order = np.argsort(from_, axis=1)
     from_, to = np.take_along_axis(from_, order, 1), np.maximum.accumulate(np.take_along_axis(to, order, 1), axis=1)
     gap = (from_[:, 1:] > to[:, :-1]) & (to[:, :-1] < 1.0)
-    return (from_[:, 0] <= 0) & (to[:, -1] >= 1.0) & ~gap.any(axis=1)
+    out[many] = (from_[:, 0] <= 0) & (to[:, -1] >= 1.0) & ~gap.any(axis=1)
+    return out
 
 
 def _clear(e: Edges, one: np.ndarray, r: Rings, row: np.ndarray, least: np.ndarray, fans: tuple[np.ndarray, ...]) -> np.ndarray:
