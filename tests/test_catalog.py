@@ -7,7 +7,7 @@ import math
 
 import duckdb
 import pytest
-from panolake.plans import chains  # noqa: F401  adds its queries
+from panolake.plans import chains, documents  # noqa: F401  add their queries
 from panolake.plans.catalog import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
