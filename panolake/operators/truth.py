@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panolake.functions import camera, geometry
+from panolake.operators import ranges
 from panolake.operators.spatial import distance_pairs
 
 
 def numbered(rows: DataFrame, name: str, *order: str) -> DataFrame:
     """Rows numbered from 1 in order, by ranges, so that no task holds all of them."""
-    ranged = rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id())
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
-    starts = ranged.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    placed = ranged.withColumn("k", F.row_number().over(Window.partitionBy("part").orderBy(*order))).join(F.broadcast(starts), "part")
-    return placed.withColumn(name, F.col("start") + F.col("k")).drop("part", "k", "start")
+    return ranges.places(rows, *order).withColumn(name, F.col("place") + 1).drop("place")
 
 
 def on_faces(objects: DataFrame, cameras: DataFrame, within: float = 20.0, corners: int = 50, least: float = 200.0, skipped: tuple[int, ...] = (4, 5)) -> tuple[DataFrame, DataFrame]:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from panolake.fixtures import view, with_views
 from panolake.functions import camera, geometry
 from panolake.operators import components, control, matching, merging, spatial, tiling, triangulation
+from panolake.operators.ranges import keeper
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -27,26 +27,6 @@ def query(sql: str | None = None):
     return add
 
 
-def keeper(spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
-    """Cuts lineage by a table in the folder that the session names for checkpoints, or by checkpoint() into the folder set on its context."""
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if where is None and spark.sparkContext.getCheckpointDir() is None:
-        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
-
-    def keep(df: DataFrame) -> DataFrame:
-        if where is None:
-            return df.checkpoint()
-        path = f"{where}/tables/{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
-    return keep
-
-
 def r6(c, name: str):
     return F.round(c, 6).alias(name)
 

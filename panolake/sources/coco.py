@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panolake.operators import ranges
+
 IMAGE = "id bigint, file_name string, width int, height int"
 ANNOTATION = "id bigint, object_id bigint, image_id bigint, category_id int, segmentation array<array<double>>, area double, bbox array<double>, iscrowd int, score double"
 CATEGORY = "id int, name string, supercategory string"
@@ -59,9 +61,15 @@ def write_coco(images: DataFrame, annotations: DataFrame, categories: DataFrame,
     one.select(F.to_json(F.struct("images", "annotations", "categories")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
+def share(value: Column) -> Column:
+    """A share to six decimals, never in powers of ten (1.25E-4), which label files do not hold."""
+    v = F.round(value, 6)
+    return F.when((v != 0) & (F.abs(v) < 0.001), F.rtrim(v.cast("decimal(8, 6)").cast("string"), F.lit("0"))).otherwise(v.cast("string"))
+
+
 def write_yolo(annotations: DataFrame, width: int, height: int, path: str) -> None:
     """Label lines: the class, then each vertex as shares of the image, one folder per image."""
-    points = F.transform(F.get("segmentation", 0), lambda v, i: F.round(v / F.when(i % 2 == 0, width).otherwise(height), 6).cast("string"))
+    points = F.transform(F.get("segmentation", 0), lambda v, i: share(v / F.when(i % 2 == 0, width).otherwise(height)))
     rows = annotations.select("image_id", F.concat_ws(" ", F.col("category_id").cast("string"), F.array_join(points, " ")).alias("value"))
     rows.write.mode("overwrite").partitionBy("image_id").text(path)
 
@@ -70,8 +78,4 @@ def with_missing_images(known: DataFrame, listed: DataFrame) -> DataFrame:
     """file_name, new_id of listed images that are not known, numbered on from the largest id."""
     most = known.agg(F.coalesce(F.max("image_id"), F.lit(-1)).alias("most"))
     missing = listed.select("file_name").distinct().join(known.select("file_name"), "file_name", "left_anti")
-    by_range = missing.repartitionByRange("file_name").withColumn("part", F.spark_partition_id())
-    counts = by_range.groupBy("part").agg(F.count("*").alias("n"))
-    before = counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    numbered = by_range.withColumn("k", F.row_number().over(Window.partitionBy("part").orderBy("file_name"))).join(F.broadcast(before), "part")
-    return numbered.join(F.broadcast(most)).select("file_name", (F.col("most") + F.col("before") + F.col("k")).alias("new_id"))
+    return ranges.places(missing, "file_name").join(F.broadcast(most)).select("file_name", (F.col("most") + 1 + F.col("place")).alias("new_id"))

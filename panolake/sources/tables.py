@@ -135,10 +135,6 @@ def first_wins(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
 
 def every_nth(rows: DataFrame, n: int, *order: str) -> DataFrame:
     """Rows 0, n, 2n ... in order; numbered in ranges, so that no task holds all rows."""
-    from pyspark.sql import Window
+    from panolake.operators import ranges
 
-    ranged = rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id())
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
-    starts = ranged.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    numbered = ranged.withColumn("k", F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1).join(F.broadcast(starts), "part")
-    return numbered.where((F.col("start") + F.col("k")) % n == 0).drop("part", "k", "start")
+    return ranges.places(rows, *order).where(F.col("place") % n == 0).drop("place")
