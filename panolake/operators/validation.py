@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panolake.functions import geometry
+from panolake.operators import ranges
 
 
 def with_status(annotations: DataFrame, status: DataFrame) -> DataFrame:
@@ -30,16 +31,16 @@ def neighbours(annotations: DataFrame, *order: str) -> DataFrame:
     """
     is_open = ~(F.col("validated") | F.col("removed"))
     rows = annotations.select("id", *[c for c in order if c != "id"], F.when(is_open, F.col("id")).alias("open"))
-    ranged = rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id())
+    ranged = ranges.dealt(rows, *order)
     first = F.min_by("open", F.when(F.col("open").isNotNull(), F.struct(*order)))
     ends = ranged.groupBy("part").agg(first.alias("first"), F.max("open").alias("most"))
     parts = Window.orderBy("part")  # one row per range
     later, earlier = parts.rowsBetween(1, Window.unboundedFollowing), parts.rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     carried = ends.select("part", F.first("first", True).over(later).alias("after"), F.first("first", True).over(whole).alias("start"), F.max("most").over(earlier).alias("before"))
-    inside = Window.partitionBy("part").orderBy(*order)
-    ahead, behind = inside.rowsBetween(1, Window.unboundedFollowing), inside.rowsBetween(Window.unboundedPreceding, -1)
-    placed = ranged.withColumns({"ahead": F.first("open", True).over(ahead), "behind": F.max("open").over(behind)}).join(F.broadcast(carried), "part")
+    # Frames that end at the last row are summed anew for each row; those that begin at the first are carried on, also backwards.
+    behind, ahead = (Window.partitionBy("part").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1) for by in (order, [F.desc(c) for c in order]))
+    placed = ranged.withColumns({"ahead": F.last("open", True).over(ahead), "behind": F.max("open").over(behind)}).join(F.broadcast(carried), "part")
     wrapped = F.when(F.col("start") != F.col("id"), F.col("start"))
     return placed.select("id", F.coalesce("ahead", "after", wrapped).alias("next_open"), F.greatest("behind", "before").alias("previous_open"))
 
