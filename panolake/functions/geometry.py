@@ -38,10 +38,18 @@ def ring(flat: Column) -> Column:
     return F.when(F.size(flat) >= 5, pairs).otherwise(F.slice(pairs, 1, 0))
 
 
+def bound(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once; a filter that is pushed down would else put its whole expression at each use, also within lambdas."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def _cross_sums(vertices: Column, term) -> Column:
-    n = F.size(vertices)
-    terms = F.transform(vertices, lambda v, i: term(v, F.get(vertices, F.pmod(i + 1, n))))
-    return F.aggregate(terms, F.lit(0.0), lambda acc, t: acc + t)
+    def summed(ring: Column) -> Column:
+        n = F.size(ring)
+        terms = F.transform(ring, lambda v, i: term(v, F.get(ring, F.pmod(i + 1, n))))
+        return F.aggregate(terms, F.lit(0.0), lambda acc, t: acc + t)
+
+    return bound(vertices, summed)
 
 
 def signed_area(vertices: Column) -> Column:
@@ -64,8 +72,11 @@ def centroid(vertices: Column) -> Column:
 
 def bounds(vertices: Column) -> Column:
     """Struct x, y, w, h."""
-    xs, ys = F.transform(vertices, lambda v: v["x"]), F.transform(vertices, lambda v: v["y"])
-    return F.struct(F.array_min(xs).alias("x"), F.array_min(ys).alias("y"), (F.array_max(xs) - F.array_min(xs)).alias("w"), (F.array_max(ys) - F.array_min(ys)).alias("h"))
+    def box(ring: Column) -> Column:
+        xs, ys = F.transform(ring, lambda v: v["x"]), F.transform(ring, lambda v: v["y"])
+        return F.struct(F.array_min(xs).alias("x"), F.array_min(ys).alias("y"), (F.array_max(xs) - F.array_min(xs)).alias("w"), (F.array_max(ys) - F.array_min(ys)).alias("h"))
+
+    return bound(vertices, box)
 
 
 def shift(flat: Column, x: Column, y: Column) -> Column:
