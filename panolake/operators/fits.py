@@ -1,7 +1,8 @@
 """Planes and ellipses through the points of each key, from moments: no task holds a key's points.
 
 Moments are built-in aggregates that combine before the shuffle; what they give is solved in closed form, and what is asked
-of single points, as their distance from the plane, is a second pass over the points joined to one row per key.
+of single points, as their distance from the plane, is a second pass over the points joined to one row per key: a merge
+join, for keys are as many as objects, and a broadcast chosen by the size of a file would bring them all to the driver.
 Defined results: points with a null key or coordinate take no part in a fit; keys of under three points, or whose points lie
 on one line or in one place, are not flat and have no normal; their fitted height is that of the plane that slopes least.
 """
@@ -58,7 +59,7 @@ def flatness(points: DataFrame, key: str, epsilon: float = 0.15) -> DataFrame:
     """key, n, flat, spread: how far apart points lie across their plane, and whether that is below ``epsilon``."""
     planes = normals(moments(points, key)).select(key, "n", *[f"{m}{c}" for m in "mn" for c in AXES])
     across = sum(((F.col(c) - F.col(f"m{c}")) * F.col(f"n{c}") for c in "yz"), (F.col("x") - F.col("mx")) * F.col("nx"))
-    rows = _sound(points, key).select(key, *AXES).join(planes, key).select(key, "n", across.alias("d"))
+    rows = _sound(points, key).select(key, *AXES).join(planes.hint("merge"), key).select(key, "n", across.alias("d"))
     spread = (F.max("d") - F.min("d")).alias("spread")
     return rows.groupBy(key).agg(F.first("n").alias("n"), spread).select(key, "n", F.coalesce(F.col("spread") < epsilon, F.lit(False)).alias("flat"), "spread")
 
@@ -82,7 +83,7 @@ def levelled(points: DataFrame, key: str, sigmas: float = 2.0) -> DataFrame:
     """
     sound = _sound(points, key)
     z = sound.groupBy(key).agg(F.avg("z").alias("zm"), F.stddev_pop("z").alias("zs"))
-    marked = sound.join(z, key).withColumn("outlier", F.abs(F.col("z") - F.col("zm")) > sigmas * F.col("zs")).drop("zm", "zs")
+    marked = sound.join(z.hint("merge"), key).withColumn("outlier", F.abs(F.col("z") - F.col("zm")) > sigmas * F.col("zs")).drop("zm", "zs")
     own = lambda c, kept: F.when(~F.col("outlier"), F.col(c)) if kept else F.col(c)
     aggregates = []
     for p, kept in (("k", True), ("e", False)):
@@ -92,7 +93,7 @@ def levelled(points: DataFrame, key: str, sigmas: float = 2.0) -> DataFrame:
     few = F.col("left") < 3
     slopes = {c: F.when(few, e).otherwise(k) for c, k, e in zip("abc", _slopes("km", "ks"), _slopes("em", "es"), strict=True)}
     planes = found.select(F.col(key), *[v.alias(f"plane_{c}") for c, v in slopes.items()])
-    rows = marked.join(planes, key)
+    rows = marked.join(planes.hint("merge"), key)
     level = F.col("plane_a") * F.col("x") + F.col("plane_b") * F.col("y") + F.col("plane_c")
     return rows.withColumn("level", level).drop("plane_a", "plane_b", "plane_c")
 
@@ -108,7 +109,7 @@ def ellipses(points: DataFrame, key: str) -> DataFrame:
     u, v = ((F.col(c) - F.col(f"m{c}")) / F.col("size") for c in "xy")
     power = lambda c, k: F.lit(1.0) if k == 0 else c if k == 1 else c * power(c, k - 1)
     sums = [F.sum(power(u, i) * power(v, j)).alias(f"p{i}{j}") for i, j in POWERS]
-    rows = sound.join(frame, key).groupBy(key, "mx", "my", "size").agg(*sums)
+    rows = sound.join(frame.hint("merge"), key).groupBy(key, "mx", "my", "size").agg(*sums)
     kind = rows.schema[key].dataType.simpleString()
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

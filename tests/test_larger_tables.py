@@ -6,7 +6,7 @@ import json
 import re
 
 from panolake.functions import geometry
-from panolake.operators import validation
+from panolake.operators import fits, ranges, validation
 from panolake.sources import coco, tables, united
 from pyspark.sql import functions as F
 
@@ -44,3 +44,16 @@ def test_small_shares_are_plain_decimals(spark):
     values = [0.0, 0.000125, -0.00025, 0.000001, 0.0000001, 0.001, 0.5, 1.0, None, float("nan")]
     rows = spark.createDataFrame([(v,) for v in values], "v double").select(coco.share(F.col("v")).alias("s"))
     assert [r["s"] for r in rows.collect()] == ["0.0", "0.000125", "-0.00025", "0.000001", "0.0", "0.001", "0.5", "1.0", None, "NaN"]
+
+
+def test_fits_never_bring_all_keys_to_the_driver(spark):
+    points = spark.range(60).select((F.col("id") % 5).alias("k"), *[F.cos(F.col("id") * s).alias(c) for c, s in zip("xyz", (1, 2, 3), strict=True)])
+    for found in (fits.flatness(points, "k"), fits.levelled(points, "k"), fits.ellipses(points, "k")):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_filters_stay_above_settled_columns(spark):
+    rows = ranges.settled(spark.range(9), {"v": F.sqrt("id")}).where("v > 1 AND v < 2")
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("SQRT") == 1
+    assert sorted(r["id"] for r in rows.collect()) == [2, 3]
