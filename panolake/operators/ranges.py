@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -45,3 +45,13 @@ def places(rows: DataFrame, *order: str) -> DataFrame:
     starts = ranged.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     inside = ranged.withColumn("k", F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1)
     return inside.join(F.broadcast(starts), "part").withColumn("place", F.col("start") + F.col("k")).drop("part", "k", "start")
+
+
+def settled(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Rows with ``columns``, each row's worked out once.
+
+    Filters are pushed below plain columns and take their whole expressions along, each time they name them; below
+    what is exploded they are not, here a list of one.
+    """
+    one = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("settled")
+    return rows.select(*[c for c in rows.columns if c not in columns], one).select(*[c for c in rows.columns if c not in columns], "settled.*")

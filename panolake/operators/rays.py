@@ -18,6 +18,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from panolake.functions import camera, overlay
 from panolake.functions.fitting import ellipse_of_moments
 from panolake.functions.geometry import centroid, ring
+from panolake.operators import ranges
 from panolake.operators.fits import POWERS, outline
 
 Vector = tuple[Column, Column, Column]
@@ -70,15 +71,16 @@ def rays_of_masks(masks: DataFrame, project: Projection, least_iou: float | None
     (intersection over union), go; without it the centroid stands in where no ellipse fits. Masks without a centre, and those that no sensor sees, go.
     """
     e = lambda c: F.col(f"ellipse.{c}")
-    rows = masks.withColumn("ellipse", mask_ellipse("segmentation"))
+    rows = ranges.settled(masks.withColumn("ellipse", mask_ellipse("segmentation")), {"ellipse": F.col("ellipse")})
     if least_iou is not None:
-        rows = rows.where("ellipse is not null").withColumn("iou", overlay.iou(F.array(outline(*(e(c) for c in ("cx", "cy", "a", "b", "angle")), points=99)), "segmentation"))
-        rows = rows.where(F.col("iou") >= least_iou).drop("iou")
+        rows = ranges.settled(rows.where("ellipse is not null"), {"fitted": F.array(outline(*(e(c) for c in ("cx", "cy", "a", "b", "angle")), points=99))})
+        rows = rows.withColumn("iou", overlay.iou("fitted", "segmentation"))
+        rows = rows.where(F.col("iou") >= least_iou).drop("iou", "fitted")
     else:
-        rows = rows.withColumn("middle", centroid(ring(F.get("segmentation", 0))))
+        rows = ranges.settled(rows, {"middle": centroid(ring(F.get("segmentation", 0)))})
     u, v = (e("cx"), e("cy")) if least_iou is not None else (F.coalesce(e("cx"), F.col("middle.x")), F.coalesce(e("cy"), F.col("middle.y")))
-    rows = rows.withColumns({"pixel_u": u, "pixel_v": v}).where("pixel_u is not null and pixel_v is not null")
+    rows = ranges.settled(rows, {"pixel_u": u, "pixel_v": v}).where("pixel_u is not null and pixel_v is not null")
     origin, way = project(F.col("pixel_u"), F.col("pixel_v"))
-    rows = rows.withColumns({f"{p}{c}": x for p, vector in (("o", origin), ("d", way)) for c, x in zip("xyz", vector, strict=True)})
+    rows = ranges.settled(rows, {f"{p}{c}": x for p, vector in (("o", origin), ("d", way)) for c, x in zip("xyz", vector, strict=True)})
     rows = rows.withColumn("long", F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + F.col("dz") * F.col("dz")))
     return rows.withColumns({f"d{c}": F.col(f"d{c}") / F.col("long") for c in "xyz"}).where("long > 0").drop("ellipse", "middle", "pixel_u", "pixel_v", "long")
