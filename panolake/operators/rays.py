@@ -71,7 +71,7 @@ def rays_of_masks(masks: DataFrame, project: Projection, least_iou: float | None
     (intersection over union), go; without it the centroid stands in where no ellipse fits. Masks without a centre, and those that no sensor sees, go.
     """
     e = lambda c: F.col(f"ellipse.{c}")
-    rows = ranges.settled(masks.withColumn("ellipse", mask_ellipse("segmentation")), {"ellipse": F.col("ellipse")})
+    rows = ranges.settled(ranges.spread(masks).withColumn("ellipse", mask_ellipse("segmentation")), {"ellipse": F.col("ellipse")})
     if least_iou is not None:
         rows = ranges.settled(rows.where("ellipse is not null"), {"fitted": F.array(outline(*(e(c) for c in ("cx", "cy", "a", "b", "angle")), points=99))})
         rows = rows.withColumn("iou", overlay.iou("fitted", "segmentation"))

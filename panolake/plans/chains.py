@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from panolake.fixtures import view
 from panolake.functions import camera, geometry, mapping, overlay
 from panolake.operators import areas, assessment, control, fits, matching, merging, rays, tiling, triangulation
+from panolake.operators.ranges import spread
 from panolake.operators.spatial import distance_pairs
 from panolake.plans.catalog import ANGLES, DRIVE_PAIRS, FAR, FRAME, MATRIX, PAIRS, PROBLEM, RATIOS, RAYS, SCENE, SENSOR, SWEEP, TAGS, _angles, _flat, _in_frame, _peeled, _problems, _scene, keeper, query, r6, tags_of, threshold_sweep
 from panolake.sources import flatgeobuf, geopackage, tables
@@ -519,7 +520,7 @@ def repaired_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT label_id, round(w * h + 2 * (w + h) * 3 + 64 * 0.5::DOUBLE * sin(pi() / 32) * 9, 2) AS grown, CAST((w - 6) * (h - 6) AS DOUBLE) AS shrunk, CASE WHEN least(w, h) > 80 THEN (w - 80.0::DOUBLE) * (h - 80) ELSE 0.0::DOUBLE END AS gone FROM fx_labels")
 def buffered_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes grown by 3 with round corners, shrunk by 3, and by 40, where small ones vanish."""
-    rows = view(spark, sf_dir, "fx_labels").select("label_id", F.array(F.transform(_flat(), lambda v: v.cast("double"))).alias("s"))
+    rows = spread(view(spark, sf_dir, "fx_labels")).select("label_id", F.array(F.transform(_flat(), lambda v: v.cast("double"))).alias("s"))
     sizes = [F.round(overlay.area(overlay.buffered("s", F.lit(by))), 2).alias(c) for c, by in (("grown", 3.0), ("shrunk", -3.0), ("gone", -40.0))]
     return rows.select("label_id", *sizes)
 
@@ -602,7 +603,7 @@ def first_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT label_id, round(n / 2.0::DOUBLE * r * r * sin(2 * pi() / n), 4) AS area FROM (SELECT label_id, CASE WHEN label_id % 3 = 0 THEN 40 ELSE 64 END AS n, w / 8.0::DOUBLE AS r, w FROM fx_labels) WHERE n > 50 AND n / 2.0::DOUBLE * r * r * sin(2 * pi() / n) > 200")
 def sane_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outlines of over 50 vertices, over 200 square pixels and under 1000 pixels across."""
-    labels = view(spark, sf_dir, "fx_labels")
+    labels = spread(view(spark, sf_dir, "fx_labels"))
     of = lambda n: geometry.point_buffer(F.col("x"), F.col("y"), F.col("w") / 8, n)
     rows = labels.select("label_id", F.when(F.col("label_id") % 3 == 0, of(40)).otherwise(of(64)).alias("ring"))
     rows = rows.select("label_id", "ring", geometry.area(F.col("ring")).alias("area"))
