@@ -30,12 +30,14 @@ def on_faces(objects: DataFrame, cameras: DataFrame, within: float = 20.0, corne
     """
     vertices = objects.select("object_id", "category_id", "outline", F.aggregate("outline", F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y")), lambda s, p: F.struct((s["x"] + p["x"]).alias("x"), (s["y"] + p["y"]).alias("y"))).alias("sum"))
     centre = F.coalesce(geometry.centroid(F.col("outline")), F.struct((F.col("sum.x") / F.size("outline")).alias("x"), (F.col("sum.y") / F.size("outline")).alias("y")))
-    centred = vertices.select("object_id", "category_id", "outline", centre.alias("c"))
+    centred = ranges.settled(vertices, {"c": centre}).drop("sum")
     near = distance_pairs(centred.select(F.col("object_id").alias("id"), "c.x", "c.y"), cameras.select(F.col("camera_id").alias("id"), "x", "y"), within)
-    posed = cameras.where(F.col("model").isin(*camera.RIGS)).select(F.col("camera_id").alias("b"), "model", "size", "image_path", *[F.col(c).alias(f"c{c}") for c in "xyz"], F.array(*camera.opk_of_world_to_camera(camera.euler_matrix(*(F.col(c) for c in ("rx", "ry", "rz"))))).alias("opk"))
-    met = near.join(centred.withColumnRenamed("object_id", "a"), "a").join(posed, "b").select(F.col("b").alias("camera_id"), F.col("a").alias("object_id"), "category_id", "model", "size", "image_path", "cx", "cy", "cz", "opk", F.posexplode("outline").alias("at", "p"))
+    posed = cameras.where(F.col("model").isin(*camera.RIGS)).select(F.col("camera_id").alias("b"), "model", "size", "image_path", *[F.col(c).alias(f"c{c}") for c in "xyz"], "rx", "ry", "rz")
+    posed = ranges.settled(posed, {"opk": F.array(*camera.opk_of_world_to_camera(camera.euler_matrix(*(F.col(c) for c in ("rx", "ry", "rz")))))}).drop("rx", "ry", "rz")
+    met = ranges.spread(near.select("a", "b").join(centred.withColumnRenamed("object_id", "a"), "a").join(posed, "b").select(F.col("b").alias("camera_id"), F.col("a").alias("object_id"), "category_id", "model", "size", "image_path", "cx", "cy", "cz", "opk", "outline"))
+    met = met.select("*", F.posexplode("outline").alias("at", "p")).drop("outline")
     frame = camera.world_to_frame(tuple(F.col(f"p.{c}") for c in "xyz"), tuple(F.col(f"c{c}") for c in "xyz"), tuple(F.get("opk", i) for i in range(3)))
-    seen = met.select("camera_id", "object_id", "category_id", "model", "size", "image_path", "at", *[c.alias(f"f{n}") for c, n in zip(frame, "xyz", strict=True)])
+    seen = ranges.settled(met, {f"f{n}": c for c, n in zip(frame, "xyz", strict=True)}).drop("cx", "cy", "cz", "opk", "p")
     way = tuple(F.col(f"f{n}") for n in "xyz")
     sensor, seat = None, [None] * 3
     for name, rig in camera.RIGS.items():
@@ -44,15 +46,15 @@ def on_faces(objects: DataFrame, cameras: DataFrame, within: float = 20.0, corne
         sensor = F.when(own, mine) if sensor is None else sensor.when(own, mine)
         for i, c in enumerate(camera.sensor_offset(F.col("sensor"), rig)):
             seat[i] = F.when(own, c) if seat[i] is None else seat[i].when(own, c)
-    seen = seen.withColumns({"sensor": sensor, "face": camera.face_of(way)}).where(~F.col("face").isin(*skipped) if skipped else F.lit(True))
+    seen = ranges.settled(seen, {"sensor": sensor, "face": camera.face_of(way)}).where(~F.col("face").isin(*skipped) if skipped else F.lit(True))
     from_seat = tuple(c - F.coalesce(s, F.lit(0.0)) for c, s in zip(way, seat, strict=True))
     model = camera.turned_by_face(F.col("face"), from_seat, back=True)
-    seen = seen.select("camera_id", "object_id", "category_id", "size", "face", "at", F.get("image_path", F.col("face")).alias("file_name"), *[c.alias(f"m{n}") for c, n in zip(model, "xyz", strict=True)])
+    seen = ranges.settled(seen, {"file_name": F.get("image_path", F.col("face"))} | {f"m{n}": c for c, n in zip(model, "xyz", strict=True)})
     u, v = camera.pinhole_pixel(tuple(F.col(f"m{n}") for n in "xyz"), F.col("size"))
     image_id = (4 * F.col("camera_id") + F.col("face")).alias("image_id")
     shapes = seen.groupBy("camera_id", "object_id", "category_id", "face", "size", "file_name").agg(F.array_sort(F.collect_list(F.struct("at", u.alias("x"), v.alias("y")))).alias("ring"))
     images = shapes.select(image_id.alias("id"), "file_name", F.col("size").alias("width"), F.col("size").alias("height")).distinct()
-    large = shapes.where(F.size("ring") > corners).withColumns({"area": geometry.area(F.col("ring")), "b": geometry.bounds(F.col("ring"))}).where(F.col("area") > least)
+    large = ranges.settled(shapes.where(F.size("ring") > corners), {"area": geometry.area(F.col("ring")), "b": geometry.bounds(F.col("ring"))}).where(F.col("area") > least)
     whole = F.flatten(F.transform("ring", lambda p: F.array(p["x"].cast("long"), p["y"].cast("long"))))
     rows = large.select("camera_id", "object_id", "face", image_id, "category_id", F.array(whole).alias("segmentation"), "area", F.array("b.x", "b.y", "b.w", "b.h").alias("bbox"), F.lit(0).alias("iscrowd"))
     return images, numbered(rows, "id", "camera_id", "object_id", "face").drop("camera_id", "face")
