@@ -45,7 +45,8 @@ def read_tagged(spark: SparkSession, paths: dict[str, str], image_paths: Iterabl
     """(images, annotations) of tagged files, in the order of ``paths``.
 
     A file is a document, whose own images count, or a bare list of annotations, whose images are those of all
-    ``image_paths``. Of images that share a file_name the first stays. Annotations without a dataset take their file's.
+    ``image_paths``. Of images that share a file_name the first stays: by file, then by place in the document; in a
+    folder of several documents, which are parts of one, the least id. Annotations without a dataset take their file's.
     """
     found, annotations = [], []
     for k, (dataset, path) in enumerate(paths.items()):
@@ -56,8 +57,10 @@ def read_tagged(spark: SparkSession, paths: dict[str, str], image_paths: Iterabl
         sources = [rows] if bare.isEmpty() else [spark.read.schema(_IMAGES).json(p, multiLine=True) for p in image_paths]
         for j, source in enumerate(sources):
             listed = source.select(F.posexplode("images").alias("at", "image"))
-            found.append(listed.select(F.lit(k).alias("file"), F.lit(j).alias("source"), "at", "image.*"))
-    images = tables.first_wins(union(found), ["file_name"], *(F.col(c) for c in ("file", "source", "at")))
+            # A place counts within one document; parts of a folder hold images by their ids.
+            at = F.col("at") if source.limit(2).count() < 2 else F.lit(0)
+            found.append(listed.select(F.lit(k).alias("file"), F.lit(j).alias("source"), at.alias("at"), "image.*"))
+    images = tables.first_wins(union(found), ["file_name"], *(F.col(c) for c in ("file", "source", "at", "id")))
     return images.select("id", "file_name", "width", "height"), union(annotations)
 
 
@@ -75,7 +78,8 @@ def write_coco_parts(images: DataFrame, annotations: DataFrame, categories: Data
         return rows.groupBy(part.alias("part")).agg(F.collect_list(F.struct(*rows.columns)).alias(name))
 
     names = F.broadcast(categories.agg(F.collect_list(F.struct(*categories.columns)).alias("categories")))  # one row, as many items as classes
-    whole = listed(images, "id", "images").join(listed(annotations, "image_id", "annotations"), "part", "full").join(names)
+    pictures = listed(images, "id", "images").withColumn("images", F.array_sort("images", lambda a, b: F.when(a["id"] < b["id"], -1).when(a["id"] > b["id"], 1).otherwise(0)))
+    whole = pictures.join(listed(annotations, "image_id", "annotations"), "part", "full").join(names)
     value = F.to_json(F.struct(*[F.coalesce(c, F.array()).alias(c) for c in ("images", "annotations")], "categories"))
     whole.select(value.alias("value")).write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
 
