@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from panolake.functions import overlay
 from panolake.functions.geometry import segmentation_box
+from panolake.operators import ranges
 from panolake.operators.components import connected_components
 from panolake.operators.spatial import box_pairs, overlap_pairs
 
@@ -35,7 +36,7 @@ def merged_boxes(boxes: DataFrame, groups: DataFrame) -> DataFrame:
 def outlines_to_panorama(tiles: DataFrame, buffer: float = 1.0) -> DataFrame:
     """Segmentations of tiles (columns min_x, min_y) moved to their panorama, and ``grown`` by ``buffer`` so that parts cut by tiles meet."""
     shift = lambda ring: F.transform(ring, lambda v, i: v + F.when(i % 2 == 0, F.col("min_x")).otherwise(F.col("min_y")))
-    moved = tiles.withColumn("segmentation", F.transform("segmentation", shift))
+    moved = ranges.spread(tiles).withColumn("segmentation", F.transform("segmentation", shift))
     return moved.withColumn("grown", overlay.buffered("segmentation", F.lit(float(buffer))))
 
 
@@ -44,7 +45,7 @@ def outline_groups(moved: DataFrame, keep, cell: float = 512.0) -> DataFrame:
     rows = moved.select("dataset", "image_id", "det_id", "grown", segmentation_box("grown").alias("box")).where("box is not null").select("*", "box.*").drop("box")
     rows = keep(rows)
     pairs = box_pairs(rows, rows, cell, "dataset", "image_id").where("l_det_id < r_det_id")
-    touching = pairs.where(overlay.shared_area("l_grown", "r_grown") > 0).select(F.col("l_det_id").alias("a"), F.col("r_det_id").alias("b"))
+    touching = ranges.spread(pairs.select("l_det_id", "r_det_id", "l_grown", "r_grown")).where(overlay.shared_area("l_grown", "r_grown") > 0).select(F.col("l_det_id").alias("a"), F.col("r_det_id").alias("b"))
     alone = rows.select(F.col("det_id").alias("a"), F.col("det_id").alias("b"))
     return connected_components(touching.union(alone), keep).select(F.col("node").alias("det_id"), "root")
 
@@ -61,10 +62,10 @@ def merged_outlines(moved: DataFrame, groups: DataFrame, keep, buffer: float = 1
     while True:
         numbered = parts.withColumn("k", F.floor((F.row_number().over(Window.partitionBy("root").orderBy("part")) - 1) / at_once))
         merged = numbered.groupBy("root", "k").agg(F.collect_list("outline").alias("outlines"))
-        parts = keep(merged.select("root", F.col("k").alias("part"), overlay.united("outlines").alias("outline")))
+        parts = keep(ranges.spread(merged).select("root", F.col("k").alias("part"), overlay.united("outlines").alias("outline")))
         if parts.where("part > 0").isEmpty():
             break
-    outline = parts.select("root", overlay.buffered("outline", F.lit(-float(buffer))).alias("segmentation"))
+    outline = ranges.spread(parts).select("root", overlay.buffered("outline", F.lit(-float(buffer))).alias("segmentation"))
     outline = outline.select("*", segmentation_box("segmentation").alias("box"), overlay.area("segmentation").alias("area"))
     first = F.min(F.struct("det_id", "image_id", "dataset", "category_id")).alias("first")
     scores = F.percentile("score", 0.5) if once else F.percentile("score", 0.5, F.col("times"))
