@@ -20,9 +20,11 @@ open state at a time; ``DriveProcessor`` holds the same state in a stream.
 from __future__ import annotations
 
 import heapq
+import math
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import pairwise
 from typing import NamedTuple
 
 import numpy as np
@@ -52,7 +54,7 @@ class Meeting(NamedTuple):
 @dataclass
 class Candidate:
     members: set[int]
-    centre: np.ndarray
+    centre: tuple[float, float, float]
     mean_length: float
     mean_dist: float
     last_seen: int
@@ -73,19 +75,28 @@ class Drive:
     opened: int = 0
     #: The clusters of ``live`` as long as it stays as it is.
     steady: list[set[int]] | None = None
+    #: Each meeting's neighbours and each cluster's centre and means, worked out once; made anew where they are missing.
+    near: dict[int, set[int]] = field(default_factory=dict)
+    middles: dict[frozenset[int], tuple] = field(default_factory=dict)
 
     def step(self, frame: int, pairs: list[tuple], datasets: set[str]) -> tuple[list[int], list[int], dict[int, Candidate]]:
         """Takes a frame's pairs (ray_b, frame_a, dist, ray_a, x, y, z, length), sorted; gives new and false meetings and closed candidates."""
         new = self._meet(pairs)
         clusters, false = self._clusters()
-        changed = {c for cluster in clusters if (c := self._place(frame, cluster, datasets)) is not None}
+        known = {key: cluster for cluster in clusters for key in [frozenset(cluster)]}
+        self.middles = {key: self.middles.get(key) or self._middle(cluster) for key, cluster in known.items()}
+        changed = {c for key, cluster in known.items() if (c := self._place(frame, cluster, datasets, self.middles[key])) is not None}
         closed = self._age(changed)
         return new, false, closed
 
     def forget(self) -> None:
         """Drops meetings that nothing holds any more."""
         held = self.live.union(*(c.members for c in self.open.values()))
-        self.meetings = {i: m for i, m in self.meetings.items() if i in held}
+        for i in self.meetings.keys() - held:
+            del self.meetings[i]
+            for j in self.near.pop(i, ()):
+                if j != i:
+                    self.near[j].discard(i)
 
     def _meet(self, pairs: list[tuple]) -> list[int]:
         new, last = [], None
@@ -103,31 +114,33 @@ class Drive:
 
     def _clusters(self) -> tuple[list[set[int]], list[int]]:
         if self.steady is None:
-            taken, false = peeled({i: self.meetings[i] for i in self.live}, self.limits.cluster)
+            _meet_neighbours(self.near, self.meetings, self.limits.cluster)
+            taken, false = peeled({i: self.meetings[i] for i in self.live}, self.limits.cluster, self.near)
             self.live.difference_update(false)
             self.steady = taken
             return taken, false
         return self.steady, []
 
-    def _seen(self, members: set[int], frame: int, datasets: set[str]) -> Candidate:
+    def _middle(self, members: set[int]) -> tuple[tuple[float, float, float], float, float]:
+        """Median centre, mean length and mean gap."""
         rows = np.array([self.meetings[i][2:] for i in sorted(members)])
-        return Candidate(set(members), np.median(rows[:, :3], axis=0), float(rows[:, 4].mean()), float(rows[:, 3].mean()), frame, 0, datasets)
+        at, n = np.sort(rows[:, :3], axis=0), len(rows)
+        return tuple(((at[(n - 1) // 2] + at[n // 2]) / 2).tolist()), float(rows[:, 4].mean()), float(rows[:, 3].mean())
 
-    def _place(self, frame: int, cluster: set[int], datasets: set[str]) -> int | None:
+    def _place(self, frame: int, cluster: set[int], datasets: set[str], middle: tuple) -> int | None:
         """The candidate that this cluster opens or adds to, None if one holds the same."""
-        found = self._seen(cluster, frame, set(datasets))
         for number, old in self.open.items():
             if old.members == cluster:
                 return None
-            if np.linalg.norm(found.centre - old.centre) < self.limits.update:
+            if math.dist(middle[0], old.centre) < self.limits.update:
                 both = old.members | cluster
                 if not both <= self.live:
                     self.live |= both
                     self.steady = None
                 self.idle.difference_update(r for i in both for r in self.meetings[i][:2])
-                self.open[number] = self._seen(both, frame, old.datasets)
+                self.open[number] = Candidate(both, *self._middle(both), frame, 0, old.datasets)
                 return number
-        self.open[self.opened] = found
+        self.open[self.opened] = Candidate(set(cluster), *middle, frame, 0, set(datasets))
         self.opened += 1
         return self.opened - 1
 
@@ -145,40 +158,50 @@ class Drive:
         return closed
 
 
-def _parts(ids: set[int], near: dict[int, list[int]]) -> list[set[int]]:
+def _meet_neighbours(near: dict[int, set[int]], meetings: dict[int, Meeting], eps: float, at_once: int = 512) -> None:
+    """Adds to ``near`` the meetings that are not in it: who is within ``eps`` of whom, themselves included."""
+    new = [i for i in meetings if i not in near]
+    if not new:
+        return
+    ids = list(meetings)
+    at = np.array([meetings[i][2:5] for i in ids]).reshape(-1, 3)
+    own = np.array([meetings[i][2:5] for i in new]).reshape(-1, 3)
+    near.update((i, set()) for i in new)
+    for k in range(0, len(new), at_once):
+        close = ((own[k : k + at_once, None] - at[None]) ** 2).sum(2) <= eps * eps
+        for i, j in zip(*(v.tolist() for v in np.nonzero(close)), strict=True):
+            near[new[i + k]].add(ids[j])
+            near[ids[j]].add(new[i + k])
+
+
+def _parts(ids: set[int], near: dict[int, set[int]]) -> list[set[int]]:
     """Connected parts of ``ids``."""
     left, parts = set(ids), []
     for first in sorted(ids):
         if first not in left:
             continue
-        part, todo = {first}, [first]
-        left.discard(first)
+        part, todo = set(), {first}
         while todo:
-            for other in near[todo.pop()]:
-                if other in left:
-                    left.discard(other)
-                    part.add(other)
-                    todo.append(other)
+            left -= todo
+            part |= todo
+            todo = set().union(*(near[i] for i in todo)) & left
         parts.append(part)
     return parts
 
 
-def peeled(meetings: dict[int, Meeting], eps: float) -> tuple[list[set[int]], list[int]]:
+def peeled(meetings: dict[int, Meeting], eps: float, near: dict[int, set[int]] | None = None) -> tuple[list[set[int]], list[int]]:
     """Clusters taken one by one, the largest first, and the meetings on their rays that are in no cluster taken.
 
-    After each one taken, clusters that lost a meeting fall apart into those that are left.
+    After each one taken, clusters that lost a meeting fall apart into those that are left. ``near`` holds the neighbours of
+    these meetings, and may name others, where a walk has worked them out before.
     """
-    ids = sorted(meetings)
-    at = np.array([meetings[i][2:5] for i in ids]).reshape(-1, 3)
-    near, on_ray = defaultdict(list), defaultdict(set)
-    for k in range(0, len(ids), 512):
-        close = ((at[k : k + 512, None] - at[None]) ** 2).sum(2) <= eps * eps
-        for i, j in zip(*np.nonzero(close), strict=True):
-            near[ids[i + k]].append(ids[j])
+    on_ray = defaultdict(set)
+    if near is None:
+        _meet_neighbours(near := {}, meetings, eps)
     for i, m in meetings.items():
         on_ray[m.ray_a].add(i)
         on_ray[m.ray_b].add(i)
-    left, taken, false = set(ids), [], []
+    left, taken, false = set(meetings), [], []
     queue = [(-len(p), min(p), p) for p in _parts(left, near)]
     heapq.heapify(queue)
     while queue:
@@ -230,10 +253,15 @@ def ticks(frames: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def _by_frame(rows: pd.DataFrame) -> Iterator[tuple[tuple[int, int], list[tuple], set[str]]]:
     """(drive, frame), sorted pairs and datasets of each frame in sorted rows."""
-    for key, part in rows.groupby(["drive", "frame"], sort=False):
-        pairs = part[part["ray_b"].notna()]
-        values = [tuple(p) for p in zip(pairs["ray_b"].astype("int64"), pairs["frame_a"].astype("int64"), pairs["dist"], pairs["ray_a"].astype("int64"), *(pairs[c] for c in ("x", "y", "z", "length")), strict=True)]
-        yield key, sorted(values), {d for s in part["datasets"] if s is not None for d in s}
+    rows = rows.dropna(subset=["drive", "frame"])
+    keys = rows[["drive", "frame"]].to_numpy("int64")
+    new = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+    has = rows["ray_b"].notna().to_numpy()
+    of = rows[has]
+    pairs = list(zip(*(of[c].astype("int64" if c in ("ray_b", "frame_a", "ray_a") else "float64").tolist() for c in _ORDER[2:10]), strict=True))
+    before, named = [0, *np.cumsum(has).tolist()], rows["datasets"].tolist()
+    for low, high in pairwise([0, *new.tolist(), len(rows)] if len(rows) else []):
+        yield tuple(keys[low].tolist()), sorted(pairs[before[low] : before[high]]), {d for s in named[low:high] if s is not None for d in s}
 
 
 def walked(frames: DataFrame, pairs: DataFrame, limits: Limits = Limits()) -> DataFrame:

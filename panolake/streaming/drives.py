@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -50,7 +49,7 @@ class DriveProcessor(StatefulProcessor):
         found = {n: v for (n,), v in self.open.iterator()}
         for n in sorted(found):
             members, x, y, z, length, dist, last_seen, missing, datasets = found[n]
-            state.open[n] = Candidate(set(members), np.array([x, y, z]), length, dist, last_seen, missing, set(datasets))
+            state.open[n] = Candidate(set(members), (x, y, z), length, dist, last_seen, missing, set(datasets))
         return state
 
     def _write(self, before: Drive, state: Drive, frame: int) -> None:
@@ -67,7 +66,7 @@ class DriveProcessor(StatefulProcessor):
         for n in before.open.keys() - state.open.keys():
             self.open.removeKey((n,))
         for n, c in state.open.items():
-            self.open.updateValue((n,), (sorted(c.members), *map(float, c.centre), c.mean_length, c.mean_dist, int(c.last_seen), int(c.missing), sorted(c.datasets)))
+            self.open.updateValue((n,), (sorted(c.members), *c.centre, c.mean_length, c.mean_dist, int(c.last_seen), int(c.missing), sorted(c.datasets)))
         self.clock.update((state.met, state.opened))
 
     def close(self) -> None:
