@@ -57,7 +57,7 @@ def settled(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return rows.select(*[c for c in rows.columns if c not in columns], one).select(*[c for c in rows.columns if c not in columns], "settled.*")
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """Rows dealt to all tasks for work that is long for each row: a small file of many packed rows, or a shuffle merged by its bytes, leaves it to a task or two."""
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt to all tasks (by ``keys``, if any) for work that is long for each row: a small file of many packed rows, or a shuffle merged by its bytes, leaves it to a task or two."""
     spark = rows.sparkSession
-    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)

@@ -3,25 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
-from operator import and_
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panolake.functions.camera import radius_of_area
 from panolake.operators import drive
 from panolake.operators.components import connected_components
+from panolake.operators.ranges import settled, spread
 from panolake.operators.spatial import distance_pairs
 
 
-def _col(side: str, name: str) -> Column:
-    return F.col(f"{side}.{name}")
-
-
 def ray_pairs(rays: DataFrame, radius: float = 20.0, gap: float = 0.2, height: tuple[float, float] | None = (-3.8, -2.0), radii_apart: float | None = None, group: str | None = None) -> DataFrame:
     """(ray_a, ray_b, frame_a, frame_b, x, y, z, dist, length): closest approaches of rays of an earlier and a later frame.
 
@@ -31,35 +26,38 @@ def ray_pairs(rays: DataFrame, radius: float = 20.0, gap: float = 0.2, height: t
     camera are rejected; with ``radii_apart`` also pairs whose disks, worked out from the mask ``area`` of either
     ray, differ by more in radius. With ``group`` only rays that agree in this column meet, and it is put out.
     """
-    cells, keys = [F.floor(F.col(c) / (2 * radius)) for c in ("ox", "oy")], [group] if group else []
+    cells, keys = [F.floor(F.col(o) / (2 * radius)).alias(c) for o, c in (("ox", "cx"), ("oy", "cy"))], [group] if group else []
     around = F.explode(F.sequence(F.lit(-1), F.lit(1)))
-    a = rays.withColumns({"cx": cells[0], "cy": cells[1]}).withColumn("ex", around).withColumn("ey", around)
-    a = a.withColumns({"cx": F.col("cx") + F.col("ex"), "cy": F.col("cy") + F.col("ey")}).drop("ex", "ey").alias("a")
-    b = rays.withColumns({"cx": cells[0], "cy": cells[1]}).alias("b")
-    same = [_col("a", c) == _col("b", c) for c in ("cx", "cy", *keys)]
-    across, along = (_col("a", c) - _col("b", c) for c in ("ox", "oy"))
+    own = [*(f"{v}{c}" for v in "od" for c in "xyz"), "ray_id", "frame_id", *(["area"] if radii_apart is not None else [])]
+    sides = {s: rays.select(*keys, *cells, *[F.col(c).alias(f"{s}_{c}") for c in own]) for s in "ab"}
+    a = sides["a"].withColumn("ex", around).withColumn("ey", around)
+    a = a.withColumns({"cx": F.col("cx") + F.col("ex"), "cy": F.col("cy") + F.col("ey")}).drop("ex", "ey")
+    on = [*keys, "cx", "cy"]
+    across, along = (F.col(f"a_{c}") - F.col(f"b_{c}") for c in ("ox", "oy"))
     near = across * across + along * along <= (2 * radius) ** 2
-    met = a.join(b, reduce(and_, [*same, _col("a", "frame_id") < _col("b", "frame_id"), near]))
-    d1, d2 = [_col("a", f"d{c}") for c in "xyz"], [_col("b", f"d{c}") for c in "xyz"]
-    o1, o2 = [_col("a", f"o{c}") for c in "xyz"], [_col("b", f"o{c}") for c in "xyz"]
-    met = met.withColumn("cos", sum((p * q for p, q in zip(d1[1:], d2[1:], strict=True)), d1[0] * d2[0])).where(F.abs(1 - F.col("cos") * F.col("cos")) >= 1e-6)
+    # Rays make many pairs, so a join of few bytes is dealt to all tasks; columns are settled, as the filters below name them again and again.
+    met = spread(a, *on).join(spread(sides["b"], *on), on).where((F.col("a_frame_id") < F.col("b_frame_id")) & near)
+    d1, d2, o1, o2 = ([F.col(f"{s}_{v}{c}") for c in "xyz"] for v in "do" for s in "ab")
+    met = settled(met, {"cos": sum((p * q for p, q in zip(d1[1:], d2[1:], strict=True)), d1[0] * d2[0])}).where(F.abs(1 - F.col("cos") * F.col("cos")) >= 1e-6)
     w = [p - q for p, q in zip(o1, o2, strict=True)]
     d, e = (sum((x * y for x, y in zip(v[1:], w[1:], strict=True)), v[0] * w[0]) for v in (d1, d2))
     below = F.nullif(1 - F.col("cos") * F.col("cos"), F.lit(0.0))
-    met = met.withColumn("t1", (F.col("cos") * e - d) / below).withColumn("t2", (e - F.col("cos") * d) / below)
+    met = settled(met, {"t1": (F.col("cos") * e - d) / below, "t2": (e - F.col("cos") * d) / below})
     met = met.where(F.col("t1").between(0, radius) & F.col("t2").between(0, radius))
     if radii_apart is not None:
-        one, two = (radius_of_area(_col(s, "area"), tuple(d), F.col(t), 8000, 4000) for s, d, t in (("a", d1, "t1"), ("b", d2, "t2")))
+        one, two = (radius_of_area(F.col(f"{s}_area"), tuple(d), F.col(t), 8000, 4000) for s, d, t in (("a", d1, "t1"), ("b", d2, "t2")))
         met = met.where(F.abs(one - two) <= radii_apart)
-    ends = [(p + F.col("t1") * u, q + F.col("t2") * v) for p, u, q, v in zip(o1, d1, o2, d2, strict=True)]
+    met = settled(met, {f"{s}_{c}": p + F.col(t) * u for s, t, o, v in (("p", "t1", o1, d1), ("q", "t2", o2, d2)) for c, p, u in zip("xyz", o, v, strict=True)})
+    ends = [(F.col(f"p_{c}"), F.col(f"q_{c}")) for c in "xyz"]
     far = F.sqrt(sum(((p - q) * (p - q) for p, q in ends[1:]), (ends[0][0] - ends[0][1]) * (ends[0][0] - ends[0][1])))
-    out = met.select(
-        *[_col("a", c).alias(c) for c in keys], _col("a", "ray_id").alias("ray_a"), _col("b", "ray_id").alias("ray_b"), _col("a", "frame_id").alias("frame_a"), _col("b", "frame_id").alias("frame_b"),
-        *[((p + q) / 2).alias(c) for (p, q), c in zip(ends, "xyz", strict=True)], far.alias("dist"), F.greatest("t1", "t2").alias("length"), F.least(o1[2], o2[2]).alias("camera_z"),
-    ).where(F.col("dist") <= gap)
+    out = met.where(far <= gap)
+    z, camera_z = (ends[2][0] + ends[2][1]) / 2, F.least(o1[2], o2[2])
     if height:
-        out = out.where((F.col("z") > F.col("camera_z") + height[0]) & (F.col("z") < F.col("camera_z") + height[1]))
-    return out.drop("camera_z")
+        out = out.where((z > camera_z + height[0]) & (z < camera_z + height[1]))
+    return out.select(
+        *keys, F.col("a_ray_id").alias("ray_a"), F.col("b_ray_id").alias("ray_b"), F.col("a_frame_id").alias("frame_a"), F.col("b_frame_id").alias("frame_b"),
+        *[((p + q) / 2).alias(c) for (p, q), c in zip(ends, "xyz", strict=True)], far.alias("dist"), F.greatest("t1", "t2").alias("length"),
+    )
 
 
 def best_per_frame(pairs: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import json
 import re
 
 from panolake.functions import geometry
-from panolake.operators import fits, ranges, validation
+from panolake.operators import drive, fits, ranges, triangulation, validation
 from panolake.sources import coco, tables, united
 from pyspark.sql import functions as F
 
@@ -57,3 +57,27 @@ def test_filters_stay_above_settled_columns(spark):
     rows = ranges.settled(spark.range(9), {"v": F.sqrt("id")}).where("v > 1 AND v < 2")
     assert rows._jdf.queryExecution().optimizedPlan().toString().count("SQRT") == 1
     assert sorted(r["id"] for r in rows.collect()) == [2, 3]
+
+
+def test_a_walk_works_out_neighbours_and_middles_once(monkeypatch):
+    made, middles = [], []
+    plain, middle = drive._meet_neighbours, drive.Drive._middle
+
+    def counted(near, meetings, eps):
+        made.extend(i for i in meetings if i not in near)
+        plain(near, meetings, eps)
+
+    monkeypatch.setattr(drive, "_meet_neighbours", counted)
+    monkeypatch.setattr(drive.Drive, "_middle", lambda self, members: middles.append(frozenset(members)) or middle(self, members))
+    state = drive.Drive()
+    for frame in range(30):
+        state.step(frame, [(1000 + frame, 0, 0.1, frame, 5.0 * frame, 0.0, 0.0, 1.0)], set())
+        state.forget()
+    assert made == list(range(30)) and sorted(map(min, middles)) == list(range(30))
+    assert state.near.keys() == state.meetings.keys()
+
+
+def test_pairs_of_rays_work_out_each_column_once(spark):
+    rays = spark.range(20).select((F.col("id") % 2).alias("drive"), F.col("id").alias("frame_id"), F.col("id").alias("ray_id"), *[F.col("id").cast("double").alias(c) for c in ("ox", "oy", "oz", "dx", "dy", "dz")])
+    plan = triangulation.ray_pairs(rays, group="drive")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("SQRT") <= 2 and len(re.findall(r"a_dx#\d+ \* b_dx#\d+", plan)) == 1
