@@ -9,6 +9,7 @@ are joined by equality of cells. Edges belong to an area; rings follow the even-
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from panolake.functions.geometry import inside, ring, segmentation_box
 from panolake.functions.overlay import Rings, _spread, rings_of
+from panolake.operators.ranges import keeper, settled, spread
 from panolake.operators.spatial import box_pairs
 
 #: Where in a cell its test point lies; no round number, so that no side ends level with it.
@@ -28,20 +30,34 @@ def area_cells(areas: DataFrame, cell: float) -> DataFrame:
     """(cx, cy, whole, odd, sides) of every cell that an area (``segmentation``) touches."""
 
     def decompose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
         for batch in batches:
-            rings = rings_of(batch.column("segmentation"))
-            for row in np.unique(rings.row).tolist():
-                yield from _cells_of(rings, row, cell)
-
-    return areas.select(F.col("segmentation").cast("array<array<double>>").alias("segmentation")).mapInArrow(decompose, "cx long, cy long, whole boolean, odd boolean, sides array<double>")
-
-
-def _cells_of(rings: Rings, row: int, cell: float, at_once: int = 5000) -> Iterator[pa.RecordBatch]:
-    own = np.repeat(rings.row == row, rings.size)
+            for sides in _sides_of(rings_of(batch.column("segmentation"))):
+                waiting += _cells_of(*sides, cell)
+                if sum(b.num_rows for b in waiting) >= 5000 or len(waiting) >= 500:
+                    yield pa.concat_batches(waiting)
+                    waiting = []
+        if waiting:
+            yield pa.concat_batches(waiting)
+
+    rows = areas.select(F.col("segmentation").cast("array<array<double>>").alias("segmentation"))
+    return spread(rows).mapInArrow(decompose, "cx long, cy long, whole boolean, odd boolean, sides array<double>")
+
+
+def _sides_of(rings: Rings) -> Iterator[tuple[np.ndarray, ...]]:
+    """The sides (x1, y1, x2, y2) of each row; rings come row by row, so each row's lie together."""
+    if not len(rings.row):
+        return
     ends = np.cumsum(rings.size)
     after = np.arange(1, len(rings.x) + 1)
     after[ends - 1] = ends - rings.size
-    x1, y1, x2, y2 = rings.x[own], rings.y[own], rings.x[after][own], rings.y[after][own]
+    every = rings.x, rings.y, rings.x[after], rings.y[after]
+    last = np.flatnonzero(np.append(rings.row[1:] != rings.row[:-1], True))
+    for low, high in pairwise([0, *ends[last].tolist()]):
+        yield tuple(c[low:high] for c in every)
+
+
+def _cells_of(x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray, cell: float, at_once: int = 5000) -> Iterator[pa.RecordBatch]:
     low, high = np.floor(np.minimum(y1, y2) / cell).astype(np.int64), np.floor(np.maximum(y1, y2) / cell).astype(np.int64)
     # A side on the border of two rows or columns touches both.
     low -= np.minimum(y1, y2) == low * cell
@@ -110,21 +126,27 @@ def _holds(x: Column, y: Column, cell: float) -> Column:
 
 def points_in_areas(points: DataFrame, areas: DataFrame, cell: float) -> DataFrame:
     """Points (x, y, and more) that lie in one or more areas or on their edge; an equality join on the cell."""
+    return _points_in_cells(points, area_cells(areas, cell), cell)
+
+
+def _points_in_cells(points: DataFrame, cells: DataFrame, cell: float) -> DataFrame:
     dealt = points.withColumns({"px": F.floor(F.col("x") / cell), "py": F.floor(F.col("y") / cell)})
     held = (F.col("px") == F.col("cx")) & (F.col("py") == F.col("cy")) & _holds(F.col("x"), F.col("y"), cell)
-    return dealt.join(area_cells(areas, cell), held, "left_semi").drop("px", "py")
+    return dealt.join(cells.hint("merge"), held, "left_semi").drop("px", "py")
 
 
 def outlines_in_areas(rows: DataFrame, areas: DataFrame, cell: float, key: str) -> DataFrame:
     """Rows whose outline (``segmentation``) shares a point with an area: a vertex lies in one, a side meets one's side, or an area lies within."""
+    cells = keeper(rows.sparkSession)(area_cells(areas, cell))
     ends = F.transform("segmentation", lambda r: F.transform(F.sequence(F.lit(0), F.size(r) - 2, F.lit(2)), lambda i: F.struct(F.get(r, i).alias("x"), F.get(r, i + 1).alias("y"), F.get(r, (i + 2) % F.size(r)).alias("ex"), F.get(r, (i + 3) % F.size(r)).alias("ey"))))
+    rows = settled(spread(rows), {"segmentation": F.col("segmentation")})
     sides = rows.select(F.col(key).alias("key"), F.explode(F.flatten(ends)).alias("s")).select("key", "s.*")
-    by_vertex = points_in_areas(sides.select("key", "x", "y"), areas, cell).select("key")
+    by_vertex = _points_in_cells(sides.select("key", "x", "y"), cells, cell).select("key")
     spans = lambda a, b: F.explode(F.sequence(F.floor(F.least(a, b) / cell), F.floor(F.greatest(a, b) / cell)))
     dealt = sides.withColumn("px", spans("x", "ex")).withColumn("py", spans("y", "ey"))
     own = lambda s: (F.col("x"), F.col("y"), F.col("ex"), F.col("ey"), s["ax"], s["ay"], s["bx"], s["by"])
     crossed = F.exists(_sides(F.col("sides")), lambda s: _cross(*own(s)))
-    by_side = dealt.join(area_cells(areas, cell), (F.col("px") == F.col("cx")) & (F.col("py") == F.col("cy")) & crossed, "left_semi").select("key")
+    by_side = dealt.join(cells.hint("merge"), (F.col("px") == F.col("cx")) & (F.col("py") == F.col("cy")) & crossed, "left_semi").select("key")
     flat = F.explode("segmentation").alias("outer")
     first = areas.select(flat).select(F.get("outer", 0).cast("double").alias("x"), F.get("outer", 1).cast("double").alias("y"), F.lit(0.0).alias("w"), F.lit(0.0).alias("h"))
     boxes = rows.select(F.col(key).alias("key"), "segmentation", segmentation_box("segmentation").alias("b")).where("b is not null").select("key", "segmentation", "b.*")
