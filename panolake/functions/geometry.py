@@ -27,9 +27,8 @@ def boxes_overlap(a: dict[str, Column], b: dict[str, Column]) -> Column:
 def segmentation_box(parts: Column | str) -> Column:
     """Struct x, y, w, h around all points of a segmentation; null for none."""
     axis = lambda k: F.flatten(F.transform(parts, lambda ring: F.filter(ring, lambda _, i: i % 2 == k)))
-    x, y = axis(0), axis(1)
-    box = F.struct(F.array_min(x).alias("x"), F.array_min(y).alias("y"), (F.array_max(x) - F.array_min(x)).alias("w"), (F.array_max(y) - F.array_min(y)).alias("h"))
-    return F.when(F.size(x) > 0, box)
+    box = lambda p: F.struct(F.array_min(p["x"]).alias("x"), F.array_min(p["y"]).alias("y"), (F.array_max(p["x"]) - F.array_min(p["x"])).alias("w"), (F.array_max(p["y"]) - F.array_min(p["y"])).alias("h"))
+    return bound(F.struct(axis(0).alias("x"), axis(1).alias("y")), lambda p: F.when(F.size(p["x"]) > 0, box(p)))
 
 
 def ring(flat: Column) -> Column:
@@ -85,9 +84,12 @@ def shift(flat: Column, x: Column, y: Column) -> Column:
 
 def scale(vertices: Column, by: float) -> Column:
     """Vertices moved from their mean by a factor."""
-    n = F.size(vertices)
-    mean = lambda axis: F.aggregate(F.transform(vertices, lambda v: v[axis].cast("double")), F.lit(0.0), lambda a, t: a + t) / n
-    return F.transform(vertices, lambda v: F.struct((mean("x") + (v["x"] - mean("x")) * by).alias("x"), (mean("y") + (v["y"] - mean("y")) * by).alias("y")))
+    def moved(ring: Column) -> Column:
+        mean = lambda axis: F.aggregate(F.transform(ring, lambda v: v[axis].cast("double")), F.lit(0.0), lambda a, t: a + t) / F.size(ring)
+        to = lambda m: F.transform(ring, lambda v: F.struct(*[(m[c] + (v[c] - m[c]) * by).alias(c) for c in "xy"]))
+        return bound(F.struct(mean("x").alias("x"), mean("y").alias("y")), to)
+
+    return bound(vertices, moved)
 
 
 def point_buffer(x: Column, y: Column, radius: float, corners: int = 64) -> Column:

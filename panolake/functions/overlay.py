@@ -113,7 +113,7 @@ def _meetings(e: Edges) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     low, high = np.minimum(e.x1, e.x2), np.maximum(e.x1, e.x2)
     order = np.lexsort((low, e.group))
     s, low, high = e.take(order), low[order], high[order]
-    base = low.min() if len(low) else 0
+    base = low[np.searchsorted(s.group, s.group)]  # each group's own, as groups may lie far apart
     key = lambda x: s.group * (1 << 43) + (x - base)
     counts = np.searchsorted(key(low), key(high), side="right") - np.arange(len(low)) - 1
     found = []

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from panolake.functions import overlay
 from panolake.functions.geometry import box_iou, boxes_overlap, half_even, segmentation_box
+from panolake.operators.ranges import settled, spread
 from panolake.operators.spatial import box_pairs
 
 SIDES = ("x", "y", "w", "h")
@@ -27,12 +28,16 @@ def polygon_pairs(dets: DataFrame, labels: DataFrame, cell: float, *keys: str) -
     """
     extra = [k for k in keys if k != "image_id"]
     image = [F.col("image_id")] if "image_id" in keys else [F.lit(None).cast("long").alias("image_id")]
-    of_dets = dets.select("dataset", *image, *extra, "det_id", "score", "det_class", "segmentation", segmentation_box("segmentation").alias("box"))
-    of_labels = labels.select("dataset", *image, *extra, "label_id", "label_class", "segmentation", segmentation_box("segmentation").alias("box"))
-    pairs = box_pairs(*(df.where("box is not null").select("*", "box.*").drop("box") for df in (of_dets, of_labels)), cell, "dataset", *keys)
+    def boxed(rows: DataFrame, *names: str) -> DataFrame:
+        # Outlines and their boxes are worked out once, by all tasks: dealing to cells names each side of a box several times.
+        rows = settled(spread(rows.select("dataset", *image, *extra, *names)), {"segmentation": F.col("segmentation")})
+        rows = settled(rows, {"box": segmentation_box("segmentation")})
+        return rows.where("box is not null").select("*", "box.*").drop("box")
+
+    pairs = box_pairs(boxed(dets, "det_id", "score", "det_class", "segmentation"), boxed(labels, "label_id", "label_class", "segmentation"), cell, "dataset", *keys)
     names = ["l_det_id", "r_label_id", "l_dataset", "l_image_id", "l_score", "r_label_class", "l_det_class"]
-    found = pairs.select(*[F.col(c).alias(c[2:]) for c in names], overlay.iou("l_segmentation", "r_segmentation").alias("iou"))
-    return found.where("iou > 0")
+    found = pairs.select(*[F.col(c).alias(c[2:]) for c in names], "l_segmentation", "r_segmentation")
+    return settled(found, {"iou": overlay.iou("l_segmentation", "r_segmentation")}).drop("l_segmentation", "r_segmentation").where("iou > 0")
 
 
 def best_label(pairs: DataFrame, least_iou: float = 0.25) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from panolake.fixtures import view
 from panolake.functions import camera, geometry, mapping, overlay
 from panolake.operators import areas, assessment, control, fits, matching, merging, rays, tiling, triangulation
-from panolake.operators.ranges import spread
+from panolake.operators.ranges import settled, spread
 from panolake.operators.spatial import distance_pairs
 from panolake.plans.catalog import ANGLES, DRIVE_PAIRS, FAR, FRAME, MATRIX, PAIRS, PROBLEM, RATIOS, RAYS, SCENE, SENSOR, SWEEP, TAGS, _angles, _flat, _in_frame, _peeled, _problems, _scene, keeper, query, r6, tags_of, threshold_sweep
 from panolake.sources import flatgeobuf, geopackage, tables
@@ -561,7 +561,7 @@ def polygon_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT label_id, round(x + w / 2.0::DOUBLE - w * 0.55::DOUBLE, 6) AS x0, round(y + h / 2.0::DOUBLE + h * 0.55::DOUBLE, 6) AS y1, round(w * 1.1::DOUBLE, 6) AS w FROM fx_labels")
 def polygon_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = view(spark, sf_dir, "fx_labels").select("label_id", geometry.bounds(geometry.scale(geometry.ring(_flat()), 1.1)).alias("b"))
+    rows = settled(spread(view(spark, sf_dir, "fx_labels")), {"b": geometry.bounds(geometry.scale(geometry.ring(_flat()), 1.1))})
     return rows.select("label_id", r6(F.col("b.x"), "x0"), r6(F.col("b.y") + F.col("b.h"), "y1"), r6(F.col("b.w"), "w"))
 
 

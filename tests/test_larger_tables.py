@@ -5,8 +5,10 @@ from __future__ import annotations
 import json
 import re
 
-from panolake.functions import geometry
-from panolake.operators import drive, fits, ranges, triangulation, validation
+import numpy as np
+import pyarrow as pa
+from panolake.functions import geometry, overlay
+from panolake.operators import areas, drive, fits, ranges, triangulation, validation
 from panolake.sources import coco, tables, united
 from pyspark.sql import functions as F
 
@@ -81,3 +83,22 @@ def test_pairs_of_rays_work_out_each_column_once(spark):
     rays = spark.range(20).select((F.col("id") % 2).alias("drive"), F.col("id").alias("frame_id"), F.col("id").alias("ray_id"), *[F.col("id").cast("double").alias(c) for c in ("ox", "oy", "oz", "dx", "dy", "dz")])
     plan = triangulation.ray_pairs(rays, group="drive")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("SQRT") <= 2 and len(re.findall(r"a_dx#\d+ \* b_dx#\d+", plan)) == 1
+
+
+def test_outlines_of_a_batch_may_lie_far_apart():
+    square = lambda x: [[x, 0.0, x + 10.0, 0.0, x + 10.0, 10.0, x, 10.0]]
+    at = [3e7, 0.0, 2e7, 9e6, 4e7, 1e6] * 50
+    left, right = (pa.array([square(x + by) for x in at], pa.list_(pa.list_(pa.float64()))) for by in (0.0, 5.0))
+    assert np.allclose(overlay.iou.func(left, right).to_numpy(), 1 / 3)
+
+
+def test_outlines_and_their_boxes_are_worked_out_once(spark):
+    assert geometry.segmentation_box("s")._jc.toString().count("filter(") == 2
+    ring = geometry.scale(geometry.ring(F.col("s")), 1.1)._jc.toString()
+    assert ring.count("aggregate(") == 2 and ring.count("sequence(") == 2
+
+
+def test_cells_of_many_areas_come_in_few_batches():
+    rings = overlay.rings_of(pa.array([[[0.0, 0.0, 9.0, 0.0, 9.0, 9.0], [1.0, 1.0, 2.0, 1.0, 2.0, 2.0]], [], None, [[20.0, 0.0, 29.0, 0.0, 29.0, 9.0]]], pa.list_(pa.list_(pa.float64()))))
+    sides = [np.stack(s, 1).tolist() for s in areas._sides_of(rings)]
+    assert [len(s) for s in sides] == [6, 3] and sides[1][2] == [29.0, 9.0, 20.0, 0.0] and sides[0][5] == [2.0, 2.0, 1.0, 1.0]
