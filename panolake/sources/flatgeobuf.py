@@ -17,17 +17,19 @@ import os
 import struct
 import tempfile
 import uuid
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain, islice
 from typing import Any, BinaryIO
 
 import numpy as np
 from pyspark import TaskContext
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from panolake.sources.geopackage import BOX, KINDS, TAIL, Written
+from panolake.sources.geopackage import BOX, KINDS, TAIL
 
 #: Fixed values of the format: its first bytes, the bytes of a node, and the types of columns.
 MAGIC = bytes([0x66, 0x67, 0x62, 3, 0x66, 0x67, 0x62, 0])
@@ -37,6 +39,9 @@ WRITTEN = {"boolean": 2, "int": 5, "smallint": 5, "bigint": 7, "float": 10, "dou
 #: How its header names and numbers geometries and the slots that are used here.
 NAME, ENVELOPE, KIND, COLUMNS, COUNT, FAN, CRS = 0, 1, 2, 7, 8, 9, 10
 
+#: Features of a file that a task writes; their boxes and places are held until it is whole.
+EACH = 250_000
+
 
 class Table:
     """A table of the FlatBuffers encoding: fields by slot."""
@@ -300,10 +305,16 @@ class Reader(DataSourceReader):
         return (number, *(values.get(c) for c, _ in head.columns), rings, kind, head.srs, head.projected, *box)
 
 
+@dataclass
+class Written(WriterCommitMessage):
+    parts: list[str]
+
+
 class Writer(DataSourceWriter):
-    """A file for each task in the folder; parts get their names when all are whole."""
+    """Files of at most ``each`` features by each task in the folder; parts get their names when all are whole."""
 
-    def __init__(self, folder: str, schema: StructType, srs: int, definition: str):
+    def __init__(self, folder: str, schema: StructType, srs: int, definition: str, each: int = EACH):
+        self.each = each
         self.folder, self.srs, self.definition = folder.removeprefix("file://").removeprefix("file:"), srs, definition
         skipped = {"geometry", "kind", "srs", "projected", "fid", *BOX}
         self.names = [f.name for f in schema]
@@ -330,17 +341,26 @@ class Writer(DataSourceWriter):
 
     def write(self, rows: Iterator) -> Written:
         os.makedirs(self.folder, exist_ok=True)
+        rows, parts = iter(rows), []
+        first = list(islice(rows, 1))
+        while first or not parts:
+            parts.append(self._file(chain(first, islice(rows, self.each - 1))))
+            first = list(islice(rows, 1))
+        return Written(parts)
+
+    def _file(self, rows: Iterator) -> str:
+        """One file of these rows, whose boxes and places are held in memory."""
         part = f"part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.fgb"
-        boxes, places, sizes, at = [], [], [], 0
+        boxes, places, sizes, at = array("d"), array("q"), array("q"), 0
         with tempfile.TemporaryFile() as waiting:
             for row in rows:
                 raw, box = self._feature(dict(zip(self.names, row, strict=True)))
                 waiting.write(struct.pack("<I", len(raw)) + raw)
-                boxes.append(box)
+                boxes.extend(box)
                 places.append(at)
                 sizes.append(4 + len(raw))
                 at += sizes[-1]
-            box, size = np.array(boxes).reshape(-1, 4), np.array(sizes, np.int64)
+            box, size = np.array(boxes).reshape(-1, 4), np.array(sizes)
             low, high = (box[:, :2].min(0), box[:, 2:].max(0)) if len(box) else (np.zeros(2), np.zeros(2))
             with np.errstate(invalid="ignore", divide="ignore"):
                 grid = np.nan_to_num(((box[:, :2] + box[:, 2:]) / 2 - low) / (high - low) * 65535, nan=0.0, posinf=0, neginf=0)
@@ -359,17 +379,16 @@ class Writer(DataSourceWriter):
                 for k in order.tolist():
                     waiting.seek(places[k])
                     file.write(waiting.read(sizes[k]))
-        return Written(part)
+        return part
 
     def commit(self, messages: list[Written | None]) -> None:
-        for m in messages:
-            if m:
-                os.rename(f"{self.folder}/.{m.part}", f"{self.folder}/{m.part}")
+        for part in (p for m in messages if m for p in m.parts):
+            os.rename(f"{self.folder}/.{part}", f"{self.folder}/{part}")
 
     def abort(self, messages: list[Written | None]) -> None:
-        for m in messages:
-            if m and os.path.exists(f"{self.folder}/.{m.part}"):
-                os.remove(f"{self.folder}/.{m.part}")
+        for part in (p for m in messages if m for p in m.parts):
+            if os.path.exists(f"{self.folder}/.{part}"):
+                os.remove(f"{self.folder}/.{part}")
 
 
 class FlatGeobuf(DataSource):
@@ -387,7 +406,7 @@ class FlatGeobuf(DataSource):
 
     def writer(self, schema: StructType, overwrite: bool) -> Writer:
         srs = int(self.options.get("srs", 2056))
-        return Writer(self.options["path"], schema, srs, self.options.get("definition", f'PROJCS["EPSG:{srs}"]'))
+        return Writer(self.options["path"], schema, srs, self.options.get("definition", f'PROJCS["EPSG:{srs}"]'), int(self.options.get("each", EACH)))
 
 
 def register(spark: SparkSession) -> None:
