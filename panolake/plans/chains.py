@@ -14,7 +14,7 @@ from panolake.operators import areas, assessment, control, fits, matching, mergi
 from panolake.operators.ranges import settled, spread
 from panolake.operators.spatial import distance_pairs
 from panolake.plans.catalog import ANGLES, DRIVE_PAIRS, FAR, FRAME, MATRIX, PAIRS, PROBLEM, RATIOS, RAYS, SCENE, SENSOR, SWEEP, TAGS, _angles, _flat, _in_frame, _peeled, _problems, _scene, keeper, query, r6, tags_of, threshold_sweep
-from panolake.sources import flatgeobuf, geopackage, tables
+from panolake.sources import flatgeobuf, geopackage, tables, united
 
 CATEGORIES = [(1, "cover", "street"), (3, "valve", "street")]
 
@@ -125,12 +125,12 @@ def camera_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT det_id, image_id, score, CAST(det_class AS INTEGER) AS det_class, x, w FROM fx_dets WHERE score >= 0.5")
 def detection_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Detections written as a list and under a document's annotations, read back as one table."""
+    """Detections written as lists and under documents' annotations, read back as one table."""
     dets = view(spark, sf_dir, "fx_dets").select("det_id", "image_id", "score", "det_class", F.array("x", "y", "w", "h").alias("bbox"))
-    tables.write_records(dets.where("det_id % 2 = 0"), one := folder(spark), as_array=True)
+    united.write_list_parts(dets.where("det_id % 2 = 0"), one := folder(spark))
     named = dets.where("det_id % 2 = 1").withColumnRenamed("det_id", "id").withColumnRenamed("det_class", "category_id")
-    listed = named.agg(F.collect_list(F.struct(*named.columns)).alias("annotations"))
-    listed.select(F.to_json(F.struct("annotations")).alias("value")).coalesce(1).write.text(two := folder(spark))
+    images = view(spark, sf_dir, "fx_images").select(F.col("image_id").alias("id")).limit(0)
+    united.write_coco_parts(images, named, categories(spark), two := folder(spark))
     rows = tables.read_detections_any(spark, one).unionByName(tables.read_detections_any(spark, two)).where("score >= 0.5")
     return rows.select("det_id", "image_id", "score", "det_class", F.get("bbox", 0).cast("bigint").alias("x"), F.get("bbox", 2).cast("bigint").alias("w"))
 
