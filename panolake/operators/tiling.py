@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panolake.functions.geometry import clip_span
+from panolake.operators.ranges import keeper
 
 
 def tiles(images: DataFrame, size: int = 512, overlap_x: int = 44, overlap_y: int = 8, padding: int = 736) -> DataFrame:
@@ -82,7 +83,17 @@ def first_rows(rows: DataFrame, keys: list[str], counts: DataFrame, cuts: list[s
 
 def sample_negatives(empty: DataFrame, positives: DataFrame, keys: list[str], share: float, low: Column) -> DataFrame:
     """Per key as many empty tiles as needed for ``share``, low ones first, in the fixed order."""
-    need = positives.groupBy(*keys).agg(negatives_needed(F.count("*"), share).alias("need"))
+    keep = keeper(empty.sparkSession)
+    need = keep(positives.groupBy(*keys).agg(negatives_needed(F.count("*"), share).alias("need")))
+    lowest = empty.where(F.coalesce(low, F.lit(True)))
+    # Few of many tiles are taken: where the low ones suffice, those early enough in the order are hashed and kept once.
+    bounds = keep(need.join(lowest.groupBy(*keys).agg(F.count("*").alias("n")), keys, "left"))
+    if bounds.where("need > coalesce(n, 0)").isEmpty():
+        first = F.conv(F.substring(order_key("tile"), 1, 4), 16, 10).cast("int")
+        upto = ((F.col("need") + 6 * F.sqrt("need") + 10) / F.col("n") * (1 << 16)).alias("upto")
+        early = keep(lowest.join(F.broadcast(bounds.select(*keys, upto)), keys).where(first <= F.col("upto")).select(*empty.columns))
+        if need.join(early.groupBy(*keys).agg(F.count("*").alias("n")), keys, "left").where("need > coalesce(n, 0)").isEmpty():
+            empty = early
     return first_rows(empty, keys, need, ["need"], "tile", ~low, below_only=True).where(F.get("below", 0)).drop("below")
 
 

@@ -7,9 +7,11 @@ import re
 
 import numpy as np
 import pyarrow as pa
+from panolake.fixtures import view
 from panolake.functions import geometry, overlay
-from panolake.operators import areas, drive, fits, ranges, triangulation, validation
-from panolake.sources import coco, tables, united
+from panolake.operators import areas, drive, fits, ranges, tiling, triangulation, validation
+from panolake.plans import chains
+from panolake.sources import coco, flatgeobuf, tables, united
 from pyspark.sql import functions as F
 
 
@@ -102,3 +104,29 @@ def test_cells_of_many_areas_come_in_few_batches():
     rings = overlay.rings_of(pa.array([[[0.0, 0.0, 9.0, 0.0, 9.0, 9.0], [1.0, 1.0, 2.0, 1.0, 2.0, 2.0]], [], None, [[20.0, 0.0, 29.0, 0.0, 29.0, 9.0]]], pa.list_(pa.list_(pa.float64()))))
     sides = [np.stack(s, 1).tolist() for s in areas._sides_of(rings)]
     assert [len(s) for s in sides] == [6, 3] and sides[1][2] == [29.0, 9.0, 20.0, 0.0] and sides[0][5] == [2.0, 2.0, 1.0, 1.0]
+
+
+def test_a_task_writes_several_files_of_features(spark, tmp_path):
+    flatgeobuf.register(spark)
+    for n, files in ((10, 4), (9, 3), (0, 1)):
+        rows = spark.range(0, n, 1, 1).select("id", F.array(F.array(*[F.lit(v) + F.col("id") for v in (0.0, 0.0, 4.0, 0.0, 4.0, 2.0)])).alias("geometry"))
+        rows.write.format("fgb").option("each", 3).mode("append").save(path := str(tmp_path / f"f{n}"))
+        assert len(list((tmp_path / f"f{n}").glob("part-*"))) == files
+        assert sorted(r["id"] for r in spark.read.format("fgb").load(path).collect()) == list(range(n)) if n else True
+
+
+def test_detections_are_written_by_all_tasks(spark, monkeypatch):
+    monkeypatch.delattr(tables, "write_records")
+    found = chains.detection_files(spark, "/root/testdata/sf0.001")
+    assert found.count() == view(spark, "/root/testdata/sf0.001", "fx_dets").where("score >= 0.5").count()
+
+
+def test_negatives_hash_only_early_low_tiles(spark, monkeypatch):
+    empty = spark.range(20_000).select(F.lit("a").alias("aoi"), F.concat(F.lit("t"), "id").alias("tile"), (F.col("id") % 4).alias("min_y"))
+    sizes, plain = [], tiling.first_rows
+    monkeypatch.setattr(tiling, "first_rows", lambda rows, *a, **k: sizes.append(rows.count()) or plain(rows, *a, **k))
+    for n, most in ((60, 500), (60_000, 20_000)):
+        need = n // 2 if n < 1000 else 30_000
+        found = tiling.sample_negatives(empty, empty.limit(1).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(n)))), ["aoi"], 1 / 3, F.col("min_y") >= 3)
+        order = empty.orderBy((F.col("min_y") >= 3).cast("int").desc(), tiling.order_key("tile"), "tile").limit(need)
+        assert {r["tile"] for r in found.collect()} == {r["tile"] for r in order.collect()} and sizes[-1] <= most
