@@ -13,7 +13,7 @@ class unless all of it is null; an empty table gives none.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +43,11 @@ def fingerprint(text: str, words_each: int = 4, seed: int = 42) -> int:
         hashes = np.array([xxhash.xxh64_intdigest(joined[a:b], seed) for a, b in spans], np.uint64)
     else:
         hashes = np.array([xxhash.xxh64_intdigest(joined, seed)], np.uint64)
+    return majority(hashes)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     counts = np.zeros(64, np.int64)
     for k in range(0, len(hashes), 1 << 14):
         part = hashes[k : k + (1 << 14)]
@@ -62,30 +67,32 @@ def fingerprints(docs: DataFrame, words_each: int = 4, seed: int = 42) -> DataFr
 
 
 def _joins(left: np.ndarray, right: np.ndarray, most: int, same: bool) -> list[tuple[int, int]]:
-    """Edges enough to connect all that lie within ``most`` bits: a spanning forest of one block pair."""
+    """Edges enough to connect all that lie within ``most`` bits: a spanning forest of one block pair, grown side by side, as a dense ball has millions of pairs."""
     near = np.bitwise_count((left[:, None] ^ right[None, :]).view(np.uint64)) <= most
     if same:
-        near = np.triu(near, 1)
-    rows, columns = np.nonzero(near)
-    root: dict[int, int] = {}
-
-    def top(x: int) -> int:
-        while (up := root.get(x, x)) != x:
-            root[x] = root.get(up, up)
-            x = up
-        return x
-
+        np.fill_diagonal(near, False)
+    sides = ((near, left, right), (near.T, right, left))
+    new = [np.ones(len(left), bool), np.ones(len(right), bool)]
+    if same:
+        new[1] = new[0]
     edges = []
-    for a, b in zip(left[rows].tolist(), right[columns].tolist(), strict=True):
-        x, y = top(a), top(b)
-        if x != y:
-            root[max(x, y)] = min(x, y)
-            edges.append((a, b))
+    for first in np.flatnonzero(near.any(1)).tolist():
+        if not new[0][first]:
+            continue
+        new[0][first] = False
+        open_ = [(0, first)]
+        while open_:
+            side, i = open_.pop()
+            links_of, own, others = sides[side]
+            found = np.flatnonzero(links_of[i] & new[1 - side])
+            new[1 - side][found] = False
+            edges += [(int(own[i]), b) for b in others[found].tolist()]
+            open_ += [(1 - side, j) for j in found.tolist()]
     return edges
 
 
-def links(fps: DataFrame, most: int = 4) -> DataFrame:
-    """(a, b): edges between distinct fingerprints, all within ``most`` (at most 5) bits, that connect all such."""
+def links(fps: DataFrame, most: int = 4, keep: Callable[[DataFrame, str], DataFrame] = written) -> DataFrame:
+    """(a, b): edges between distinct fingerprints, all within ``most`` (at most 5) bits, that connect all such. ``keep`` writes what is read twice."""
     spark = fps.sparkSession
     segment = F.expr("case when p < 21 then 2097151L when p < 42 then 4398044413952L else -4398046511104L end")
     keys = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("p"))
@@ -143,7 +150,7 @@ def links(fps: DataFrame, most: int = 4) -> DataFrame:
                 yield edges_of(_joins(np.frombuffer(x, np.int64), np.frombuffer(y, np.int64), most, False))
 
     dealt = keys.repartition(partitions(spark), "p", "v").sortWithinPartitions("p", "v", "fp")
-    first = written(dealt.mapInArrow(within, "a long, b long, p int, v long, block int, held binary"), "simhash-links")
+    first = keep(dealt.mapInArrow(within, "a long, b long, p int, v long, block int, held binary"), "simhash-links")
     blocks = first.where("held is not null").select("p", "v", "block", "held")
     right = blocks.select("p", "v", F.col("block").alias("other"), F.col("held").alias("y"))
     pairs = blocks.join(right, ["p", "v"]).where("block < other").select(F.col("held").alias("x"), "y")

@@ -75,3 +75,50 @@ def test_rows_without_id_stay(spark):
     rows = [(None, clean[0]), (None, clean[1]), (None, clean[1]), (None, clean[2]), (7, clean[2]), (8, clean[2]), (9, clean[3]), (9, clean[3]), (9, clean[4]), (None, None)]
     want = [(None, clean[0]), (None, clean[1]), (7, clean[2]), (9, clean[3]), (9, clean[4]), (None, None)]
     assert sorted(staged(spark, rows), key=str) == sorted(want, key=str)
+
+
+def test_simhash_is_a_step(spark, monkeypatch):
+    """Without any key of the exact step, close copies still go: SimHash finds them, and whole sets verify them."""
+    r = random.Random(13)
+    rows = []
+    for k in range(20):
+        words = ["".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(1500)]
+        rows += [(10 * k, " ".join(words)), (10 * k + 1, " ".join([*words[:-1], "end"])), (10 * k + 2, " ".join(words[:700]))]
+
+    def no_keys(texts, nodes, words_each, least, keep):
+        none = keep(nodes.where("false").select(near_copies.F.col("node").alias("key"), "node", near_copies.F.lit(0).alias("after")), "none")
+        return none.select("key", "node"), none
+
+    monkeypatch.setattr(near_copies, "prefixes", no_keys)
+    left = {i for i, _ in staged(spark, rows)}
+    assert left >= {i for i, _ in rows if i % 10 != 1} and len(left) < 43
+
+
+def test_dense_ball_is_joined_in_little_memory():
+    """A block whose fingerprints all lie near each other, and classes as all pairs give them, within a block and across two."""
+    import tracemalloc
+
+    from panolake.llm import simhash
+
+    r = random.Random(14)
+    ball = near_copies.np.unique(near_copies.np.array([(1 << r.randrange(40)) | (1 << r.randrange(40)) for _ in range(20000)], near_copies.np.int64))
+    tracemalloc.start()
+    edges = simhash._joins(ball, ball, 4, True)
+    assert len(edges) == len(ball) - 1 and tracemalloc.get_traced_memory()[1] < 40 * len(ball) ** 2
+    tracemalloc.stop()
+    for same in (True, False):
+        x = near_copies.np.unique(near_copies.np.array([r.randrange(1 << 12) << 20 for _ in range(60)], near_copies.np.int64))
+        y = x if same else near_copies.np.unique(near_copies.np.array([r.randrange(1 << 12) << 20 for _ in range(60)], near_copies.np.int64))
+        names = [(0, i) for i in x.tolist()] + ([] if same else [(1, i) for i in y.tolist()])
+
+        def classes(pairs):
+            root = {n: n for n in names}
+            top = lambda n: n if root[n] == n else top(root[n])
+            for a, b in pairs:
+                root[top(a)] = top(b)
+            return {frozenset(n for n in names if top(n) == k) for k in map(top, names)}
+
+        other = 0 if same else 1
+        got = [((0, a), (other, b)) if same or (0, a) in names and (1, b) in names and (a ^ b).bit_count() <= 2 else ((0, b), (1, a)) for a, b in simhash._joins(x, y, 2, same)]
+        want = [((0, a), (other, b)) for a in x.tolist() for b in y.tolist() if (a ^ b).bit_count() <= 2]
+        assert classes(got) == classes(want) and len(got) == len(names) - len(classes(want))
