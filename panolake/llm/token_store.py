@@ -97,36 +97,45 @@ def id_type(path: str) -> str:
 
 
 def token_rows(docs: DataFrame, path: str, end_id: int, kind: str) -> DataFrame:
-    """doc_id, ids (little-endian of type ``kind``, the end id last) of every whole text."""
+    """doc_id, ids (little-endian of type ``kind``, the end id last) of every whole text; last a row of a task's ``counts`` of each id alone."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units = units_of(path, True)
         width = np.dtype(kind).itemsize
+        total = np.zeros(0, np.int64)
         for rows in slices(batches):
             ids, n = units.encode(rows.column("text"))
             ends = np.cumsum(n)
             ids = np.insert(ids, ends, end_id).astype(kind)
+            total = _sum(total, np.bincount(ids))
             edges = np.concatenate([[0], ends + np.arange(1, len(ends) + 1)]) * width
             held = pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(ids)])
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), held], ["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), held, pa.nulls(len(n), pa.binary())], ["doc_id", "ids", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.astype("<i8").tobytes()])], ["doc_id", "ids", "counts"])
+
+    return text_of(docs).mapInArrow(encode, "doc_id long, ids binary, counts binary")
+
 
-    return text_of(docs).mapInArrow(encode, "doc_id long, ids binary")
+def _sum(total: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """Sums of counts, which may be of different length."""
+    if len(more) > len(total):
+        total, more = more.copy(), total
+    total[: len(more)] += more
+    return total
 
 
-def id_counts(tokens: DataFrame, kind: str) -> dict[int, int]:
+def id_counts(tokens: DataFrame) -> dict[int, int]:
     """How often each id occurs in the whole table; at most as many entries as the vocabulary."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            got = np.bincount(_flat(batch.column("ids"), kind)[0])
-            if len(got) > len(total):
-                got, total = total, got
-            total[: len(got)] += got
+            for own in batch.column("counts").to_pylist():
+                total = _sum(total, np.frombuffer(own, "<i8"))
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["id", "n"])
 
-    rows = tokens.select("ids").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    rows = tokens.where("counts is not null").select("counts").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
     return {r["id"]: r["n"] for r in rows.collect()}
 
 
@@ -192,9 +201,9 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int, to: str | None = Non
     """Writes the store to the folder ``to`` (the shared one if None); returns where, and the code."""
     kind = id_type(tokenizer)
     tokens = written(token_rows(docs, tokenizer, end_id, kind), "token-ids")
-    code = limited_code(id_counts(tokens, kind), max_bits)
+    code = limited_code(id_counts(tokens), max_bits)
     to = to or f"{shared_dir(docs.sparkSession)}/tables/token-store-{uuid.uuid4().hex}"
-    encode_blocks(tokens, code, kind).write.option("compression", "none").parquet(f"{to}/blocks")
+    encode_blocks(tokens.where("ids is not null").select("doc_id", "ids"), code, kind).write.option("compression", "none").parquet(f"{to}/blocks")
     spark = docs.sparkSession
     spark.createDataFrame([(code.max_bits, bytearray(code.lengths.tobytes()))], "max_bits int, lengths binary").coalesce(1).write.parquet(f"{to}/code")
     return to, code

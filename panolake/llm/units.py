@@ -3,7 +3,8 @@
 A unit is what stands between two *inner* single spaces, that is spaces with no other white space
 beside them. Both vocabularies split text there and never merge across it, so a text's ids are the
 ids of its units in order. Arrow splits and dictionary-encodes a batch; only units that a worker has
-not met lately go to the library, most of them piece by piece to its model. Texts that may hold an added
+not met lately go to the library, most of them piece by piece to its model. For byte-level vocabularies units
+of printable ASCII and Latin-1 letters are cut to their pieces at once (``cut_pieces``). Texts that may hold an added
 token of the file, as its end-of-text marker, go to the library whole.
 """
 
@@ -14,6 +15,7 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +48,78 @@ def split_units(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return lists.flatten(), np.diff(lists.offsets.to_numpy())
 
 
+#: Kinds of bytes: letters (of Latin-1 too, where they stand), ASCII digits, other signs, space and line end; what only the library cuts, and white space among it.
+_LETTER, _DIGIT, _SIGN, _SPACE, _ODD, _ODD_SPACE = range(6)
+_KIND = np.full(256, _ODD, np.uint8)
+_KIND[33:127] = _SIGN
+_KIND[[*range(65, 91), *range(97, 123)]], _KIND[48:58], _KIND[[10, 32]] = _LETTER, _DIGIT, _SPACE
+_KIND[[9, 11, 12, 13, *range(28, 32)]] = _ODD_SPACE
+#: White space beyond ASCII in UTF-8, by its first byte.
+_FAR = {0xC2: (b"\x85", b"\xa0"), 0xE1: (b"\x9a\x80",), 0xE2: (*(bytes([0x80, k]) for k in (*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF)), b"\x81\x9f"), 0xE3: (b"\x80\x80",)}
+#: What follows the apostrophe of a shortened word, as ``GLUED`` has them.
+_SHORTENED = (b"s", b"t", b"re", b"ve", b"m", b"ll", b"d")
+
+
+def cut_pieces(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The matches of ``GLUED`` in texts (large strings) in order, and how many each text has; units with other characters than ``_PLAIN`` stay whole."""
+    edges = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[edges[0] : edges[-1]]
+    edges = edges - edges[0]
+    n = len(raw)
+    if not n:
+        return pa.array([], pa.large_string()), np.zeros(len(texts), np.int64)
+    kind = _KIND[raw]
+    latin = np.flatnonzero(raw == 0xC3)
+    if len(latin):
+        latin = latin[(raw[latin + 1] != 0x97) & (raw[latin + 1] != 0xB7)]
+        kind[latin] = kind[latin + 1] = _LETTER
+    first = np.zeros(n + 1, bool)
+    first[edges] = True
+    cut = first.copy()
+    cut[1:n] |= kind[1:] != kind[:-1]
+    # White space before anything else leaves its last one: a space goes to what follows, a line end stands alone.
+    after = np.flatnonzero((kind[:-1] == _SPACE) & (kind[1:] != _SPACE) & ~first[1:n]) + 1
+    cut[after - 1] = True
+    cut[after[raw[after - 1] == 32]] = False
+    # An apostrophe that begins a piece takes the letters of a shortened word.
+    marks = np.flatnonzero(raw == 39)
+    marks = marks[cut[marks]]
+    for letters in _SHORTENED:
+        fits = marks[marks + len(letters) < n]
+        for k, letter in enumerate(letters, 1):
+            fits = fits[(raw[fits + k] == letter) & ~first[fits + k]]
+        cut[fits + 1] = False
+        cut[fits + len(letters) + 1] = True
+    odd = np.flatnonzero(kind >= _ODD)
+    if len(odd):
+        _leave_whole(cut, raw, kind, first, odd)
+    starts = np.flatnonzero(cut[:n])
+    ends = np.append(starts, n)
+    pieces = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(raw))
+    return pieces, np.diff(np.searchsorted(starts, edges))
+
+
+def _leave_whole(cut: np.ndarray, raw: np.ndarray, kind: np.ndarray, first: np.ndarray, odd: np.ndarray) -> None:
+    """Takes away the cuts inside units that hold an odd byte."""
+    n = len(raw)
+    for lead, tails in _FAR.items():
+        at = odd[raw[odd] == lead]
+        for tail in tails if len(at) else ():
+            found = at[at + len(tail) < n]
+            for k, byte in enumerate(tail, 1):
+                found = found[raw[found + k] == byte]
+            for k in range(len(tail) + 1):
+                kind[found + k] = _ODD_SPACE
+    blank = (kind == _SPACE) | (kind == _ODD_SPACE)
+    begins = first[:n].copy()
+    begins[1:-1] |= (raw[1:-1] == 32) & ~blank[:-2] & ~blank[2:] & ~first[2:n]
+    begins = np.flatnonzero(begins)
+    held = np.zeros(len(begins), bool)
+    held[np.searchsorted(begins, odd, side="right") - 1] = True
+    cut[:n] &= ~np.repeat(held, np.diff(np.append(begins, n)))
+    cut[begins] = True
+
+
 def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Positions start, start+1, ... of every run, one after another."""
     ends = np.cumsum(lengths)
@@ -94,43 +168,39 @@ class Units:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and the number of ids of each text."""
         if not self.by_rule:
-            whole = [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
-            return np.concatenate([np.zeros(0, np.uint32), *whole]), np.array([len(x) for x in whole], np.int64)
+            return self._whole(texts)
+        texts = texts.cast(pa.large_string())
         marked = self._marked(texts)
-        if not len(marked):
+        if not marked.any():
             return self._by_units(texts)
-        mask = np.zeros(len(texts), bool)
-        mask[marked] = True
-        ids, counts = self._by_units(pc.if_else(pa.array(mask), pa.scalar("", texts.type), texts))
-        whole = self.library.encode_batch_fast([texts[i].as_py() for i in marked.tolist()], add_special_tokens=False)
-        own = [np.array(e.ids, np.uint32) for e in whole]
-        # The emptied texts have no ids of their own, so theirs go in where they stand.
-        places = (np.cumsum(counts) - counts)[marked]
-        parts, at = [], 0
-        for place, more in zip(places.tolist(), own, strict=True):
-            parts += [ids[at:place], more]
-            at = place
-        counts[marked] = [len(x) for x in own]
-        return np.concatenate([*parts, ids[at:]]), counts
+        found = [(np.flatnonzero(of), *way(texts.filter(pa.array(of)))) for of, way in ((marked, self._whole), (~marked, self._by_units))]
+        counts = np.zeros(len(texts), np.int64)
+        for places, _, n in found:
+            counts[places] = n
+        starts = np.cumsum(counts) - counts
+        out = np.zeros(int(counts.sum()), np.uint32)
+        for places, ids, n in found:
+            out[spread(starts[places], n)] = ids
+        return out, counts
 
     def _marked(self, texts: pa.Array) -> np.ndarray:
-        """Places of the texts that may hold an added token."""
+        """Whether a text may hold an added token."""
         found = np.zeros(len(texts), bool)
         for content, normalized in self.added:
             found |= pc.match_substring(texts, content, ignore_case=normalized).to_numpy(zero_copy_only=False)
-        return np.flatnonzero(found)
+        return found
+
+    def _whole(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        own = [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, np.uint32), *own]), np.array([len(x) for x in own], np.int64)
 
     def _by_units(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """As ``encode``, for texts without added tokens."""
-        flat, per_text = split_units(texts)
+        flat, per_text = cut_pieces(texts) if self.glued else split_units(texts)
         if not len(flat):
             return np.zeros(0, np.uint32), np.zeros(len(per_text), np.int64)
-        if self.glued:
-            first = np.zeros(len(flat), bool)
-            first[(np.cumsum(per_text) - per_text)[per_text > 0]] = True
-            flat = glue(flat, first)
         coded = flat.dictionary_encode()
-        of = self._known(coded.dictionary.to_pylist())
+        of = self._known(coded.dictionary.to_numpy(zero_copy_only=False))
         index = of[coded.indices.to_numpy()]
         counts = self.lengths[index]
         ids = self.ids[spread(self.starts[index], counts)]
@@ -138,15 +208,15 @@ class Units:
         edges = np.concatenate([[0], np.cumsum(per_text)])
         return ids, np.diff(ends[edges])
 
-    def _known(self, units: list[str]) -> np.ndarray:
+    def _known(self, units: np.ndarray) -> np.ndarray:
         if len(self.known) + len(units) > REMEMBERED and self.known:
             self._forget()
-        found = np.array([-1 if i is None else i for i in map(self.known.get, units)], np.int64)
+        found = np.fromiter(map(self.known.get, units.tolist(), repeat(-1)), np.int64, len(units))
         new = np.flatnonzero(found < 0)
         self.again[found[found >= 0]] = True
         if len(new):
-            fresh = units if len(new) == len(units) else [units[i] for i in new.tolist()]
-            ids, lengths = self._by_library(fresh)
+            fresh = units[new].tolist()
+            ids, lengths = self._by_model(fresh) if self.glued else self._by_library(fresh)
             base, n = len(self.ids), len(self.known)
             self.starts = np.concatenate([self.starts, base + np.cumsum(lengths) - lengths])
             self.lengths = np.concatenate([self.lengths, lengths])
@@ -185,6 +255,27 @@ class Units:
             self.pieces.clear()
         return np.frombuffer(b"".join(out), np.uint32), np.array([len(x) // 4 for x in out], np.int64)
 
+    def _by_model(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Single pieces of ``_PLAIN`` by the library's model, all other units as ``_by_library`` has them."""
+        every = pa.array(pieces, pa.large_string())
+        odd = np.flatnonzero(pc.match_substring_regex(every, pattern=r"[^ -~\n\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}]").to_numpy(zero_copy_only=False))
+        own = list(pieces)
+        for i in np.flatnonzero(~pc.string_is_ascii(every).to_numpy(zero_copy_only=False)).tolist():
+            own[i] = own[i].encode().decode("latin-1").translate(self.shown)
+        for i in odd.tolist():
+            own[i] = ""
+        ids, lengths = array("I"), []
+        for found in map(self.library.model.tokenize, "\t".join(own).replace(" ", self.space).replace("\n", self.shown[10]).split("\t")):
+            lengths.append(len(found))
+            ids.extend([t.id for t in found])
+        ids, lengths = np.frombuffer(ids, np.uint32), np.array(lengths, np.int64)
+        if not len(odd):
+            return ids, lengths
+        more, counts = self._by_library([pieces[i] for i in odd.tolist()])
+        ids = np.insert(ids, np.repeat((np.cumsum(lengths) - lengths)[odd], counts), more)
+        lengths[odd] = counts
+        return ids, lengths
+
     def _piece(self, piece: str) -> bytes:
         mapped = piece.replace(" ", self.space) if piece.isascii() and "\n" not in piece else piece.encode().decode("latin-1").translate(self.shown)
         got = self.pieces[piece] = array("I", [t.id for t in self.library.model.tokenize(mapped)]).tobytes()

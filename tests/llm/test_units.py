@@ -70,3 +70,26 @@ def test_store_and_packing(spark):
     for r in packing.pack(docs, path, 2).collect():
         ids = np.array([*library.encode(TEXTS[r["doc_id"]], add_special_tokens=False).ids, 2], "<u4")
         assert r["doc_tokens"] == len(ids) and zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes()) == r["ids_crc32"]
+
+
+def test_pieces_equal_the_library(monkeypatch):
+    """Cuts over whole batches give the library's ids, whatever stands beside what; plain texts need no cutting unit by unit."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    r = random.Random(5)
+    plain = ["a", "b", "S", "s", "t", "re", "ve", "m", "ll", "d", "'", "'", "''", " ", " ", "  ", "\n", "\n\n", "1", "23", ".", ",", "-", "é", "ß", "À"]
+    odd = ["×", "÷", "\t", "\r", "Ж", "日", "\u00a0", "\u2009", "\u3000", "\u0085", "\x1c", "\x00", "\x7f", "«", "—", "’", "\u0301", "٣", "<|endoftext|>"]
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own, library = Units(path, True), Tokenizer.from_file(path)
+    for signs in (plain, plain * 3 + odd):
+        texts = ["".join(r.choice(signs) for _ in range(r.choice([0, 1, 2, 3, 10, 40]))) for _ in range(2000)]
+        if signs is plain:
+            with monkeypatch.context() as only:
+                only.setattr(Units, "_by_library", None)
+                ids, counts = own.encode(pa.array(["x", *texts]).slice(1))
+        else:
+            ids, counts = own.encode(pa.array(["x", *texts]).slice(1))
+        for text, got in zip(texts, np.split(ids, np.cumsum(counts)[:-1]), strict=True):
+            assert got.tolist() == library.encode(text, add_special_tokens=False).ids, text
