@@ -12,6 +12,7 @@ crossings follow the even-odd rule; parts come out as lists of rings, the outer
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -22,8 +23,11 @@ from pyspark.sql.types import ArrayType, BooleanType, DoubleType
 
 #: Width of the grid, in pixels or metres.
 GRID = 2.0**-20
-#: Pairs of edges that are looked at together.
-AT_ONCE = 1 << 21
+#: Pairs of edges that are looked at together, and bytes of outlines: few enough for a core's cache.
+AT_ONCE = 1 << 17
+BYTES = 1 << 18
+#: How far inside both areas a point must lie to show alone that they share area.
+INSIDE = 2.0**-10
 SEGMENTATION = ArrayType(ArrayType(DoubleType()))
 PARTS = ArrayType(SEGMENTATION)
 
@@ -89,6 +93,63 @@ def rings_of(segmentations: pa.Array) -> Rings:
     return Rings(row, size, numbers[at], numbers[at + 1])
 
 
+def _after(r: Rings) -> np.ndarray:
+    ends, after = np.cumsum(r.size), np.arange(1, len(r.x) + 1)
+    after[ends - 1] = ends - r.size
+    return after
+
+
+def _before(r: Rings) -> np.ndarray:
+    ends, before = np.cumsum(r.size), np.arange(-1, len(r.x) - 1)
+    before[ends - r.size] = ends - 1
+    return before
+
+
+def _on_grid(r: Rings) -> tuple[Rings, np.ndarray]:
+    """Rings of whole numbers that run to the left, without repeated points; and whether each is its row's only one and convex.
+
+    That is, it turns left by over two steps of the grid at each vertex, once around in all: it meets itself nowhere.
+    """
+    x, y = (np.rint(c / GRID).astype(np.int64) for c in (r.x, r.y))
+    ring, before = np.repeat(np.arange(len(r.size)), r.size), _before(r)
+    new = (x != x[before]) | (y != y[before])
+    new[(np.cumsum(r.size) - r.size)[np.bincount(ring[new], minlength=len(r.size)) == 0]] = True
+    r = Rings(r.row, np.bincount(ring[new], minlength=len(r.size)), x[new], y[new])
+    right = np.repeat(_signed(r) < 0, r.size) if len(r.x) else np.zeros(0, bool)
+    first = np.repeat(np.cumsum(r.size) - r.size, r.size)
+    at = np.where(right, 2 * first + np.repeat(r.size, r.size) - 1 - np.arange(len(r.x)), np.arange(len(r.x)))
+    r = r._replace(x=r.x[at], y=r.y[at])
+    before, after = _before(r), _after(r)
+    ax, ay, bx, by = ((p - q).astype(float) for p, q in ((r.x, r.x[before]), (r.y, r.y[before]), (r.x[after], r.x), (r.y[after], r.y)))
+    left = ax * by - ay * bx > 2 * np.hypot(ax + bx, ay + by)
+    up = (by > 0) | ((by == 0) & (bx > 0))
+    ring = np.repeat(np.arange(len(r.size)), r.size)
+    lowest = np.bincount(ring[up & ~up[before]], minlength=len(r.size))
+    return r, (r.size >= 3) & (np.bincount(ring[~left], minlength=len(r.size)) == 0) & (lowest == 1) & (np.bincount(r.row, minlength=1)[r.row] == 1)
+
+
+def _some(r: Rings, which: np.ndarray) -> Rings:
+    own = np.repeat(which, r.size)
+    return Rings(r.row[which], r.size[which], r.x[own], r.y[own])
+
+
+def _by_row(r: Rings) -> Rings:
+    order = np.argsort(r.row, kind="stable")
+    at = _spread((np.cumsum(r.size) - r.size)[order], r.size[order])
+    return Rings(r.row[order], r.size[order], r.x[at], r.y[at])
+
+
+def _bordered(r: Rings, group: np.ndarray | None = None) -> Edges:
+    """``even_odd`` of the edges of each row, or of ``group`` of each row; a convex ring has no need of cuts."""
+    found, convex = _on_grid(r)
+    after = _after(found)
+    row = np.repeat(found.row if group is None else group[found.row], found.size)
+    own = np.repeat(convex, found.size)
+    plain = Edges(row[own], found.x[own], found.y[own], found.x[after][own], found.y[after][own])
+    rest = even_odd(_some(r, ~convex).edges())
+    return _joined(plain, rest if group is None else rest._replace(group=group[rest.group]))
+
+
 def _cut(e: Edges) -> tuple[Edges, np.ndarray]:
     """The edges in pieces that meet only at their ends, and the edge that each is a piece of."""
     of = np.arange(len(e.group))
@@ -152,21 +213,52 @@ def _borders(pieces: Edges, wanted) -> Edges:
     e = a.take(new)
     steep = np.abs(e.y2 - e.y1) >= np.abs(e.x2 - e.x1)
     right, left = np.zeros(len(net), np.int64), np.zeros(len(net), np.int64)
+    of = _chains(e, net)
     for which, f, turned in ((steep, e, 1), (~steep, Edges(e.group, e.y1, e.x1, e.y2, e.x2), -1)):
-        rows = np.flatnonzero(which)
+        rows = np.flatnonzero(which & (of == np.arange(len(of))))
         ups = net * np.sign(f.y2 - f.y1)
         right[rows] = _turns(f, ups, rows)
         left[rows] = right[rows] + ups[rows]
         right[rows], left[rows] = turned * right[rows], turned * left[rows]
     # ``right`` is the side of larger x of steep pieces, of larger y of flat ones; e runs up or to the right.
+    up = np.where(steep, e.y2 > e.y1, e.x2 > e.x1)
+    # What lies on the left along the way is the same for a whole chain.
+    ahead = (up == steep) == (net > 0)
+    on_left = np.where(ahead, left, right)[of]
+    rest = of != np.arange(len(of))
+    left[rest], right[rest] = (on_left - ~ahead)[rest], (on_left - ahead)[rest]
     in_right, in_left = wanted(right), wanted(left)
     kept = in_right != in_left
-    up = np.where(steep, e.y2 > e.y1, e.x2 > e.x1)
     back = kept & np.where(steep, in_left != up, in_right != up)
     out = Edges(e.group, *(np.where(back, q, p) for p, q in ((e.x1, e.x2), (e.y1, e.y2), (e.x2, e.x1), (e.y2, e.y1))))
     return out.take(kept)
 
 
+def _chains(e: Edges, net: np.ndarray) -> np.ndarray:
+    """For each piece one of its chain, which stands for itself: pieces gone once, one after another, where no others meet."""
+    n = len(net)
+    if not n:
+        return np.zeros(0, np.int64)
+    back = net < 0
+    x1, y1, x2, y2 = (np.where(back, q, p) for p, q in ((e.x1, e.x2), (e.y1, e.y2), (e.x2, e.x1), (e.y2, e.y1)))
+    _, vertex = np.unique(np.concatenate([_names(e.group, x1, y1), _names(e.group, x2, y2)]), return_inverse=True)
+    start, end = vertex[:n], vertex[n:]
+    met = [np.bincount(v, minlength=2 * n) for v in (start, end, vertex[np.tile(np.abs(net) != 1, 2)])]
+    simple = (met[0] == 1) & (met[1] == 1) & (met[2] == 0)
+    into = np.zeros(2 * n, np.int64)
+    into[end] = np.arange(n)
+    before = into[start]
+    joined = simple[start] & (e.group[before] == e.group) & (x2[before] == x1) & (y2[before] == y1)
+    before = np.where(joined, before, np.arange(n))
+    jump, least = before, np.arange(n)
+    for _ in range(int(n).bit_length()):
+        least, after = np.minimum(least, least[jump]), jump[jump]
+        if (after == jump).all():
+            break
+        jump = after
+    return np.where(before[jump] == jump, jump, least)
+
+
 def _turns(e: Edges, ups: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """How often the area just right of the middle of each of ``rows`` is gone around: net crossings of the ray to the right.
 
@@ -217,12 +309,64 @@ def areas(e: Edges, rows: int) -> np.ndarray:
     low = np.full(rows, np.iinfo(np.int64).max)
     np.minimum.at(low, e.group, e.x1)
     x1, x2 = (e.x1 - low[e.group]) * GRID, (e.x2 - low[e.group]) * GRID
-    return np.bincount(e.group, (x1 + x2) / 2 * ((e.y2 - e.y1) * GRID), rows)
+    return np.bincount(e.group, (x1 + x2) / 2 * ((e.y2 - e.y1) * GRID), rows).astype(float)
 
 
 def outlines(e: Edges) -> Rings:
     """The borders as rings: each walk turns as sharply as it can, so areas that touch in a point are rings of their own."""
     n = len(e.group)
+    if not n:
+        return _walked(e)
+    # Where one edge leaves each vertex, walks are the cycles of one following the other.
+    order = np.argsort(leaving := _names(e.group, e.x1, e.y1), kind="stable")
+    follow = order[np.minimum(np.searchsorted(leaving[order], _names(e.group, e.x2, e.y2)), n - 1)]
+    odd = (e.group[follow] != e.group) | (e.x1[follow] != e.x2) | (e.y1[follow] != e.y2)
+    odd[order[1:][leaving[order[1:]] == leaving[order[:-1]]]] = True
+    odd |= np.bincount(follow, minlength=n) != 1
+    some = np.zeros(e.group.max() + 1, bool)
+    some[e.group[odd]] = True
+    walked, which = some[e.group], ~some[e.group]
+    if walked.any():
+        place = np.cumsum(which) - 1
+        follow = place[follow[which]]
+    plain = e.take(which)
+    at, size = _cycles(follow)
+    first = at[np.cumsum(size) - size]
+    rings = Rings(plain.group[first], size, plain.x1[at] * GRID, plain.y1[at] * GRID)
+    rings = _straightened(_some(rings, size > 2))
+    if not walked.any():
+        return rings
+    others = _walked(e.take(walked))
+    return _by_row(Rings(*(np.concatenate(c) for c in zip(rings, others, strict=True))))
+
+
+def _names(*columns: np.ndarray) -> np.ndarray:
+    """A number for each row of whole numbers; the same for equal rows, and for others by rare chance."""
+    out = np.zeros(len(columns[0]), np.uint64)
+    for c in columns:
+        out = (out ^ (out >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + c.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
+    return out
+
+
+def _cycles(follow: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cycles of a permutation one after another, each from its least member on, and their sizes."""
+    every = np.arange(len(follow))
+    least, jump = every, follow
+    while (least != least[follow]).any():
+        least, jump = np.minimum(least, least[jump]), jump[jump]
+    ahead, jump = np.where(least == every, 0, 1), np.where(least == every, every, follow)
+    while (jump != least).any():
+        ahead, jump = ahead + ahead[jump], jump[jump]
+    size = np.bincount(least, minlength=len(follow))
+    start = np.cumsum(size) - size
+    at = np.empty(len(follow), np.int64)
+    at[start[least] + (size[least] - ahead) % np.maximum(size[least], 1)] = every
+    return at, size[size > 0]
+
+
+def _walked(e: Edges) -> Rings:
+    """The same rings edge by edge."""
+    n = len(e.group)
     starts = np.lexsort((np.arctan2((e.y2 - e.y1).astype(float), (e.x2 - e.x1).astype(float)), e.y1, e.x1, e.group))
     leaving: dict[tuple, list[int]] = {}
     for i, at in zip(starts.tolist(), zip(e.group[starts].tolist(), e.x1[starts].tolist(), e.y1[starts].tolist(), strict=True), strict=True):
@@ -267,12 +411,10 @@ def _straightened(r: Rings) -> Rings:
 
 
 def _signed(r: Rings) -> np.ndarray:
-    ends = np.cumsum(r.size)
-    after = np.arange(1, len(r.x) + 1)
-    after[ends - 1] = ends - r.size
+    ends, after = np.cumsum(r.size), _after(r)
     first = np.repeat(ends - r.size, r.size)
-    x, y = r.x - r.x[first], r.y - r.y[first]
-    return np.add.reduceat((x * y[after] - x[after] * y) / 2, ends - r.size) if len(ends) else np.zeros(0)
+    x, y = (r.x - r.x[first]).astype(float), (r.y - r.y[first]).astype(float)
+    return np.bincount(np.repeat(np.arange(len(r.size)), r.size), (x * y[after] - x[after] * y) / 2, len(r.size)) if len(ends) else np.zeros(0)
 
 
 def buffered_rings(r: Rings, by: np.ndarray, quarter: int = 16) -> Rings:
@@ -280,8 +422,14 @@ def buffered_rings(r: Rings, by: np.ndarray, quarter: int = 16) -> Rings:
 
     Every side moves to its right, corners that open give arcs of ``quarter`` steps a right angle. What of these, cut where they
     meet, is nowhere nearer to the rings than ``by`` is the outline; so a negative distance may split a row's area or leave none.
+    A convex ring that grows is that outline as it stands.
     """
-    r = outlines(even_odd(r.edges()))
+    whole, convex = _on_grid(r)
+    easy = convex & (by[r.row] > 1024 * GRID)
+    if easy.any():
+        grown = _grown(_some(whole, easy), by, quarter)
+        return grown if easy.all() else _by_row(Rings(*(np.concatenate(c) for c in zip(grown, buffered_rings(_some(r, ~easy), by, quarter), strict=True))))
+    r = outlines(_bordered(r))
     ends = np.cumsum(r.size)
     after, before = np.arange(1, len(r.x) + 1), np.arange(-1, len(r.x) - 1)
     after[ends - 1], before[ends - r.size] = ends - r.size, ends - 1
@@ -310,6 +458,23 @@ def buffered_rings(r: Rings, by: np.ndarray, quarter: int = 16) -> Rings:
     return outlines(_single(pieces.take(clear)))
 
 
+def _grown(r: Rings, by: np.ndarray, quarter: int) -> Rings:
+    """Convex rings of whole numbers, their sides moved outward, with an arc at each corner."""
+    x, y, d = r.x * GRID, r.y * GRID, np.repeat(by[r.row], r.size)
+    before, after = _before(r), _after(r)
+    dx, dy = x[after] - x, y[after] - y
+    long = np.hypot(dx, dy)
+    nx, ny = dy / long, -dx / long
+    turn = np.arctan2(dx[before] * dy - dy[before] * dx, dx[before] * dx + dy[before] * dy)
+    steps = np.maximum(1, np.ceil(turn / (np.pi / 2 / quarter) - 1e-9)).astype(np.int64)
+    at, k = np.repeat(np.arange(len(x)), steps + 1), _spread(np.zeros(len(x), np.int64), steps + 1)
+    angle = np.arctan2(ny[before], nx[before])[at] + (turn / steps)[at] * k
+    first, last = k == 0, k == steps[at]
+    px, py = (c[at] + d[at] * np.where(first, n[before][at], np.where(last, n[at], f(angle))) for c, n, f in ((x, nx, np.cos), (y, ny, np.sin)))
+    size = np.add.reduceat(steps + 1, np.cumsum(r.size) - r.size)
+    return _straightened(Rings(r.row, size, np.rint(px / GRID) * GRID, np.rint(py / GRID) * GRID))
+
+
 #: Sides before and after a side's own that are looked at first.
 NEAR = (-6, -5, -4, -3, -2, -1, 1, 2, 3, 4, 5, 6)
 
@@ -317,35 +482,50 @@ NEAR = (-6, -5, -4, -3, -2, -1, 1, 2, 3, 4, 5, 6)
 def _hidden(ends_of: list[np.ndarray], one: np.ndarray, r: Rings, least: np.ndarray) -> np.ndarray:
     """Moved sides that lie wholly in the strips along the sides near their own: what the strips cover of them is put together."""
     ends, after = np.cumsum(r.size), _after(r)
-    out, many = np.zeros(len(one), bool), np.repeat(r.size, r.size)[one] > len(NEAR)
-    if not many.any():
-        return out
-    one, (x1, y1, x2, y2) = one[many], (c[many] for c in ends_of)
-    start, size = np.repeat(ends - r.size, r.size)[one], np.repeat(r.size, r.size)[one]
-    wide = least[np.repeat(r.row, r.size)[one]] - 4 * GRID
-    from_, to = (np.full((len(one), len(NEAR)), v) for v in (2.0, -1.0))
-    for j, away in enumerate(NEAR):
-        k = start + (one - start + away) % size
-        dx, dy = r.x[after[k]] - r.x[k], r.y[after[k]] - r.y[k]
-        long = np.hypot(dx, dy)
-        ux, uy = dx / long, dy / long
-        low, high = np.zeros(len(one)), np.ones(len(one))
-        for a, b, least_v, most_v in (
-            ((x1 - r.x[k]) * ux + (y1 - r.y[k]) * uy, (x2 - r.x[k]) * ux + (y2 - r.y[k]) * uy, np.zeros(len(one)), long),
-            ((x1 - r.x[k]) * uy - (y1 - r.y[k]) * ux, (x2 - r.x[k]) * uy - (y2 - r.y[k]) * ux, -wide, wide),
-        ):
-            slope = b - a
-            with np.errstate(divide="ignore", invalid="ignore"):
-                t, u = (least_v - a) / slope, (most_v - a) / slope
-            level, within = np.abs(slope) < 1e-12, (a >= least_v) & (a <= most_v)
-            low = np.maximum(low, np.where(level, np.where(within, 0.0, 2.0), np.minimum(t, u)))
-            high = np.minimum(high, np.where(level, np.where(within, 1.0, -1.0), np.maximum(t, u)))
-        some = low <= high
-        from_[some, j], to[some, j] = low[some], high[some]
-    order = np.argsort(from_, axis=1)
-    from_, to = np.take_along_axis(from_, order, 1), np.maximum.accumulate(np.take_along_axis(to, order, 1), axis=1)
-    gap = (from_[:, 1:] > to[:, :-1]) & (to[:, :-1] < 1.0)
-    out[many] = (from_[:, 0] <= 0) & (to[:, -1] >= 1.0) & ~gap.any(axis=1)
+    start, size, wide = np.repeat(ends - r.size, r.size), np.repeat(r.size, r.size), least[np.repeat(r.row, r.size)] - 4 * GRID
+    dx, dy = r.x[after] - r.x, r.y[after] - r.y
+    long = np.hypot(dx, dy)
+    ux, uy = dx / long, dy / long
+    out = np.zeros(len(one), bool)
+
+    def seen_from(m: np.ndarray, away: int) -> tuple[np.ndarray, ...]:
+        """Both ends of moved sides along and across another side, its length and the half width of its strip."""
+        at = one[m]
+        k = start[at] + (at - start[at] + away) % size[at]
+        x, y, cx, cy = r.x[k], r.y[k], ux[k], uy[k]
+        x1, y1, x2, y2 = (c[m] - o for c, o in zip(ends_of, (x, y, x, y), strict=True))
+        return x1 * cx + y1 * cy, x2 * cx + y2 * cy, x1 * cy - y1 * cx, x2 * cy - y2 * cx, long[k], wide[at]
+
+    left = np.flatnonzero(size[one] > len(NEAR))
+    # The sides of an arc are hidden by those beside them; others only where a strip holds their middle.
+    for ways in ((-1, 1), NEAR):
+        if ways is NEAR:
+            some = np.zeros(len(left), bool)
+            for away in NEAR:
+                a1, a2, b1, b2, most, broad = seen_from(left, away)
+                some |= (a1 + a2 >= -1e-9) & (a1 + a2 <= 2 * most + 1e-9) & (np.abs(b1 + b2) <= 2 * broad + 1e-9)
+            left = left[some]
+        if not len(left):
+            break
+        from_, to = (np.full((len(ways), len(left)), v) for v in (2.0, -1.0))
+        for j, away in enumerate(ways):
+            a1, a2, b1, b2, most, broad = seen_from(left, away)
+            low, high = np.zeros(len(left)), np.ones(len(left))
+            for p, q, least_v, most_v in ((a1, a2, 0.0, most), (b1, b2, -broad, broad)):
+                slope = q - p
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    t, u = (least_v - p) / slope, (most_v - p) / slope
+                level, within = np.abs(slope) < 1e-12, (p >= least_v) & (p <= most_v)
+                low = np.maximum(low, np.where(level, np.where(within, 0.0, 2.0), np.minimum(t, u)))
+                high = np.minimum(high, np.where(level, np.where(within, 1.0, -1.0), np.maximum(t, u)))
+            met = low <= high
+            from_[j, met], to[j, met] = low[met], high[met]
+        order = np.argsort(from_, axis=0)
+        from_, to = np.take_along_axis(from_, order, 0), np.maximum.accumulate(np.take_along_axis(to, order, 0), axis=0)
+        gap = (from_[1:] > to[:-1]) & (to[:-1] < 1.0)
+        gone = (from_[0] <= 0) & (to[-1] >= 1.0) & ~gap.any(axis=0)
+        out[left[gone]] = True
+        left = left[~gone]
     return out
 
 
@@ -372,16 +552,30 @@ def _clear(e: Edges, one: np.ndarray, r: Rings, row: np.ndarray, least: np.ndarr
 
     # Most pieces are too near to a side close to their own.
     start, size = np.repeat(ends - r.size, r.size)[one], np.repeat(r.size, r.size)[one]
-    for away in NEAR:
+    for away in (-1, 1, -2, 2):
         m = np.flatnonzero(out)
         out[m[strips(m, start[m] + (one[m] - start[m] + away) % size[m])]] = False
-    for of_row, test in ((row, strips), (row[fans[0]], triangles)):
-        order = np.argsort(of_row, kind="stable")
+    # Each other strip and triangle meets the pieces whose middles lie between its ends in x.
+    at, ax, ay, bx, by = fans
+    low, high, bottom, top = (f(c, c[after]) + s * least[row] for c in (r.x, r.y) for f, s in ((np.minimum, -1), (np.maximum, 1)))
+    corners = [f(f(p, q), c[at]) for p, q, c in ((ax, bx, r.x), (ay, by, r.y)) for f in (np.minimum, np.maximum)]
+    if not len(mx):
+        return out
+    base = np.full(max(e.group.max(), row.max()) + 1, np.inf)
+    np.minimum.at(base, e.group, mx)
+    np.minimum.at(base, row, low)
+    wide = max((mx - base[e.group]).max(), (high - base[row]).max()) + 1
+    slack = 8 * GRID + 1e-15 * wide * len(base)
+    for of_row, test, low, high, bottom, top in ((row, strips, low, high, bottom, top), (row[at], triangles, *corners)):
         left = np.flatnonzero(out)
-        first, last = (np.searchsorted(of_row[order], e.group[left], side=side) for side in ("left", "right"))
+        place = e.group[left] * wide + (mx[left] - base[e.group[left]])
+        left = left[order := np.argsort(place)]
+        first, last = (np.searchsorted(place[order], of_row * wide + (c - base[of_row]), side=side) for c, side in ((low - slack, "left"), (high + slack, "right")))
         counts = last - first
         for part in _chunks(counts):
-            m, k = np.repeat(left[part], counts[part]), order[_spread(first[part], counts[part])]
+            k, m = np.repeat(np.arange(part.start, part.stop), counts[part]), left[_spread(first[part], counts[part])]
+            near = (my[m] >= bottom[k]) & (my[m] <= top[k])
+            k, m = k[near], m[near]
             out[m[test(m, k)]] = False
     return out
 
@@ -391,20 +585,18 @@ def _single(e: Edges) -> Edges:
     order = np.lexsort((e.y2, e.x2, e.y1, e.x1, e.group))
     e = e.take(order)
     e = e.take(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in e], axis=0)]) if len(order) else order)
-    there, back = ({*zip(*(c.tolist() for c in cs), strict=True)} for cs in (e, (e.group, e.x2, e.y2, e.x1, e.y1)))
-    both = there & back
-    return e.take(np.array([k not in both for k in zip(*(c.tolist() for c in e), strict=True)], bool)) if both else e
+    some = np.flatnonzero(np.isin(_names(*e), _names(e.group, e.x2, e.y2, e.x1, e.y1)))
+    back = {*zip(*(c[some].tolist() for c in (e.group, e.x2, e.y2, e.x1, e.y1)), strict=True)}
+    kept = np.ones(len(e.group), bool)
+    kept[some] = [k not in back for k in zip(*(c[some].tolist() for c in e), strict=True)]
+    return e.take(kept)
 
 
 def _lists(r: Rings, rows: int) -> pa.Array:
     """A segmentation for each row."""
+    if (r.row[1:] < r.row[:-1]).any():
+        r = _by_row(r)
     numbers = np.stack([r.x, r.y], axis=1).reshape(-1)
-    order = np.argsort(r.row, kind="stable")
-    if not np.array_equal(order, np.arange(len(order))):
-        starts = (np.cumsum(r.size) - r.size)[order]
-        at = _spread(starts, r.size[order])
-        r = Rings(r.row[order], r.size[order], r.x[at], r.y[at])
-        numbers = np.stack([r.x, r.y], axis=1).reshape(-1)
     rings = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(2 * r.size)]).astype(np.int32)), pa.array(numbers, pa.float64()))
     ends = np.concatenate([[0], np.cumsum(np.bincount(r.row, minlength=rows))]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), rings)
@@ -436,7 +628,7 @@ def _parts(r: Rings, rows: int) -> pa.Array:
 
 def _both(left: pa.Array, right: pa.Array) -> tuple[Edges, Edges]:
     """Borders of either side's areas, row by row."""
-    return even_odd(rings_of(left).edges()), even_odd(rings_of(right).edges())
+    return _bordered(rings_of(left)), _bordered(rings_of(right))
 
 
 def _joined(*sides: Edges) -> Edges:
@@ -444,13 +636,70 @@ def _joined(*sides: Edges) -> Edges:
     return every.take(np.argsort(every.group, kind="stable"))
 
 
+def _in_slices(f):
+    """``f`` over rows a few at a time, so that what is worked out on the way stays small."""
+
+    @functools.wraps(f)
+    def over(*columns: pa.Array) -> pa.Array:
+        rows = len(columns[0])
+        each = max(1, rows * BYTES // max(1, sum(c.nbytes for c in columns)))
+        if each >= rows:
+            return f(*columns)
+        return pa.concat_arrays([f(*(c.slice(k, each) for c in columns)) for k in range(0, rows, each)])
+
+    return over
+
+
+def _common(left: pa.Array, right: pa.Array) -> np.ndarray:
+    return areas(covered(_joined(*_both(left, right)), 2), len(left))
+
+
 @arrow_udf(DoubleType())
+@_in_slices
 def shared_area(left: pa.Array, right: pa.Array) -> pa.Array:
     """Area that two segmentations have in common."""
-    return pa.array(areas(covered(_joined(*_both(left, right)), 2), len(left)))
+    return pa.array(_common(left, right))
+
+
+@arrow_udf(BooleanType())
+@_in_slices
+def share_area(left: pa.Array, right: pa.Array) -> pa.Array:
+    """Whether two segmentations have area in common: the middle of the boxes' common part shows it where it lies well inside both, the overlay else."""
+    one, other = rings_of(left), rings_of(right)
+    low, high = np.full((2, len(left)), -np.inf), np.full((2, len(left)), np.inf)
+    for r in (one, other):
+        box = np.full((2, len(left)), np.inf), np.full((2, len(left)), -np.inf)
+        for axis, c in enumerate((r.x, r.y)):
+            if len(r.size):
+                starts, of = (np.cumsum(r.size) - r.size), r.row
+                np.minimum.at(box[0][axis], of, np.minimum.reduceat(c, starts))
+                np.maximum.at(box[1][axis], of, np.maximum.reduceat(c, starts))
+        low, high = np.maximum(low, box[0]), np.minimum(high, box[1])
+    apart = (low > high + 4 * GRID).any(axis=0)
+    with np.errstate(invalid="ignore"):
+        x, y = np.where(apart, 0.0, (low + high) / 2)
+    out = _well_inside(one, x, y) & _well_inside(other, x, y) & ~apart
+    open_ = np.flatnonzero(~out & ~apart)
+    if len(open_):
+        out[open_] = _common(left.take(pa.array(open_)), right.take(pa.array(open_))) > 0
+    return pa.array(out)
+
+
+def _well_inside(r: Rings, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether each row's point lies in its area, over ``INSIDE`` from all sides."""
+    row, after, rows = np.repeat(r.row, r.size), _after(r), len(x)
+    ax, ay = r.x - x[row], r.y - y[row]
+    dx, dy = r.x[after] - r.x, r.y[after] - r.y
+    cross, square = dx * ay - dy * ax, dx * dx + dy * dy
+    with np.errstate(divide="ignore", invalid="ignore"):
+        t = np.clip(np.where(square > 0, -(ax * dx + ay * dy) / square, 0.0), 0.0, 1.0)
+    near = (ax + t * dx) ** 2 + (ay + t * dy) ** 2 <= INSIDE * INSIDE
+    over = ((ay > 0) != (ay + dy > 0)) & ((cross > 0) != (dy > 0))
+    return (np.bincount(row[over], minlength=rows) % 2 == 1) & (np.bincount(row[near], minlength=rows) == 0)
 
 
 @arrow_udf(DoubleType())
+@_in_slices
 def iou(left: pa.Array, right: pa.Array) -> pa.Array:
     """Intersection over union of two segmentations; 0 for an empty union."""
     one, other = _both(left, right)
@@ -465,12 +714,6 @@ def _partners(r: Rings, rows: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(n) - n, n
 
 
-def _after(r: Rings) -> np.ndarray:
-    ends, after = np.cumsum(r.size), np.arange(1, len(r.x) + 1)
-    after[ends - 1] = ends - r.size
-    return after
-
-
 def touching(one: Rings, other: Rings, rows: int) -> np.ndarray:
     """Whether the areas of both sides share a point, row by row: sides that meet, or a ring that lies in the other's area."""
     out = np.zeros(rows, bool)
@@ -503,8 +746,9 @@ def touch(left: pa.Array, right: pa.Array) -> pa.Array:
 
 
 @arrow_udf(DoubleType())
+@_in_slices
 def area(segmentations: pa.Array) -> pa.Array:
-    return pa.array(areas(even_odd(rings_of(segmentations).edges()), len(segmentations)))
+    return pa.array(areas(_bordered(rings_of(segmentations)), len(segmentations)))
 
 
 @arrow_udf(PARTS)
@@ -514,6 +758,7 @@ def repaired(segmentations: pa.Array) -> pa.Array:
 
 
 @arrow_udf(SEGMENTATION)
+@_in_slices
 def buffered(segmentations: pa.Array, by: pa.Array) -> pa.Array:
     """The rings of an area grown (or for a negative distance shrunk) by ``by``, corners rounded by 16 steps a quarter turn."""
     return _lists(buffered_rings(rings_of(segmentations), by.to_numpy(zero_copy_only=False).astype(float)), len(segmentations))
@@ -525,11 +770,11 @@ def _flattened(groups: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 
 @arrow_udf(SEGMENTATION)
+@_in_slices
 def united(groups: pa.Array) -> pa.Array:
     """The rings of the union of each row's list of segmentations, holes too."""
     members, row = _flattened(groups)
-    each = even_odd(rings_of(members).edges())
-    return _lists(outlines(covered(_joined(each._replace(group=row[each.group])))), len(groups))
+    return _lists(outlines(covered(_bordered(rings_of(members), row))), len(groups))
 
 
 @arrow_udf(PARTS)

@@ -45,7 +45,7 @@ def outline_groups(moved: DataFrame, keep, cell: float = 512.0) -> DataFrame:
     rows = moved.select("dataset", "image_id", "det_id", "grown", segmentation_box("grown").alias("box")).where("box is not null").select("*", "box.*").drop("box")
     rows = keep(rows)
     pairs = box_pairs(rows, rows, cell, "dataset", "image_id").where("l_det_id < r_det_id")
-    touching = ranges.spread(pairs.select("l_det_id", "r_det_id", "l_grown", "r_grown")).where(overlay.shared_area("l_grown", "r_grown") > 0).select(F.col("l_det_id").alias("a"), F.col("r_det_id").alias("b"))
+    touching = ranges.spread(pairs.select("l_det_id", "r_det_id", "l_grown", "r_grown")).where(overlay.share_area("l_grown", "r_grown")).select(F.col("l_det_id").alias("a"), F.col("r_det_id").alias("b"))
     alone = rows.select(F.col("det_id").alias("a"), F.col("det_id").alias("b"))
     return connected_components(touching.union(alone), keep).select(F.col("node").alias("det_id"), "root")
 
@@ -79,6 +79,6 @@ def _times(rows: DataFrame, keep, cell: float = 512.0) -> DataFrame:
     """det_id, times: sides of overlapping pairs a detection stands on, twice for itself."""
     boxes = keep(rows.select("dataset", "image_id", "det_id", "grown", segmentation_box("grown").alias("box")).select("*", "box.*").drop("box"))
     pairs = box_pairs(boxes, boxes, cell, "dataset", "image_id").where("l_det_id <= r_det_id")
-    touching = pairs.where((F.col("l_det_id") == F.col("r_det_id")) | (overlay.shared_area("l_grown", "r_grown") > 0))
+    touching = pairs.where((F.col("l_det_id") == F.col("r_det_id")) | overlay.share_area("l_grown", "r_grown"))
     sides = touching.select(F.explode(F.array("l_det_id", "r_det_id")).alias("det_id"))
     return sides.groupBy("det_id").agg(F.count("*").alias("times"))

@@ -130,3 +130,70 @@ def test_negatives_hash_only_early_low_tiles(spark, monkeypatch):
         found = tiling.sample_negatives(empty, empty.limit(1).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(n)))), ["aoi"], 1 / 3, F.col("min_y") >= 3)
         order = empty.orderBy((F.col("min_y") >= 3).cast("int").desc(), tiling.order_key("tile"), "tile").limit(need)
         assert {r["tile"] for r in found.collect()} == {r["tile"] for r in order.collect()} and sizes[-1] <= most
+
+
+def steps(n, by=(3, 2)):
+    """Boxes that overlap in steps, so many a group of four, as segmentations."""
+    box = lambda x, y, w, h: [[float(c) for c in (x, y, x + w, y, x + w, y + h, x, y + h)]]
+    return pa.array([box(1000 * (b % 7) + by[0] * j, by[1] * j, 40 + b % 60, 30 + b % 50) for b in range(n) for j in range(4)], pa.list_(pa.list_(pa.float64())))
+
+
+def test_outlines_that_overlap_in_steps_need_few_overlays(monkeypatch):
+    cuts, pairs, plain, chunks = [], [], overlay._cut, overlay._chunks
+    monkeypatch.setattr(overlay, "_cut", lambda e: cuts.append(len(e.group)) or plain(e))
+    monkeypatch.setattr(overlay, "_chunks", lambda counts: pairs.append(int(counts.sum())) or chunks(counts))
+    grown = overlay.buffered.func(steps(40), pa.array(np.ones(160)))
+    left, right = (grown.take(pa.array([4 * b + k[side] for b in range(40) for k in ((0, 1), (0, 3), (2, 3))])) for side in (0, 1))
+    assert overlay.share_area.func(left, right).to_pylist() == [True] * 120 and sum(cuts) == 0
+    united = overlay.united.func(pa.ListArray.from_arrays(pa.array(np.arange(0, 161, 4, dtype=np.int32)), grown))
+    monkeypatch.setattr(overlay, "_walked", lambda e: rest.append(e) or walked(e))
+    walked, rest = overlay._walked, []
+    pairs.clear()
+    shrunk = overlay.buffered.func(united, pa.array(-np.ones(40)))
+    assert sum(pairs) < 40 * 10_000 and not rest
+    wide, high = (np.array([c + b % m for b in range(40)]) for c, m in ((40, 60), (30, 50)))
+    expected = wide * high + 3 * (wide * high - (wide - 3) * (high - 2)) + 6 * (1 - 8 * np.sin(np.pi / 32))
+    assert np.allclose(overlay.area.func(shrunk).to_numpy(), expected, atol=0.05)
+
+
+def test_convex_rings_grow_as_others_do(monkeypatch):
+    rng = np.random.default_rng(7)
+    rings = []
+    for k in range(60):
+        at = np.sort(rng.random(3 + k % 9)) * 2 * np.pi
+        ring = np.stack([50 + 20 * np.cos(at), 9 + 7 * np.sin(at)], 1)[:: 1 if k % 2 else -1]
+        rings.append([np.concatenate([ring, ring[:1]]).reshape(-1).tolist()])
+    rows, by = pa.array(rings, pa.list_(pa.list_(pa.float64()))), np.where(np.arange(60) % 3, 2.5, 0.75)
+    found = overlay.buffered_rings(overlay.rings_of(rows), by)
+    on_grid = overlay._on_grid
+    assert on_grid(overlay.rings_of(rows))[1].sum() > 40
+    monkeypatch.setattr(overlay, "_on_grid", lambda r: (on_grid(r)[0], np.zeros(len(r.size), bool)))
+    plain = overlay.buffered_rings(overlay.rings_of(rows), by)
+    points = lambda r: {(int(k), round(x, 4), round(y, 4)) for k, x, y in zip(np.repeat(r.row, r.size), r.x, r.y, strict=True)}
+    assert np.allclose(*(np.bincount(r.row, overlay._signed(r), 60) for r in (found, plain)), atol=1e-3)
+    assert len(points(found) ^ points(plain)) <= 0.01 * len(plain.x)
+
+
+def test_shared_area_is_told_without_its_size():
+    rng = np.random.default_rng(8)
+    kinds = pa.list_(pa.list_(pa.float64()))
+    wild = lambda cx: [(rng.random(16) * 10 + np.tile([cx, 0.0], 8)).tolist()]
+    left, right = [wild(0) for _ in range(300)], [wild(rng.random() * 12) for _ in range(300)]
+    frame, square = [[0.0, 0.0, 9.0, 0.0, 9.0, 9.0, 0.0, 9.0], [1.0, 1.0, 8.0, 1.0, 8.0, 8.0, 1.0, 8.0]], [[3.0, 3.0, 5.0, 3.0, 5.0, 5.0, 3.0, 5.0]]
+    left += [frame, square, None, square, [[]], square, square]
+    right += [square, [[5.0, 3.0, 7.0, 3.0, 7.0, 5.0]], square, None, square, [[4.999, 4.999, 9.0, 5.0, 9.0, 9.0]], square]
+    a, b = pa.array(left, kinds), pa.array(right, kinds)
+    found = overlay.share_area.func(a, b).to_pylist()
+    assert found == [s > 0 for s in overlay.shared_area.func(a, b).to_pylist()]
+    assert found[-7:] == [False, False, False, False, False, True, True] and 0 < sum(found[:300]) < 300
+
+
+def test_rings_of_one_place_and_missing_rows_leave_others_whole(monkeypatch):
+    box = lambda w: [0.0, 0.0, w, 0.0, w, w, 0.0, w]
+    rows = pa.array([[box(2.0), [5.0] * 8], [[1.0] * 6], None, [[7.0] * 6, box(3.0)], [], [[5.0] * 8, box(1.0), box(4.0)], [[0.0, 0.0, 2.0, 2.0, 2.0, 0.0, 0.0, 2.0]]] * 40, pa.list_(pa.list_(pa.float64())))
+    sizes = [4.0, 0.0, 0.0, 9.0, 0.0, 15.0, 2.0] * 40
+    for most in (overlay.BYTES, 1):
+        monkeypatch.setattr(overlay, "BYTES", most)
+        assert overlay.area.func(rows).to_pylist() == sizes
+        assert overlay.shared_area.func(rows, rows).to_pylist() == sizes and overlay.share_area.func(rows, rows).to_pylist() == [s > 0 for s in sizes]
+        assert overlay.area.func(overlay.united.func(pa.array([[r, r] for r in rows.to_pylist()], pa.list_(rows.type)))).to_pylist() == sizes
