@@ -702,10 +702,15 @@ def _well_inside(r: Rings, x: np.ndarray, y: np.ndarray) -> np.ndarray:
 @_in_slices
 def iou(left: pa.Array, right: pa.Array) -> pa.Array:
     """Intersection over union of two segmentations; 0 for an empty union."""
-    one, other = _both(left, right)
-    common = areas(covered(_joined(one, other), 2), len(left))
-    union = areas(one, len(left)) + areas(other, len(left)) - common
-    return pa.array(np.where(union > 0, common / np.where(union > 0, union, 1), 0.0))
+    return pa.array(shares(rings_of(left), rings_of(right), len(left)))
+
+
+def shares(left: Rings, right: Rings, rows: int) -> np.ndarray:
+    """Intersection over union, row by row."""
+    one, other = _bordered(left), _bordered(right)
+    common = areas(covered(_joined(one, other), 2), rows)
+    union = areas(one, rows) + areas(other, rows) - common
+    return np.where(union > 0, common / np.where(union > 0, union, 1), 0.0)
 
 
 def _partners(r: Rings, rows: int) -> tuple[np.ndarray, np.ndarray]:

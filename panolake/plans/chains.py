@@ -314,7 +314,14 @@ def seg_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _mask(u, v, a: float, b: float, turn: float, points: int = 40):
     """The outline of an ellipse around a pixel, as a mask."""
-    return F.array(fits.outline(u, v, F.lit(a), F.lit(b), F.lit(turn), points))
+    at = [2 * math.pi / points * i for i in range(points)]
+    return _around(u, v, [(a * math.cos(t) * math.cos(turn) - b * math.sin(t) * math.sin(turn), a * math.cos(t) * math.sin(turn) + b * math.sin(t) * math.cos(turn)) for t in at])
+
+
+def _around(u, v, corners: list[tuple[float, float]]):
+    """A mask of one ring whose corners lie so far from a pixel."""
+    places = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in corners])
+    return F.array(F.flatten(F.transform(places, lambda p: F.array(u + p["x"], v + p["y"]))))
 
 
 @query(f"""WITH d AS (SELECT f.frame_id, o.object_id, o.x - f.x AS vx, o.y - f.y AS vy, o.z - f.z AS vz FROM fx_drive_frames f JOIN fx_drive_objects o ON f.drive = o.drive AND sqrt((o.x - f.x) * (o.x - f.x) + (o.y - f.y) * (o.y - f.y)) < 14)
@@ -725,12 +732,12 @@ def cubemap_rays(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{CUBE}, e AS (SELECT det_id, m0 * cx + m1 * cy + m2 * cz AS ex, m3 * cx + m4 * cy + m5 * cz AS ey, m6 * cx + m7 * cy + m8 * cz AS ez FROM m WHERE det_id % 5 <> 0) SELECT det_id, round(ex / sqrt(ex * ex + ey * ey + ez * ez), 5) + 0 AS dx, round(ey / sqrt(ex * ex + ey * ey + ez * ez), 5) + 0 AS dy, round(ez / sqrt(ex * ex + ey * ey + ez * ez), 5) + 0 AS dz FROM e")
 def cubemap_mask_rays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Masks on cube faces; a fifth of them are no ellipses and share too little with one."""
-    rows = view(spark, sf_dir, "fx_dets").select("det_id", (F.col("det_id") % 6).alias("face"), (F.col("x") % 2048).cast("double").alias("u"), (F.col("y") % 2048).cast("double").alias("v"))
+    rows = spread(view(spark, sf_dir, "fx_dets").select("det_id", (F.col("det_id") % 6).alias("face"), (F.col("x") % 2048).cast("double").alias("u"), (F.col("y") % 2048).cast("double").alias("v")))
     u, v = F.col("u"), F.col("v")
-    star = F.array(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(19)), lambda i: F.array(u + F.when(i % 2 == 0, 30).otherwise(8) * F.cos(i * (math.pi / 10)), v + F.when(i % 2 == 0, 30).otherwise(8) * F.sin(i * (math.pi / 10))))))
-    masks = keeper(spark)(rows.select("det_id", "face", F.when(F.col("det_id") % 5 == 0, star).otherwise(_mask(u, v, 25.0, 14.0, 1.1)).alias("segmentation")))
+    star = _around(u, v, [((8, 30)[i % 2 == 0] * math.cos(i * math.pi / 10), (8, 30)[i % 2 == 0] * math.sin(i * math.pi / 10)) for i in range(20)])
+    masks = settled(rows, {"segmentation": F.when(F.col("det_id") % 5 == 0, star).otherwise(_mask(u, v, 25.0, 14.0, 1.1))}).drop("u", "v")
     pose, opk = (F.lit(100.0), F.lit(50.0), F.lit(3.0)), (F.lit(0.1), F.lit(-0.2), F.lit(0.3))
-    found = rays.rays_of_masks(masks, rays.cubemap(pose, opk, F.col("face"), 2048), 0.85)
+    found = rays.rays_of_masks(masks, rays.cubemap(pose, opk, F.col("face"), 2048), 0.85, deal=False)
     return found.select("det_id", *[(F.round(f"d{c}", 5) + 0).alias(f"d{c}") for c in "xyz"])
 
 

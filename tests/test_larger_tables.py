@@ -8,8 +8,8 @@ import re
 import numpy as np
 import pyarrow as pa
 from panolake.fixtures import view
-from panolake.functions import geometry, overlay
-from panolake.operators import areas, drive, fits, ranges, tiling, triangulation, validation
+from panolake.functions import fitting, geometry, overlay
+from panolake.operators import areas, drive, fits, ranges, rays, tiling, triangulation, validation
 from panolake.plans import chains
 from panolake.sources import coco, flatgeobuf, tables, united
 from pyspark.sql import functions as F
@@ -197,3 +197,43 @@ def test_rings_of_one_place_and_missing_rows_leave_others_whole(monkeypatch):
         assert overlay.area.func(rows).to_pylist() == sizes
         assert overlay.shared_area.func(rows, rows).to_pylist() == sizes and overlay.share_area.func(rows, rows).to_pylist() == [s > 0 for s in sizes]
         assert overlay.area.func(overlay.united.func(pa.array([[r, r] for r in rows.to_pylist()], pa.list_(rows.type)))).to_pylist() == sizes
+
+
+def test_ellipses_of_many_masks_are_fitted_together():
+    rng = np.random.default_rng(9)
+    sums = {p: [] for p in fits.POWERS}
+    for k in range(60):
+        at = rng.random(4 + k % 9) * 2 * np.pi
+        x, y = (np.cos(at), 0.6 * np.sin(at)) if k % 3 else (rng.random((2, len(at))) if k % 2 else (at * 0, at * 0))
+        for i, j in sums:
+            sums[i, j].append(float((x**i * y**j).sum()) if k != 7 else float("nan"))
+    stacked, mean, size = {p: np.array(v) for p, v in sums.items()}, rng.random((60, 2)) * 1000, rng.random(60) * 50
+    found = fitting.ellipses_of_moments(stacked, mean, size)
+    for k in range(60):
+        one = fitting.ellipse_of_moments({p: v[k] for p, v in sums.items()}, mean[k], size[k])
+        assert np.isnan(found[k]).all() if one is None else np.allclose(found[k], one, rtol=1e-6)
+    assert 20 < np.isfinite(found[:, 0]).sum() < 60
+
+
+def test_bounds_settle_what_masks_share_with_their_ellipses(monkeypatch):
+    rng = np.random.default_rng(10)
+    masks, kinds = [], pa.list_(pa.list_(pa.float64()))
+    for k in range(240):
+        at = np.arange(n := 12 + k % 30) * (2 * np.pi / n) * (-1 if k % 2 else 1)
+        wild = (0.0, 0.05, 0.2, 0.45, 1.5)[k % 5] * rng.random(n)
+        masks.append([np.stack([500 + k + 25 * np.cos(at) * (1 - wild), 900 + 9 * np.sin(at) * (1 - wild)], 1).reshape(-1).tolist()])
+    masks += [masks[0] + [[0.0, 0.0, 90.0, 0.0, 90.0, 90.0]], None, [], [[1.0, 1.0, 2.0, 2.0, 3.0, 3.0]]]
+    rows, asked, plain = pa.array(masks, kinds), [], overlay.shares
+    fitted = rays.mask_ellipse.func(rows)
+    at = np.arange(99) * 2 * np.pi / 99
+    outline = lambda e: [np.stack([e["cx"] + e["a"] * np.cos(at) * np.cos(e["angle"]) - e["b"] * np.sin(at) * np.sin(e["angle"]), e["cy"] + e["a"] * np.cos(at) * np.sin(e["angle"]) + e["b"] * np.sin(at) * np.cos(e["angle"])], 1).reshape(-1).tolist()]
+    share = overlay.iou.func(pa.array([e and outline(e) for e in fitted.to_pylist()], kinds), rows).to_numpy()
+    monkeypatch.setattr(overlay, "shares", lambda a, b, n: asked.append(n) or plain(a, b, n))
+    for least in (0.3, 0.85, 0.95):
+        found = rays.shared_ellipse.func(rows, pa.array(np.full(len(rows), least))).to_pylist()
+        assert [e is not None for e in found] == [e is not None and s >= least for e, s in zip(fitted.to_pylist(), share, strict=True)]
+        assert all(e is None or e == f for e, f in zip(found, fitted.to_pylist(), strict=True))
+    assert 0 < asked[0] < 80
+    asked.clear()
+    rays.shared_ellipse.func(pa.array(masks[:240:5], kinds), pa.array(np.full(48, 0.85)))
+    assert not asked
