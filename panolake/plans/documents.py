@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from panolake.fixtures import view
 from panolake.functions import camera, geometry
 from panolake.operators import control, truth, validation
+from panolake.operators.ranges import spread
 from panolake.plans.catalog import FRAME, MATRIX, _flat, query
 from panolake.plans.chains import categories, folder
 from panolake.sources import coco, united
@@ -115,18 +116,18 @@ shapes AS (SELECT frame_id, object_id, face, count(*) AS corners, abs(sum(u * wn
 
 def _truth(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     disk = F.transform(F.sequence(F.lit(0), F.lit(64)), lambda i: F.struct((F.col("x") + 0.35 * F.cos(2 * math.pi * i / 64)).alias("x"), (F.col("y") + 0.35 * F.sin(2 * math.pi * i / 64)).alias("y"), F.col("z").alias("z")))
-    objects = view(spark, sf_dir, "fx_objects").select(F.col("k").alias("object_id"), F.lit(1).alias("category_id"), disk.alias("outline"))
+    objects = spread(view(spark, sf_dir, "fx_objects")).select(F.col("k").alias("object_id"), F.lit(1).alias("category_id"), disk.alias("outline"))
     n = F.col("frame_id")
     model = F.element_at(F.array(*map(F.lit, ("lb4", "lb7", "lb8", "lb10"))), (n % 4 + 1).cast("int"))
     paths = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda k: F.concat(n, F.lit("-"), k, F.lit(".jpg")))
     cameras = view(spark, sf_dir, "fx_frames").select(n.alias("camera_id"), model.alias("model"), "x", "y", "z", (1.4 + n % 7 * 0.05).alias("rx"), (n % 5 * 0.03 - 0.06).alias("ry"), (n % 13 * 0.4 - 2.4).alias("rz"), F.when(n % 4 == 0, 2048).otherwise(4016).alias("size"), paths.alias("image_path"))
-    return truth.on_faces(objects, cameras)
+    return objects, cameras
 
 
 @query(f"WITH {TRUTH} SELECT row_number() OVER (ORDER BY frame_id, object_id, face) AS id, object_id, 4 * frame_id + face AS image_id, corners, CAST(pixels AS BIGINT) AS pixels, round(area, 2) AS area, round(x, 3) AS x, round(y, 3) AS y, round(width, 3) AS w, round(height, 3) AS h FROM shapes WHERE corners > 50 AND area > 200")
 def truth_on_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ground truth disks on the cube faces of all cameras within 20 m, with their attitude and each rig's sensors."""
-    _, rows = _truth(spark, sf_dir)
+    _, rows = truth.on_faces(*_truth(spark, sf_dir))
     ring = F.get("segmentation", 0)
     pixels = F.aggregate(F.transform(ring, lambda v, i: v * F.when(i % 2 == 0, 1).otherwise(3)), F.lit(0).cast("long"), lambda s, v: s + v)
     box = [F.round(F.get("bbox", i), 3).alias(c) for i, c in enumerate("xywh")]
@@ -136,5 +137,4 @@ def truth_on_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {TRUTH} SELECT DISTINCT 4 * s.frame_id + face AS id, s.frame_id || '-' || face || '.jpg' AS file_name, a.size AS width FROM shapes s JOIN a ON s.frame_id = a.frame_id")
 def truth_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The faces that hold any part of an object."""
-    images, _ = _truth(spark, sf_dir)
-    return images.select("id", "file_name", "width")
+    return truth.images_of(*_truth(spark, sf_dir)).select("id", "file_name", "width")

@@ -8,9 +8,9 @@ import re
 import numpy as np
 import pyarrow as pa
 from panolake.fixtures import view
-from panolake.functions import fitting, geometry, overlay
-from panolake.operators import areas, drive, fits, ranges, rays, tiling, triangulation, validation
-from panolake.plans import chains
+from panolake.functions import camera, fitting, geometry, overlay
+from panolake.operators import areas, drive, fits, ranges, rays, tiling, triangulation, truth, validation
+from panolake.plans import chains, documents
 from panolake.sources import coco, flatgeobuf, tables, united
 from pyspark.sql import functions as F
 
@@ -237,3 +237,22 @@ def test_bounds_settle_what_masks_share_with_their_ellipses(monkeypatch):
     asked.clear()
     rays.shared_ellipse.func(pa.array(masks[:240:5], kinds), pa.array(np.full(48, 0.85)))
     assert not asked
+
+
+def test_truth_images_bring_no_objects_or_cameras_to_the_driver(spark, monkeypatch):
+    monkeypatch.delattr(ranges, "places")
+    found = documents.truth_images(spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 3 and "Broadcast" not in plan and "collect_list" not in plan
+    ids = [r["id"] for r in found.select("id").collect()]
+    assert len(ids) == len(set(ids)) > 100
+
+
+def test_faces_of_cameras_are_those_of_their_definition(spark):
+    places = spark.createDataFrame([(k, float(v), x, y, z) for k, (v, x, y, z) in enumerate((1, float(a), float(b), float(c)) for a in (-3, 0, 2) for b in (-2, 0, 3) for c in (-4, 0, 4))], "camera_id long, r double, x double, y double, z double")
+    outline = F.array(*[F.struct(*[F.lit(float(v)).alias(c) for v, c in zip(p, "xyz")]) for p in ((0, 0, 0), (1, 0, 0), (1, 1, 0.5), (0, 1, -2))])
+    objects = spark.range(1).select(F.col("id").alias("object_id"), F.lit(1).alias("category_id"), outline.alias("outline"))
+    cameras = places.select("camera_id", F.lit("lb7").alias("model"), "x", "y", "z", F.lit(0.3).alias("rx"), (F.col("camera_id") * 0.2).alias("ry"), F.lit(-0.4).alias("rz"), F.lit(2000).alias("size"), F.array(*[F.lit(f"f{k}") for k in range(6)]).alias("image_path"))
+    seen = truth._vertices(objects, cameras, 20.0, ()).select("face", camera.face_of(tuple(F.col(f"f{c}") for c in "xyz")).alias("defined"), "camera_id", "at")
+    rows = seen.collect()
+    assert len(rows) == 27 * 4 and all(r["face"] == r["defined"] for r in rows) and len({r["face"] for r in rows}) == 6
