@@ -24,7 +24,7 @@ from pyspark.sql.types import ArrayType, BooleanType, DoubleType
 #: Width of the grid, in pixels or metres.
 GRID = 2.0**-20
 #: Pairs of edges that are looked at together, and bytes of outlines: few enough for a core's cache.
-AT_ONCE = 1 << 17
+AT_ONCE = 1 << 15
 BYTES = 1 << 18
 #: How far inside both areas a point must lie to show alone that they share area.
 INSIDE = 2.0**-10
@@ -139,6 +139,10 @@ def _by_row(r: Rings) -> Rings:
     return Rings(r.row[order], r.size[order], r.x[at], r.y[at])
 
 
+def _both_by_row(one: Rings, other: Rings) -> Rings:
+    return _by_row(Rings(*(np.concatenate(c) for c in zip(one, other, strict=True))))
+
+
 def _bordered(r: Rings, group: np.ndarray | None = None) -> Edges:
     """``even_odd`` of the edges of each row, or of ``group`` of each row; a convex ring has no need of cuts."""
     found, convex = _on_grid(r)
@@ -186,17 +190,20 @@ def _meetings(e: Edges) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         ax, ay, bx, by = ((s.x2 - s.x1)[i].astype(float), (s.y2 - s.y1)[i].astype(float), (s.x2 - s.x1)[j].astype(float), (s.y2 - s.y1)[j].astype(float))
         ox, oy = (s.x1[j] - s.x1[i]).astype(float), (s.y1[j] - s.y1[i]).astype(float)
         turn = ax * by - ay * bx
+        p, q = ox * by - oy * bx, ox * ay - oy * ax
         with np.errstate(divide="ignore", invalid="ignore"):
-            t, u = (ox * by - oy * bx) / turn, (ox * ay - oy * ax) / turn
+            t, u = p / turn, q / turn
         cross = (t > 0) & (t < 1) & (u > 0) & (u < 1)
         x, y = (np.rint(s.x1[i] + t * ax)[cross].astype(np.int64), np.rint(s.y1[i] + t * ay)[cross].astype(np.int64))
         found += [(i[cross], x, y), (j[cross], x, y)]
-        for at, other in ((i, j), (j, i)):
-            dx, dy = (s.x2 - s.x1)[at].astype(float), (s.y2 - s.y1)[at].astype(float)
-            for x, y in ((s.x1[other], s.y1[other]), (s.x2[other], s.y2[other])):
-                vx, vy = (x - s.x1[at]).astype(float), (y - s.y1[at]).astype(float)
-                on = (np.abs(vx * dy - vy * dx) <= 0.75 * np.hypot(dx, dy)) & (vx * dx + vy * dy > 0) & (vx * dx + vy * dy < dx * dx + dy * dy)
-                found.append((at[on], x[on], y[on]))
+        # How far the other's ends lie from an edge's line, times its length, comes from the same products.
+        for at, other, long, starts, ends in ((i, j, np.hypot(ax, ay), q, q - turn), (j, i, np.hypot(bx, by), p, p - turn)):
+            for away, x, y in ((starts, s.x1, s.y1), (ends, s.x2, s.y2)):
+                k = np.flatnonzero(np.abs(away) <= 0.75 * long)
+                m, x, y = at[k], x[other[k]], y[other[k]]
+                dx, dy, vx, vy = ((c - d).astype(float) for c, d in ((s.x2[m], s.x1[m]), (s.y2[m], s.y1[m]), (x, s.x1[m]), (y, s.y1[m])))
+                on = (vx * dx + vy * dy > 0) & (vx * dx + vy * dy < dx * dx + dy * dy)
+                found.append((m[on], x[on], y[on]))
     edge, x, y = (np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)]) for k in range(3))
     inner = ((x != s.x1[edge]) | (y != s.y1[edge])) & ((x != s.x2[edge]) | (y != s.y2[edge]))
     return order[edge[inner]], x[inner], y[inner]
@@ -337,7 +344,7 @@ def outlines(e: Edges) -> Rings:
     if not walked.any():
         return rings
     others = _walked(e.take(walked))
-    return _by_row(Rings(*(np.concatenate(c) for c in zip(rings, others, strict=True))))
+    return _both_by_row(rings, others)
 
 
 def _names(*columns: np.ndarray) -> np.ndarray:
@@ -417,19 +424,23 @@ def _signed(r: Rings) -> np.ndarray:
     return np.bincount(np.repeat(np.arange(len(r.size)), r.size), (x * y[after] - x[after] * y) / 2, len(r.size)) if len(ends) else np.zeros(0)
 
 
-def buffered_rings(r: Rings, by: np.ndarray, quarter: int = 16) -> Rings:
+def buffered_rings(r: Rings, by: np.ndarray, quarter: int = 16, sound: np.ndarray | None = None) -> Rings:
     """Rings of the area within ``by`` of each row's area, or for a negative one of the points that far inside.
 
     Every side moves to its right, corners that open give arcs of ``quarter`` steps a right angle. What of these, cut where they
     meet, is nowhere nearer to the rings than ``by`` is the outline; so a negative distance may split a row's area or leave none.
-    A convex ring that grows is that outline as it stands.
+    A convex ring that grows is that outline as it stands. Rows are ``sound`` whose rings are known to be borders of an area.
     """
-    whole, convex = _on_grid(r)
-    easy = convex & (by[r.row] > 1024 * GRID)
+    easy = by[r.row] > 1024 * GRID
+    if easy.any():
+        whole, convex = _on_grid(r)
+        easy &= convex
     if easy.any():
         grown = _grown(_some(whole, easy), by, quarter)
-        return grown if easy.all() else _by_row(Rings(*(np.concatenate(c) for c in zip(grown, buffered_rings(_some(r, ~easy), by, quarter), strict=True))))
-    r = outlines(_bordered(r))
+        return grown if easy.all() else _both_by_row(grown, buffered_rings(_some(r, ~easy), by, quarter, sound))
+    own = np.zeros(len(r.row), bool) if sound is None else sound[r.row]
+    if not own.all():
+        r = _both_by_row(_some(r, own), outlines(_bordered(_some(r, ~own))))
     ends = np.cumsum(r.size)
     after, before = np.arange(1, len(r.x) + 1), np.arange(-1, len(r.x) - 1)
     after[ends - 1], before[ends - r.size] = ends - r.size, ends - 1
@@ -774,12 +785,27 @@ def _flattened(groups: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return groups.flatten(), np.repeat(np.arange(len(groups)), counts)
 
 
+def _union(groups: pa.Array) -> tuple[Rings, np.ndarray]:
+    """The union of each row's list of segmentations, and in which rows its rings have all the cut pieces as their sides, so that they meet at ends only."""
+    members, row = _flattened(groups)
+    borders = covered(_bordered(rings_of(members), row))
+    r = outlines(borders)
+    return r, np.bincount(borders.group, minlength=len(groups)) == np.bincount(np.repeat(r.row, r.size), minlength=len(groups))
+
+
 @arrow_udf(SEGMENTATION)
 @_in_slices
 def united(groups: pa.Array) -> pa.Array:
     """The rings of the union of each row's list of segmentations, holes too."""
-    members, row = _flattened(groups)
-    return _lists(outlines(covered(_bordered(rings_of(members), row))), len(groups))
+    return _lists(_union(groups)[0], len(groups))
+
+
+@arrow_udf(SEGMENTATION)
+@_in_slices
+def united_buffered(groups: pa.Array, by: pa.Array) -> pa.Array:
+    """``buffered`` of the union of each row's list of segmentations."""
+    r, sound = _union(groups)
+    return _lists(buffered_rings(r, by.to_numpy(zero_copy_only=False).astype(float), sound=sound), len(groups))
 
 
 @arrow_udf(PARTS)

@@ -47,7 +47,7 @@ def outline_groups(moved: DataFrame, keep, cell: float = 512.0) -> DataFrame:
     pairs = box_pairs(rows, rows, cell, "dataset", "image_id").where("l_det_id < r_det_id")
     touching = ranges.spread(pairs.select("l_det_id", "r_det_id", "l_grown", "r_grown")).where(overlay.share_area("l_grown", "r_grown")).select(F.col("l_det_id").alias("a"), F.col("r_det_id").alias("b"))
     alone = rows.select(F.col("det_id").alias("a"), F.col("det_id").alias("b"))
-    return connected_components(touching.union(alone), keep).select(F.col("node").alias("det_id"), "root")
+    return connected_components(keep(touching).union(alone), keep).select(F.col("node").alias("det_id"), "root")
 
 
 def merged_outlines(moved: DataFrame, groups: DataFrame, keep, buffer: float = 1.0, once: bool = True, at_once: int = 32) -> DataFrame:
@@ -59,13 +59,13 @@ def merged_outlines(moved: DataFrame, groups: DataFrame, keep, buffer: float = 1
     """
     rows = keep(moved.join(groups, "det_id"))
     parts = rows.select("root", F.col("det_id").alias("part"), F.col("grown").alias("outline"))
-    while True:
+    while not parts.groupBy("root").count().where(F.col("count") > at_once).isEmpty():
         numbered = parts.withColumn("k", F.floor((F.row_number().over(Window.partitionBy("root").orderBy("part")) - 1) / at_once))
         merged = numbered.groupBy("root", "k").agg(F.collect_list("outline").alias("outlines"))
         parts = keep(ranges.spread(merged).select("root", F.col("k").alias("part"), overlay.united("outlines").alias("outline")))
-        if parts.where("part > 0").isEmpty():
-            break
-    outline = ranges.spread(parts).select("root", overlay.buffered("outline", F.lit(-float(buffer))).alias("segmentation"))
+    merged = parts.groupBy("root").agg(F.collect_list("outline").alias("outlines"))
+    outline = ranges.spread(merged).select("root", overlay.united_buffered("outlines", F.lit(-float(buffer))).alias("segmentation"))
+    outline = ranges.settled(outline, {"segmentation": F.col("segmentation")})  # else the area takes the union along and works it out again
     outline = outline.select("*", segmentation_box("segmentation").alias("box"), overlay.area("segmentation").alias("area"))
     first = F.min(F.struct("det_id", "image_id", "dataset", "category_id")).alias("first")
     scores = F.percentile("score", 0.5) if once else F.percentile("score", 0.5, F.col("times"))

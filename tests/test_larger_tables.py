@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from panolake.fixtures import view
 from panolake.functions import camera, fitting, geometry, overlay
-from panolake.operators import areas, drive, fits, ranges, rays, tiling, triangulation, truth, validation
+from panolake.operators import areas, drive, fits, merging, ranges, rays, tiling, triangulation, truth, validation
 from panolake.plans import chains, documents
 from panolake.sources import coco, flatgeobuf, tables, united
 from pyspark.sql import functions as F
@@ -256,3 +256,29 @@ def test_faces_of_cameras_are_those_of_their_definition(spark):
     seen = truth._vertices(objects, cameras, 20.0, ()).select("face", camera.face_of(tuple(F.col(f"f{c}") for c in "xyz")).alias("defined"), "camera_id", "at")
     rows = seen.collect()
     assert len(rows) == 27 * 4 and all(r["face"] == r["defined"] for r in rows) and len({r["face"] for r in rows}) == 6
+
+
+def test_unions_are_shrunk_as_they_come():
+    rng = np.random.default_rng(11)
+    kinds = pa.list_(pa.list_(pa.float64()))
+    star = lambda n, cx: np.stack([cx + 12 * (r := 0.4 + 0.6 * rng.random(n)) * np.cos(at := np.sort(rng.random(n)) * 2 * np.pi), 12 * r * np.sin(at)], 1).reshape(-1).tolist()
+    groups = [[[star(9, 6.0 * k)] for k in range(n % 5)] for n in range(60)] + [None, [None, [[0.0, 0.0, 4.0, 0.0, 4.0, 4.0]]]]
+    rows = pa.array(groups, pa.list_(kinds))
+    for by in (-0.5, -1.5, 0.75):
+        found, plain = overlay.united_buffered.func(rows, pa.array(np.full(62, by))), overlay.buffered.func(overlay.united.func(rows), pa.array(np.full(62, by)))
+        assert np.allclose(overlay.area.func(found).to_numpy(), overlay.area.func(plain).to_numpy(), atol=1e-3)
+    assert overlay._union(rows)[1].sum() > 40
+
+
+def test_outlines_are_united_once_and_pairs_found_once(spark):
+    tiles = spark.range(12).select(F.col("id").alias("det_id"), F.lit("a").alias("dataset"), F.lit(1).alias("image_id"), F.lit(1).alias("category_id"), F.lit(0.5).alias("score"), F.lit(0).alias("min_x"), F.lit(0).alias("min_y"), F.array(F.array(*[F.lit(v) + F.col("id") * (3.0 * (k % 2 == 0)) for k, v in enumerate((0.0, 0.0, 9.0, 0.0, 9.0, 5.0, 0.0, 5.0))])).alias("segmentation"))
+    kept, keep = [], ranges.keeper(spark)
+    counted = lambda rows: kept.append(rows._jdf.queryExecution().analyzed().toString()) or keep(rows)
+    moved = keep(merging.outlines_to_panorama(tiles))
+    groups = merging.outline_groups(moved, counted)
+    assert sum(plan.count("share_area(") for plan in kept) == 1
+    for at_once in (32, 5):
+        merged = merging.merged_outlines(moved, groups, keep, at_once=at_once)
+        assert merged._jdf.queryExecution().executedPlan().toString().count("united_buffered(") == 1
+        row = merged.first()
+        assert (row["members"], round(row["area"]), round(row["w"]), round(row["h"])) == (12, 42 * 5, 42, 5)
